@@ -32,8 +32,9 @@ class RiskConfig:
     max_hot_accounts: int = 1024
     hot_slot_seconds: int = 60
 
-    # Query vectors sent to every task at once; beyond it, vectors are
-    # shuffled by cell instead.
+    # Query vectors sent to every task at once; beyond either bound, vectors
+    # are shuffled by cell instead.
+    broadcast_queries: int = 16_384
     broadcast_bytes: int = 32 * 1024 * 1024
     cell_rows: int = 20_000
     max_pivots: int = 512

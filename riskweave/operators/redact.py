@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
 from riskweave.functions.text import pseudonym, scrub
 
-REDACTED_COLUMNS = (
-    "id", "amount", "redacted_from_account", "redacted_to_account", "redacted_description", "occurred_at",
-)
+
+def _redacted() -> list[Column]:
+    return [
+        F.col("id"), F.col("amount"),
+        pseudonym(F.col("from_account")).alias("redacted_from_account"),
+        pseudonym(F.col("to_account")).alias("redacted_to_account"),
+        scrub(F.col("description")).alias("redacted_description"),
+        F.col("occurred_at"),
+    ]
 
 
 def redact_transactions(transactions: DataFrame) -> DataFrame:
-    """Accounts become pseudonyms, the description is scrubbed; further columns pass through."""
-    return transactions.withColumns({
-        "redacted_from_account": pseudonym(F.col("from_account")),
-        "redacted_to_account": pseudonym(F.col("to_account")),
-        "redacted_description": scrub(F.col("description")),
-    }).drop("from_account", "to_account", "description", "currency")
+    """Accounts become pseudonyms and the description is scrubbed; id, amount and time stay."""
+    return transactions.select(*_redacted())
+
+
+def redacted_struct() -> Column:
+    """The redacted form of a transaction row as one column."""
+    return F.struct(*_redacted())
 
 
 def redact_texts(rows: DataFrame, column: str = "text") -> DataFrame:

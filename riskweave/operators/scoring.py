@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,11 @@ from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.text import as_text, fill
 from riskweave.operators.activity import history_mean
+from riskweave.operators.redact import redacted_struct
 from riskweave.schemas import SCORE
 
+Model = Callable[[Column, Column, Column], Column]
+
 
 def _clamp(score: Column) -> Column:
     return F.greatest(F.lit(0).cast("decimal(20,2)"), F.least(F.lit(V.MAX_SCORE).cast("decimal(20,2)"), score))
@@ -31,30 +35,36 @@ def similarity_points(count: Column, mean: Column) -> Column:
     ).cast("decimal(20,2)")
 
 
-def assess(redacted: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """The built-in assessment; adds `assessment_risk`, `assessment_reasoning`.
+def heuristic(redacted: Column, similar_count: Column, similar_mean: Column) -> Column:
+    """The built-in assessment as `struct<risk, reasoning>`."""
+    amount = amount_points(redacted["amount"])
+    similar = similarity_points(similar_count, similar_mean)
+    return F.struct(
+        _clamp(amount + similar).cast(SCORE).alias("risk"),
+        fill(
+            V.HEURISTIC_REASONING,
+            amount=as_text(F.round(amount, 1), 1),
+            similarity=as_text(F.round(similar, 1), 1),
+            count=F.coalesce(similar_count, F.lit(0)),
+        ).alias("reasoning"),
+    )
+
+
+def assess(rows: DataFrame, model: Model = heuristic) -> DataFrame:
+    """Adds `assessment_risk`, `assessment_reasoning`, `assessment_ok`.
 
-    Takes redacted rows with `similar_count` and `similar_mean`. Any function
-    with this signature, a model behind an Arrow UDF for instance, can stand
-    in its place.
+    `model` maps the redacted transaction (a struct), the neighbour count and
+    the mean similarity to `struct<risk, reasoning>`; an Arrow UDF can stand
+    in for the heuristic. It never sees the row itself. An answer without
+    reasoning or with a risk outside 0..100 counts as unavailable.
     """
-    return (
-        redacted
-        .withColumns({
-            "_amount": amount_points(F.col("amount")),
-            "_similar": similarity_points(F.col("similar_count"), F.col("similar_mean")),
-        })
-        .withColumns({
-            "assessment_risk": _clamp(F.col("_amount") + F.col("_similar")).cast(SCORE),
-            "assessment_reasoning": fill(
-                V.HEURISTIC_REASONING,
-                amount=as_text(F.round("_amount", 1), 1),
-                similarity=as_text(F.round("_similar", 1), 1),
-                count=F.coalesce("similar_count", F.lit(0)),
-            ),
-        })
-        .drop("_amount", "_similar")
-    )
+    answer = model(redacted_struct(), F.col("similar_count"), F.col("similar_mean"))
+    usable = F.col("_answer.risk").between(0, V.MAX_SCORE) & F.col("_answer.reasoning").isNotNull()
+    return rows.withColumn("_answer", answer).withColumns({
+        "assessment_ok": F.coalesce(usable, F.lit(False)),
+        "assessment_risk": F.col("_answer.risk").cast(SCORE),
+        "assessment_reasoning": F.col("_answer.reasoning"),
+    }).drop("_answer")
 
 
 def history_risk(rows: DataFrame) -> DataFrame:
@@ -86,17 +96,17 @@ def score(rows: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
         for name in ("assessment_ok", "history_ok")
     }
     a, h = ok["assessment_ok"], ok["history_ok"]
-    zero = F.lit(0).cast("decimal(20,6)")
+    zero = F.lit(0).cast("decimal(30,12)")
 
     def part(present: Column, name: str, weight: float) -> Column:
-        value = (F.col(name) * _weight(weight)).cast("decimal(20,6)")
+        value = (F.col(name) * _weight(weight)).cast("decimal(30,12)")
         return F.when(present, value).otherwise(zero)
 
     total = (
-        (F.col("gate_score") * _weight(cfg.gate_weight)).cast("decimal(20,6)")
+        (F.col("gate_score") * _weight(cfg.gate_weight)).cast("decimal(30,12)")
         + part(a, "assessment_risk", cfg.assessment_weight)
         + part(h, "history_risk", cfg.history_weight)
-    ).cast("decimal(20,6)")
+    ).cast("decimal(30,12)")
     g, wa, wh = cfg.gate_weight, cfg.assessment_weight, cfg.history_weight
     weighted = (
         F.when(a & h, total / _weight(g + wa + wh))

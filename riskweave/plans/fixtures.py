@@ -87,3 +87,20 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(answer, 0).otherwise(size).alias("input_tokens"),
         F.when(answer, size).otherwise(0).alias("output_tokens"),
     )
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as they arrive: every seventh arrives again later, one unit larger."""
+    first = transactions(spark, sf_dir).withColumn("number", F.substring("id", 25, 12).cast("bigint"))
+    times = F.when(F.col("number") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        first.withColumn("again", F.explode(times))
+        .withColumn("amount", (F.col("amount") + F.col("again")).cast("decimal(19,4)"))
+        .withColumn("ingest_seq", F.col("number") + F.col("again").cast("bigint") * 1_000_000_000)
+        .drop("number", "again")
+    )
+
+
+def wanted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction ids to look up; part of them do not exist."""
+    return table(spark, sf_dir, "documents").select(_event_uuid(F.col("doc_id") * 17).alias("id"))

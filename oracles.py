@@ -385,6 +385,22 @@ def oracle_sql() -> dict[str, str]:
             "to_account, description, timestamp '2024-02-01 00:00:00' as occurred_at from checked "
             "where reject_reasons = ''",
         "upsert_latest": f"with {DELIVERIES} select {_TX}, ingest_seq from latest",
+        "read_event_stream":
+            f"with {TRANSACTIONS} select id as key, 'TransactionReceived' as event_type, {_RECEIVED_JSON} || '}}' as value, "
+            "occurred_at as timestamp from transactions",
+        "read_outbox_stream":
+            f"with {TO_OUTBOX} select id, aggregate_type, aggregate_id, event_type, payload, created_at from outbox "
+            "where event_type = 'TransactionReceived'",
+        "relay_outbox":
+            f"with {TO_OUTBOX} select 'outbox.event.' || aggregate_type as topic, aggregate_id as key, "
+            "payload as value, event_type from outbox where event_type = 'TransactionReceived'",
+        "stream_velocity":
+            f"with {TO_GATE} select id, from_account, velocity, history_count, history_sum from features",
+        "run_stream":
+            f"with {TO_DECIDED} select {_TX}, decision, risk_score, reasoning, evaluated_at from decided",
+        "reject_stream":
+            f"with {RAW_EVENTS}, {VALIDATED} select event_id, event_type, value, reject_reason from validated "
+            "where reject_reason is not null",
         "llm_cost":
             f"with {USAGE} select conv_id, turn, model, input_tokens, output_tokens, cast(c as decimal(38,12)) as cost_usd, "
             "cast(nullif(c, 0) as decimal(38,12)) as emitted_cost_usd from costs",

@@ -103,7 +103,7 @@ def account_features(
     """
     if busy is None:
         busy = busy_accounts(transactions, cfg)
-    activity = _slim(transactions)
+    activity = slim_activity(transactions)
     if not busy:
         return _finish(transactions, _velocity(_history(activity, ["account"], cfg), ["account"], cfg))
     is_busy = F.col("account").isin(list(busy))
@@ -132,7 +132,7 @@ def _payload(transactions: DataFrame) -> list[str]:
     return [c for c in transactions.columns if c not in ("id", "amount")]
 
 
-def _slim(transactions: DataFrame) -> DataFrame:
+def slim_activity(transactions: DataFrame) -> DataFrame:
     """Activity whose receiving side carries only what the windows read."""
     return account_activity(transactions).select(
         "account", "is_from", "id", "amount",

@@ -15,8 +15,10 @@ from riskweave.functions.text import transaction_text
 from riskweave.operators import activity, cost, outbox, redact, scoring, tables, validate, vectors
 from riskweave.plans import fixtures
 from riskweave.plans.evaluate import evaluate, gate, score_flagged, similar_to_flagged
-from riskweave.schemas import TRANSACTION_COLUMNS
-from riskweave.session import configure
+from riskweave.schemas import DECISIONS, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskweave.session import configure, scratch_dir
+from riskweave.sources import streams
+from riskweave.streaming import account_state, run, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,8 @@ CFG = RiskConfig(velocity_limit=2)
 ACCOUNT = "US0000000042"
 TRANSACTION = "00000000-0000-0000-0000-000000000042"
 
+DECIDED = T.StructType(TRANSACTIONS.fields + DECISIONS.fields)
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -314,3 +318,97 @@ def llm_cost(spark, sf_dir):
 @_query
 def llm_cost_by_model(spark, sf_dir):
     return cost.llm_cost_by_model(fixtures.usage(spark, sf_dir))
+
+
+# ---- streams ----------------------------------------------------------------
+# Each query feeds its stream in three steps, older transactions first, and
+# runs it until it has caught up after each step.
+
+STEPS = (("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01"))
+
+
+def _steps(rows: DataFrame, column: str):
+    for start, end in STEPS:
+        yield rows.filter((F.col(column) >= instant(start)) & (F.col(column) < instant(end)))
+
+
+def _received_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received = outbox.to_outbox(fixtures.transactions(spark, sf_dir), V.RECEIVED, F.col("occurred_at"))
+    return outbox.route_outbox(received).drop("topic")
+
+
+def _caught_up(writer, folder: str) -> None:
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+@_query
+def read_event_stream(spark, sf_dir):
+    folder = scratch_dir(spark, "events")
+    for step in _steps(_received_records(spark, sf_dir), "timestamp"):
+        step.write.mode("append").parquet(f"{folder}/in")
+        frames = streams.read_event_stream(spark, f"{folder}/in", format="parquet")
+        _caught_up(frames.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@_query
+def read_outbox_stream(spark, sf_dir):
+    folder = scratch_dir(spark, "outbox")
+    received = outbox.to_outbox(fixtures.transactions(spark, sf_dir), V.RECEIVED, F.col("occurred_at"))
+    for step in _steps(received, "created_at"):
+        step.write.mode("append").parquet(f"{folder}/in")
+        rows = streams.read_outbox_stream(spark, f"{folder}/in")
+        _caught_up(rows.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@_query
+def relay_outbox(spark, sf_dir):
+    folder = scratch_dir(spark, "relay")
+    received = outbox.to_outbox(fixtures.transactions(spark, sf_dir), V.RECEIVED, F.col("occurred_at"))
+    for step in _steps(received, "created_at"):
+        step.write.mode("append").parquet(f"{folder}/in")
+        rows = streams.read_outbox_stream(spark, f"{folder}/in")
+        run.relay_outbox(rows, folder, {"availableNow": True}, path=f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        "topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+        validate.event_type_of(F.col("headers")).alias("event_type"))
+
+
+@_query
+def stream_velocity(spark, sf_dir):
+    folder = scratch_dir(spark, "velocity")
+    for step in _steps(fixtures.transactions(spark, sf_dir), "occurred_at"):
+        step.write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(TRANSACTIONS).parquet(f"{folder}/in")
+        features = account_state.stream_velocity(rows, CFG)
+        _caught_up(features.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out").select(
+        "id", "from_account", "velocity", "history_count", "history_sum")
+
+
+@_query
+def run_stream(spark, sf_dir):
+    folder = scratch_dir(spark, "loop")
+    candidates = fixtures.embeddings(spark, sf_dir)
+    for step in _steps(_received_records(spark, sf_dir), "timestamp"):
+        step.write.mode("append").parquet(f"{folder}/in")
+        frames = streams.read_event_stream(spark, f"{folder}/in", format="parquet")
+        run.run_stream(spark, frames, f"{folder}/store", CFG, candidates=candidates)
+    return store.read_latest(spark, f"{folder}/store", "decisions", DECIDED)
+
+
+@_query
+def reject_stream(spark, sf_dir):
+    folder = scratch_dir(spark, "rejects")
+    raw = fixtures.raw_events(spark, sf_dir)
+    header = F.struct(F.lit(V.EVENT_TYPE_HEADER).alias("key"), F.col("event_type").cast("binary").alias("value"))
+    raw.select(
+        F.col("event_id").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+        F.when(F.col("event_type").isNotNull(), F.array(header)).alias("headers"),
+        instant("2024-02-01 00:00:00").alias("timestamp"),
+    ).write.parquet(f"{folder}/in")
+    frames = streams.read_event_stream(spark, f"{folder}/in", format="parquet")
+    run.start_side_outputs(frames, folder, {"availableNow": True}).awaitTermination()
+    rejects = spark.read.parquet(f"{folder}/rejects")
+    return rejects.select(F.col("key").cast("bigint").alias("event_id"), "event_type", "value", "reject_reason")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
@@ -29,6 +32,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get(CHECKPOINT_KEY, None)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder every executor can reach; a local one only where executors are local too."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Keep a result that several jobs read.
 

@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
-from riskweave.schemas import TRANSACTION_COLUMNS
+from riskweave.session import cut
 
+FEATURES = ("velocity", "history_count", "history_sum")
 _SUM_TYPE = "decimal(29,4)"
 
 
@@ -81,10 +82,11 @@ def busy_accounts(transactions: DataFrame, cfg: RiskConfig = RiskConfig()) -> li
     """
     if 2 * transactions.count() <= cfg.hot_account_rows:
         return []
-    counts = (
-        account_activity(transactions.select("from_account", "to_account"))
-        .groupBy("account").agg(F.count("*").alias("n"))
-    )
+    return _busy(account_activity(transactions.select("from_account", "to_account")), cfg)
+
+
+def _busy(activity: DataFrame, cfg: RiskConfig) -> list[str]:
+    counts = activity.groupBy("account").agg(F.count("*").alias("n"))
     share = counts.agg(F.sum("n") / cfg.max_hot_accounts).scalar()
     busy = counts.filter((F.col("n") > cfg.hot_account_rows) & (F.col("n") > share))
     return [row.account for row in busy.select("account").collect()]
@@ -103,13 +105,51 @@ def account_features(
     """
     if busy is None:
         busy = busy_accounts(transactions, cfg)
-    activity = slim_activity(transactions)
+    return activity_features(slim_activity(transactions), cfg, busy).select(*transactions.columns, *FEATURES)
+
+
+def activity_features(activity: DataFrame, cfg: RiskConfig, busy: Sequence[str] = ()) -> DataFrame:
+    """The paying rows of `slim_activity` rows with their features."""
     if not busy:
-        return _finish(transactions, _velocity(_history(activity, ["account"], cfg), ["account"], cfg))
+        return _velocity(_history(activity, ["account"], cfg), ["account"], cfg).filter("is_from")
     is_busy = F.col("account").isin(list(busy))
     usual = _velocity(_history(activity.filter(~is_busy), ["account"], cfg), ["account"], cfg)
     split = _split_velocity(_split_history(activity.filter(is_busy), cfg), cfg)
-    return _finish(transactions, usual.unionByName(split))
+    return usual.unionByName(split).filter("is_from")
+
+
+def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
+    """Features of some transactions, looked up among all stored ones.
+
+    `rows` are transactions, `stored` is the table that includes them, with
+    `ingest_seq`; copies of a row are reduced to the newest after the others
+    are filtered out, as a repeated row keeps its accounts and time. Only
+    accounts that pay in `rows` are read back, and of each only what its
+    earliest row can see: everything since one window before it, and the N
+    rows before that. Both limits apply before the shuffle.
+    """
+    paying = rows.groupBy(F.col("from_account").alias("account")).agg(
+        (F.min(F.unix_micros("occurred_at")) - cfg.velocity_window_us).alias("since_us"))
+    seen = (
+        account_activity(stored)
+        .select("account", "is_from", "id", "amount", "ingest_seq", F.unix_micros("occurred_at").alias("at_us"))
+        .join(paying, "account")
+    )
+    copies = Window.partitionBy("account", "at_us", "id").orderBy(F.desc("ingest_seq"))
+    newest = Window.partitionBy("account").orderBy(F.desc("at_us"), F.desc("id"))
+    near = (
+        seen.filter(F.col("at_us") > F.col("since_us"))
+        .withColumn("_r", F.row_number().over(copies)).filter("_r = 1")
+    )
+    # Copies share a dense rank, so the limit counts rows, not copies.
+    older = (
+        seen.filter(F.col("at_us") <= F.col("since_us"))
+        .withColumn("_r", F.dense_rank().over(newest)).filter(F.col("_r") <= cfg.history_limit)
+        .withColumn("_r", F.row_number().over(copies)).filter("_r = 1")
+    )
+    context = cut(near.unionByName(older).drop("_r", "since_us", "ingest_seq"))
+    features = activity_features(context, cfg, _busy(context, cfg))
+    return rows.join(features.select("id", *FEATURES), "id")
 
 
 def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Sequence[str] | None = None) -> DataFrame:
@@ -133,7 +173,7 @@ def _payload(transactions: DataFrame) -> list[str]:
 
 
 def slim_activity(transactions: DataFrame) -> DataFrame:
-    """Activity whose receiving side carries only what the windows read."""
+    """`account_activity` whose receiving side carries only what the windows read."""
     return account_activity(transactions).select(
         "account", "is_from", "id", "amount",
         F.unix_micros("occurred_at").alias("at_us"),
@@ -141,10 +181,6 @@ def slim_activity(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _finish(transactions: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.filter("is_from").select(*transactions.columns, "velocity", "history_count", "history_sum")
-
-
 def _before(keys: list[str], cfg: RiskConfig):
     return Window.partitionBy(*keys).orderBy("at_us", "id").rowsBetween(-cfg.history_limit, -1)
 

@@ -62,18 +62,22 @@ def knn(
 
     Both inputs have `id, embedding`. A query never matches its own id; with
     `self_takes_slot` its own vector still uses up one of the k places.
-    `min_similarity` is exclusive.
+    `min_similarity` is exclusive. Candidate ids may repeat if all copies
+    have the same vector: they count once.
     """
     keep = k if self_takes_slot else k + 1
     queries = queries.select("id", "embedding").filter(F.col("embedding").isNotNull())
     candidates = candidates.select("id", "embedding").filter(F.col("embedding").isNotNull())
     matches = _matches(queries, candidates, keep, cfg, min_similarity)
+    # Copies of a candidate are neighbours in this order and share a dense rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    rank = F.row_number().over(order)
     others = F.col("query_id") != F.col("id")
-    if self_takes_slot:
-        return matches.withColumn("rank", rank).filter(F.col("rank") <= k).filter(others)
-    return matches.filter(others).withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = (matches if self_takes_slot else matches.filter(others)).withColumn("rank", F.dense_rank().over(order))
+    first = F.lag("id").over(order).eqNullSafe(F.col("id"))
+    return (
+        ranked.filter(F.col("rank") <= k)
+        .withColumn("_again", first).filter(others & ~F.col("_again")).drop("_again")
+    )
 
 
 def similar_within(
@@ -134,9 +138,9 @@ def _unit(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
 
 
 def _fewer_copies(ids: np.ndarray, units: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by id, with at most `keep` copies of one vector: later copies always rank behind."""
-    order = np.argsort(ids, kind="stable")
-    ids, units = ids[order], np.ascontiguousarray(units[order])
+    """Each id once, sorted, and at most `keep` ids with one vector: further ones always rank behind."""
+    ids, order = np.unique(ids, return_index=True)
+    units = np.ascontiguousarray(units[order])
     _, group = np.unique(units.view(np.dtype((np.void, units.itemsize * units.shape[1]))).ravel(), return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[by_group], group[by_group], side="left")
@@ -145,8 +149,11 @@ def _fewer_copies(ids: np.ndarray, units: np.ndarray, keep: int) -> tuple[np.nda
 
 
 def _first_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the best `keep` entries of every query number."""
+    """Positions of the best `keep` entries of every query number, repeated ids left out."""
     order = np.lexsort((ids, -similarity, query))
+    if len(order):
+        same = (query[order][1:] == query[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+        order = order[np.concatenate([[True], ~same])]
     sorted_query = query[order]
     starts = np.searchsorted(sorted_query, sorted_query, side="left")
     return order[np.arange(len(order)) - starts < keep]
@@ -225,6 +232,7 @@ def _by_cell(
 ) -> DataFrame:
     spark = candidates.sparkSession
     copies = Window.partitionBy("embedding").orderBy("id")
+    candidates = candidates.dropDuplicates(["id"])
     candidates = candidates.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= keep).drop("_copy")
 
     wanted = min(cfg.max_pivots, 1 + candidates.count() // cfg.cell_rows)

@@ -15,8 +15,8 @@ from riskweave.functions.text import transaction_text
 from riskweave.operators import activity, cost, outbox, redact, scoring, tables, validate, vectors
 from riskweave.plans import fixtures
 from riskweave.plans.evaluate import evaluate, gate, score_flagged, similar_to_flagged
-from riskweave.schemas import DECISIONS, TRANSACTION_COLUMNS, TRANSACTIONS
-from riskweave.session import configure, scratch_dir
+from riskweave.schemas import DECIDED, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskweave.session import configure, cut, scratch_dir
 from riskweave.sources import streams
 from riskweave.streaming import account_state, run, store
 
@@ -27,8 +27,6 @@ CFG = RiskConfig(velocity_limit=2)
 ACCOUNT = "US0000000042"
 TRANSACTION = "00000000-0000-0000-0000-000000000042"
 
-DECIDED = T.StructType(TRANSACTIONS.fields + DECISIONS.fields)
-
 _QUERIES: dict[str, Query] = {}
 
 
@@ -378,11 +376,15 @@ def relay_outbox(spark, sf_dir):
 @_query
 def stream_velocity(spark, sf_dir):
     folder = scratch_dir(spark, "velocity")
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        stored = spark.read.schema(TRANSACTIONS).parquet(f"{folder}/in").withColumn("ingest_seq", F.lit(0))
+        store.write_batch(account_state.complete_features(cut(rows), stored, CFG), folder, "out", batch_id)
+
     for step in _steps(fixtures.transactions(spark, sf_dir), "occurred_at"):
         step.write.mode("append").parquet(f"{folder}/in")
-        rows = spark.readStream.schema(TRANSACTIONS).parquet(f"{folder}/in")
-        features = account_state.stream_velocity(rows, CFG)
-        _caught_up(features.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+        features = account_state.stream_velocity(spark.readStream.schema(TRANSACTIONS).parquet(f"{folder}/in"), CFG)
+        _caught_up(features.writeStream.foreachBatch(keep), folder)
     return spark.read.parquet(f"{folder}/out").select(
         "id", "from_account", "velocity", "history_count", "history_sum")
 

@@ -1,11 +1,15 @@
 """Velocity and history inside a stream, kept as state per account.
 
-The state of an account holds the rows that a coming transaction may need:
-those inside the window plus the allowed lateness, and the N rows before
-them. Results equal the batch operator for transactions that come at most
-`lateness_seconds` after a newer one of the same account; still later ones are
-evaluated on what is kept. No row is dropped, and a row that comes again
-replaces itself.
+The state of an account holds the rows a coming transaction may need: those
+inside the window plus the allowed lateness, and the N rows before them. A
+micro-batch then costs as much as its own rows, however long the history is.
+
+State answers most rows, the stored table the rest. A row is left open (its
+features stay null) when it is older than what is kept, or when its account
+has outgrown `max_state_rows` and is no longer kept at all;
+`complete_features` answers open rows from the store. So both are exact, no
+row is dropped, and one task never holds more than a bounded number of rows
+of one account. A row that comes again replaces itself.
 """
 
 from __future__ import annotations
@@ -16,69 +20,111 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.config import RiskConfig
-from riskweave.operators.activity import slim_activity
+from riskweave.operators.activity import FEATURES, features_from_store, slim_activity
 from riskweave.schemas import TRANSACTIONS
 
 STATE = T.StructType([
     T.StructField("at_us", T.ArrayType(T.LongType())),
     T.StructField("ids", T.ArrayType(T.StringType())),
     T.StructField("amounts", T.ArrayType(T.StringType())),
+    T.StructField("dropped_us", T.LongType()),
+    T.StructField("outgrown", T.BooleanType()),
 ])
-FEATURES = T.StructType([
+OUTPUT = T.StructType([
     *TRANSACTIONS.fields,
     T.StructField("velocity", T.LongType()),
     T.StructField("history_count", T.LongType()),
     T.StructField("history_sum", T.DecimalType(29, 4)),
 ])
+_NOTHING_DROPPED = -(2 ** 62)
+
+
+def _open(rows: pd.DataFrame) -> pd.DataFrame:
+    """Paying rows whose features the store must answer."""
+    return rows[rows["is_from"]].assign(velocity=None, history_count=None, history_sum=None)[OUTPUT.names]
+
 
+def _advance(new: pd.DataFrame, kept: pd.DataFrame, dropped_us: int, window_us: int, keep_us: int, limit: int):
+    """Answers for the new paying rows; the rows to keep; the time of the last row not kept.
 
-def _advance(new: pd.DataFrame, old: pd.DataFrame, window_us: int, keep_us: int, limit: int):
-    """Features of the new paying rows, and the rows to keep."""
+    `kept` is complete after `dropped_us`. A row's window must start there or
+    later, and N kept rows must precede it, or nothing was ever dropped.
+    """
     new = new.drop_duplicates("id", keep="last")
-    line = pd.concat([old[~old["id"].isin(new["id"])], new[["at_us", "id", "amount"]]])
+    late = new[new["at_us"] <= dropped_us]
+    fresh = new[new["at_us"] > dropped_us]
+    line = pd.concat([kept[~kept["id"].isin(new["id"])], fresh[["at_us", "id", "amount"]]])
     line = line.sort_values(["at_us", "id"], ignore_index=True)
     times = line["at_us"].to_numpy(np.int64)
     totals = np.concatenate([[Decimal(0)], line["amount"].to_numpy(object)]).cumsum()
 
-    paying = new[new["is_from"]].copy()
-    place = pd.Series(np.arange(len(line)), index=line["id"])[paying["id"]].to_numpy()
+    paying = fresh[fresh["is_from"]].copy()
+    place = pd.Series(np.arange(len(line)), index=line["id"])[paying["id"]].to_numpy(np.int64)
     at = paying["at_us"].to_numpy(np.int64)
     first = np.maximum(place - limit, 0)
     paying["velocity"] = np.searchsorted(times, at, "right") - np.searchsorted(times, at - window_us, "right")
     paying["history_count"] = place - first
-    paying["history_sum"] = [
-        totals[p] - totals[f] if p > f else None for p, f in zip(place, first)
-    ]
-    start = max(0, int(np.searchsorted(times, times[-1] - keep_us, "right")) - limit)
-    return paying, line.iloc[start:]
+    paying["history_sum"] = [totals[p] - totals[f] if p > f else None for p, f in zip(place, first)]
+    sure = (at - window_us >= dropped_us) & (place >= limit) | (dropped_us == _NOTHING_DROPPED)
+    answers = [part for part in (paying[sure][OUTPUT.names], _open(paying[~sure]), _open(late)) if len(part)]
+
+    start = 0
+    if len(times):
+        start = max(0, int(np.searchsorted(times, times[-1] - keep_us, "right")) - limit)
+        # Rows at one instant are kept or dropped together.
+        start = int(np.searchsorted(times, times[start], "left"))
+    if start > 0:
+        dropped_us = int(times[start - 1])
+    return answers, line.iloc[start:], dropped_us
 
 
 def stream_velocity(
-    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), lateness_seconds: int = 86_400
+    transactions: DataFrame,
+    cfg: RiskConfig = RiskConfig(),
+    lateness_seconds: int = 3600,
+    max_state_rows: int = 100_000,
 ) -> DataFrame:
-    """The streaming form of `account_features`: same columns, one row per transaction."""
+    """The streaming form of `account_features`; open rows have null features."""
     window_us = cfg.velocity_window_us
     keep_us = window_us + lateness_seconds * 1_000_000
     limit = cfg.history_limit
-    names = FEATURES.names
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at_us, ids, amounts = state.get if state.exists else ([], [], [])
-        old = pd.DataFrame({
+        at_us, ids, amounts, dropped_us, outgrown = state.get if state.exists else ([], [], [], _NOTHING_DROPPED, False)
+        held = []
+        for chunk in chunks:
+            held.append(chunk)
+            outgrown = outgrown or len(at_us) + sum(map(len, held)) > max_state_rows
+            if outgrown:
+                yield from filter(len, map(_open, held))
+                held = []
+        if outgrown:
+            state.update(([], [], [], dropped_us, True))
+            return
+        kept = pd.DataFrame({
             "at_us": pd.Series(at_us, dtype="int64"),
             "id": pd.Series(ids, dtype="object"),
             "amount": pd.Series([Decimal(a) for a in amounts], dtype="object"),
         })
-        paying, kept = _advance(pd.concat(list(chunks)), old, window_us, keep_us, limit)
+        answers, kept, dropped_us = _advance(pd.concat(held), kept, dropped_us, window_us, keep_us, limit)
         state.update((
-            kept["at_us"].tolist(), kept["id"].tolist(), [str(a) for a in kept["amount"]],
+            kept["at_us"].tolist(), kept["id"].tolist(), [str(a) for a in kept["amount"]], dropped_us, False,
         ))
-        yield paying[names]
+        yield from answers
 
     return slim_activity(transactions).groupBy("account").applyInPandasWithState(
-        step, FEATURES, STATE, "append", GroupStateTimeout.NoTimeout
+        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def complete_features(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
+    """Rows of `stream_velocity` with open features answered from the stored table, which has `ingest_seq`."""
+    missing = rows.filter(F.col("velocity").isNull()).drop(*FEATURES)
+    if missing.isEmpty():
+        return rows
+    return rows.filter(F.col("velocity").isNotNull()).unionByName(features_from_store(missing, stored, cfg))

@@ -26,10 +26,10 @@ from riskweave.operators.scoring import Model, decide_early, heuristic
 from riskweave.operators.validate import rejected_rows, valid_rows, validate_events
 from riskweave.operators.vectors import embed_transactions, knn, similarity_summary
 from riskweave.plans.evaluate import score_flagged
-from riskweave.schemas import DECISION_COLUMNS, EMBEDDINGS, TRANSACTION_COLUMNS
+from riskweave.schemas import DECIDED, DECISION_COLUMNS, EMBEDDINGS, TRANSACTION_COLUMNS, TRANSACTIONS
 from riskweave.session import cut
-from riskweave.streaming.account_state import stream_velocity
-from riskweave.streaming.store import read_latest, write_batch
+from riskweave.streaming.account_state import complete_features, stream_velocity
+from riskweave.streaming.store import read_all, write_batch
 
 FLAG = V.DECISIONS[1]
 
@@ -46,22 +46,27 @@ def evaluate_batch(
 ) -> None:
     """Save, embed, evaluate and publish the transactions of one micro-batch.
 
-    `rows` carries velocity and history. Neighbours come from every vector
-    stored so far, this batch included, unless `candidates` replaces them.
+    `rows` comes from `stream_velocity`. Neighbours come from every vector
+    stored so far, this batch included, unless `candidates` replaces them; a
+    transaction that came twice has the same vector twice and counts once.
     Each stored vector was written beside its transaction, so neighbours need
     no second look at the transaction table.
     """
     spark = rows.sparkSession
     rows = cut(rows)
     transactions = rows.select(*TRANSACTION_COLUMNS)
-    write_batch(transactions, root, "transactions", batch_id)
+    write_batch(transactions, root, "transactions", batch_id, day_of="occurred_at")
     write_batch(embed_transactions(transactions, embed), root, "embeddings", batch_id)
 
-    gated = rule_gate(rows, cfg)
+    stored = read_all(spark, root, "transactions", TRANSACTIONS).withColumnRenamed("batch_id", "ingest_seq")
+    gated = rule_gate(complete_features(rows, stored, cfg), cfg)
     flagged = gated.filter(F.col("gate_decision") == FLAG)
     if candidates is None:
-        candidates = read_latest(spark, root, "embeddings", EMBEDDINGS)
-    queries = candidates.join(flagged.select("id"), "id", "left_semi")
+        candidates = read_all(spark, root, "embeddings", EMBEDDINGS)
+        vectors = candidates.filter(F.col("batch_id") == batch_id)
+    else:
+        vectors = candidates
+    queries = vectors.join(flagged.select("id"), "id", "left_semi")
     similar = similarity_summary(knn(queries, candidates, cfg.max_neighbours, cfg))
     scored = score_flagged(flagged, similar, cfg, model)
     decided = (
@@ -69,8 +74,9 @@ def evaluate_batch(
         .withColumn("evaluated_at", F.col("occurred_at") if clock is None else clock)
     )
     write_batch(decided.select(*TRANSACTION_COLUMNS, *DECISION_COLUMNS), root, "decisions", batch_id)
-    published = to_outbox(decided, V.EVALUATED, F.col("evaluated_at"), F.lit(batch_id))
-    write_batch(published, root, "outbox", batch_id)
+    written = read_all(spark, root, "decisions", DECIDED).filter(F.col("batch_id") == batch_id)
+    published = to_outbox(written, V.EVALUATED, F.col("evaluated_at"), F.col("batch_id"))
+    write_batch(published, root, "outbox", batch_id, day_of="created_at")
     rows.unpersist()
 
 
@@ -78,13 +84,16 @@ def start_evaluation(
     frames: DataFrame,
     root: str,
     cfg: RiskConfig = RiskConfig(),
-    lateness_seconds: int = 86_400,
     trigger: dict | None = None,
+    state: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Start the query over received events; `options` go to `evaluate_batch`."""
+    """Start the query over received events.
+
+    `state` goes to `stream_velocity`, `options` to `evaluate_batch`.
+    """
     received = valid_rows(validate_events(frames.filter(F.col("event_type") == V.RECEIVED)))
-    features = stream_velocity(received.select(*TRANSACTION_COLUMNS), cfg, lateness_seconds)
+    features = stream_velocity(received.select(*TRANSACTION_COLUMNS), cfg, **(state or {}))
     writer = features.writeStream.outputMode("append").foreachBatch(
         lambda rows, batch_id: evaluate_batch(rows, batch_id, root, cfg, **options)
     )

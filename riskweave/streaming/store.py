@@ -6,19 +6,23 @@ same rows. Readers see the last written row of every id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.operators.outbox import outbox_purge_count, outbox_retained
 from riskweave.operators.tables import upsert_latest
+from riskweave.schemas import OUTBOX
 
 
-def write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(f"{root}/{table}")
-    )
+def write_batch(rows: DataFrame, root: str, table: str, batch_id: int, day_of: str | None = None) -> None:
+    """Write one partition; `day_of` names a time column to partition by day as well."""
+    keys = ["batch_id"]
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if day_of:
+        keys = ["day", "batch_id"]
+        rows = rows.withColumn("day", F.to_date(day_of))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/{table}")
 
 
 def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
@@ -29,3 +33,15 @@ def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -
 
 def read_latest(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
     return upsert_latest(read_all(spark, root, table, schema), order="batch_id").drop("batch_id")
+
+
+def purge_outbox(spark: SparkSession, root: str, cutoff: Column, target: str) -> int:
+    """Write the outbox without rows before the cutoff to `target`; returns how many were left out.
+
+    The rewrite reads and writes the retention period only: older days are
+    skipped by partition.
+    """
+    rows = spark.read.schema(T.StructType([*OUTBOX.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])).parquet(f"{root}/outbox")
+    kept = outbox_retained(rows, cutoff).filter(F.col("day") >= F.to_date(cutoff))
+    kept.write.mode("errorifexists").partitionBy("day", "batch_id").parquet(target)
+    return outbox_purge_count(rows.filter(F.col("day") <= F.to_date(cutoff)), cutoff).first().purged

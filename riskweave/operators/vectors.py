@@ -34,7 +34,9 @@ from riskweave.session import cut
 
 _MATCHES = "query_id string, id string, similarity double"
 _PAIRS_AT_ONCE = 4_000_000
-_SLACK = 1e-7
+# Above the rounding errors of squared distances between unit vectors.
+_SLACK = 1e-5
+_MIN_GAP = 1e-3
 
 
 def embed_transactions(
@@ -252,6 +254,8 @@ def _by_cell(
     assigned = cut(candidates.mapInArrow(assign, "id string, embedding array<float>, cell int, away double"))
     sizes = {r.cell: r for r in assigned.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}
+    if not sizes:
+        return spark.createDataFrame([], _MATCHES)
     innermost = (
         assigned.select("cell", "away")
         .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("away")))
@@ -275,9 +279,9 @@ def _by_cell(
             if floor is not None:
                 reach = np.minimum(reach, np.sqrt(max(0.0, 4.0 * (1.0 - floor))))
             own = away.argmin(axis=1)
-            gap = np.maximum(between[own], 1e-12)
-            plane = (away ** 2 - away[rows, own][:, None] ** 2) / (2.0 * gap)
-            plane[rows, own] = 0.0
+            gap = between[own]
+            plane = (away ** 2 - away[rows, own][:, None] ** 2) / (2.0 * np.maximum(gap, _MIN_GAP))
+            plane[gap < _MIN_GAP] = 0.0
             least = np.maximum.reduce([np.zeros_like(away), away - high, low - away, plane])
             open_cell = least ** 2 <= reach[:, None] ** 2 + _SLACK
             lists = pa.ListArray.from_arrays(

@@ -29,6 +29,14 @@ DECISIONS = T.StructType([
 
 DECIDED = T.StructType(TRANSACTIONS.fields + DECISIONS.fields)
 
+REJECTS = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("reject_reason", T.StringType()),
+])
+
 REQUESTS = T.StructType([
     T.StructField("amount", AMOUNT),
     T.StructField("currency", T.StringType()),

@@ -26,7 +26,7 @@ from riskweave.operators.scoring import Model, decide_early, heuristic
 from riskweave.operators.validate import rejected_rows, valid_rows, validate_events
 from riskweave.operators.vectors import embed_transactions, knn, similarity_summary
 from riskweave.plans.evaluate import score_flagged
-from riskweave.schemas import DECIDED, DECISION_COLUMNS, EMBEDDINGS, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskweave.schemas import DECIDED, DECISION_COLUMNS, EMBEDDINGS, REJECTS, TRANSACTION_COLUMNS, TRANSACTIONS
 from riskweave.session import cut
 from riskweave.streaming.account_state import complete_features, stream_velocity
 from riskweave.streaming.store import read_all, write_batch
@@ -104,7 +104,7 @@ def start_side_outputs(frames: DataFrame, root: str, trigger: dict | None = None
     """Start the query that keeps rejected events and records published decisions."""
     def keep(rows: DataFrame, batch_id: int) -> None:
         rows = cut(rows)
-        rejected = rejected_rows(rows).select("key", "event_type", "value", "timestamp", "reject_reason")
+        rejected = rejected_rows(rows).select(*REJECTS.names)
         evaluated = valid_rows(rows).filter(F.col("event_type") == V.EVALUATED)
         write_batch(rejected, root, "rejects", batch_id)
         write_batch(audit_log(evaluated), root, "audit", batch_id)

@@ -28,9 +28,13 @@ class RiskConfig:
 
     # An account is split by time once it has more rows than this and more
     # than 1/max_hot_accounts of all rows; so at most max_hot_accounts are.
+    # Slots are as wide as to hold hot_rows_per_slot on average.
     hot_account_rows: int = 1_000_000
     max_hot_accounts: int = 1024
-    hot_slot_seconds: int = 60
+    # heat_rows are looked at to tell which accounts those are.
+    heat_rows: int = 5_000_000
+    hot_rows_per_slot: int = 100_000
+    max_slots: int = 65_536
 
     # Query vectors sent to every task at once; beyond either bound, vectors
     # are shuffled by cell instead.
@@ -42,7 +46,3 @@ class RiskConfig:
     @property
     def velocity_window_us(self) -> int:
         return self.velocity_window_seconds * 1_000_000
-
-    @property
-    def hot_slot_us(self) -> int:
-        return self.hot_slot_seconds * 1_000_000

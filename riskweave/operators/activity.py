@@ -17,9 +17,9 @@ would put one account into one task. Accounts above a share of all rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
@@ -74,48 +74,80 @@ def recent_transactions(transactions: DataFrame, cfg: RiskConfig = RiskConfig())
     )
 
 
-def busy_accounts(transactions: DataFrame, cfg: RiskConfig = RiskConfig()) -> list[str]:
-    """Accounts that need splitting: at most `cfg.max_hot_accounts` names.
+def busy_accounts(transactions: DataFrame, cfg: RiskConfig = RiskConfig()) -> dict[str, int]:
+    """Accounts to split, at most `cfg.max_hot_accounts`, with the width of their time slots.
 
-    The bound holds because each holds more than that share of all rows. The
-    counts are combined before the shuffle.
+    Only the plan depends on this, never a result: every row is evaluated
+    either way. So the shares are read off a sample, which spares a shuffle of
+    all accounts; a share of 1/max_hot_accounts still means thousands of its
+    rows.
     """
-    if 2 * transactions.count() <= cfg.hot_account_rows:
-        return []
-    return _busy(account_activity(transactions.select("from_account", "to_account")), cfg)
+    return _busy(transactions.select("from_account", "to_account", "occurred_at"), _sides, cfg)
 
 
-def _busy(activity: DataFrame, cfg: RiskConfig) -> list[str]:
-    counts = activity.groupBy("account").agg(F.count("*").alias("n"))
+def _sides(transactions: DataFrame) -> DataFrame:
+    return account_activity(transactions).select("account", F.unix_micros("occurred_at").alias("at_us"))
+
+
+def _busy(rows: DataFrame, activity: Callable[[DataFrame], DataFrame], cfg: RiskConfig) -> dict[str, int]:
+    total = rows.count()
+    if 2 * total <= cfg.hot_account_rows:
+        return {}
+    fraction = min(1.0, cfg.heat_rows / total)
+    looked_at = rows if fraction == 1.0 else rows.sample(fraction, seed=1)
+    counts = activity(looked_at).groupBy("account").agg(
+        F.count("*").alias("n"), F.min("at_us").alias("first"), F.max("at_us").alias("last"))
     share = counts.agg(F.sum("n") / cfg.max_hot_accounts).scalar()
-    busy = counts.filter((F.col("n") > cfg.hot_account_rows) & (F.col("n") > share))
-    return [row.account for row in busy.select("account").collect()]
+    # Each of these has more than that share, so there are at most max_hot_accounts.
+    busy = counts.filter((F.col("n") > cfg.hot_account_rows * fraction) & (F.col("n") > share))
+    return {
+        row.account: 1 + (row.last - row.first) // min(cfg.max_slots, 1 + int(row.n / fraction) // cfg.hot_rows_per_slot)
+        for row in busy.collect()
+    }
 
 
 def account_features(
     transactions: DataFrame,
     cfg: RiskConfig = RiskConfig(),
-    busy: Sequence[str] | None = None,
+    busy: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Every transaction with the velocity and the history of its paying account.
 
     Adds `velocity` (rows of the account in the window that ends with this
     row, itself included), `history_count` and `history_sum` (the N rows
-    before it). `busy` names the accounts to split; None measures them.
+    before it). `busy` names the accounts to split and the width of their
+    slots in microseconds; None measures them.
     """
     if busy is None:
         busy = busy_accounts(transactions, cfg)
-    return activity_features(slim_activity(transactions), cfg, busy).select(*transactions.columns, *FEATURES)
+    busy_rows = None
+    if busy:
+        names = list(busy)
+        busy_rows = slim_activity(transactions.filter(F.col("from_account").isin(names) | F.col("to_account").isin(names)))
+    return activity_features(slim_activity(transactions), cfg, busy, busy_rows).select(*transactions.columns, *FEATURES)
 
 
-def activity_features(activity: DataFrame, cfg: RiskConfig, busy: Sequence[str] = ()) -> DataFrame:
-    """The paying rows of `slim_activity` rows with their features."""
+def activity_features(
+    activity: DataFrame, cfg: RiskConfig, busy: Mapping[str, int], busy_rows: DataFrame | None = None
+) -> DataFrame:
+    """The paying rows of `slim_activity` rows with their features.
+
+    `busy_rows` may be a cheaper source of the rows of busy accounts.
+    """
+    # Sorting compares the number first, which tells accounts apart faster than their names.
+    keys = ["account_key", "account"]
+    key = F.xxhash64("account")
     if not busy:
-        return _velocity(_history(activity, ["account"], cfg), ["account"], cfg).filter("is_from")
-    is_busy = F.col("account").isin(list(busy))
-    usual = _velocity(_history(activity.filter(~is_busy), ["account"], cfg), ["account"], cfg)
-    split = _split_velocity(_split_history(activity.filter(is_busy), cfg), cfg)
-    return usual.unionByName(split).filter("is_from")
+        return _features(activity.withColumn("account_key", key), keys, cfg).filter("is_from")
+    usual = activity.filter(~F.col("account").isin(list(busy)))
+    # At most cfg.max_hot_accounts rows.
+    slots = activity.sparkSession.createDataFrame(list(busy.items()), "account string, slot_us bigint")
+    split = (busy_rows or activity).join(F.broadcast(slots), "account")
+    return (
+        _features(usual.withColumn("account_key", key), keys, cfg)
+        .unionByName(_split(split.withColumn("account_key", key), keys, cfg))
+        .filter("is_from")
+    )
 
 
 def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
@@ -148,16 +180,16 @@ def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = Ri
         .withColumn("_r", F.row_number().over(copies)).filter("_r = 1")
     )
     context = cut(near.unionByName(older).drop("_r", "since_us", "ingest_seq"))
-    features = activity_features(context, cfg, _busy(context, cfg))
+    features = activity_features(context, cfg, _busy(context, lambda rows: rows, cfg))
     return rows.join(features.select("id", *FEATURES), "id")
 
 
-def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Sequence[str] | None = None) -> DataFrame:
+def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None) -> DataFrame:
     return account_features(transactions, cfg, busy).drop("history_count", "history_sum")
 
 
 def history_window(
-    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Sequence[str] | None = None
+    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
 ) -> DataFrame:
     """Every transaction with size, sum and mean of the N rows before it."""
     return account_features(transactions, cfg, busy).drop("velocity").withColumn("history_mean", history_mean())
@@ -181,92 +213,124 @@ def slim_activity(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _before(keys: list[str], cfg: RiskConfig):
-    return Window.partitionBy(*keys).orderBy("at_us", "id").rowsBetween(-cfg.history_limit, -1)
+def _line(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("at_us", "id")
 
 
-def _history(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
-    frame = _before(keys, cfg)
-    return activity.withColumns({
-        "history_count": F.count("*").over(frame),
-        "history_sum": F.sum("amount").over(frame).cast(_SUM_TYPE),
-    })
+def _look_back(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+    """History of each row, and where the runs of close rows begin.
 
-
-def _marks(activity: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Each row enters the count at its time and leaves it one window later.
-
-    Rows that leave carry no payload. Expanding keeps the partitioning by
-    account, so the running count needs no shuffle of its own.
+    The last N rows are a difference of running sums. `_start` begins a new
+    run after a gap as long as the window; `_follows` tells whether a row has
+    a successor in its run. All of it reads one sort in two passes.
     """
-    kept = [c for c in activity.columns if c not in ("account", "at_us")]
+    line, n, window = _line(keys), cfg.history_limit, cfg.velocity_window_us
+    running = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.coalesce(F.col("at_us") - F.col("_previous"), F.lit(window))
     return (
-        activity.withColumn("step", F.explode(F.array(F.lit(1), F.lit(-1))))
-        .select(
-            "account", "step",
-            (F.col("at_us") + F.when(F.col("step") < 0, cfg.velocity_window_us).otherwise(0)).alias("at_us"),
-            *[F.when(F.col("step") > 0, F.col(c)).alias(c) for c in kept],
-        )
+        activity
+        .withColumns({
+            "_row": F.row_number().over(line),
+            "_total": F.sum("amount").over(running),
+            "_previous": F.lag("at_us").over(line),
+            "_next": F.lead("at_us").over(line),
+        })
+        .withColumns({
+            "_until": F.lag("_total", 1).over(line),
+            "_before": F.lag("_total", n + 1).over(line),
+            "_start": F.max(F.when(gap >= window, F.col("at_us"))).over(running),
+        })
+        .withColumns({
+            "history_count": F.least(F.col("_row") - 1, F.lit(n)).cast("bigint"),
+            "history_sum": (F.col("_until") - F.coalesce("_before", F.lit(0))).cast(_SUM_TYPE),
+            "_follows": F.coalesce(F.col("_next") - F.col("at_us"), F.lit(window)) < window,
+        })
+        .drop("_row", "_total", "_previous", "_next", "_until", "_before")
     )
 
 
-def _running(keys: list[str]) -> Column:
+def _count(keys: list[str]) -> Column:
     """Marks up to and including this instant: equal times count together."""
     frame = Window.partitionBy(*keys).orderBy("at_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return F.sum("step").over(frame)
 
 
-def _velocity(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+def _features(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+    """Both features with every account whole.
+
+    Velocity is a running count: each row enters at its time and leaves one
+    window later, unless its run ends before. Marks are expanded in place, so
+    the count needs no shuffle of its own.
+    """
+    rows = _look_back(activity, keys, cfg)
+    steps = F.when(F.col("_follows"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    kept = [c for c in rows.columns if c not in (*keys, "_start", "_follows", "at_us")]
     return (
-        _marks(activity, cfg)
-        .withColumn("velocity", _running(keys))
-        .filter("step > 0").drop("step", "at_us")
+        rows.withColumn("step", F.explode(steps))
+        .select(
+            *keys, "_start", "step",
+            (F.col("at_us") + F.when(F.col("step") < 0, cfg.velocity_window_us).otherwise(0)).alias("at_us"),
+            *[F.when(F.col("step") > 0, F.col(c)).alias(c) for c in kept],
+        )
+        .withColumn("velocity", _count([*keys, "_start"]))
+        .filter("step > 0").drop("step", "_start")
     )
 
 
-def _slot(cfg: RiskConfig) -> Column:
-    return F.floor(F.col("at_us") / F.lit(cfg.hot_slot_us)).cast("bigint")
+# ---- accounts that are split ------------------------------------------------
+
+def _slot(at_us: Column) -> Column:
+    return F.floor(at_us / F.col("slot_us")).cast("bigint")
 
 
-def _split_velocity(activity: DataFrame, cfg: RiskConfig) -> DataFrame:
-    marks = _marks(activity, cfg).withColumn("slot", _slot(cfg))
-    earlier = Window.partitionBy("account").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+    """Both features with every account cut into time slots of its `slot_us`."""
+    slotted = activity.withColumn("slot", _slot(F.col("at_us")))
+    slot_keys = [*keys, "slot"]
+    entering = (
+        _look_back(slotted, slot_keys, cfg).drop("slot_us", "_start", "_follows")
+        .join(_across_slots(slotted, keys, cfg), [*slot_keys, "id"], "left")
+        .withColumns({
+            "history_sum": F.when(F.col("_count").isNull(), F.col("history_sum")).otherwise(F.col("_sum")),
+            "history_count": F.coalesce("_count", "history_count"),
+            "step": F.lit(1),
+        })
+        .drop("_count", "_sum")
+    )
+    left_at = F.col("at_us") + cfg.velocity_window_us
+    leaving = activity.select(*keys, _slot(left_at).alias("slot"), left_at.alias("at_us"), F.lit(-1).alias("step"))
+    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.explode(F.array(
+        F.struct(_slot(F.col("at_us")).alias("slot"), F.lit(1).alias("step")),
+        F.struct(_slot(left_at).alias("slot"), F.lit(-1).alias("step")),
+    ))
     base = (
-        marks.groupBy("account", "slot").agg(F.sum("step").alias("net"))
-        .select("account", "slot", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("base"))
+        activity.select(*keys, mark.alias("m")).groupBy(*keys, F.col("m.slot").alias("slot"))
+        .agg(F.sum("m.step").alias("_net"))
+        .select(*slot_keys, F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_base"))
     )
     return (
-        marks.withColumn("inside", _running(["account", "slot"]))
+        entering.unionByName(leaving, allowMissingColumns=True)
+        .withColumn("_inside", _count(slot_keys))
         .filter("step > 0")
-        .join(base, ["account", "slot"])
-        .withColumn("velocity", F.col("inside") + F.col("base"))
-        .drop("step", "at_us", "slot", "inside", "base")
+        .join(base, slot_keys)
+        .withColumn("velocity", F.col("_inside") + F.col("_base"))
+        .drop("step", "slot", "_inside", "_base")
     )
 
 
-def _split_history(activity: DataFrame, cfg: RiskConfig) -> DataFrame:
-    n = cfg.history_limit
-    slotted = activity.withColumn("slot", _slot(cfg))
-    keys = ["account", "slot"]
-    slim = slotted.select("account", "slot", "at_us", "id", "amount")
-
-    def edge(first: bool) -> DataFrame:
-        order = [F.col("at_us"), F.col("id")] if first else [F.desc("at_us"), F.desc("id")]
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return slim.withColumn("r", rank).filter(F.col("r") <= n).drop("r").withColumn("first", F.lit(first))
+def _across_slots(slotted: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+    """History of the first N rows of every slot, from the first and last N rows of all slots.
 
+    The N rows before such a row are among these, and next to each other. An
+    account has at most 2N of them per slot.
+    """
+    n, slot_keys = cfg.history_limit, [*keys, "slot"]
+    line = _line(slot_keys)
     edges = (
-        edge(True).unionByName(edge(False))
-        .groupBy("account", "slot", "at_us", "id").agg(F.max("amount").alias("amount"), F.max("first").alias("first"))
-    )
-    across = (
-        _history(edges, ["account"], cfg).filter("first")
-        .select("account", "slot", "id", F.col("history_count").alias("c"), F.col("history_sum").alias("s"))
-    )
-    own = _history(slotted, keys, cfg)
-    return (
-        own.join(across, ["account", "slot", "id"], "left")
-        .withColumn("history_sum", F.when(F.col("c").isNull(), F.col("history_sum")).otherwise(F.col("s")))
-        .withColumn("history_count", F.coalesce("c", "history_count"))
-        .drop("slot", "c", "s")
+        slotted.select(*slot_keys, "at_us", "id", "amount")
+        .withColumns({"_rank": F.row_number().over(line), "_ahead": F.lead("id", n).over(line)})
+        .filter((F.col("_rank") <= n) | F.col("_ahead").isNull())
     )
+    return _look_back(edges, keys, cfg).filter(F.col("_rank") <= n).select(
+        *slot_keys, "id", F.col("history_count").alias("_count"), F.col("history_sum").alias("_sum"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from riskweave.operators.scoring import Model, assess, decide_early, heuristic,
 from riskweave.operators.vectors import existing_only, knn, similarity_summary
 
 def gate(
-    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Sequence[str] | None = None
+    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
 ) -> DataFrame:
     """Phase one: features and gate columns on every transaction. One shuffle, on the account."""
     return rule_gate(account_features(transactions, cfg, busy), cfg)
@@ -63,7 +63,7 @@ def evaluate(
     transactions: DataFrame,
     embeddings: DataFrame,
     cfg: RiskConfig = RiskConfig(),
-    busy: Sequence[str] | None = None,
+    busy: Mapping[str, int] | None = None,
     model: Model = heuristic,
     self_takes_slot: bool = False,
     evaluated_at: Column | None = None,

@@ -48,16 +48,27 @@ def test_usual_plan(make, seed):
 @pytest.mark.parametrize("window, limit", [(3600, 20), (60, 3), (7200, 1)])
 def test_split_accounts_give_the_same(make, slot, window, limit):
     rows = skewed(3)
-    cfg = RiskConfig(hot_slot_seconds=slot, velocity_window_seconds=window, history_limit=limit)
-    assert got(A.account_features(make(rows), cfg, ["US0000000001", "US0000000004"])) == brute(rows, cfg)
+    cfg = RiskConfig(velocity_window_seconds=window, history_limit=limit)
+    busy = {"US0000000001": slot * 1_000_000, "US0000000004": slot * 777_777}
+    assert got(A.account_features(make(rows), cfg, busy)) == brute(rows, cfg)
 
 
 def test_busy_accounts_are_measured(make):
     tx = make(skewed(4))
-    assert A.busy_accounts(tx, RiskConfig()) == []
-    assert A.busy_accounts(tx, RiskConfig(hot_account_rows=100, max_hot_accounts=4)) == ["US0000000001"]
-    # At most one account can hold more than half of all rows, none more than all.
-    assert A.busy_accounts(tx, RiskConfig(hot_account_rows=1, max_hot_accounts=1)) == []
+    assert A.busy_accounts(tx, RiskConfig()) == {}
+    busy = A.busy_accounts(tx, RiskConfig(hot_account_rows=100, max_hot_accounts=4, hot_rows_per_slot=50))
+    assert list(busy) == ["US0000000001"] and 0 < busy["US0000000001"] < 6 * HOUR // 3
+    sampled = RiskConfig(hot_account_rows=100, max_hot_accounts=4, hot_rows_per_slot=50, heat_rows=200)
+    assert list(A.busy_accounts(tx, sampled)) == ["US0000000001"]
+    # No account can hold more than all rows.
+    assert A.busy_accounts(tx, RiskConfig(hot_account_rows=1, max_hot_accounts=1)) == {}
+
+
+def test_measured_accounts_are_split_with_equal_results(make):
+    rows = skewed(12)
+    cfg = RiskConfig(hot_account_rows=20, max_hot_accounts=50, hot_rows_per_slot=7)
+    assert len(A.busy_accounts(make(rows), cfg)) > 3
+    assert got(A.account_features(make(rows), cfg)) == brute(rows, cfg)
 
 
 def test_window_is_open_on_the_left_and_counts_the_row_itself(make):
@@ -98,5 +109,5 @@ def test_features_from_store(make, spark):
     late = tx.filter(F.substring("id", 36, 1).isin("1", "4"))
     expected = {n: v for n, v in brute(rows, cfg).items() if n % 10 in (1, 4)}
     assert got(A.features_from_store(late, stored, cfg)) == expected
-    small = RiskConfig(history_limit=5, hot_account_rows=10, max_hot_accounts=1000, hot_slot_seconds=60)
+    small = RiskConfig(history_limit=5, hot_account_rows=10, max_hot_accounts=1000, hot_rows_per_slot=5)
     assert got(A.features_from_store(late, stored, small)) == expected

@@ -318,6 +318,12 @@ def oracle_sql() -> dict[str, str]:
         "gate_counts":
             f"with {TO_GATE} select gate_decision, count(*) as n from gated group by gate_decision",
         "knn": f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 5)} select query_id, id, similarity, rank from nearest",
+        "knn_self_takes_slot": f"""with {_EMBEDDINGS},
+ ranked as (
+  select q.id as query_id, c.id, round((1 + list_cosine_similarity(q.v, c.v)) / 2, 9) as similarity
+  from vectors q cross join vectors c),
+ taken as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from ranked)
+ select query_id, id, similarity, rank from taken where rank <= 5 and id <> query_id""",
         "similar_within":
             f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 10, 'where similarity > 0.7')} "
             "select query_id, id, similarity, round(2.0 * (1.0 - similarity), 8) as distance, rank from nearest",
@@ -350,6 +356,16 @@ def oracle_sql() -> dict[str, str]:
             "as reasoning from gated where gate_decision <> 'FLAG'",
         "evaluate":
             f"with {TO_DECIDED} select id, amount, gate_decision, decision, risk_score, reasoning from decided",
+        "assertions": f"""with {TO_DECIDED}, {_nearest('pairs', 'vectors', 5)}
+ select 'decision' as promise, count(*) as faults from decided
+  where not coalesce(decision in ('APPROVE', 'FLAG', 'BLOCK') and risk_score between 0 and 100
+                     and reasoning is not null, false)
+ union all select 'gate', count(*) from gated
+  where gate_decision is null or gate_reason is null or gate_score is null
+ union all select 'redaction', count(*) from transactions
+  where not regexp_full_match(substr(sha256(from_account), 1, 8), '[0-9a-f]{{8}}')
+   or not regexp_full_match(substr(sha256(to_account), 1, 8), '[0-9a-f]{{8}}')
+ union all select 'similarity', count(*) from pairs where not coalesce(similarity between 0 and 1, false)""",
         "audit_log":
             f"with {TO_DECIDED} select {_TX}, decision, risk_score, reasoning, evaluated_at from decided",
         "decode_evaluated":

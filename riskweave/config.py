@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
+_DURATION = re.compile(r"P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?")
+
+
+def seconds(duration: str) -> int:
+    """Whole seconds of an ISO duration such as PT1H or P7D."""
+    match = _DURATION.fullmatch(duration)
+    if not match or not any(match.groups()):
+        raise ValueError(f"not a duration: {duration}")
+    days, hours, minutes, secs = (int(part or 0) for part in match.groups())
+    return ((days * 24 + hours) * 60 + minutes) * 60 + secs
+
 
 @dataclass(frozen=True)
 class RiskConfig:
@@ -46,3 +59,21 @@ class RiskConfig:
     @property
     def velocity_window_us(self) -> int:
         return self.velocity_window_seconds * 1_000_000
+
+    @classmethod
+    def from_settings(cls, settings: Mapping) -> RiskConfig:
+        """Business settings as they stand in a configuration file; what is missing keeps its default."""
+        weights, limits = settings.get("weights", {}), settings.get("thresholds", {})
+        given = {
+            "amount_threshold": (settings.get("amount-threshold"), lambda v: Decimal(str(v))),
+            "velocity_limit": (settings.get("velocity-limit"), int),
+            "velocity_window_seconds": (settings.get("velocity-window"), seconds),
+            "max_neighbours": (settings.get("rag-max-results"), int),
+            "history_limit": (settings.get("history-limit"), int),
+            "gate_weight": (weights.get("rule-gate"), float),
+            "history_weight": (weights.get("rag"), float),
+            "assessment_weight": (weights.get("llm"), float),
+            "approve_max": (limits.get("approve-max"), int),
+            "flag_max": (limits.get("flag-max"), int),
+        }
+        return cls(**{name: parse(value) for name, (value, parse) in given.items() if value is not None})

@@ -114,24 +114,23 @@ def score(rows: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
         .when(h, total / _weight(g + wh))
         .otherwise(total / _weight(g))
     )
-    whole = F.floor("risk_score")
+    whole = F.floor("_score")
     approve, flag, block = V.DECISIONS
+    decision = F.when(whole < cfg.approve_max, approve).when(whole < cfg.flag_max, flag).otherwise(block)
+    reasoning = F.concat_ws(
+        V.REASONING_SEPARATOR,
+        fill(V.GATE_REASONING, reason=F.col("gate_reason")),
+        F.when(a, fill(V.ASSESSMENT_REASONING, reasoning=F.col("assessment_reasoning"))),
+        F.when(h, fill(V.HISTORY_REASONING, count=F.col("history_count"))),
+        fill(V.SCORE_REASONING, score=as_text(F.col("_score"), 2)),
+    )
+    # Expanding a one-element array fixes the three values: a filter on them
+    # would otherwise carry the whole computation down with it, once per use.
+    result = F.struct(
+        F.col("_score").alias("risk_score"), decision.alias("decision"), reasoning.alias("reasoning"))
     return (
-        rows.withColumn("risk_score", _clamp(F.round(weighted, 2).cast("decimal(20,2)")).cast(SCORE))
-        .withColumn(
-            "decision",
-            F.when(whole < cfg.approve_max, approve).when(whole < cfg.flag_max, flag).otherwise(block),
-        )
-        .withColumn(
-            "reasoning",
-            F.concat_ws(
-                V.REASONING_SEPARATOR,
-                fill(V.GATE_REASONING, reason=F.col("gate_reason")),
-                F.when(a, fill(V.ASSESSMENT_REASONING, reasoning=F.col("assessment_reasoning"))),
-                F.when(h, fill(V.HISTORY_REASONING, count=F.col("history_count"))),
-                fill(V.SCORE_REASONING, score=as_text(F.col("risk_score"), 2)),
-            ),
-        )
+        rows.withColumn("_score", _clamp(F.round(weighted, 2).cast("decimal(20,2)")).cast(SCORE))
+        .select("*", F.inline(F.array(result))).drop("_score")
     )
 
 

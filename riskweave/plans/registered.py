@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.text import transaction_text
-from riskweave.operators import activity, cost, outbox, redact, scoring, tables, validate, vectors
+from riskweave.operators import activity, cost, outbox, redact, rules, scoring, tables, validate, vectors
 from riskweave.plans import fixtures
 from riskweave.plans.evaluate import evaluate, gate, score_flagged, similar_to_flagged
 from riskweave.schemas import DECIDED, TRANSACTION_COLUMNS, TRANSACTIONS
@@ -181,6 +181,13 @@ def knn(spark, sf_dir):
     return vectors.knn(rows, rows, CFG.max_neighbours, CFG).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@_query
+def knn_self_takes_slot(spark, sf_dir):
+    rows = fixtures.embeddings(spark, sf_dir)
+    matches = vectors.knn(rows, rows, CFG.max_neighbours, CFG, self_takes_slot=True)
+    return matches.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @_query
 def similar_within(spark, sf_dir):
     rows = fixtures.embeddings(spark, sf_dir)
@@ -231,6 +238,24 @@ def evaluate_(spark, sf_dir):
     return _decisions(spark, sf_dir).select("id", "amount", "gate_decision", "decision", "risk_score", "reasoning")
 
 
+@_query
+def assertions(spark, sf_dir):
+    """Rows that break a promise of an operator, per promise."""
+    tx, decided = fixtures.transactions(spark, sf_dir), _decisions(spark, sf_dir)
+    pairs = fixtures.embeddings(spark, sf_dir)
+    checks = {
+        "decision": scoring.decision_faults(decided),
+        "gate": rules.gate_faults(gate(tx, CFG)),
+        "redaction": redact.redaction_faults(redact.redact_transactions(tx)),
+        "similarity": vectors.similarity_faults(vectors.knn(pairs, pairs, CFG.max_neighbours, CFG)),
+    }
+    counts = [
+        df.agg(F.count("*").alias("faults")).select(F.lit(name).alias("promise"), "faults")
+        for name, df in checks.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @_query
 def audit_log(spark, sf_dir):
     return outbox.audit_log(_decisions(spark, sf_dir))

@@ -17,9 +17,9 @@ would put one account into one task. Accounts above a share of all rows
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
@@ -35,12 +35,9 @@ def account_activity(transactions: DataFrame) -> DataFrame:
     The input is read once: each row is expanded in place, not united with a
     second scan.
     """
-    sides = F.when(
-        F.col("from_account") == F.col("to_account"), F.array("from_account")
-    ).otherwise(F.array("from_account", "to_account"))
-    return transactions.withColumn("account", F.explode(sides)).withColumn(
-        "is_from", F.col("account") == F.col("from_account")
-    )
+    return transactions.selectExpr(
+        "*", "explode(if(from_account = to_account, array(from_account), array(from_account, to_account))) as account"
+    ).selectExpr("*", "account = from_account as is_from")
 
 
 def account_rows(transactions: DataFrame, account: str) -> DataFrame:
@@ -206,18 +203,18 @@ def _payload(transactions: DataFrame) -> list[str]:
 
 def slim_activity(transactions: DataFrame) -> DataFrame:
     """`account_activity` whose receiving side carries only what the windows read."""
-    return account_activity(transactions).select(
-        "account", "is_from", "id", "amount",
-        F.unix_micros("occurred_at").alias("at_us"),
-        *[F.when(F.col("is_from"), F.col(c)).alias(c) for c in _payload(transactions)],
+    payload = [c for c in transactions.columns if c not in ("id", "amount")]
+    return account_activity(transactions).selectExpr(
+        "account", "is_from", "id", "amount", "unix_micros(occurred_at) as at_us",
+        *[f"if(is_from, {c}, null) as {c}" for c in payload],
     )
 
 
-def _line(keys: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("at_us", "id")
+def _line(keys: Sequence[str]) -> str:
+    return f"partition by {', '.join(keys)} order by at_us, id"
 
 
-def _look_back(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+def _look_back(activity: DataFrame, keys: Sequence[str], cfg: RiskConfig) -> DataFrame:
     """History of each row, and where the runs of close rows begin.
 
     The last N rows are a difference of running sums. `_start` begins a new
@@ -225,54 +222,54 @@ def _look_back(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFra
     a successor in its run. All of it reads one sort in two passes.
     """
     line, n, window = _line(keys), cfg.history_limit, cfg.velocity_window_us
-    running = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.coalesce(F.col("at_us") - F.col("_previous"), F.lit(window))
+    running = f"{line} rows between unbounded preceding and current row"
     return (
         activity
-        .withColumns({
-            "_row": F.row_number().over(line),
-            "_total": F.sum("amount").over(running),
-            "_previous": F.lag("at_us").over(line),
-            "_next": F.lead("at_us").over(line),
-        })
-        .withColumns({
-            "_until": F.lag("_total", 1).over(line),
-            "_before": F.lag("_total", n + 1).over(line),
-            "_start": F.max(F.when(gap >= window, F.col("at_us"))).over(running),
-        })
-        .withColumns({
-            "history_count": F.least(F.col("_row") - 1, F.lit(n)).cast("bigint"),
-            "history_sum": (F.col("_until") - F.coalesce("_before", F.lit(0))).cast(_SUM_TYPE),
-            "_follows": F.coalesce(F.col("_next") - F.col("at_us"), F.lit(window)) < window,
-        })
-        .drop("_row", "_total", "_previous", "_next", "_until", "_before")
+        .selectExpr(
+            "*",
+            f"row_number() over ({line}) as _row",
+            f"sum(amount) over ({running}) as _total",
+            f"lag(at_us) over ({line}) as _previous",
+            f"lead(at_us) over ({line}) as _next",
+        )
+        .selectExpr(
+            "*",
+            f"lag(_total, 1) over ({line}) as _until",
+            f"lag(_total, {n + 1}) over ({line}) as _before",
+            f"max(if(coalesce(at_us - _previous, {window}) >= {window}, at_us, null)) over ({running}) as _start",
+        )
+        .selectExpr(
+            *activity.columns, "_start",
+            f"coalesce(_next - at_us, {window}) < {window} as _follows",
+            f"cast(least(_row - 1, {n}) as bigint) as history_count",
+            f"cast(_until - coalesce(_before, 0) as {_SUM_TYPE}) as history_sum",
+        )
     )
 
 
-def _count(keys: list[str]) -> Column:
+def _count(keys: Sequence[str]) -> str:
     """Marks up to and including this instant: equal times count together."""
-    frame = Window.partitionBy(*keys).orderBy("at_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum("step").over(frame)
+    return (f"sum(step) over (partition by {', '.join(keys)} order by at_us "
+            "range between unbounded preceding and current row)")
 
 
-def _features(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+def _features(activity: DataFrame, keys: Sequence[str], cfg: RiskConfig) -> DataFrame:
     """Both features with every account whole.
 
     Velocity is a running count: each row enters at its time and leaves one
     window later, unless its run ends before. Marks are expanded in place, so
-    the count needs no shuffle of its own.
+    the count needs no shuffle of its own; a mark that leaves carries nothing.
     """
-    rows = _look_back(activity, keys, cfg)
-    steps = F.when(F.col("_follows"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
-    kept = [c for c in rows.columns if c not in (*keys, "_start", "_follows", "at_us")]
+    carried = [c for c in activity.columns if c not in (*keys, "at_us")] + ["history_count", "history_sum"]
     return (
-        rows.withColumn("step", F.explode(steps))
-        .select(
+        _look_back(activity, keys, cfg)
+        .selectExpr("*", "explode(if(_follows, array(1, -1), array(1))) as step")
+        .selectExpr(
             *keys, "_start", "step",
-            (F.col("at_us") + F.when(F.col("step") < 0, cfg.velocity_window_us).otherwise(0)).alias("at_us"),
-            *[F.when(F.col("step") > 0, F.col(c)).alias(c) for c in kept],
+            f"if(step < 0, at_us + {cfg.velocity_window_us}, at_us) as at_us",
+            *[f"if(step > 0, {c}, null) as {c}" for c in carried],
         )
-        .withColumn("velocity", _count([*keys, "_start"]))
+        .selectExpr("*", f"{_count([*keys, '_start'])} as velocity")
         .filter("step > 0").drop("step", "_start")
     )
 
@@ -311,7 +308,7 @@ def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
     )
     return (
         entering.unionByName(leaving, allowMissingColumns=True)
-        .withColumn("_inside", _count(slot_keys))
+        .selectExpr("*", f"{_count(slot_keys)} as _inside")
         .filter("step > 0")
         .join(base, slot_keys)
         .withColumn("velocity", F.col("_inside") + F.col("_base"))
@@ -328,9 +325,11 @@ def _across_slots(slotted: DataFrame, keys: list[str], cfg: RiskConfig) -> DataF
     n, slot_keys = cfg.history_limit, [*keys, "slot"]
     line = _line(slot_keys)
     edges = (
-        slotted.select(*slot_keys, "at_us", "id", "amount")
-        .withColumns({"_rank": F.row_number().over(line), "_ahead": F.lead("id", n).over(line)})
-        .filter((F.col("_rank") <= n) | F.col("_ahead").isNull())
+        slotted.selectExpr(
+            *slot_keys, "at_us", "id", "amount",
+            f"row_number() over ({line}) as _rank", f"lead(id, {n}) over ({line}) as _ahead",
+        )
+        .filter(f"_rank <= {n} or _ahead is null").drop("_ahead")
     )
-    return _look_back(edges, keys, cfg).filter(F.col("_rank") <= n).select(
-        *slot_keys, "id", F.col("history_count").alias("_count"), F.col("history_sum").alias("_sum"))
+    return _look_back(edges, keys, cfg).filter(f"_rank <= {n}").selectExpr(
+        *slot_keys, "id", "history_count as _count", "history_sum as _sum")

@@ -10,67 +10,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _account(country: str, number) -> F.Column:
-    return F.concat(F.lit(country), F.lpad(number.cast("string"), 10, "0"))
+def _account(country: str, number: str) -> str:
+    return f"concat('{country}', lpad(cast({number} as string), 10, '0'))"
 
 
-def _event_uuid(number) -> F.Column:
-    return F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(number.cast("string"), 12, "0"))
+def _event_uuid(number: str) -> str:
+    return f"concat('00000000-0000-0000-0000-', lpad(cast({number} as string), 12, '0'))"
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        _event_uuid(n).alias("id"),
-        (F.col("value").cast("decimal(19,4)") * 100).cast("decimal(19,4)").alias("amount"),
-        F.when(n % 3 == 0, "USD").when(n % 3 == 1, "EUR").otherwise("GBP").alias("currency"),
-        _account("US", F.col("user_id")).alias("from_account"),
-        _account("US", (n * 31) % 150).alias("to_account"),
-        F.when(n % 101 == 0, "Money laundering scheme")
-        .when(n % 103 == 0, "SANCTIONS VIOLATION detected")
-        .when(n % 11 == 0, "From john@test.com, SSN 123-45-6789, call 555-123-4567")
-        .when(n % 13 == 0, "Contact: (555) 123-4567")
-        .otherwise("Monthly rent payment").alias("description"),
-        F.col("ts").cast("timestamp").alias("occurred_at"),
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_event_uuid('event_id')} as id",
+        "cast(cast(value as decimal(19,4)) * 100 as decimal(19,4)) as amount",
+        "case event_id % 3 when 0 then 'USD' when 1 then 'EUR' else 'GBP' end as currency",
+        f"{_account('US', 'user_id')} as from_account",
+        f"{_account('US', '(event_id * 31) % 150')} as to_account",
+        """case when event_id % 101 = 0 then 'Money laundering scheme'
+                when event_id % 103 = 0 then 'SANCTIONS VIOLATION detected'
+                when event_id % 11 = 0 then 'From john@test.com, SSN 123-45-6789, call 555-123-4567'
+                when event_id % 13 = 0 then 'Contact: (555) 123-4567'
+                else 'Monthly rent payment' end as description""",
+        "cast(ts as timestamp) as occurred_at",
     )
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(_event_uuid(F.col("vec_id")).alias("id"), "embedding")
+    return table(spark, sf_dir, "embeddings").selectExpr(f"{_event_uuid('vec_id')} as id", "embedding")
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event frames of which some have no type, an unknown type, or a bad payload."""
-    n = F.col("event_id")
-    amount = F.when(n % 47 == 0, F.lit(-500.0)).otherwise(F.col("value")).cast("decimal(19,4)").cast("string")
-    payload = F.concat(
-        F.lit('{"id":"'), _event_uuid(n),
-        F.lit('","amount":'), amount,
-        F.lit(',"currency":"'), F.when(n % 53 == 0, "ZZZ").otherwise("USD"),
-        F.lit('","fromAccount":"'),
-        F.when(n % 59 == 0, F.lit("invalid-account")).otherwise(_account("US", F.col("user_id"))),
-        F.lit('","toAccount":"GB9876543210","description":"Test payment","occurredAt":"2026-02-13T00:00:00Z"}'),
-    )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.when(n % 37 == 0, F.lit(None)).when(n % 41 == 0, "TransactionDeleted")
-        .otherwise("TransactionReceived").alias("event_type"),
-        F.when(n % 43 == 0, "invalid json").otherwise(payload).alias("value"),
+        """case when event_id % 37 = 0 then null when event_id % 41 = 0 then 'TransactionDeleted'
+                else 'TransactionReceived' end as event_type""",
+        f"""if(event_id % 43 = 0, 'invalid json', concat(
+             '{{"id":"', {_event_uuid('event_id')},
+             '","amount":', cast(cast(if(event_id % 47 = 0, -500.0D, value) as decimal(19,4)) as string),
+             ',"currency":"', if(event_id % 53 = 0, 'ZZZ', 'USD'),
+             '","fromAccount":"', if(event_id % 59 = 0, 'invalid-account', {_account('US', 'user_id')}),
+             '","toAccount":"GB9876543210","description":"Test payment","occurredAt":"2026-02-13T00:00:00Z"}}')) as value""",
     )
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API-shaped rows of which some lack a field or carry a bad one."""
-    n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.when(n % 29 == 0, F.lit(None)).when(n % 31 == 0, F.lit(-50.0)).otherwise(F.col("value"))
-        .cast("decimal(19,4)").alias("amount"),
-        F.when(n % 37 == 0, "  ").when(n % 41 == 0, "ZZZ").otherwise("USD").alias("currency"),
-        F.when(n % 43 == 0, F.lit(None)).when(n % 47 == 0, "bad").otherwise(_account("US", F.col("user_id")))
-        .alias("from_account"),
-        F.when(n % 53 == 0, "").otherwise("US9876543210").alias("to_account"),
-        F.when(n % 59 == 0, F.lit(None)).otherwise("Test payment").alias("description"),
+        """cast(case when event_id % 29 = 0 then null when event_id % 31 = 0 then -50.0D else value end
+                as decimal(19,4)) as amount""",
+        "case when event_id % 37 = 0 then '  ' when event_id % 41 = 0 then 'ZZZ' else 'USD' end as currency",
+        f"""case when event_id % 43 = 0 then null when event_id % 47 = 0 then 'bad'
+                 else {_account('US', 'user_id')} end as from_account""",
+        "if(event_id % 53 = 0, '', 'US9876543210') as to_account",
+        "if(event_id % 59 = 0, null, 'Test payment') as description",
     )
 
 
@@ -103,4 +96,4 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wanted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction ids to look up; part of them do not exist."""
-    return table(spark, sf_dir, "documents").select(_event_uuid(F.col("doc_id") * 17).alias("id"))
+    return table(spark, sf_dir, "documents").selectExpr(f"{_event_uuid('doc_id * 17')} as id")

@@ -40,14 +40,20 @@ def pseudonym(account: Column) -> Column:
 
 
 def scrub(text: Column) -> Column:
-    """Replace social-security numbers, then e-mail addresses, then phone numbers."""
-    for pattern, mark in (
-        (V.SSN_PATTERN, V.SSN_MARK),
-        (V.EMAIL_PATTERN, V.EMAIL_MARK),
-        (V.PHONE_PATTERN, V.PHONE_MARK),
-    ):
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+    """Replace social-security numbers, then e-mail addresses, then phone numbers.
+
+    Both kinds of number end in four digits and every address has an @, so
+    text without either skips the costly searches.
+    """
+    digits, at = text.rlike("[0-9]{4}"), F.contains(text, F.lit("@"))
+
+    def addresses(part: Column) -> Column:
+        return F.when(at, F.regexp_replace(part, V.EMAIL_PATTERN, V.EMAIL_MARK)).otherwise(part)
+
+    without_ssn = F.regexp_replace(text, V.SSN_PATTERN, V.SSN_MARK)
+    return F.when(
+        digits, F.regexp_replace(addresses(without_ssn), V.PHONE_PATTERN, V.PHONE_MARK)
+    ).otherwise(addresses(text))
 
 
 def first_sanctioned(text: Column) -> Column:

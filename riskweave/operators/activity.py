@@ -150,35 +150,50 @@ def activity_features(
 def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """Features of some transactions, looked up among all stored ones.
 
-    `rows` are transactions, `stored` is the table that includes them, with
-    `ingest_seq`; copies of a row are reduced to the newest after the others
-    are filtered out, as a repeated row keeps its accounts and time. Only
-    accounts that pay in `rows` are read back, and of each only what its
-    earliest row can see: everything since one window before it, and the N
-    rows before that. Both limits apply before the shuffle.
+    `rows` are transactions; `stored` is the table that includes them, with
+    `ingest_seq` and, if it is partitioned so, `day`. Only accounts that pay
+    in `rows` are read back, and of each only what its earliest row can see:
+    everything since one window before it, and the N rows before that.
+
+    With `day`, a short look back comes first: it is enough once every account
+    has its N rows, and busy accounts have them soon.
+    """
+    paying = cut(rows.groupBy(F.col("from_account").alias("account")).agg(
+        (F.min(F.unix_micros("occurred_at")) - cfg.velocity_window_us).alias("since_us")))
+    found = paying.agg(F.count("*").alias("accounts"), F.min("since_us").alias("since_us")).first()
+    for days in (1, 30) if "day" in stored.columns and found.accounts else ():
+        first_day = F.to_date(F.timestamp_micros(F.lit(found.since_us))) - days
+        context, older = _context(paying, stored.filter(F.col("day") >= first_day), cfg)
+        complete = older.groupBy("account").count().filter(F.col("count") >= cfg.history_limit)
+        if complete.count() == found.accounts:
+            break
+    else:
+        context, _ = _context(paying, stored, cfg)
+    context = cut(context)
+    features = activity_features(context, cfg, _busy(context, lambda rows: rows, cfg))
+    return rows.join(features.select("id", *FEATURES), "id")
+
+
+def _context(paying: DataFrame, stored: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataFrame]:
+    """Activity of the paying accounts that their rows can see, and the part before the window.
+
+    A repeated row keeps its accounts and time, so copies are dropped after
+    the other filters: they share a dense rank, and the limit counts rows.
     """
-    paying = rows.groupBy(F.col("from_account").alias("account")).agg(
-        (F.min(F.unix_micros("occurred_at")) - cfg.velocity_window_us).alias("since_us"))
     seen = (
         account_activity(stored)
-        .select("account", "is_from", "id", "amount", "ingest_seq", F.unix_micros("occurred_at").alias("at_us"))
+        .selectExpr("account", "is_from", "id", "amount", "ingest_seq", "unix_micros(occurred_at) as at_us")
         .join(paying, "account")
     )
-    copies = Window.partitionBy("account", "at_us", "id").orderBy(F.desc("ingest_seq"))
-    newest = Window.partitionBy("account").orderBy(F.desc("at_us"), F.desc("id"))
-    near = (
-        seen.filter(F.col("at_us") > F.col("since_us"))
-        .withColumn("_r", F.row_number().over(copies)).filter("_r = 1")
-    )
-    # Copies share a dense rank, so the limit counts rows, not copies.
+    newest = "row_number() over (partition by account, at_us, id order by ingest_seq desc)"
+    recency = "dense_rank() over (partition by account order by at_us desc, id desc)"
+    near = seen.filter("at_us > since_us").withColumn("_r", F.expr(newest)).filter("_r = 1")
     older = (
-        seen.filter(F.col("at_us") <= F.col("since_us"))
-        .withColumn("_r", F.dense_rank().over(newest)).filter(F.col("_r") <= cfg.history_limit)
-        .withColumn("_r", F.row_number().over(copies)).filter("_r = 1")
+        seen.filter("at_us <= since_us")
+        .withColumn("_r", F.expr(recency)).filter(F.col("_r") <= cfg.history_limit)
+        .withColumn("_r", F.expr(newest)).filter("_r = 1")
     )
-    context = cut(near.unionByName(older).drop("_r", "since_us", "ingest_seq"))
-    features = activity_features(context, cfg, _busy(context, lambda rows: rows, cfg))
-    return rows.join(features.select("id", *FEATURES), "id")
+    return near.unionByName(older).drop("_r", "since_us", "ingest_seq"), older
 
 
 def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None) -> DataFrame:

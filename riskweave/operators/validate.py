@@ -26,6 +26,7 @@ BAD_JSON = "unparseable payload"
 BAD_ID = "invalid id"
 NO_AMOUNT = "missing amount"
 BAD_AMOUNT = "negative amount"
+LARGE_AMOUNT = "amount out of range"
 BAD_CURRENCY = "unknown currency"
 BAD_ACCOUNT = "invalid account"
 NO_DESCRIPTION = "missing description"
@@ -60,21 +61,22 @@ def validate_events(frames: DataFrame, currencies: Iterable[str] = V.CURRENCY_CO
     Decision columns are filled for evaluated events only.
     """
     wire = F.from_json(
-        F.col("value"), _WIRE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        F.col("value"), _WIRE,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"},
     )
     evaluated = F.col("event_type") == V.EVALUATED
     # Expanding a one-element array keeps the parsed payload one value: plain
     # columns would be inlined into every rule and parsed once for each.
     decoded = frames.withColumn("_w", F.explode(F.array(wire))).withColumns({
         "id": canonical_uuid(F.col("_w.id")),
-        "amount": F.col("_w.amount").cast(AMOUNT),
+        "amount": F.col("_w.amount").try_cast(AMOUNT),
         "currency": F.col("_w.currency"),
         "from_account": F.col("_w.fromAccount"),
         "to_account": F.col("_w.toAccount"),
         "description": F.col("_w.description"),
         "occurred_at": parse_instant(F.col("_w.occurredAt")),
         "decision": F.when(evaluated, F.col("_w.decision")),
-        "risk_score": F.when(evaluated, F.col("_w.riskScore")),
+        "risk_score": F.when(evaluated, F.col("_w.riskScore").try_cast(SCORE)),
         "reasoning": F.when(evaluated, F.col("_w.reasoning")),
         "evaluated_at": F.when(evaluated, parse_instant(F.col("_w.evaluatedAt"))),
     })
@@ -82,24 +84,21 @@ def validate_events(frames: DataFrame, currencies: Iterable[str] = V.CURRENCY_CO
     reason = _first([
         (F.col("event_type").isNull(), NO_TYPE),
         (~F.col("event_type").isin(*V.EVENT_TYPES), BAD_TYPE),
-        (F.col("_w").isNull() | F.col(f"_w.{_CORRUPT}").isNotNull(), BAD_JSON),
+        (F.col("_w").isNull() | F.col(f"_w.{_CORRUPT}").isNotNull() | ~F.col("value").rlike(r"\}\s*\z"), BAD_JSON),
         (F.col("id").isNull(), BAD_ID),
-        (F.col("amount").isNull(), NO_AMOUNT),
-        (F.col("amount") < 0, BAD_AMOUNT),
+        (F.col("_w.amount").isNull(), NO_AMOUNT),
+        (F.col("_w.amount") < 0, BAD_AMOUNT),
+        (F.col("amount").isNull(), LARGE_AMOUNT),
         (~_known_currency(F.col("currency"), currencies), BAD_CURRENCY),
         (~(_is_account(F.col("from_account")) & _is_account(F.col("to_account"))), BAD_ACCOUNT),
         (F.col("description").isNull(), NO_DESCRIPTION),
         (F.col("occurred_at").isNull(), BAD_TIME),
         (only & ~F.coalesce(F.col("decision").isin(*V.DECISIONS) & F.col("reasoning").isNotNull(), F.lit(False)),
          BAD_DECISION),
-        (only & ~F.coalesce(F.col("risk_score").between(0, V.MAX_SCORE), F.lit(False)), BAD_SCORE),
+        (only & ~F.coalesce(F.col("_w.riskScore").between(0, V.MAX_SCORE), F.lit(False)), BAD_SCORE),
         (only & F.col("evaluated_at").isNull(), BAD_TIME),
     ])
-    return (
-        decoded.withColumn("reject_reason", reason)
-        .withColumn("risk_score", F.col("risk_score").cast(SCORE))
-        .drop("_w")
-    )
+    return decoded.withColumn("reject_reason", reason).drop("_w")
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:

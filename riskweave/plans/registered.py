@@ -16,7 +16,7 @@ from riskweave.operators import activity, cost, outbox, redact, rules, scoring,
 from riskweave.plans import fixtures
 from riskweave.plans.evaluate import evaluate, gate, score_flagged, similar_to_flagged
 from riskweave.schemas import DECIDED, TRANSACTION_COLUMNS, TRANSACTIONS
-from riskweave.session import configure, cut, scratch_dir
+from riskweave.session import configure, cut, releasing, scratch_dir
 from riskweave.sources import streams
 from riskweave.streaming import account_state, run, store
 
@@ -403,8 +403,11 @@ def stream_velocity(spark, sf_dir):
     folder = scratch_dir(spark, "velocity")
 
     def keep(rows: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(TRANSACTIONS).parquet(f"{folder}/in").withColumn("ingest_seq", F.lit(0))
-        store.write_batch(account_state.complete_features(cut(rows), stored, CFG), folder, "out", batch_id)
+        def stored() -> DataFrame:
+            return spark.read.schema(TRANSACTIONS).parquet(f"{folder}/in").withColumn("ingest_seq", F.lit(0))
+
+        with releasing():
+            store.write_batch(account_state.complete_features(cut(rows), stored, CFG), folder, "out", batch_id)
 
     for step in _steps(fixtures.transactions(spark, sf_dir), "occurred_at"):
         step.write.mode("append").parquet(f"{folder}/in")

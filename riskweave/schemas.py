@@ -20,6 +20,13 @@ TRANSACTIONS = T.StructType([
     T.StructField("occurred_at", T.TimestampType()),
 ])
 
+ACCOUNT_FEATURES = T.StructType([
+    *TRANSACTIONS.fields,
+    T.StructField("velocity", T.LongType()),
+    T.StructField("history_count", T.LongType()),
+    T.StructField("history_sum", T.DecimalType(29, 4)),
+])
+
 DECISIONS = T.StructType([
     T.StructField("decision", T.StringType()),
     T.StructField("risk_score", SCORE),
@@ -79,10 +86,12 @@ FRAMES = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
 ])
 
-# JSON payloads, camelCase on the wire. Amounts are numbers, times are text.
+# JSON payloads, camelCase on the wire. Numbers are read wider than they are
+# kept, so that bounds are checked on what was sent; times are text.
+_WIRE_NUMBER = T.DecimalType(38, 18)
 _WIRE_TRANSACTION = [
     T.StructField("id", T.StringType()),
-    T.StructField("amount", AMOUNT),
+    T.StructField("amount", _WIRE_NUMBER),
     T.StructField("currency", T.StringType()),
     T.StructField("fromAccount", T.StringType()),
     T.StructField("toAccount", T.StringType()),
@@ -92,7 +101,7 @@ _WIRE_TRANSACTION = [
 RECEIVED_PAYLOAD = T.StructType(_WIRE_TRANSACTION)
 EVALUATED_PAYLOAD = T.StructType(_WIRE_TRANSACTION + [
     T.StructField("decision", T.StringType()),
-    T.StructField("riskScore", T.DecimalType(19, 4)),
+    T.StructField("riskScore", _WIRE_NUMBER),
     T.StructField("reasoning", T.StringType()),
     T.StructField("evaluatedAt", T.StringType()),
 ])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -42,6 +44,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def releasing():
+    """Give back, at the end of the block, what `cut` persisted inside it."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for df in stack.pop():
+            df.unpersist()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Keep a result that several jobs read.
 
@@ -49,7 +66,10 @@ def cut(df: DataFrame) -> DataFrame:
     of executors. Without one they are only persisted: lost blocks are then
     computed again from the inputs.
     """
-    spark = df.sparkSession
-    if checkpoint_dir(spark):
+    if checkpoint_dir(df.sparkSession):
         return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    stack = getattr(_scopes, "stack", None)
+    if stack:
+        stack[-1].append(kept)
+    return kept

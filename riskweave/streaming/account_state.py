@@ -14,7 +14,7 @@ of one account. A row that comes again replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.config import RiskConfig
 from riskweave.operators.activity import FEATURES, features_from_store, slim_activity
-from riskweave.schemas import TRANSACTIONS
+from riskweave.schemas import ACCOUNT_FEATURES
 
 STATE = T.StructType([
     T.StructField("at_us", T.ArrayType(T.LongType())),
@@ -35,18 +35,12 @@ STATE = T.StructType([
     T.StructField("dropped_us", T.LongType()),
     T.StructField("outgrown", T.BooleanType()),
 ])
-OUTPUT = T.StructType([
-    *TRANSACTIONS.fields,
-    T.StructField("velocity", T.LongType()),
-    T.StructField("history_count", T.LongType()),
-    T.StructField("history_sum", T.DecimalType(29, 4)),
-])
 _NOTHING_DROPPED = -(2 ** 62)
 
 
 def _open(rows: pd.DataFrame) -> pd.DataFrame:
     """Paying rows whose features the store must answer."""
-    return rows[rows["is_from"]].assign(velocity=None, history_count=None, history_sum=None)[OUTPUT.names]
+    return rows[rows["is_from"]].assign(velocity=None, history_count=None, history_sum=None)[ACCOUNT_FEATURES.names]
 
 
 def _advance(new: pd.DataFrame, kept: pd.DataFrame, dropped_us: int, window_us: int, keep_us: int, limit: int):
@@ -71,7 +65,7 @@ def _advance(new: pd.DataFrame, kept: pd.DataFrame, dropped_us: int, window_us:
     paying["history_count"] = place - first
     paying["history_sum"] = [totals[p] - totals[f] if p > f else None for p, f in zip(place, first)]
     sure = (at - window_us >= dropped_us) & (place >= limit) | (dropped_us == _NOTHING_DROPPED)
-    answers = [part for part in (paying[sure][OUTPUT.names], _open(paying[~sure]), _open(late)) if len(part)]
+    answers = [part for part in (paying[sure][ACCOUNT_FEATURES.names], _open(paying[~sure]), _open(late)) if len(part)]
 
     start = 0
     if len(times):
@@ -118,13 +112,18 @@ def stream_velocity(
         yield from answers
 
     return slim_activity(transactions).groupBy("account").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        step, ACCOUNT_FEATURES, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def complete_features(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """Rows of `stream_velocity` with open features answered from the stored table, which has `ingest_seq`."""
+def complete_features(
+    rows: DataFrame, stored: Callable[[], DataFrame], cfg: RiskConfig = RiskConfig()
+) -> DataFrame:
+    """Rows of `stream_velocity` with open features answered from the stored table.
+
+    `stored` opens that table, which has `ingest_seq`; it is only called if a row is open.
+    """
     missing = rows.filter(F.col("velocity").isNull()).drop(*FEATURES)
     if missing.isEmpty():
         return rows
-    return rows.filter(F.col("velocity").isNotNull()).unionByName(features_from_store(missing, stored, cfg))
+    return rows.filter(F.col("velocity").isNotNull()).unionByName(features_from_store(missing, stored(), cfg))

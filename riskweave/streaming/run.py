@@ -26,10 +26,10 @@ from riskweave.operators.scoring import Model, decide_early, heuristic
 from riskweave.operators.validate import rejected_rows, valid_rows, validate_events
 from riskweave.operators.vectors import embed_transactions, knn, similarity_summary
 from riskweave.plans.evaluate import score_flagged
-from riskweave.schemas import DECIDED, DECISION_COLUMNS, EMBEDDINGS, REJECTS, TRANSACTION_COLUMNS, TRANSACTIONS
-from riskweave.session import cut
+from riskweave.schemas import ACCOUNT_FEATURES, DECIDED, EMBEDDINGS, REJECTS, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskweave.session import releasing
 from riskweave.streaming.account_state import complete_features, stream_velocity
-from riskweave.streaming.store import read_all, write_batch
+from riskweave.streaming.store import read_all, read_batch, write_batch
 
 FLAG = V.DECISIONS[1]
 
@@ -52,18 +52,27 @@ def evaluate_batch(
     Each stored vector was written beside its transaction, so neighbours need
     no second look at the transaction table.
     """
+    with releasing():
+        _evaluate_batch(rows, batch_id, root, cfg, embed, model, candidates, clock)
+
+
+def _evaluate_batch(rows, batch_id, root, cfg, embed, model, candidates, clock) -> None:
     spark = rows.sparkSession
-    rows = cut(rows)
-    transactions = rows.select(*TRANSACTION_COLUMNS)
-    write_batch(transactions, root, "transactions", batch_id, day_of="occurred_at")
-    write_batch(embed_transactions(transactions, embed), root, "embeddings", batch_id)
+    # Written once and read back: the table is what later steps start from.
+    write_batch(rows, root, "transactions", batch_id, day_of="occurred_at")
+    rows = read_batch(spark, root, "transactions", ACCOUNT_FEATURES, batch_id)
+    if rows is None:
+        return
+    write_batch(embed_transactions(rows, embed), root, "embeddings", batch_id)
+
+    def stored() -> DataFrame:
+        return read_all(spark, root, "transactions", TRANSACTIONS, by_day=True).withColumnRenamed("batch_id", "ingest_seq")
 
-    stored = read_all(spark, root, "transactions", TRANSACTIONS).withColumnRenamed("batch_id", "ingest_seq")
     gated = rule_gate(complete_features(rows, stored, cfg), cfg)
     flagged = gated.filter(F.col("gate_decision") == FLAG)
     if candidates is None:
         candidates = read_all(spark, root, "embeddings", EMBEDDINGS)
-        vectors = candidates.filter(F.col("batch_id") == batch_id)
+        vectors = read_batch(spark, root, "embeddings", EMBEDDINGS, batch_id)
     else:
         vectors = candidates
     queries = vectors.join(flagged.select("id"), "id", "left_semi")
@@ -73,11 +82,10 @@ def evaluate_batch(
         decide_early(gated).unionByName(scored, allowMissingColumns=True)
         .withColumn("evaluated_at", F.col("occurred_at") if clock is None else clock)
     )
-    write_batch(decided.select(*TRANSACTION_COLUMNS, *DECISION_COLUMNS), root, "decisions", batch_id)
-    written = read_all(spark, root, "decisions", DECIDED).filter(F.col("batch_id") == batch_id)
-    published = to_outbox(written, V.EVALUATED, F.col("evaluated_at"), F.col("batch_id"))
+    write_batch(decided.select(*DECIDED.names), root, "decisions", batch_id)
+    written = read_batch(spark, root, "decisions", DECIDED, batch_id)
+    published = to_outbox(written, V.EVALUATED, F.col("evaluated_at"), F.lit(batch_id))
     write_batch(published, root, "outbox", batch_id, day_of="created_at")
-    rows.unpersist()
 
 
 def start_evaluation(
@@ -103,7 +111,7 @@ def start_evaluation(
 def start_side_outputs(frames: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
     """Start the query that keeps rejected events and records published decisions."""
     def keep(rows: DataFrame, batch_id: int) -> None:
-        rows = cut(rows)
+        rows = rows.persist()
         rejected = rejected_rows(rows).select(*REJECTS.names)
         evaluated = valid_rows(rows).filter(F.col("event_type") == V.EVALUATED)
         write_batch(rejected, root, "rejects", batch_id)

@@ -6,6 +6,7 @@ same rows. Readers see the last written row of every id.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +17,29 @@ from riskweave.schemas import OUTBOX
 
 
 def write_batch(rows: DataFrame, root: str, table: str, batch_id: int, day_of: str | None = None) -> None:
-    """Write one partition; `day_of` names a time column to partition by day as well."""
+    """Write one partition; `day_of` names a time column to divide it by day as well."""
     keys = ["batch_id"]
     rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     if day_of:
-        keys = ["day", "batch_id"]
+        keys.append("day")
         rows = rows.withColumn("day", F.to_date(day_of))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/{table}")
 
 
-def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """Every written row with its `batch_id`."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(full).parquet(f"{root}/{table}")
+def read_batch(spark: SparkSession, root: str, table: str, schema: T.StructType, batch_id: int) -> DataFrame | None:
+    """The rows of one partition, found without listing the others; None if nothing was written."""
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/{table}/batch_id={batch_id}").select(*schema.names)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_all(spark: SparkSession, root: str, table: str, schema: T.StructType, by_day: bool = False) -> DataFrame:
+    """Every written row with its `batch_id`, and its `day` if the table has one."""
+    keys = [T.StructField("batch_id", T.LongType())] + [T.StructField("day", T.DateType())] * by_day
+    return spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(f"{root}/{table}")
 
 
 def read_latest(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
@@ -41,7 +52,7 @@ def purge_outbox(spark: SparkSession, root: str, cutoff: Column, target: str) ->
     The rewrite reads and writes the retention period only: older days are
     skipped by partition.
     """
-    rows = spark.read.schema(T.StructType([*OUTBOX.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])).parquet(f"{root}/outbox")
+    rows = read_all(spark, root, "outbox", OUTBOX, by_day=True)
     kept = outbox_retained(rows, cutoff).filter(F.col("day") >= F.to_date(cutoff))
-    kept.write.mode("errorifexists").partitionBy("day", "batch_id").parquet(target)
+    kept.write.mode("errorifexists").partitionBy("batch_id", "day").parquet(target)
     return outbox_purge_count(rows.filter(F.col("day") <= F.to_date(cutoff)), cutoff).first().purged

@@ -111,3 +111,14 @@ def test_features_from_store(make, spark):
     assert got(A.features_from_store(late, stored, cfg)) == expected
     small = RiskConfig(history_limit=5, hot_account_rows=10, max_hot_accounts=1000, hot_rows_per_slot=5)
     assert got(A.features_from_store(late, stored, small)) == expected
+
+
+@pytest.mark.parametrize("span", [1, 5, 90])
+def test_features_from_store_by_day(make, span):
+    """Rows over some days; the look back ends early or reaches the beginning."""
+    rows, cfg = skewed(13, span=span * 24 * HOUR, ties=False), RiskConfig(history_limit=5)
+    stored = make(rows).withColumn("ingest_seq", F.lit(0)).withColumn("day", F.to_date("occurred_at"))
+    newest = sorted(rows, key=lambda r: r[3])[-5:]
+    for some in (newest, [r for r in newest if r[1] == 1] or newest[:1], rows[:3]):
+        expected = {n: v for n, v in brute(rows, cfg).items() if n in {r[0] for r in some}}
+        assert got(A.features_from_store(make(some), stored, cfg)) == expected

@@ -31,7 +31,9 @@ def features(spark, steps, folder, cfg, **state):
     def keep(rows, batch_id):
         rows = rows.persist()
         open_rows.append(rows.filter("velocity is null").count())
-        stored = store.read_all(spark, str(folder), "in", TRANSACTIONS).withColumnRenamed("batch_id", "ingest_seq")
+        def stored():
+            return store.read_all(spark, str(folder), "in", TRANSACTIONS).withColumnRenamed("batch_id", "ingest_seq")
+
         store.write_batch(account_state.complete_features(rows, stored, cfg), str(folder), "out", batch_id)
 
     open_rows = []

@@ -37,6 +37,15 @@ def changed(**fields):
     (None, "TransactionReceived", v.BAD_JSON),
     ("", "TransactionReceived", v.BAD_JSON),
     (changed(amount="lots"), "TransactionReceived", v.BAD_JSON),
+    (changed(amount=True), "TransactionReceived", v.BAD_JSON),
+    (changed() + " trailing", "TransactionReceived", v.BAD_JSON),
+    (changed() + " \n", "TransactionReceived", None),
+    (changed().replace('"', "'"), "TransactionReceived", v.BAD_JSON),
+    ("[" + changed() + "]", "TransactionReceived", v.BAD_JSON),
+    ("null", "TransactionReceived", v.BAD_JSON),
+    (changed(amount="12.5"), "TransactionReceived", None),
+    (changed(amount=-0.00001), "TransactionReceived", v.BAD_AMOUNT),
+    (changed(amount=10 ** 15), "TransactionReceived", v.LARGE_AMOUNT),
     (changed(id="nope"), "TransactionReceived", v.BAD_ID),
     (changed(id=...), "TransactionReceived", v.BAD_ID),
     (changed(amount=...), "TransactionReceived", v.NO_AMOUNT),
@@ -57,6 +66,7 @@ def changed(**fields):
     (changed(**{**DECISION, "decision": "MAYBE"}), "TransactionEvaluated", v.BAD_DECISION),
     (changed(), "TransactionEvaluated", v.BAD_DECISION),
     (changed(**{**DECISION, "riskScore": 100.01}), "TransactionEvaluated", v.BAD_SCORE),
+    (changed(**{**DECISION, "riskScore": 100.001}), "TransactionEvaluated", v.BAD_SCORE),
     (changed(**{**DECISION, "riskScore": -0.01}), "TransactionEvaluated", v.BAD_SCORE),
     (changed(**{**DECISION, "riskScore": None}), "TransactionEvaluated", v.BAD_SCORE),
     (changed(**{**DECISION, "evaluatedAt": "later"}), "TransactionEvaluated", v.BAD_TIME),

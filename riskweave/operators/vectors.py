@@ -34,6 +34,8 @@ from riskweave.session import cut
 
 _MATCHES = "query_id string, id string, similarity double"
 _PAIRS_AT_ONCE = 4_000_000
+# Cosines this close may round to the same similarity.
+_ROUNDING = 4e-9
 # Above the rounding errors of squared distances between unit vectors.
 _SLACK = 1e-5
 _MIN_GAP = 1e-3
@@ -167,13 +169,13 @@ def _best(query_units: np.ndarray, ids: np.ndarray, units: np.ndarray, keep: int
     found = []
     step = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
     for start in range(0, len(query_units), step):
-        part = np.round((1.0 + np.clip(query_units[start:start + step] @ units.T, -1.0, 1.0)) / 2.0, 9)
-        if part.shape[1] > keep:
-            bar = np.partition(part, part.shape[1] - keep, axis=1)[:, -keep][:, None]
-            rows, cols = np.nonzero(part >= bar)
-        else:
-            rows, cols = (a.ravel() for a in np.indices(part.shape))
-        similarity = part[rows, cols]
+        cosine = query_units[start:start + step] @ units.T
+        # Only what can still rank after rounding is rounded.
+        bar = np.full((len(cosine), 1), -np.inf if floor is None else 2.0 * floor - 1.0)
+        if cosine.shape[1] > keep:
+            bar = np.maximum(bar, np.partition(cosine, cosine.shape[1] - keep, axis=1)[:, -keep][:, None])
+        rows, cols = np.nonzero(cosine >= bar - _ROUNDING)
+        similarity = np.round((1.0 + np.clip(cosine[rows, cols], -1.0, 1.0)) / 2.0, 9)
         if floor is not None:
             near = similarity > floor
             rows, cols, similarity = rows[near], cols[near], similarity[near]

@@ -13,6 +13,7 @@ from riskweave.operators.activity import account_features
 from riskweave.operators.rules import rule_gate
 from riskweave.operators.scoring import Model, assess, decide_early, heuristic, history_risk, score
 from riskweave.operators.vectors import existing_only, knn, similarity_summary
+from riskweave.session import cut
 
 def gate(
     transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
@@ -29,7 +30,10 @@ def similar_to_flagged(
     self_takes_slot: bool = False,
 ) -> DataFrame:
     """`id, similar_count, similar_mean` of the flagged rows that have neighbours."""
-    queries = embeddings.join(flagged.select("id"), "id", "left_semi")
+    queries = embeddings.join(flagged.select("id"), "id", "left_semi").select("id", "embedding")
+    if embeddings.count() > cfg.broadcast_queries:
+        # Possibly too many to broadcast, and then several jobs read them: run phase one for them once.
+        queries = cut(queries)
     matches = knn(queries, embeddings, cfg.max_neighbours, cfg, self_takes_slot)
     return similarity_summary(existing_only(matches, transactions))
 

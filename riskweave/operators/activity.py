@@ -296,55 +296,60 @@ def _slot(at_us: Column) -> Column:
 
 
 def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
-    """Both features with every account cut into time slots of its `slot_us`."""
-    slotted = activity.withColumn("slot", _slot(F.col("at_us")))
+    """Both features with every account cut into time slots of its `slot_us`.
+
+    Rows and their leaving marks are shuffled once, to their slots. What a slot
+    needs from others is one row: the marks before it, and the history of its
+    first N rows.
+    """
     slot_keys = [*keys, "slot"]
-    entering = (
-        _look_back(slotted, slot_keys, cfg).drop("slot_us", "_start", "_follows")
-        .join(_across_slots(slotted, keys, cfg), [*slot_keys, "id"], "left")
-        .withColumns({
-            "history_sum": F.when(F.col("_count").isNull(), F.col("history_sum")).otherwise(F.col("_sum")),
-            "history_count": F.coalesce("_count", "history_count"),
-            "step": F.lit(1),
-        })
-        .drop("_count", "_sum")
-    )
     left_at = F.col("at_us") + cfg.velocity_window_us
+    entering = activity.withColumns({"slot": _slot(F.col("at_us")), "step": F.lit(1)})
     leaving = activity.select(*keys, _slot(left_at).alias("slot"), left_at.alias("at_us"), F.lit(-1).alias("step"))
-    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    marks = entering.drop("slot_us").unionByName(leaving, allowMissingColumns=True).repartition(*slot_keys)
+
     mark = F.explode(F.array(
         F.struct(_slot(F.col("at_us")).alias("slot"), F.lit(1).alias("step")),
         F.struct(_slot(left_at).alias("slot"), F.lit(-1).alias("step")),
     ))
-    base = (
+    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    others = (
         activity.select(*keys, mark.alias("m")).groupBy(*keys, F.col("m.slot").alias("slot"))
         .agg(F.sum("m.step").alias("_net"))
         .select(*slot_keys, F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_base"))
+        .join(_across_slots(entering, keys, cfg), slot_keys, "left")
     )
     return (
-        entering.unionByName(leaving, allowMissingColumns=True)
+        _look_back(marks, [*slot_keys, "step"], cfg).drop("_start", "_follows")
+        .join(others, slot_keys)
+        .withColumn("_first", F.expr("try_element_at(_across, id)")).drop("_across")
         .selectExpr("*", f"{_count(slot_keys)} as _inside")
         .filter("step > 0")
-        .join(base, slot_keys)
-        .withColumn("velocity", F.col("_inside") + F.col("_base"))
-        .drop("step", "slot", "_inside", "_base")
+        .withColumns({
+            "history_sum": F.when(F.col("_first").isNull(), F.col("history_sum")).otherwise(F.col("_first.sum")),
+            "history_count": F.coalesce("_first.count", "history_count"),
+            "velocity": F.col("_inside") + F.col("_base"),
+        })
+        .drop("step", "slot", "_inside", "_base", "_first")
     )
 
 
-def _across_slots(slotted: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
-    """History of the first N rows of every slot, from the first and last N rows of all slots.
+def _across_slots(entering: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
+    """Per slot, the history of its first N rows as a map from id.
 
-    The N rows before such a row are among these, and next to each other. An
-    account has at most 2N of them per slot.
+    It follows from the first and last N rows of all slots: the N rows before
+    such a row are among these, and next to each other. An account has at most
+    2N of them per slot, a map at most N entries.
     """
     n, slot_keys = cfg.history_limit, [*keys, "slot"]
     line = _line(slot_keys)
     edges = (
-        slotted.selectExpr(
+        entering.selectExpr(
             *slot_keys, "at_us", "id", "amount",
             f"row_number() over ({line}) as _rank", f"lead(id, {n}) over ({line}) as _ahead",
         )
         .filter(f"_rank <= {n} or _ahead is null").drop("_ahead")
     )
-    return _look_back(edges, keys, cfg).filter(f"_rank <= {n}").selectExpr(
-        *slot_keys, "id", "history_count as _count", "history_sum as _sum")
+    return _look_back(edges, keys, cfg).filter(f"_rank <= {n}").groupBy(*slot_keys).agg(
+        F.expr("map_from_entries(collect_list(struct(id, struct(history_count as count, history_sum as sum))))")
+        .alias("_across"))

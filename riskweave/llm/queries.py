@@ -24,6 +24,21 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.pages import extract_main_text
+
+    found = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.toxicity import toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskweave.llm.search import top_k
 

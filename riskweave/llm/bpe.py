@@ -17,7 +17,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import text_or_empty
-from riskweave.llm.tokens import byte_letters
+from riskweave.llm.common import kept, text_or_empty
+from riskweave.llm.tokens import UNUSUAL, WORD_PIECES, byte_letters
 
 NO_PAIR = np.iinfo(np.int64).max
 #: Cells of the trees that are merged in step.
@@ -134,54 +133,65 @@ class Codec:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        #: A word's ids in decimal and its tokens, each followed by a space.
+        self.written: dict[str, str] = {}
+        self.spelled: dict[str, str] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")")
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in the normal form of the vocabulary; special tokens stay whole."""
+        if not UNUSUAL.search(text):
+            return WORD_PIECES.findall(text.lower())
         found = []
         for i, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
             if i % 2:
                 found.append(part)
             else:
                 normal = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", part))
-                lower = normal.lower() if normal.isascii() else "".join(map(_lower, normal))
+                # One character at a time: what stands beside it plays no part.
+                lower = normal.lower() if normal.isascii() else "".join(map(str.lower, normal))
                 found += self.merges.pattern.findall(lower)
         return found
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in set(words) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+            self.known, self.written, self.spelled = {}, {}, {}
         for special, number in self.merges.special.items():
-            self.known[special] = (number,)
+            self._keep(special, (number,))
         new = [w for w in new if w not in self.known]
         for word, ids in zip(new, encode_words(new, self.merges), strict=True):
-            self.known[word] = tuple(ids)
+            self._keep(word, tuple(ids))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _keep(self, word: str, ids: tuple[int, ...]) -> None:
+        self.known[word] = ids
+        self.written[word] = " ".join(map(str, ids)) + " "
+        self.spelled[word] = self.decode(ids) + " "
+
+    def _learned(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of texts, all of them known."""
         cut = [self.pieces(t) for t in texts]
-        need = {w for pieces in cut for w in pieces}
-        if not need <= self.known.keys():
+        need = set().union(*cut)
+        while not need <= self.known.keys():  # learning may start anew
             self.learn(need)
-            if not need <= self.known.keys():  # it started anew
-                self.learn(need)
-        known = self.known
-        return [[i for w in pieces for i in known[w]] for pieces in cut]
+        return cut
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [[i for w in pieces for i in self.known[w]] for pieces in self._learned(texts)]
+
+    def write_out(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Ids in decimal, joined by spaces, and the text they decode to."""
+        for pieces in self._learned(texts):
+            yield "".join(map(self.written.__getitem__, pieces))[:-1], "".join(map(self.spelled.__getitem__, pieces))[:-1]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces: the file names no decoder."""
         return " ".join(map(self.merges.tokens.__getitem__, ids))
 
 
-@cache
-def _lower(letter: str) -> str:
-    """Lower case of one character, whatever stands beside it."""
-    return letter.lower()
-
-
-@cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """One codec for each vocabulary file and worker."""
+    return kept(("codec", path), lambda: Codec(path))
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
@@ -203,11 +213,11 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = codec(path)
         for batch in batches:
-            ids = words.encode(list(batch["text"]))
+            out = list(words.write_out(list(batch["text"])))
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(words.decode(x).encode()).hexdigest() for x in ids]})
+                "doc_id": batch["doc_id"], "n_tokens": [ids.count(" ") + (ids != "") for ids, _ in out],
+                "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for ids, _ in out],
+                "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text in out]})
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

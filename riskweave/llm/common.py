@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker makes once and keeps for later tasks.
+
+    Functions travel by value, so their module's names are new in each task;
+    a module of the worker's own is not.
+    """
+    home = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if key not in vars(home):
+        vars(home)[key] = make()
+    return vars(home)[key]
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

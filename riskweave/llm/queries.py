@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,20 @@ from riskweave.llm.common import table, text_or_empty
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.binary import round_trip
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskweave.llm.ledger import RULES, joined_spans, scan_secrets
 
@@ -24,6 +39,13 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.bpe import encode_digests
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskweave.llm.pages import extract_main_text
 

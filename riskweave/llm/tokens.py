@@ -1,27 +1,29 @@
 """Whole texts to token ids with a public tokenizer, word by word.
 
-The tokenizer's own normalizer and model do the work. Text is cut into the
-pieces its pre-tokenizer would make, and a piece's ids are remembered, so that
-the model sees each piece once per worker and not once per occurrence. Texts
-with letters outside the Latin blocks, other kinds of white space or special
-tokens are given to the tokenizer whole.
+The tokenizer's own model does the work. Text is cut into the pieces its
+pre-tokenizer would make, and a piece's ids are remembered, so that the model
+sees each piece once per worker and not once per occurrence. Texts with
+letters outside the Latin blocks, other kinds of white space or special tokens
+are given to the tokenizer whole; in the rest, lower case is all that
+normalizing changes.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from riskweave.llm.common import kept
+
 # The classes of characters up to U+024F that the pre-tokenizers tell apart.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼½¾"
 SPACE = " \t\n\r\f\v"
 #: Anything else is left to the tokenizer.
-UNUSUAL = re.compile(r"[^\t-\r -~¡-ɏ–—‘-”…]|<\|")
+UNUSUAL = re.compile(r"[^\t-\r -~¡-įıĲ-ɏ–—‘-”…]|<\|")
 
 # How the two kinds of vocabulary file cut text into pieces.
 BYTE_PIECES = re.compile(
@@ -60,23 +62,19 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            words = json.load(file)["normalizer"] is not None
-        self.normalizer = self.tokenizer.normalizer if words else None
-        self.pieces = WORD_PIECES if words else BYTE_PIECES
+            self.words = json.load(file)["normalizer"] is not None
+        self.pieces = WORD_PIECES if self.words else BYTE_PIECES
         self.ids = PieceIds(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, without special tokens added, as little-endian unsigned 32-bit integers."""
         if UNUSUAL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.normalizer is not None:
-            text = self.normalizer.normalize_str(text)
-            if UNUSUAL.search(text):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.words:
+            text = text.lower()
         return b"".join(map(self.ids.__getitem__, self.pieces.findall(text)))
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))

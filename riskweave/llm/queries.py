@@ -20,6 +20,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.neardup import NearDup, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), NearDup(words=4))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskweave.llm.binary import round_trip
 

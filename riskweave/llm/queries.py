@@ -26,6 +26,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), NearDup(words=4))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskweave.llm.binary import round_trip
 

@@ -80,3 +80,17 @@ def bucket_of(key: Column, bounds: list) -> Column:
         return F.lit(0)
     at = F.array(*[F.lit(b) for b in bounds])
     return F.coalesce(F.size(F.filter(at, lambda b: b <= key)), F.lit(0))
+
+
+def skewed_join(rows: DataFrame, unique: DataFrame, key: str, size: str, limit: int = 256) -> DataFrame:
+    """Inner join of rows with one row per key that tells how many rows (`size`) the key has.
+
+    Keys with more than `limit` rows are salted; those are at most one in
+    `limit` of all rows.
+    """
+    others = [c for c in unique.columns if c != key]
+    frequent = unique.filter(F.col(size) > limit).select(key, F.struct(*others).alias("_frequent"))
+    marked = salted_join(rows, frequent, key, "left")
+    many = marked.filter(F.col("_frequent").isNotNull()).select(*rows.columns, "_frequent.*")
+    few = marked.filter(F.col("_frequent").isNull()).drop("_frequent").join(unique.filter(F.col(size) <= limit), key)
+    return many.unionByName(few.select(*many.columns))

@@ -149,11 +149,12 @@ def sketch(docs: DataFrame, how: NearDup) -> DataFrame:
                     keys.append([])
                     signs.append([])
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_shingles": n, "set_one": np.array(one, dtype=np.uint64).view(np.int64),
+                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": n, "set_one": np.array(one, dtype=np.uint64).view(np.int64),
                 "set_two": np.array(two, dtype=np.uint64).view(np.int64), "bands": keys, "signature": signs})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, n_shingles bigint, set_one bigint, set_two bigint, "
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInPandas(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_one bigint, set_two bigint, "
                                  "bands array<bigint>, signature array<bigint>")
 
 
@@ -286,7 +287,7 @@ def confirmed_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, how:
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept and a hash of the text, of every row of (doc_id, text)."""
     rows = stored(sketch(docs, how), "sketches")
     whole = ["n_shingles", "set_one", "set_two"]
     full = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     classes = reps.select(*whole, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         *whole, F.coalesce("root", "rep").alias("component_id"))
     keyed = classes.withColumn("set", F.struct(*whole)).select("set", "component_id")
-    out = salted_join(rows.select("doc_id", "n_shingles", F.struct(*whole).alias("set")), keyed, "set", "left", salts=16)
+    out = salted_join(rows.select("doc_id", "text_hash", "n_shingles", F.struct(*whole).alias("set")), keyed, "set", "left", salts=16)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

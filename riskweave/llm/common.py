@@ -52,11 +52,20 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join rows, of which many may share one key, with slim rows of which each key has one."""
-    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copied.hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
+    salt = free_name("_salt", rows, few)
+    spread = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copied = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copied.hint("shuffle_hash"), [key, salt], how).drop(salt)
 
 
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 10_000) -> list:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import salted_join
+from riskweave.llm.common import free_name, salted_join
 from riskweave.session import scratch_dir
 
 #: Rules in the order in which spans of one start are listed: kind, version, pattern, group that is measured, least length.
@@ -98,14 +98,15 @@ def in_order(spans: Column, rules: tuple = RULES) -> Column:
 
 
 def findings(paths: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
-    """Join the ledger's findings to all rows; `paths` has a column blob and any others. Adds `spans`."""
+    """Join the ledger's findings to all rows; `paths` has a column blob and any others. Adds or replaces `spans`."""
     spark = paths.sparkSession
     known = spark.read.schema(LEDGER).parquet(ledger).filter(
         F.col("rule").isin(rule_ids(rules)) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
-    by_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_found"))
+    found = free_name("_found", paths)
+    by_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias(found))
     joined = salted_join(paths, by_blob, "blob", "left")
     none = F.array().cast(f"array<{SPAN}>")
-    return joined.withColumn("spans", F.coalesce(in_order(F.col("_found"), rules), none)).drop("_found")
+    return joined.withColumn("spans", F.coalesce(in_order(F.col(found), rules), none)).drop(found)
 
 
 def scan_secrets(versions: DataFrame, ledger: str | None = None, rules: tuple = RULES) -> DataFrame:

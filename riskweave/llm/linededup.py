@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import skewed_join, stored, text_or_empty
+from riskweave.llm.common import free_name, skewed_join, stored, text_or_empty
 
 BLANKS = " \t\r\f\v"
 
@@ -151,14 +151,19 @@ def repeated_lines(docs: DataFrame, how: LineDedup) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
-    """All columns of docs, the text without repeated passages, and `removed_lines` and `removed_chars`."""
+    """All columns of docs, the text without repeated passages, and `removed_lines` and `removed_chars`.
+
+    Columns of docs that have the names of the last two are replaced.
+    """
+    key, tie, gone = (free_name(name, docs) for name in ("_id", "_tie", "_gone"))
     found = repeated_lines(docs, how).select(
-        F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("lines").alias("_lines"))
-    text = text_or_empty()
-    rows = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text) == F.col("_tie")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains("_lines", at)), "\n")
-    new = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
+        F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("lines").alias(gone))
+    text, untouched = text_or_empty(), F.col(gone).isNull()
+    rows = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(text) == F.col(tie)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
+    told = {"removed_lines": F.when(untouched, 0).otherwise(F.size(gone)),
+            "removed_chars": F.when(untouched, 0).otherwise(F.length(text) - F.length(kept)).cast("bigint")}
     return rows.select(
-        *[(new if c == "text" else F.col(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).alias("removed_lines"),
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.length(text) - F.length(kept)).cast("bigint").alias("removed_chars"))
+        *[(F.when(untouched, F.col("text")).otherwise(kept) if c == "text" else F.col(c)).alias(c)
+          for c in docs.columns if c not in told],
+        *[column.alias(name) for name, column in told.items()])

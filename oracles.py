@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from riskweave import fixed_values as V
-
 _UUID = "concat('00000000-0000-0000-0000-', lpad(cast({0} as varchar), 12, '0'))"
 _US = "concat('US', lpad(cast({0} as varchar), 10, '0'))"
 
 TRANSACTIONS = f"""
 transactions as (
  select {_UUID.format('event_id')} as id,
-  cast(cast(value as decimal(19,4)) * 100 as decimal(19,4)) as amount,
+  cast(case when event_id % 200 in (198, 199) then (event_id % 2) * 20000
+       else cast(value as decimal(19,4)) * 100 end as decimal(19,4)) as amount,
   case when event_id % 3 = 0 then 'USD' when event_id % 3 = 1 then 'EUR' else 'GBP' end as currency,
-  {_US.format('user_id')} as from_account,
-  {_US.format('(event_id * 31) % 150')} as to_account,
-  case when event_id % 101 = 0 then 'Money laundering scheme'
-       when event_id % 103 = 0 then 'SANCTIONS VIOLATION detected'
-       when event_id % 11 = 0 then 'From john@test.com, SSN 123-45-6789, call 555-123-4567'
-       when event_id % 13 = 0 then 'Contact: (555) 123-4567'
-       else 'Monthly rent payment' end as description,
+  case when event_id % 200 in (198, 199) then concat('ZM', lpad(cast(event_id // 200 as varchar), 10, '0'))
+       else {_US.format('user_id')} end as from_account,
+  case when event_id % 200 in (198, 199) then concat('ZN', lpad(cast(event_id // 200 as varchar), 10, '0'))
+       else {_US.format('(event_id * 31) % 150')} end as to_account,
+  case when event_id % 101 = 0 then 'Suspected Money  Launder ring'
+       when event_id % 103 = 0 then 'Possible sanction violation'
+       when event_id % 107 = 0 then 'Gift to a TERRORIST group'
+       when event_id % 109 = 0 then 'Illicit funds after a sanctions violation'
+       when event_id % 11 = 0 then 'Mail anna.k+x@mail.example.org, SSN 987-65-4321, dial 212-555-0199'
+       when event_id % 13 = 0 then 'Desk phone (646) 555-0142'
+       else 'Groceries and fuel' end as description,
   ts as occurred_at
  from events)"""
 
@@ -41,8 +44,11 @@ features as (
          h as (partition by account order by occurred_at, id rows between 20 preceding and 1 preceding))
  where is_from)"""
 
-_PATTERN = "case " + " ".join(
-    f"when regexp_matches(description, '{p}') then '{p}'" for p in V.SANCTIONED_PATTERNS) + " end"
+# Written out here and not shared with the engine, so that a wrong value shows.
+_PATTERN = r"""case when regexp_matches(description, '(?i)money\s*launder') then '(?i)money\s*launder'
+ when regexp_matches(description, '(?i)terrorist') then '(?i)terrorist'
+ when regexp_matches(description, '(?i)sanctions?\s*violation') then '(?i)sanctions?\s*violation'
+ when regexp_matches(description, '(?i)illicit\s*fund') then '(?i)illicit\s*fund' end"""
 
 GATED = f"""
 gated as (
@@ -71,23 +77,44 @@ def _nearest(name: str, queries: str, k: int, extra: str = "") -> str:
  where rank <= {k})"""
 
 
-SIMILAR = _EMBEDDINGS + """,
-asked as (select id, v from vectors where id in (select id from gated where gate_decision = 'FLAG')),""" + _nearest(
-    "nearest", "asked", 5) + """,
+_TEXT = "amount || ' ' || currency || ' from ' || from_account || ' to ' || to_account || ': ' || description"
+
+SIMILAR = f"""
+texts as (select id, epoch_us(occurred_at) as at_us, {_TEXT} as text from transactions),
+words as (
+ select id, cast(('0x' || substr(md5(w), 1, 8)) as bigint) % 384 as bucket
+ from (select id, unnest(regexp_split_to_array(lower(text), '\\W+')) as w from texts) where w <> ''),
+counts as (select id, bucket, count(*) as n from words group by id, bucket),
+norms as (select id, sqrt(cast(sum(n * n) as double)) as norm from counts group by id),
+stored as (
+ select t.id, any_value(t.at_us) as at_us,
+  cast(list_transform(range(384), lambda b: coalesce(map_from_entries(list((c.bucket, cast(cast(n / norm as float) as double))))[b], 0))
+   as double[384]) as v
+ from texts t join counts c on t.id = c.id join norms m on t.id = m.id group by t.id),
+asked as (select * from stored where id in (select id from gated where gate_decision = 'FLAG')),
+near as (
+ select * from (
+  select *, row_number() over (partition by query_id order by similarity desc, id) as rank from (
+   select q.id as query_id, c.id, round((1 + array_cosine_similarity(q.v, c.v)) / 2, 9) as similarity
+   from asked q join stored c on c.at_us < q.at_us or (c.at_us = q.at_us and c.id <= q.id)))
+ where rank <= 5 and id <> query_id),
 alike as (
  select query_id as id, count(*) as similar_count,
   cast(sum(cast(similarity as decimal(12,9))) as double) / count(*) as similar_mean
- from nearest where id in (select id from transactions) group by query_id)"""
+ from near group by query_id)"""
 
 _EXACT2 = "cast(round(cast(cast({0} as varchar) as decimal(38,18)), 2) as decimal(20,2))"
 
-ASSESSED = f"""
+_ALL_ALIKE = "g.id = s.id"
+_SOME_ALIKE = "g.id = s.id and cast(substr(g.id, 25) as bigint) % 7 <> 0"
+
+_ASSESSED = f"""
 points as (
  select g.*, s.similar_count, s.similar_mean,
   cast(least(100.00, round(g.amount * 0.005, 2)) as decimal(20,2)) as amount_points,
   case when coalesce(s.similar_count, 0) = 0 then cast(10 as decimal(20,2))
        else {_EXACT2.format('cast(-20 as double) * s.similar_mean')} end as similarity_points
- from gated g left join alike s on g.id = s.id where g.gate_decision = 'FLAG'),
+ from gated g left join alike s on {{alike}} where g.gate_decision = 'FLAG'),
 assessed as (
  select *,
   cast(greatest(0.00, least(100.00, amount_points + similarity_points)) as decimal(5,2)) as assessment_risk,
@@ -100,6 +127,8 @@ assessed as (
   end as decimal(5,2)) as history_risk
  from points)"""
 
+ASSESSED = _ASSESSED.replace("{alike}", _ALL_ALIKE)
+
 DECIDED = """
 scored as (
  select *, cast(round(gate_score * 0.20 + assessment_risk * 0.50 + history_risk * 0.30, 2) as decimal(5,2)) as risk_score
@@ -121,6 +150,7 @@ decided as (
 
 TO_GATE = ", ".join([TRANSACTIONS, ACTIVITY, FEATURES, GATED])
 TO_ASSESSED = ", ".join([TO_GATE, SIMILAR, ASSESSED])
+TO_PARTLY_ASSESSED = ", ".join([TO_GATE, SIMILAR, _ASSESSED.replace("{alike}", _SOME_ALIKE)])
 TO_DECIDED = ", ".join([TO_ASSESSED, DECIDED])
 
 
@@ -166,56 +196,77 @@ TO_OUTBOX = ", ".join([TO_DECIDED, OUTBOX])
 RAW_EVENTS = f"""
 raw_events as (
  select event_id,
-  case when event_id % 37 = 0 then null when event_id % 41 = 0 then 'TransactionDeleted'
-       else 'TransactionReceived' end as event_type,
-  case when event_id % 43 = 0 then 'invalid json' else concat(
-   '{{"id":"', {_UUID.format('event_id')},
-   '","amount":', cast(cast(case when event_id % 47 = 0 then -500.00 else value end as decimal(19,4)) as varchar),
-   ',"currency":"', case when event_id % 53 = 0 then 'ZZZ' else 'USD' end,
-   '","fromAccount":"', case when event_id % 59 = 0 then 'invalid-account' else {_US.format('user_id')} end,
-   '","toAccount":"GB9876543210","description":"Test payment","occurredAt":"2026-02-13T00:00:00Z"}}') end as value
+  case when event_id % 37 = 0 then null when event_id % 41 = 0 then 'TransactionMoved'
+       when event_id % 5 = 0 then 'TransactionEvaluated' else 'TransactionReceived' end as event_type,
+  case when event_id % 43 = 0 then 'no json' else concat(
+   '{{"id":"', case when event_id % 61 = 0 then 'no-uuid' else {_UUID.format('event_id')} end,
+   '","amount":', case when event_id % 67 = 0 then 'null' when event_id % 71 = 0 then '10000000000000000.5'
+     else cast(cast(case when event_id % 47 = 0 then -75.25 else value end as decimal(19,4)) as varchar) end,
+   ',"currency":"', case when event_id % 53 = 0 then 'QQQ' when event_id % 2 = 0 then 'USD' else 'DEM' end,
+   '","fromAccount":"', case when event_id % 59 = 0 then 'US12' else {_US.format('user_id')} end,
+   '","toAccount":"FR0000000777","description":', case when event_id % 73 = 0 then 'null' else '"Library fees"' end,
+   ',"occurredAt":"', case when event_id % 79 = 0 then strftime(ts, '%Y-%m-%d') else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end, '"',
+   case when event_id % 5 = 0 then concat(
+    ',"decision":"', case when event_id % 83 = 0 then 'MAYBE' else 'FLAG' end,
+    '","riskScore":', case when event_id % 89 = 0 then '100.5' else cast(event_id % 100 as varchar) end,
+    ',"reasoning":"checked by hand","evaluatedAt":"', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '"') else '' end,
+   '}}') end as value
  from events)"""
 
-_CODES = ", ".join(f"'{c}'" for c in V.CURRENCY_CODES)
+# Codes of the test tables only; 'DEM' is a code of the past.
+_CODES = "'USD', 'EUR', 'GBP', 'DEM'"
 
 VALIDATED = f"""
 parsed as (select *, case when json_valid(value) then cast(value as json) end as j from raw_events),
+wire as (
+ select event_id, event_type, value, j, event_type = 'TransactionEvaluated' as is_evaluated,
+  cast(j->>'$.amount' as decimal(38,18)) as wire_amount, cast(j->>'$.riskScore' as decimal(38,18)) as wire_score
+ from parsed),
 fields as (
- select event_id, event_type, value, j,
-  lower(j->>'$.id') as id, cast(j->>'$.amount' as decimal(19,4)) as amount, j->>'$.currency' as currency,
+ select *,
+  case when regexp_full_match(lower(j->>'$.id'), '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') then lower(j->>'$.id') end as id,
+  try_cast(round(wire_amount, 4) as decimal(19,4)) as amount, j->>'$.currency' as currency,
   j->>'$.fromAccount' as from_account, j->>'$.toAccount' as to_account, j->>'$.description' as description,
-  cast(strptime(j->>'$.occurredAt', '%Y-%m-%dT%H:%M:%SZ') as timestamp) as occurred_at
- from parsed),
+  cast(try_strptime(j->>'$.occurredAt', '%Y-%m-%dT%H:%M:%SZ') as timestamp) as occurred_at,
+  case when is_evaluated then j->>'$.decision' end as decision,
+  case when is_evaluated then cast(wire_score as decimal(5,2)) end as risk_score,
+  case when is_evaluated then j->>'$.reasoning' end as reasoning,
+  case when is_evaluated then cast(try_strptime(j->>'$.evaluatedAt', '%Y-%m-%dT%H:%M:%SZ') as timestamp) end as evaluated_at
+ from wire),
 validated as (
  select * exclude (j), case
   when event_type is null then 'missing event type'
   when event_type not in ('TransactionReceived', 'TransactionEvaluated') then 'unknown event type'
   when j is null then 'unparseable payload'
   when id is null then 'invalid id'
-  when amount is null then 'missing amount'
-  when amount < 0 then 'negative amount'
+  when wire_amount is null then 'missing amount'
+  when wire_amount < 0 then 'negative amount'
+  when amount is null then 'amount out of range'
   when currency not in ({_CODES}) then 'unknown currency'
   when not (regexp_full_match(from_account, '[A-Z]{{2}}[0-9]{{10}}')
             and regexp_full_match(to_account, '[A-Z]{{2}}[0-9]{{10}}')) then 'invalid account'
   when description is null then 'missing description'
-  when occurred_at is null then 'invalid time' end as reject_reason
+  when occurred_at is null then 'invalid time'
+  when is_evaluated and not coalesce(decision in ('APPROVE', 'FLAG', 'BLOCK') and reasoning is not null, false) then 'invalid decision'
+  when is_evaluated and not coalesce(wire_score between 0 and 100, false) then 'invalid risk score'
+  when is_evaluated and evaluated_at is null then 'invalid time' end as reject_reason
  from fields)"""
 
 REQUESTS = f"""
 requests as (
  select event_id,
   cast(case when event_id % 29 = 0 then null when event_id % 31 = 0 then -50.0 else value end as decimal(19,4)) as amount,
-  case when event_id % 37 = 0 then '  ' when event_id % 41 = 0 then 'ZZZ' else 'USD' end as currency,
-  case when event_id % 43 = 0 then null when event_id % 47 = 0 then 'bad' else {_US.format('user_id')} end as from_account,
-  case when event_id % 53 = 0 then '' else 'US9876543210' end as to_account,
-  case when event_id % 59 = 0 then null else 'Test payment' end as description
+  case when event_id % 37 = 0 then chr(9) when event_id % 41 = 0 then 'QQQ' else 'USD' end as currency,
+  case when event_id % 43 = 0 then null when event_id % 47 = 0 then 'US12' else {_US.format('user_id')} end as from_account,
+  case when event_id % 53 = 0 then '' else 'FR0000000777' end as to_account,
+  case when event_id % 59 = 0 then null else 'Library fees' end as description
  from events),
 field_checks as (
  select *, concat_ws('; ',
    case when amount is null then 'missing amount' when amount <= 0 then 'amount not positive' end,
-   case when coalesce(trim(currency), '') = '' then 'blank currency' end,
-   case when coalesce(trim(from_account), '') = '' then 'blank from account' end,
-   case when coalesce(trim(to_account), '') = '' then 'blank to account' end) as field_reasons
+   case when coalesce(trim(currency, concat(' ', chr(9))), '') = '' then 'blank currency' end,
+   case when coalesce(trim(from_account, concat(' ', chr(9))), '') = '' then 'blank from account' end,
+   case when coalesce(trim(to_account, concat(' ', chr(9))), '') = '' then 'blank to account' end) as field_reasons
  from requests),
 checked as (
  select * exclude (field_reasons),
@@ -236,7 +287,6 @@ deliveries as (
 latest as (
  select * from deliveries qualify row_number() over (partition by id order by ingest_seq desc) = 1)"""
 
-_TEXT = "amount || ' ' || currency || ' from ' || from_account || ' to ' || to_account || ': ' || description"
 
 
 def _words(source: str) -> str:
@@ -253,7 +303,11 @@ weights as (
 
 
 def _scrubbed(column: str) -> str:
-    for pattern, mark in ((V.SSN_PATTERN, V.SSN_MARK), (V.EMAIL_PATTERN, V.EMAIL_MARK), (V.PHONE_PATTERN, V.PHONE_MARK)):
+    for pattern, mark in (
+        (r"\d{3}-\d{2}-\d{4}", "[REDACTED_SSN]"),
+        (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[REDACTED_EMAIL]"),
+        (r"(\+?\d{1,3}[\-.\s]?)?\(?\d{3}\)?[\-.\s]?\d{3}[\-.\s]?\d{4}", "[REDACTED_PHONE]"),
+    ):
         column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"
     return column
 
@@ -266,8 +320,11 @@ usage as (
   case when role = 'assistant' then 0 else length(text) end as input_tokens,
   case when role = 'assistant' then length(text) else 0 end as output_tokens
  from conversations),
-prices(name, price_in, price_out) as (values """ + ", ".join(
-    f"('{m}', cast({i} as decimal(18,9)), cast({o} as decimal(18,9)))" for m, i, o in V.MODEL_PRICES) + """),
+prices(name, price_in, price_out) as (
+ select name, cast(i as decimal(18,9)), cast(o as decimal(18,9)) from (values
+  ('gpt-4o', '0.0025', '0.01'), ('gpt-4o-mini', '0.00015', '0.0006'), ('gpt-4-turbo', '0.01', '0.03'),
+  ('gpt-4', '0.03', '0.06'), ('gpt-3.5-turbo', '0.0005', '0.0015'), ('text-embedding-3-small', '0.00002', '0'),
+  ('text-embedding-3-large', '0.00013', '0')) p(name, i, o)),
 priced as (
  select u.*, p.* from usage u left join prices p on starts_with(u.model, p.name)
  qualify row_number() over (partition by conv_id, turn order by length(p.name) desc nulls last) = 1),
@@ -327,6 +384,28 @@ def oracle_sql() -> dict[str, str]:
         "similar_within":
             f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 10, 'where similarity > 0.7')} "
             "select query_id, id, similarity, round(2.0 * (1.0 - similarity), 8) as distance, rank from nearest",
+        "knn_blocks": f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 5)} select query_id, id, similarity, rank from nearest",
+        "similar_blocks":
+            f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 10, 'where similarity > 0.7')} "
+            "select query_id, id, similarity, round(2.0 * (1.0 - similarity), 8) as distance, rank from nearest",
+        "similar_transactions": f"with {TO_GATE}, {SIMILAR} select query_id, id, similarity, rank from near",
+        "velocity_split": f"with {TO_GATE} select id, from_account, velocity from features",
+        "history_split":
+            f"with {TO_GATE} select id, from_account, history_count, history_sum, "
+            "cast(history_sum as double) / nullif(history_count, 0) as history_mean from features",
+        "stream_velocity_open":
+            f"with {TO_GATE} select id, from_account, velocity, history_count, history_sum from features",
+        "assess_with_model": f"""with {TO_GATE}, {SIMILAR},
+ larger as (
+  select near.query_id as id, count(*) as n, count(*) filter (where t.amount > q.amount) as larger
+  from near join transactions t on near.id = t.id join transactions q on near.query_id = q.id group by 1),
+ told as (
+  select g.id, g.from_account, coalesce(l.n, 0) as n, coalesce(l.larger, 0) as larger,
+   cast(substr(g.id, 25) as bigint) % 9 <> 0 as ok
+  from gated g left join larger l on g.id = l.id where gate_decision = 'FLAG')
+ select id, ok as assessment_ok, case when ok then cast(100.0 * larger / greatest(n, 1) as decimal(5,2)) end as assessment_risk,
+  case when ok then larger || ' of ' || n || ' from ' || substr(sha256(from_account), 1, 8) end as assessment_reasoning
+ from told""",
         "embed_transactions": f"with {TRANSACTIONS}, {_words('transactions')} select id, bucket, weight from weights",
         "store_embeddings":
             f"with {DELIVERIES}, {_words('latest')} select w.id, l.ingest_seq, w.bucket, w.weight "
@@ -335,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
             f"with {TO_ASSESSED} select id, coalesce(similar_count, 0) as similar_count, assessment_risk, "
             "assessment_reasoning from assessed",
         "history_risk": f"with {TO_ASSESSED} select id, history_count, history_risk from assessed",
-        "score": f"""with {TO_ASSESSED},
+        "score": f"""with {TO_PARTLY_ASSESSED},
  parts as (select *, substr(id, 25)::bigint % 5 <> 0 as a, substr(id, 25)::bigint % 3 <> 0 as h from assessed),
  cents as (select *,
   cast((gate_score * 0.20 + case when a then assessment_risk * 0.50 else 0 end
@@ -356,20 +435,17 @@ def oracle_sql() -> dict[str, str]:
             "as reasoning from gated where gate_decision <> 'FLAG'",
         "evaluate":
             f"with {TO_DECIDED} select id, amount, gate_decision, decision, risk_score, reasoning from decided",
-        "assertions": f"""with {TO_DECIDED}, {_nearest('pairs', 'vectors', 5)}
- select 'decision' as promise, count(*) as faults from decided
-  where not coalesce(decision in ('APPROVE', 'FLAG', 'BLOCK') and risk_score between 0 and 100
-                     and reasoning is not null, false)
- union all select 'gate', count(*) from gated
-  where gate_decision is null or gate_reason is null or gate_score is null
- union all select 'redaction', count(*) from transactions
-  where not regexp_full_match(substr(sha256(from_account), 1, 8), '[0-9a-f]{{8}}')
-   or not regexp_full_match(substr(sha256(to_account), 1, 8), '[0-9a-f]{{8}}')
- union all select 'similarity', count(*) from pairs where not coalesce(similarity between 0 and 1, false)""",
+        "assertions": f"""with {TO_DECIDED}, {_EMBEDDINGS}, {_nearest('pairs', 'vectors', 5)}
+ select 'decision' as promise, count(*) as faults from decided where cast(substr(id, 25) as bigint) % 40 = 0
+ union all select 'score', count(*) from decided where cast(substr(id, 25) as bigint) % 41 = 0
+ union all select 'gate', count(*) from gated where cast(substr(id, 25) as bigint) % 42 = 0
+ union all select 'redaction', count(*) from transactions where cast(substr(id, 25) as bigint) % 43 = 0
+ union all select 'similarity', count(*) from pairs where cast(substr(query_id, 25) as bigint) % 44 = 0""",
         "audit_log":
             f"with {TO_DECIDED} select {_TX}, decision, risk_score, reasoning, evaluated_at from decided",
         "decode_evaluated":
-            f"with {TO_DECIDED} select {_TX}, decision, risk_score, reasoning, evaluated_at from decided",
+            f"with {RAW_EVENTS}, {VALIDATED} select {_TX}, decision, risk_score, reasoning, evaluated_at from validated "
+            "where reject_reason is null and event_type = 'TransactionEvaluated'",
         "to_outbox":
             f"with {TO_OUTBOX} select id, aggregate_type, aggregate_id, event_type, payload, created_at from outbox",
         "route_outbox":
@@ -385,7 +461,8 @@ def oracle_sql() -> dict[str, str]:
         "outbox_purge_count":
             f"with {TO_OUTBOX} select count(*) as purged from outbox where created_at < timestamp '2024-01-24 00:00:00'",
         "decode_received":
-            f"with {RAW_EVENTS}, {VALIDATED} select {_TX} from validated where reject_reason is null",
+            f"with {RAW_EVENTS}, {VALIDATED} select {_TX} from validated "
+            "where reject_reason is null and event_type = 'TransactionReceived'",
         "route_events":
             f"with {RAW_EVENTS}, {VALIDATED} select event_id, case when reject_reason is not null then 'rejected' "
             "when event_type = 'TransactionReceived' then 'received' else 'evaluated' end as route from validated",

@@ -49,12 +49,9 @@ class RiskConfig:
     hot_rows_per_slot: int = 100_000
     max_slots: int = 65_536
 
-    # Query vectors sent to every task at once; beyond either bound, vectors
-    # are shuffled by cell instead.
+    # Query vectors sent to every task at once; more go in several blocks.
     broadcast_queries: int = 16_384
     broadcast_bytes: int = 32 * 1024 * 1024
-    cell_rows: int = 20_000
-    max_pivots: int = 512
 
     @property
     def velocity_window_us(self) -> int:

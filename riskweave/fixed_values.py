@@ -52,6 +52,9 @@ INSTANT_PATTERN = (
     r"([Zz]|[+-][0-9]{2}(:[0-9]{2}(:[0-9]{2})?)?)\z"
 )
 
+# A character that trimming leaves.
+NOT_BLANK_PATTERN = r"[^\x00-\x20]"
+
 # --- fixed values: ISO 4217 alphabetic codes ---------------------------------
 CURRENCY_CODES = tuple(
     """
@@ -68,6 +71,15 @@ CURRENCY_CODES = tuple(
     """.split()
 )
 
+# Codes that are no longer in use but still name a currency.
+HISTORIC_CURRENCY_CODES = tuple(
+    """
+    ADP AFA ATS AYM AZM BEF BGL BYB BYR CSD CYP DEM EEK ESP FIM FRF GHC GRD GWP
+    HRK IEP ITL LTL LUF LVL MGF MRO MTL MZM NLG PTE ROL RUR SDD SIT SKK SLL SRG
+    STD TMM TPE TRL USS VEB VEF XFO XFU YUM ZMK ZWD ZWL ZWN ZWR
+    """.split()
+)
+
 # --- fixed values: events and outbox -----------------------------------------
 RECEIVED = "TransactionReceived"
 EVALUATED = "TransactionEvaluated"

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
+from inspect import signature
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from riskweave.operators.activity import history_mean
 from riskweave.operators.redact import redacted_struct
 from riskweave.schemas import SCORE
 
-Model = Callable[[Column, Column, Column], Column]
+Model = Callable[..., Column]
+_ANSWER = "risk double, reasoning string"
 
 
 def _clamp(score: Column) -> Column:
@@ -50,21 +54,62 @@ def heuristic(redacted: Column, similar_count: Column, similar_mean: Column) ->
     )
 
 
+def reads_neighbours(model: Model) -> bool:
+    """Whether a model takes the neighbours themselves as a fourth argument."""
+    return len(signature(model).parameters) == 4
+
+
+def model_of(
+    analyze: Callable[[dict, list[dict]], tuple[float, str]], timeout_seconds: float | None = None
+) -> Model:
+    """A model from a function of a redacted transaction and its neighbours, both as dictionaries.
+
+    It runs on Arrow batches. A call that raises or takes too long has no
+    answer; the row is then scored without an assessment.
+    """
+    @F.pandas_udf(_ANSWER)
+    def answers(redacted: pd.DataFrame, similar: pd.Series) -> pd.DataFrame:
+        def answer(row: dict, near) -> tuple:
+            try:
+                risk, reasoning = analyze(row, [] if near is None else [dict(n) for n in near])
+                return float(risk), str(reasoning)
+            except Exception:
+                return None, None
+
+        rows = redacted.to_dict("records")
+        if timeout_seconds is None:
+            found = [answer(row, near) for row, near in zip(rows, similar)]
+        else:
+            found = []
+            for row, near in zip(rows, similar):
+                pool = ThreadPoolExecutor(1)
+                try:
+                    found.append(pool.submit(answer, row, near).result(timeout_seconds))
+                except TimeoutError:
+                    found.append((None, None))
+                pool.shutdown(wait=False)
+        return pd.DataFrame(found, columns=["risk", "reasoning"])
+
+    return lambda redacted, count, mean, similar: answers(redacted, similar)
+
+
 def assess(rows: DataFrame, model: Model = heuristic) -> DataFrame:
     """Adds `assessment_risk`, `assessment_reasoning`, `assessment_ok`.
 
-    `model` maps the redacted transaction (a struct), the neighbour count and
-    the mean similarity to `struct<risk, reasoning>`; an Arrow UDF can stand
-    in for the heuristic. It never sees the row itself. An answer without
-    reasoning or with a risk outside 0..100 counts as unavailable.
+    `model` maps the redacted transaction (a struct), the neighbour count, the
+    mean similarity and, if it has a fourth argument, the redacted neighbours
+    to `struct<risk, reasoning>`; `model_of` makes one from a function. It
+    never sees the row itself. An answer without reasoning or with a risk
+    outside 0..100 counts as unavailable.
     """
-    answer = model(redacted_struct(), F.col("similar_count"), F.col("similar_mean"))
+    given = [redacted_struct(), F.col("similar_count"), F.col("similar_mean")]
+    answer = model(*given, F.col("similar")) if reads_neighbours(model) else model(*given)
     usable = F.col("_answer.risk").between(0, V.MAX_SCORE) & F.col("_answer.reasoning").isNotNull()
     return rows.withColumn("_answer", answer).withColumns({
         "assessment_ok": F.coalesce(usable, F.lit(False)),
-        "assessment_risk": F.col("_answer.risk").cast(SCORE),
+        "assessment_risk": F.when(usable, F.col("_answer.risk")).cast(SCORE),
         "assessment_reasoning": F.col("_answer.reasoning"),
-    }).drop("_answer")
+    }).drop("_answer", "similar")
 
 
 def history_risk(rows: DataFrame) -> DataFrame:

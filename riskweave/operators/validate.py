@@ -54,7 +54,7 @@ def event_type_of(headers: Column) -> Column:
     return F.get(found, F.lit(0))["value"].cast("string")
 
 
-def validate_events(frames: DataFrame, currencies: Iterable[str] = V.CURRENCY_CODES) -> DataFrame:
+def validate_events(frames: DataFrame, currencies: Iterable[str] = V.CURRENCY_CODES + V.HISTORIC_CURRENCY_CODES) -> DataFrame:
     """Adds the decoded columns and `reject_reason`, null on valid rows.
 
     Needs `event_type` and `value` (JSON text); other columns pass through.
@@ -136,14 +136,14 @@ def route_events(frames: DataFrame) -> DataFrame:
     )
 
 
-def validate_requests(requests: DataFrame, currencies: Iterable[str] = V.CURRENCY_CODES) -> DataFrame:
+def validate_requests(requests: DataFrame, currencies: Iterable[str] = V.CURRENCY_CODES + V.HISTORIC_CURRENCY_CODES) -> DataFrame:
     """Adds `reject_reasons`: every failing field of an API-shaped row, empty if it is valid.
 
     Field rules are all reported; only a row that passes them is checked for
     currency, account format and description.
     """
     def blank(name: str) -> Column:
-        return F.coalesce(F.length(F.trim(F.col(name))) == 0, F.lit(True))
+        return F.coalesce(~F.col(name).rlike(V.NOT_BLANK_PATTERN), F.lit(True))
 
     fields = F.filter(
         F.array(

@@ -4,14 +4,11 @@ Similarity is `(1 + cosine) / 2`, computed in double precision and rounded to
 nine places; equal similarities rank by id, so results do not depend on how
 the vectors were distributed.
 
-Two plans give the same result:
-
-* few query vectors (number and size are checked against the settings): every
-  task gets them, scans its own candidates once and returns its best;
-* many: candidates are grouped by their nearest pivot vector, each query
-  visits only the groups the triangle inequality cannot rule out, and large
-  groups are cut into blocks on both sides. Nothing is skipped that could be
-  among the nearest.
+Queries are taken in blocks of bounded number and size. A block goes to every
+task, which scans the candidates it has and returns its best; candidates are
+never shuffled or copied. The best of all tasks are merged by a rank limit
+that also runs before the shuffle. Several blocks run one after the other,
+each written to the shared folder.
 
 Pairs exist only inside a task's matrix product; only the best of a block
 become rows.
@@ -30,15 +27,12 @@ from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.embed import hash_embedding
 from riskweave.functions.text import transaction_text
-from riskweave.session import cut
+from riskweave.session import cut, scratch_dir
 
 _MATCHES = "query_id string, id string, similarity double"
 _PAIRS_AT_ONCE = 4_000_000
 # Cosines this close may round to the same similarity.
 _ROUNDING = 4e-9
-# Above the rounding errors of squared distances between unit vectors.
-_SLACK = 1e-5
-_MIN_GAP = 1e-3
 
 
 def embed_transactions(
@@ -61,17 +55,21 @@ def knn(
     cfg: RiskConfig = RiskConfig(),
     self_takes_slot: bool = False,
     min_similarity: float | None = None,
+    as_of: Sequence[str] = (),
 ) -> DataFrame:
     """`query_id, id, similarity, rank`: the k most similar candidates of every query.
 
     Both inputs have `id, embedding`. A query never matches its own id; with
     `self_takes_slot` its own vector still uses up one of the k places.
     `min_similarity` is exclusive. Candidate ids may repeat if all copies
-    have the same vector: they count once.
+    have the same vector: they count once. `as_of` names columns of whole
+    numbers in both inputs: only candidates that do not come after the query,
+    by these and then by id, can match.
     """
     keep = k if self_takes_slot else k + 1
-    queries = queries.select("id", "embedding").filter(F.col("embedding").isNotNull())
-    candidates = candidates.select("id", "embedding").filter(F.col("embedding").isNotNull())
+    columns = ["id", "embedding", *[F.col(c).cast("bigint").alias(c) for c in as_of]]
+    queries = queries.select(*columns).filter(F.col("embedding").isNotNull())
+    candidates = candidates.select(*columns).filter(F.col("embedding").isNotNull())
     matches = _matches(queries, candidates, keep, cfg, min_similarity)
     # Copies of a candidate are neighbours in this order and share a dense rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
@@ -97,20 +95,22 @@ def similar_within(
 
 
 def existing_only(matches: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Matches whose transaction is known; ranks keep their gaps.
+    """Matches whose transaction is known; ranks keep their gaps."""
+    return matches.join(transactions.select("id"), "id", "left_semi")
 
-    Transaction ids are unique, so an inner join is enough, and either side
-    may be the broadcast one: usually the matches, by far the smaller.
-    """
-    return matches.join(transactions.select("id"), "id")
 
+def similarity_summary(matches: DataFrame, details: Sequence[str] = ()) -> DataFrame:
+    """`id, similar_count, similar_mean` per query; the sum is exact in nine places.
 
-def similarity_summary(matches: DataFrame) -> DataFrame:
-    """`id, similar_count, similar_mean` per query; the sum is exact in nine places."""
-    return matches.groupBy(F.col("query_id").alias("id")).agg(
+    With `details`, also `similar`: the matches in order of rank, with their
+    similarity and those columns.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("rank", "id", "similarity", *details)))
+    return matches.groupBy(F.col("query_id").alias("_query")).agg(
         F.count("*").alias("similar_count"),
         (F.sum(F.col("similarity").cast("decimal(12,9)")).cast("double") / F.count("*")).alias("similar_mean"),
-    )
+        *([listed.alias("similar")] if details else []),
+    ).withColumnRenamed("_query", "id")
 
 
 def similarity_faults(matches: DataFrame) -> DataFrame:
@@ -121,35 +121,67 @@ def similarity_faults(matches: DataFrame) -> DataFrame:
 def _matches(
     queries: DataFrame, candidates: DataFrame, keep: int, cfg: RiskConfig, min_similarity: float | None
 ) -> DataFrame:
+    spark = queries.sparkSession
     few = queries.limit(cfg.broadcast_queries + 1).toArrow()
     if few.num_rows == 0:
-        return queries.sparkSession.createDataFrame([], _MATCHES)
+        return spark.createDataFrame([], _MATCHES)
     dimensions = len(few.column("embedding")[0])
-    if few.num_rows <= cfg.broadcast_queries and few.nbytes <= cfg.broadcast_bytes:
-        return _scan(few, candidates, keep, dimensions, min_similarity)
-    return _by_cell(queries, candidates, keep, dimensions, cfg, min_similarity)
+    most = max(1, min(cfg.broadcast_queries, cfg.broadcast_bytes // (4 * dimensions)))
+    if few.num_rows <= most:
+        return _scan(few, candidates, keep, dimensions, min_similarity)[0]
+    # Computed once: every block reads them.
+    queries, candidates = cut(queries), cut(candidates)
+    blocks = -(-queries.count() * 5 // (most * 4))  # hashed blocks are not all of one size
+    folder = scratch_dir(spark, "matches")
+    for block in range(blocks):
+        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        if mine.num_rows:
+            found, shared = _scan(mine, candidates, keep, dimensions, min_similarity)
+            found.write.mode("append").parquet(folder)
+            shared.destroy()
+    return spark.read.schema(_MATCHES).parquet(folder)
 
 
 # ---- arithmetic inside one task ---------------------------------------------
 
-def _unit(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
-    """List column as a matrix of unit rows; zero vectors stay zero."""
+def _unit(vectors: pa.Table | pa.RecordBatch, dimensions: int) -> np.ndarray:
+    """The embeddings as a matrix of unit rows; zero vectors stay zero."""
+    column = vectors.column("embedding")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != dimensions).any():
+        wrong = int(np.flatnonzero(lengths != dimensions)[0])
+        raise ValueError(f"vector of {vectors.column('id')[wrong]} has {lengths[wrong]} numbers, not {dimensions}")
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _fewer_copies(ids: np.ndarray, units: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each id once, sorted, and at most `keep` ids with one vector: further ones always rank behind."""
-    ids, order = np.unique(ids, return_index=True)
-    units = np.ascontiguousarray(units[order])
+def _order(vectors: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """The columns behind the embedding: when a row came."""
+    return [vectors.column(n).to_numpy() for n in vectors.schema.names[2:]]
+
+
+def _came(query_ids: np.ndarray, query_order: list, ids: np.ndarray, order: list) -> np.ndarray:
+    """Which candidates do not come after each query."""
+    came = ids[None, :] <= query_ids[:, None]
+    for asked, held in zip(reversed(query_order), reversed(order)):
+        came = (held[None, :] < asked[:, None]) | ((held[None, :] == asked[:, None]) & came)
+    return came
+
+
+def _fewer_copies(ids: np.ndarray, units: np.ndarray, order: list, keep: int):
+    """Each id once, sorted; without an order at most `keep` ids with one vector: further ones always rank behind."""
+    ids, first = np.unique(ids, return_index=True)
+    units, order = np.ascontiguousarray(units[first]), [o[first] for o in order]
+    if order:
+        return ids, units, order
     _, group = np.unique(units.view(np.dtype((np.void, units.itemsize * units.shape[1]))).ravel(), return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[by_group], group[by_group], side="left")
     kept = np.sort(by_group[np.arange(len(group)) - starts < keep])
-    return ids[kept], units[kept]
+    return ids[kept], units[kept], []
 
 
 def _first_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -163,15 +195,19 @@ def _first_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray,
     return order[np.arange(len(order)) - starts < keep]
 
 
-def _best(query_units: np.ndarray, ids: np.ndarray, units: np.ndarray, keep: int, floor: float | None):
+def _best(query: tuple, ids: np.ndarray, units: np.ndarray, order: list, keep: int, floor: float | None):
     """Query numbers, candidate ids and similarities of the best pairs of one block."""
-    ids, units = _fewer_copies(ids, units, keep)
+    query_ids, query_units, query_order = query
+    ids, units, order = _fewer_copies(ids, units, order, keep)
     found = []
     step = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
     for start in range(0, len(query_units), step):
-        cosine = query_units[start:start + step] @ units.T
+        here = slice(start, start + step)
+        cosine = query_units[here] @ units.T
+        if order:
+            cosine[~_came(query_ids[here], [o[here] for o in query_order], ids, order)] = -np.inf
         # Only what can still rank after rounding is rounded.
-        bar = np.full((len(cosine), 1), -np.inf if floor is None else 2.0 * floor - 1.0)
+        bar = np.full((len(cosine), 1), -2.0 if floor is None else 2.0 * floor - 1.0)
         if cosine.shape[1] > keep:
             bar = np.maximum(bar, np.partition(cosine, cosine.shape[1] - keep, axis=1)[:, -keep][:, None])
         rows, cols = np.nonzero(cosine >= bar - _ROUNDING)
@@ -196,137 +232,25 @@ def _as_table(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, similar
     })
 
 
-# ---- few queries: every task scans its candidates once ----------------------
-
-def _scan(
-    few: pa.Table, candidates: DataFrame, keep: int, dimensions: int, floor: float | None
-) -> DataFrame:
+def _scan(few: pa.Table, candidates: DataFrame, keep: int, dimensions: int, floor: float | None):
+    """Best pairs of a block of queries in each task's candidates, and the broadcast block."""
     shared = candidates.sparkSession.sparkContext.broadcast(
-        (_ids(few.column("id")), _unit(few.column("embedding"), dimensions))
+        (_ids(few.column("id")), _unit(few, dimensions), _order(few))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_units = shared.value
         held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             found = _best(
-                query_units, _ids(batch.column("id")), _unit(batch.column("embedding"), dimensions), keep, floor
-            )
+                shared.value, _ids(batch.column("id")), _unit(batch, dimensions), _order(batch), keep, floor)
             if held is not None:
                 found = tuple(np.concatenate(pair) for pair in zip(held, found))
                 best = _first_per_query(found[0], found[2], found[1], keep)
                 found = tuple(part[best] for part in found)
             held = found
         if held is not None:
-            yield from _as_table(query_ids, *held).to_batches(max_chunksize=10_000)
-
-    return candidates.mapInArrow(scan, _MATCHES)
-
-
-# ---- many queries: cells around pivots --------------------------------------
-
-def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.clip(units @ pivots.T, -1.0, 1.0)))
-
-
-def _by_cell(
-    queries: DataFrame, candidates: DataFrame, keep: int, dimensions: int, cfg: RiskConfig, floor: float | None
-) -> DataFrame:
-    spark = candidates.sparkSession
-    copies = Window.partitionBy("embedding").orderBy("id")
-    candidates = candidates.dropDuplicates(["id"])
-    candidates = candidates.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= keep).drop("_copy")
-
-    wanted = min(cfg.max_pivots, 1 + candidates.count() // cfg.cell_rows)
-    sample = candidates.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").toArrow()
-    pivots = _unit(sample.column("embedding"), dimensions)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            away = _distances(_unit(batch.column("embedding"), dimensions), pivots)
-            cell = away.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("embedding"),
-                 pa.array(cell, pa.int32()), pa.array(away[np.arange(len(cell)), cell], pa.float64())],
-                names=["id", "embedding", "cell", "away"],
-            )
-
-    assigned = cut(candidates.mapInArrow(assign, "id string, embedding array<float>, cell int, away double"))
-    sizes = {r.cell: r for r in assigned.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}
-    if not sizes:
-        return spark.createDataFrame([], _MATCHES)
-    innermost = (
-        assigned.select("cell", "away")
-        .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("away")))
-        .filter(F.col("r") <= keep).collect()
-    )
-    cells = np.array(sorted(sizes))
-    low = np.array([sizes[c].low for c in cells])
-    high = np.array([sizes[c].high for c in cells])
-    near_cell = np.searchsorted(cells, [r.cell for r in innermost])
-    near_away = np.array([r.away for r in innermost])
-    between = _distances(pivots[cells], pivots[cells])
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            away = _distances(_unit(batch.column("embedding"), dimensions), pivots)[:, cells]
-            rows = np.arange(len(away))
-            # The keep-th smallest of these sums bounds the distance of the keep-th neighbour.
-            reach = np.full(len(away), np.inf)
-            if len(near_away) >= keep:
-                reach = np.partition(away[:, near_cell] + near_away, keep - 1, axis=1)[:, keep - 1]
-            if floor is not None:
-                reach = np.minimum(reach, np.sqrt(max(0.0, 4.0 * (1.0 - floor))))
-            own = away.argmin(axis=1)
-            gap = between[own]
-            plane = (away ** 2 - away[rows, own][:, None] ** 2) / (2.0 * np.maximum(gap, _MIN_GAP))
-            plane[gap < _MIN_GAP] = 0.0
-            least = np.maximum.reduce([np.zeros_like(away), away - high, low - away, plane])
-            open_cell = least ** 2 <= reach[:, None] ** 2 + _SLACK
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(open_cell.sum(axis=1))]), pa.int32()),
-                pa.array(cells[np.nonzero(open_cell)[1]], pa.int32()),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("embedding"), lists], names=["query_id", "embedding", "cells"]
-            )
-
-    visiting = cut(queries.mapInArrow(visits, "query_id string, embedding array<float>, cells array<int>"))
-    load = {r.cell: r.n for r in visiting.select(F.explode("cells").alias("cell"))
-            .groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame(
-        [(int(c), -(-sizes[c].n // cfg.cell_rows), -(-load[c] // cfg.cell_rows)) for c in sizes if c in load],
-        "cell int, candidate_blocks int, query_blocks int",
-    )
-
-    def numbers(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    # `blocks` has at most cfg.max_pivots rows.
-    left = (
-        visiting.select("query_id", "embedding", F.explode("cells").alias("cell"))
-        .join(F.broadcast(blocks), "cell")
-        .withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int"))
-        .select("cell", "query_block", numbers("candidate_blocks").alias("candidate_block"), "query_id", "embedding")
-    )
-    right = (
-        assigned.join(F.broadcast(blocks), "cell")
-        .withColumn("candidate_block", F.pmod(F.xxhash64("id"), "candidate_blocks").cast("int"))
-        .select("cell", numbers("query_blocks").alias("query_block"), "candidate_block", "id", "embedding")
-    )
+            yield from _as_table(shared.value[0], *held).to_batches(max_chunksize=10_000)
 
-    def block(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or held.num_rows == 0:
-            none = np.empty(0, np.int64)
-            return _as_table(np.empty(0, object), none, np.empty(0, object), none.astype(float))
-        found = _best(
-            _unit(asked.column("embedding"), dimensions), _ids(held.column("id")),
-            _unit(held.column("embedding"), dimensions), keep, floor,
-        )
-        return _as_table(_ids(asked.column("query_id")), *found)
-
-    keys = ["cell", "query_block", "candidate_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, _MATCHES)
+    return candidates.mapInArrow(scan, _MATCHES), shared

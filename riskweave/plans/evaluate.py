@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
+from riskweave.functions.embed import hash_embedding
 from riskweave.operators.activity import account_features
+from riskweave.operators.redact import redact_transactions
 from riskweave.operators.rules import rule_gate
-from riskweave.operators.scoring import Model, assess, decide_early, heuristic, history_risk, score
-from riskweave.operators.vectors import existing_only, knn, similarity_summary
+from riskweave.operators.scoring import (
+    Model, assess, decide_early, heuristic, history_risk, reads_neighbours, score,
+)
+from riskweave.operators.vectors import embed_transactions, existing_only, knn, similarity_summary
 from riskweave.session import cut
 
+Embed = Callable[[Column], Column]
+
+
 def gate(
     transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
 ) -> DataFrame:
@@ -22,20 +29,39 @@ def gate(
     return rule_gate(account_features(transactions, cfg, busy), cfg)
 
 
+def stored_vectors(transactions: DataFrame, embed: Embed = hash_embedding, embeddings: DataFrame | None = None) -> DataFrame:
+    """`id, embedding, at_us` of known transactions, as they were stored or as `embed` makes them."""
+    at = transactions.select("id", F.unix_micros("occurred_at").alias("at_us"))
+    if embeddings is not None:
+        return embeddings.select("id", "embedding").join(at, "id")
+    return embed_transactions(transactions.withColumn("at_us", F.unix_micros("occurred_at")), embed, keep=("at_us",))
+
+
 def similar_to_flagged(
     flagged: DataFrame,
-    transactions: DataFrame,
-    embeddings: DataFrame,
+    vectors: DataFrame,
     cfg: RiskConfig = RiskConfig(),
-    self_takes_slot: bool = False,
+    embed: Embed = hash_embedding,
+    as_of: Sequence[str] = ("at_us",),
+    self_takes_slot: bool = True,
 ) -> DataFrame:
-    """`id, similar_count, similar_mean` of the flagged rows that have neighbours."""
-    queries = embeddings.join(flagged.select("id"), "id", "left_semi").select("id", "embedding")
-    if embeddings.count() > cfg.broadcast_queries:
-        # Possibly too many to broadcast, and then several jobs read them: run phase one for them once.
-        queries = cut(queries)
-    matches = knn(queries, embeddings, cfg.max_neighbours, cfg, self_takes_slot)
-    return similarity_summary(existing_only(matches, transactions))
+    """`query_id, id, similarity, rank`: earlier transactions most similar to each flagged one.
+
+    A flagged row is searched by its own text. Its vector was stored before
+    it is searched, so it takes one of the places and is then left out; rows
+    that came later, by `as_of` and then by id, are not there yet.
+    """
+    queries = embed_transactions(flagged.withColumn("at_us", F.unix_micros("occurred_at")), embed, keep=as_of)
+    return knn(queries, vectors, cfg.max_neighbours, cfg, self_takes_slot, as_of=as_of)
+
+
+def neighbours(matches: DataFrame, transactions: DataFrame, model: Model = heuristic) -> DataFrame:
+    """`id, similar_count, similar_mean` of the flagged rows that have known neighbours, and these if the model reads them."""
+    known = existing_only(matches, transactions)
+    if not reads_neighbours(model):
+        return similarity_summary(known)
+    told = redact_transactions(known.select("id").distinct().join(transactions, "id"))
+    return similarity_summary(known.join(told, "id"), [c for c in told.columns if c != "id"])
 
 
 def score_flagged(
@@ -65,23 +91,27 @@ def score_flagged(
 
 def evaluate(
     transactions: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | None = None,
     cfg: RiskConfig = RiskConfig(),
     busy: Mapping[str, int] | None = None,
     model: Model = heuristic,
-    self_takes_slot: bool = False,
+    self_takes_slot: bool = True,
     evaluated_at: Column | None = None,
     availability: Mapping[str, Column] | None = None,
+    embed: Embed = hash_embedding,
 ) -> DataFrame:
     """Every transaction with `decision`, `risk_score`, `reasoning`, `evaluated_at`.
 
     Rows the gate approves or blocks are settled by it; only flagged rows take
     the costly part, and only they have its columns filled. `evaluated_at`
     defaults to the time of the transaction, so that a run can be repeated.
+    `embeddings` are stored vectors of `embed`; by default it makes them.
     """
-    gated = gate(transactions, cfg, busy)
+    # Phase one runs once: its rows are the source of all that follows.
+    gated = cut(gate(transactions, cfg, busy))
     flagged = gated.filter(F.col("gate_decision") == V.DECISIONS[1])
-    similar = similar_to_flagged(flagged, transactions, embeddings, cfg, self_takes_slot)
-    scored = score_flagged(flagged, similar, cfg, model, availability)
+    vectors = stored_vectors(transactions, embed, embeddings)
+    matches = similar_to_flagged(flagged, vectors, cfg, embed, self_takes_slot=self_takes_slot)
+    scored = score_flagged(flagged, neighbours(matches, transactions, model), cfg, model, availability)
     clock = F.col("occurred_at") if evaluated_at is None else evaluated_at
     return decide_early(gated).unionByName(scored, allowMissingColumns=True).withColumn("evaluated_at", clock)

@@ -19,17 +19,22 @@ def _event_uuid(number: str) -> str:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers with every kind of description the gate and redaction know, and pairs of accounts that moved nothing before."""
+    pair = "event_id % 200 in (198, 199)"
     return table(spark, sf_dir, "events").selectExpr(
         f"{_event_uuid('event_id')} as id",
-        "cast(cast(value as decimal(19,4)) * 100 as decimal(19,4)) as amount",
+        f"""cast(case when {pair} then (event_id % 2) * 20000 else cast(value as decimal(19,4)) * 100 end
+                as decimal(19,4)) as amount""",
         "case event_id % 3 when 0 then 'USD' when 1 then 'EUR' else 'GBP' end as currency",
-        f"{_account('US', 'user_id')} as from_account",
-        f"{_account('US', '(event_id * 31) % 150')} as to_account",
-        """case when event_id % 101 = 0 then 'Money laundering scheme'
-                when event_id % 103 = 0 then 'SANCTIONS VIOLATION detected'
-                when event_id % 11 = 0 then 'From john@test.com, SSN 123-45-6789, call 555-123-4567'
-                when event_id % 13 = 0 then 'Contact: (555) 123-4567'
-                else 'Monthly rent payment' end as description""",
+        f"if({pair}, {_account('ZM', 'event_id div 200')}, {_account('US', 'user_id')}) as from_account",
+        f"if({pair}, {_account('ZN', 'event_id div 200')}, {_account('US', '(event_id * 31) % 150')}) as to_account",
+        """case when event_id % 101 = 0 then 'Suspected Money  Launder ring'
+                when event_id % 103 = 0 then 'Possible sanction violation'
+                when event_id % 107 = 0 then 'Gift to a TERRORIST group'
+                when event_id % 109 = 0 then 'Illicit funds after a sanctions violation'
+                when event_id % 11 = 0 then 'Mail anna.k+x@mail.example.org, SSN 987-65-4321, dial 212-555-0199'
+                when event_id % 13 = 0 then 'Desk phone (646) 555-0142'
+                else 'Groceries and fuel' end as description""",
         "cast(ts as timestamp) as occurred_at",
     )
 
@@ -39,17 +44,35 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event frames of which some have no type, an unknown type, or a bad payload."""
+    """Event frames of both types, some with every fault that a frame can have."""
+    def field(name: str, value: str) -> str:
+        return f"""'"{name}":', coalesce({value}, 'null')"""
+
+    def text(value: str) -> str:
+        return f"""concat('"', {value}, '"')"""
+
+    fields = ", ',', ".join((
+        field("id", text(f"if(event_id % 61 = 0, 'no-uuid', {_event_uuid('event_id')})")),
+        field("amount", """case when event_id % 67 = 0 then null when event_id % 71 = 0 then '10000000000000000.5'
+            else cast(cast(if(event_id % 47 = 0, -75.25D, value) as decimal(19,4)) as string) end"""),
+        field("currency", text("if(event_id % 53 = 0, 'QQQ', if(event_id % 2 = 0, 'USD', 'DEM'))")),
+        field("fromAccount", text(f"if(event_id % 59 = 0, 'US12', {_account('US', 'user_id')})")),
+        field("toAccount", text("'FR0000000777'")),
+        field("description", "if(event_id % 73 = 0, null, '\"Library fees\"')"),
+        field("occurredAt", text("date_format(ts, if(event_id % 79 = 0, 'yyyy-MM-dd', \"yyyy-MM-dd'T'HH:mm:ss'Z'\"))")),
+    ))
+    decision = ", ',', ".join((
+        field("decision", text("if(event_id % 83 = 0, 'MAYBE', 'FLAG')")),
+        field("riskScore", "if(event_id % 89 = 0, '100.5', cast(event_id % 100 as string))"),
+        field("reasoning", text("'checked by hand'")),
+        field("evaluatedAt", text("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")),
+    ))
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        """case when event_id % 37 = 0 then null when event_id % 41 = 0 then 'TransactionDeleted'
-                else 'TransactionReceived' end as event_type""",
-        f"""if(event_id % 43 = 0, 'invalid json', concat(
-             '{{"id":"', {_event_uuid('event_id')},
-             '","amount":', cast(cast(if(event_id % 47 = 0, -500.0D, value) as decimal(19,4)) as string),
-             ',"currency":"', if(event_id % 53 = 0, 'ZZZ', 'USD'),
-             '","fromAccount":"', if(event_id % 59 = 0, 'invalid-account', {_account('US', 'user_id')}),
-             '","toAccount":"GB9876543210","description":"Test payment","occurredAt":"2026-02-13T00:00:00Z"}}')) as value""",
+        """case when event_id % 37 = 0 then null when event_id % 41 = 0 then 'TransactionMoved'
+                when event_id % 5 = 0 then 'TransactionEvaluated' else 'TransactionReceived' end as event_type""",
+        f"""if(event_id % 43 = 0, 'no json', concat('{{', {fields},
+             if(event_id % 5 = 0, concat(',', {decision}), ''), '}}')) as value""",
     )
 
 
@@ -59,11 +82,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         """cast(case when event_id % 29 = 0 then null when event_id % 31 = 0 then -50.0D else value end
                 as decimal(19,4)) as amount""",
-        "case when event_id % 37 = 0 then '  ' when event_id % 41 = 0 then 'ZZZ' else 'USD' end as currency",
-        f"""case when event_id % 43 = 0 then null when event_id % 47 = 0 then 'bad'
+        "case when event_id % 37 = 0 then '\t' when event_id % 41 = 0 then 'QQQ' else 'USD' end as currency",
+        f"""case when event_id % 43 = 0 then null when event_id % 47 = 0 then 'US12'
                  else {_account('US', 'user_id')} end as from_account""",
-        "if(event_id % 53 = 0, '', 'US9876543210') as to_account",
-        "if(event_id % 59 = 0, null, 'Test payment') as description",
+        "if(event_id % 53 = 0, '', 'FR0000000777') as to_account",
+        "if(event_id % 59 = 0, null, 'Library fees') as description",
     )
 
 

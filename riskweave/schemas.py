@@ -67,6 +67,9 @@ EMBEDDINGS = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
+# In the store a vector keeps the time of its transaction.
+STORED_EMBEDDINGS = T.StructType([*EMBEDDINGS.fields, T.StructField("occurred_at", T.TimestampType())])
+
 USAGE = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("input_tokens", T.LongType()),

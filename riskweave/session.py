@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -19,6 +21,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile longer methods; shorter ones, one per operator, it does.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -35,41 +39,53 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach; a local one only where executors are local too."""
+    """A new folder every executor can reach; a local one, removed at exit, only where executors are local too."""
     base = checkpoint_dir(spark)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder")
-        base = tempfile.gettempdir()
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+@cache
+def _local_base() -> str:
+    folder = tempfile.mkdtemp(prefix="riskweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _scopes = threading.local()
 
 
 @contextmanager
 def releasing():
-    """Give back, at the end of the block, what `cut` persisted inside it."""
+    """Remove, at the end of the block, what `cut` wrote inside it."""
     stack = _scopes.__dict__.setdefault("stack", [])
     stack.append([])
     try:
         yield
     finally:
-        for df in stack.pop():
-            df.unpersist()
+        for spark, path in stack.pop():
+            remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Keep a result that several jobs read.
+    """Keep a result that several jobs read: write it to the shared folder and read it back.
 
-    With a checkpoint folder the rows are written there and survive the loss
-    of executors. Without one they are only persisted: lost blocks are then
-    computed again from the inputs.
+    The rows survive the loss of the executors that computed them, and take
+    no executor memory.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint()
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    path = scratch_dir(spark, "cut")
+    df.write.parquet(path)
     stack = getattr(_scopes, "stack", None)
     if stack:
-        stack[-1].append(kept)
-    return kept
+        stack[-1].append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)

@@ -22,12 +22,15 @@ from riskweave.config import RiskConfig
 from riskweave.functions.embed import hash_embedding
 from riskweave.operators.outbox import audit_log, route_outbox, to_outbox
 from riskweave.operators.rules import rule_gate
-from riskweave.operators.scoring import Model, decide_early, heuristic
+from riskweave.operators.scoring import Model, decide_early, heuristic, reads_neighbours
+from riskweave.operators.tables import upsert_latest
 from riskweave.operators.validate import rejected_rows, valid_rows, validate_events
-from riskweave.operators.vectors import embed_transactions, knn, similarity_summary
-from riskweave.plans.evaluate import score_flagged
-from riskweave.schemas import ACCOUNT_FEATURES, DECIDED, EMBEDDINGS, REJECTS, TRANSACTION_COLUMNS, TRANSACTIONS
-from riskweave.session import releasing
+from riskweave.operators.vectors import embed_transactions
+from riskweave.plans.evaluate import neighbours, score_flagged, similar_to_flagged
+from riskweave.schemas import (
+    ACCOUNT_FEATURES, DECIDED, REJECTS, STORED_EMBEDDINGS, TRANSACTION_COLUMNS, TRANSACTIONS,
+)
+from riskweave.session import cut, releasing
 from riskweave.streaming.account_state import complete_features, stream_velocity
 from riskweave.streaming.store import read_all, read_batch, write_batch
 
@@ -41,43 +44,38 @@ def evaluate_batch(
     cfg: RiskConfig = RiskConfig(),
     embed: Callable[[Column], Column] = hash_embedding,
     model: Model = heuristic,
-    candidates: DataFrame | None = None,
     clock: Column | None = None,
 ) -> None:
     """Save, embed, evaluate and publish the transactions of one micro-batch.
 
     `rows` comes from `stream_velocity`. Neighbours come from every vector
-    stored so far, this batch included, unless `candidates` replaces them; a
-    transaction that came twice has the same vector twice and counts once.
-    Each stored vector was written beside its transaction, so neighbours need
-    no second look at the transaction table.
+    stored so far, of this batch those of rows that are not later in event
+    time; a transaction that came twice counts once.
     """
     with releasing():
-        _evaluate_batch(rows, batch_id, root, cfg, embed, model, candidates, clock)
+        _evaluate_batch(rows, batch_id, root, cfg, embed, model, clock)
 
 
-def _evaluate_batch(rows, batch_id, root, cfg, embed, model, candidates, clock) -> None:
+def _evaluate_batch(rows, batch_id, root, cfg, embed, model, clock) -> None:
     spark = rows.sparkSession
     # Written once and read back: the table is what later steps start from.
     write_batch(rows, root, "transactions", batch_id, day_of="occurred_at")
     rows = read_batch(spark, root, "transactions", ACCOUNT_FEATURES, batch_id)
     if rows is None:
         return
-    write_batch(embed_transactions(rows, embed), root, "embeddings", batch_id)
+    write_batch(embed_transactions(rows, embed, keep=("occurred_at",)), root, "embeddings", batch_id)
 
     def stored() -> DataFrame:
-        return read_all(spark, root, "transactions", TRANSACTIONS, by_day=True).withColumnRenamed("batch_id", "ingest_seq")
+        return read_all(spark, root, "transactions", TRANSACTIONS, by_day=True)
 
-    gated = rule_gate(complete_features(rows, stored, cfg), cfg)
+    gated = cut(rule_gate(complete_features(
+        rows, lambda: stored().withColumnRenamed("batch_id", "ingest_seq"), cfg), cfg))
     flagged = gated.filter(F.col("gate_decision") == FLAG)
-    if candidates is None:
-        candidates = read_all(spark, root, "embeddings", EMBEDDINGS)
-        vectors = read_batch(spark, root, "embeddings", EMBEDDINGS, batch_id)
-    else:
-        vectors = candidates
-    queries = vectors.join(flagged.select("id"), "id", "left_semi")
-    similar = similarity_summary(knn(queries, candidates, cfg.max_neighbours, cfg))
-    scored = score_flagged(flagged, similar, cfg, model)
+    vectors = read_all(spark, root, "embeddings", STORED_EMBEDDINGS).withColumn("at_us", F.unix_micros("occurred_at"))
+    asked = flagged.withColumn("batch_id", F.lit(batch_id))
+    matches = similar_to_flagged(asked, vectors, cfg, embed, as_of=("batch_id", "at_us"))
+    known = upsert_latest(stored(), order="batch_id") if reads_neighbours(model) else stored()
+    scored = score_flagged(flagged, neighbours(matches, known, model), cfg, model)
     decided = (
         decide_early(gated).unionByName(scored, allowMissingColumns=True)
         .withColumn("evaluated_at", F.col("occurred_at") if clock is None else clock)
@@ -111,12 +109,11 @@ def start_evaluation(
 def start_side_outputs(frames: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
     """Start the query that keeps rejected events and records published decisions."""
     def keep(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        rejected = rejected_rows(rows).select(*REJECTS.names)
-        evaluated = valid_rows(rows).filter(F.col("event_type") == V.EVALUATED)
-        write_batch(rejected, root, "rejects", batch_id)
-        write_batch(audit_log(evaluated), root, "audit", batch_id)
-        rows.unpersist()
+        with releasing():
+            # Decoded once; of valid rows only the evaluated ones are read again.
+            rows = cut(rows.filter(F.col("reject_reason").isNotNull() | (F.col("event_type") == V.EVALUATED)))
+            write_batch(rejected_rows(rows).select(*REJECTS.names), root, "rejects", batch_id)
+            write_batch(audit_log(valid_rows(rows)), root, "audit", batch_id)
 
     writer = validate_events(frames).writeStream.outputMode("append").foreachBatch(keep)
     return _start(writer, f"{root}/checkpoints/side_outputs", trigger)

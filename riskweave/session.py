@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import threading
 import uuid
-from contextlib import contextmanager
-from functools import cache
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +37,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach; a local one, removed at exit, only where executors are local too."""
+    """A new folder every executor can reach, removed when the driver ends; a local one only where executors are local too."""
     base = checkpoint_dir(spark)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder")
-        base = _local_base()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
+    atexit.register(_try_remove, spark, path)
+    return path
 
 
-@cache
-def _local_base() -> str:
-    folder = tempfile.mkdtemp(prefix="riskweave-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+def _try_remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -223,3 +223,23 @@ def test_model_sees_redacted_rows_only_and_bad_answers_count_as_missing(spark):
     assert not row.assessment_ok and row.assessment_reasoning == "write to [REDACTED_EMAIL]"
     fields = rows.select(seen[0].alias("r")).schema["r"].dataType.names
     assert "from_account" not in fields and "description" not in fields
+
+
+def test_a_model_that_fails_or_is_slow_has_no_answer(spark):
+    import time
+
+    from riskweave.operators.scoring import model_of
+
+    def analyze(redacted, similar):
+        if similar is not None and redacted["redacted_description"] == "fails":
+            raise RuntimeError("no answer")
+        if redacted["redacted_description"] == "slow":
+            time.sleep(20)
+        return 41.5, f"{len(similar)} alike"
+
+    rows = flagged(spark, "15000", similar_count=F.lit(0), similar_mean=F.lit(None).cast("double"),
+                   similar=F.lit(None).cast("array<struct<amount:decimal(19,4)>>"))
+    for description, ok in (("fine", True), ("fails", False), ("slow", False)):
+        row = one(assess(rows.withColumn("description", F.lit(description)), model_of(analyze, timeout_seconds=3)))
+        assert row.assessment_ok == ok
+        assert (row.assessment_risk, row.assessment_reasoning) == ((Decimal("41.50"), "0 alike") if ok else (None, None))

@@ -20,10 +20,11 @@ def plan(df):
     return out.getvalue()
 
 
-STREAMS = {"read_event_stream", "read_outbox_stream", "relay_outbox", "stream_velocity", "run_stream", "reject_stream"}
+STREAMS = {"read_event_stream", "read_outbox_stream", "relay_outbox", "stream_velocity", "stream_velocity_open",
+           "run_stream", "reject_stream", "redelivery", "purge_outbox", "compact_store"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(registered.queries()) - STREAMS))
 def test_no_nested_loops_or_row_udfs(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for bad in ("NestedLoop", "CartesianProduct", "BatchEvalPython"):
@@ -73,3 +74,8 @@ def test_split_plan_spreads_a_busy_account(spark):
     tx = fixtures.transactions(spark, SF)
     text = plan(activity.account_features(tx, cfg))
     assert "slot" in text
+
+
+def test_evaluation_computes_features_once(spark):
+    text = plan(entry.queries()["evaluate"](spark, SF))
+    assert text.count("Window [") == 0 or text.count("Window [") <= 4

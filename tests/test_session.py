@@ -1,4 +1,4 @@
-"""Keeping results: checkpoints where a folder is named, persisted copies elsewhere."""
+"""Keeping results in the folder that is named, or in a local one that goes again."""
 
 import subprocess
 import sys
@@ -11,15 +11,27 @@ from riskweave.session import cut, releasing, scratch_dir
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_persisted_copies_are_given_back(spark, monkeypatch):
-    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: None)
-    before = spark.range(3).selectExpr("id + 7 as outside")
-    outside = cut(before)
+def test_what_is_cut_in_a_block_is_removed_after_it(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: str(tmp_path))
+    outside = cut(spark.range(3).selectExpr("id + 7 as outside"))
     with releasing():
         inside = cut(spark.range(5).selectExpr("id * 11 as inside"))
-        assert inside.count() == 5 and inside.is_cached
-    assert not inside.is_cached and outside.is_cached
-    outside.unpersist()
+        assert inside.count() == 5 and len(list(tmp_path.iterdir())) == 2
+    assert len(list(tmp_path.iterdir())) == 1 and outside.count() == 3
+
+
+def test_scratch_folders_go_at_exit(tmp_path):
+    code = f"""
+        import sys; sys.path.insert(0, {str(ROOT)!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+        from riskweave.session import cut
+        kept = cut(spark.range(3))
+        print("FOLDER", kept.inputFiles()[0].split(":", 1)[1].rsplit("/", 1)[0], kept.count())
+    """
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    folder, count = done.stdout.split("FOLDER ")[1].split()
+    assert count == "3" and Path(folder).name.startswith("cut-") and not Path(folder).exists()
 
 
 def test_scratch_folders_differ(spark):
@@ -38,13 +50,13 @@ def test_named_folder_is_used(tmp_path):
         from riskweave.session import configure, cut, scratch_dir
         configure(spark)
         kept = cut(spark.range(10))
-        assert kept.count() == 10 and not kept.is_cached and "ExistingRDD" in kept._jdf.queryExecution().toString()
+        assert kept.count() == 10 and not kept.is_cached and {str(tmp_path)!r} in kept.inputFiles()[0]
         assert scratch_dir(spark, "x").startswith({str(tmp_path)!r})
         rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "id string, embedding array<float>")
         a = sorted(map(tuple, knn(rows, rows, 2).collect()))
-        b = sorted(map(tuple, knn(rows, rows, 2, RiskConfig(broadcast_queries=0, cell_rows=4)).collect()))
+        b = sorted(map(tuple, knn(rows, rows, 2, RiskConfig(broadcast_queries=4)).collect()))
         assert a == b and len(a) == 40
     """
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert any(tmp_path.rglob("rdd-*"))
+    assert not any(tmp_path.glob("cut-*"))

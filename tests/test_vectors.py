@@ -1,4 +1,4 @@
-"""Nearest neighbours: both plans against brute force."""
+"""Nearest neighbours, in one block of queries and in several, against brute force."""
 
 import numpy as np
 import pytest
@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from riskweave.config import RiskConfig
 from riskweave.operators import vectors as N
 
-CELLS = (
-    RiskConfig(broadcast_queries=0, cell_rows=7),
-    RiskConfig(broadcast_bytes=0, cell_rows=40, max_pivots=3),
-    RiskConfig(broadcast_queries=0, cell_rows=1000),
+BLOCKS = (
+    RiskConfig(broadcast_queries=40),
+    RiskConfig(broadcast_bytes=2000),
 )
 
 
@@ -46,19 +45,19 @@ def clustered():
     return matrix
 
 
-@pytest.mark.parametrize("cfg", (RiskConfig(), *CELLS))
+@pytest.mark.parametrize("cfg", (RiskConfig(), *BLOCKS))
 def test_neighbours(spark, clustered, cfg):
     rows = table(spark, clustered).repartition(5)
     assert got(N.knn(rows, rows, 4, cfg)) == brute(clustered, 4)
 
 
-@pytest.mark.parametrize("cfg", (RiskConfig(), CELLS[0]))
+@pytest.mark.parametrize("cfg", (RiskConfig(), BLOCKS[0]))
 def test_self_can_take_a_place(spark, clustered, cfg):
     rows = table(spark, clustered)
     assert got(N.knn(rows, rows, 4, cfg, self_takes_slot=True)) == brute(clustered, 4, self_takes_slot=True)
 
 
-@pytest.mark.parametrize("cfg", (RiskConfig(), CELLS[0], CELLS[1]))
+@pytest.mark.parametrize("cfg", (RiskConfig(), BLOCKS[0], BLOCKS[1]))
 def test_radius(spark, clustered, cfg):
     rows = table(spark, clustered)
     near = N.similar_within(rows, rows, 0.3, 10, cfg)
@@ -66,13 +65,13 @@ def test_radius(spark, clustered, cfg):
     assert near.filter("distance >= 0.3").isEmpty() and N.similarity_faults(near).isEmpty()
 
 
-@pytest.mark.parametrize("cfg", (RiskConfig(), CELLS[0]))
+@pytest.mark.parametrize("cfg", (RiskConfig(), BLOCKS[0]))
 def test_repeated_candidates_count_once(spark, clustered, cfg):
     rows = table(spark, clustered)
     assert got(N.knn(rows, rows.unionByName(rows).repartition(7), 4, cfg)) == brute(clustered, 4)
 
 
-@pytest.mark.parametrize("cfg", (RiskConfig(), CELLS[0]))
+@pytest.mark.parametrize("cfg", (RiskConfig(), BLOCKS[0]))
 def test_few_or_no_candidates(spark, cfg):
     rows = table(spark, np.eye(3))
     assert got(N.knn(rows, rows, 5, cfg)) == brute(np.eye(3), 5)
@@ -101,10 +100,10 @@ def test_unknown_transactions_are_left_out_and_the_summary_counts_the_rest(spark
 
 def test_built_in_embedding_ranks_by_shared_words(make):
     tx = make([
-        (1, 1, 2, 0, 2000, "Monthly rent payment for apartment"),
-        (2, 1, 3, 0, 1800, "Monthly rent payment for office"),
-        (3, 5, 6, 0, 150, "Weekly grocery shopping at supermarket"),
-        (4, 1, 9, 0, 1900, "Monthly rent payment"),
+        (1, 1, 2, 0, 2000, "Quarterly piano lessons, beginners"),
+        (2, 1, 3, 0, 1800, "Quarterly piano lessons, choir"),
+        (3, 5, 6, 0, 150, "Spare parts of a bicycle"),
+        (4, 1, 9, 0, 1900, "Quarterly piano lessons"),
     ])
     stored = N.embed_transactions(tx).cache()
     best = [r.id[-1] for r in N.knn(stored.filter("id like '%4'"), stored, 3).orderBy("rank").collect()]
@@ -117,3 +116,39 @@ def test_embedding_of_empty_text_is_zero(spark):
     from riskweave.functions.embed import hash_embedding
     row = spark.createDataFrame([("",), (None,)], "t string").select(hash_embedding(F.col("t")).alias("e")).collect()
     assert all(len(r.e) == 384 and not any(r.e) for r in row)
+
+
+def test_vectors_of_other_lengths_are_named(spark):
+    rows = spark.createDataFrame(
+        [("a", [1.0, 0.0, 0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0] * 6)], "id string, embedding array<float>")
+    with pytest.raises(Exception, match="vector of b has 2 numbers, not 4"):
+        N.knn(rows.filter("id = 'a'"), rows, 2).collect()
+
+
+@pytest.mark.parametrize("cfg", (RiskConfig(), *BLOCKS))
+def test_only_earlier_rows_match(spark, clustered, cfg):
+    rng = np.random.default_rng(6)
+    came = [(int(a), int(b)) for a, b in rng.integers(0, 12, (150, 2))]
+    rows = table(spark, clustered).join(spark.createDataFrame(
+        [(f"v{i:04d}", *c) for i, c in enumerate(came)], "id string, batch int, at bigint"), "id").repartition(4)
+    unit = clustered.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expected = []
+    for q in range(150):
+        similarity = np.round((1 + np.clip(unit @ unit[q], -1, 1)) / 2, 9)
+        best = sorted((-s, c) for c, s in enumerate(similarity) if (*came[c], c) <= (*came[q], q))[:4]
+        expected += [(f"v{q:04d}", f"v{c:04d}", -s) for s, c in best if c != q]
+    assert got(N.knn(rows, rows, 4, cfg, self_takes_slot=True, as_of=("batch", "at"))) == sorted(expected)
+
+
+def test_neighbours_for_a_model_come_in_order_and_redacted(spark, make):
+    from riskweave.operators.scoring import model_of
+    from riskweave.plans.evaluate import neighbours
+
+    tx = make([(1, 1, 2, 0, 20, "call 212-555-0199"), (2, 1, 3, 1, 18, "b"), (3, 5, 6, 2, 15, "c")])
+    rows = N.embed_transactions(tx)
+    model = model_of(lambda redacted, similar: (1.0, ""))
+    row = neighbours(N.knn(rows, rows, 2), tx, model).filter("id like '%3'").first()
+    assert [n.rank for n in row.similar] == [1, 2] and row.similar_count == 2
+    assert "from_account" not in row.similar[0].asDict()
+    assert {n.redacted_description for n in row.similar} == {"call [REDACTED_PHONE]", "b"}

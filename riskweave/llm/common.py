@@ -52,6 +52,15 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An id for Python workers: as text, since pandas has no whole numbers beside nulls."""
+    return F.col(column).cast("bigint").cast("string").alias(column)
+
+
+def id_number(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("bigint"))
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """The name, with underscores added until no column has it."""
     taken = {c.lower() for df in frames for c in df.columns}

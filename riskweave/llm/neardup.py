@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import salted_join, stored, text_or_empty
+from riskweave.llm.common import id_number, id_text, salted_join, stored, text_or_empty
 from riskweave.llm.components import components
 from riskweave.llm.shingles import Shingler, mix
 
@@ -153,9 +153,9 @@ def sketch(docs: DataFrame, how: NearDup) -> DataFrame:
                 "set_two": np.array(two, dtype=np.uint64).view(np.int64), "bands": keys, "signature": signs})
 
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_one bigint, set_two bigint, "
-                                 "bands array<bigint>, signature array<bigint>")
+    rows = docs.select(id_text(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return id_number(rows.mapInPandas(run, "doc_id string, text_hash bigint, n_shingles bigint, set_one bigint, "
+                                           "set_two bigint, bands array<bigint>, signature array<bigint>"))
 
 
 def likely_edges(reps: DataFrame, how: NearDup) -> DataFrame:
@@ -300,6 +300,6 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
         *whole, F.coalesce("root", "rep").alias("component_id"))
     keyed = classes.withColumn("set", F.struct(*whole)).select("set", "component_id")
     out = salted_join(rows.select("doc_id", "text_hash", "n_shingles", F.struct(*whole).alias("set")), keyed, "set", "left", salts=16)
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import stored, text_or_empty
+from riskweave.llm.common import id_number, id_text, stored, text_or_empty
 from riskweave.llm.tokens import encoder
 
 
@@ -173,11 +173,10 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, room: int) -> DataFrame:
                     cuts.append(n)
                 rows += [(doc_id, i, a, b - a, zlib.crc32(ids[4 * a:4 * b]))
                          for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    return id_number(rows.mapInPandas(run, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"))
 
 
 def pack_items(items: DataFrame, room: int, how: Evolution = Evolution()) -> DataFrame:

@@ -44,7 +44,7 @@ def odd_texts():
     rng = random.Random(5)
     text = prose(rng, 200)
     return [
-        (0, None), (1, ""), (2, " \t\n "), (3, text), (3, text), (4, text), (5, varied(rng, text, 3)), (6, "one"),
+        (0, None), (1, ""), (2, " \t\n "), (3, text), (3, text), (4, text), (5, varied(rng, text, 3)), (6, "one"), (2**62 + 1, "a large number"),
         (7, prose(rng, 30_000)), (None, text), (None, None), (8, "w" * 20_000), (8, "another text of the same number"),
         (9, "Ünïcödé 日本語 🙂 <|endoftext|> password = 'abcdefghijklmnop'"), (10, text.replace(" ", "  ")),
     ]

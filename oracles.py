@@ -334,6 +334,30 @@ costs as (
    + cast(cast(output_tokens as decimal(19,0)) * cast(price_out * 0.001 as decimal(18,12)) as decimal(38,12)), 0) as c
  from priced)"""
 
+_REDELIVERED = f"""
+first as (select * from transactions where occurred_at < timestamp '2024-01-10'),
+delivered as (
+ select 0 as delivery, * from first
+ union all select 0, * from first where cast(substr(id, 25) as bigint) % 10 = 0
+ union all select 1, * from transactions where occurred_at >= timestamp '2024-01-10' and occurred_at < timestamp '2024-01-20'
+ union all select 1, * from first where cast(substr(id, 25) as bigint) % 15 = 0
+ union all select 2, * from transactions where occurred_at >= timestamp '2024-01-20'
+ union all select 2, id, cast(amount + 1000 as decimal(19,4)), currency, {_US.format('cast(substr(id, 25) as bigint) % 150')},
+  to_account, description, occurred_at from first where cast(substr(id, 25) as bigint) % 21 = 0),
+standing as (
+ select n.upto, d.* from (values (0), (1), (2)) n(upto) join delivered d on d.delivery <= n.upto
+ qualify row_number() over (partition by n.upto, d.id order by d.delivery desc) = 1),
+sides as (
+ select from_account as account, true as is_from, s.* from standing s
+ union all
+ select to_account, false, s.* from standing s where to_account <> from_account),
+answers as (
+ select upto, id, is_from, count(*) over v as velocity, count(*) over h as history_count,
+  cast(sum(amount) over h as decimal(29,4)) as history_sum
+ from sides
+ window v as (partition by upto, account order by epoch_us(occurred_at) range between 3599999999 preceding and current row),
+        h as (partition by upto, account order by occurred_at, id rows between 20 preceding and 1 preceding))"""
+
 _TX = "id, amount, currency, from_account, to_account, description, occurred_at"
 
 
@@ -494,6 +518,14 @@ def oracle_sql() -> dict[str, str]:
         "reject_stream":
             f"with {RAW_EVENTS}, {VALIDATED} select event_id, event_type, value, reject_reason from validated "
             "where reject_reason is not null",
+        "redelivery":
+            f"with {TRANSACTIONS}, {_REDELIVERED} select cast(d.delivery as bigint) as delivery, d.id, d.from_account, d.amount, "
+            "a.velocity, a.history_count, a.history_sum from delivered d "
+            "join answers a on a.upto = d.delivery and a.id = d.id and a.is_from",
+        "purge_outbox":
+            f"with {TO_OUTBOX} select id, aggregate_type, aggregate_id, event_type, payload, created_at from outbox "
+            "where event_type = 'TransactionReceived' and created_at >= timestamp '2024-01-17 07:30:00'",
+        "compact_store": f"with {DELIVERIES} select {_TX}, cast(1 as bigint) as batch_id from latest",
         "llm_cost":
             f"with {USAGE} select conv_id, turn, model, input_tokens, output_tokens, cast(c as decimal(38,12)) as cost_usd, "
             "cast(nullif(c, 0) as decimal(38,12)) as emitted_cost_usd from costs",

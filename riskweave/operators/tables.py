@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 def upsert_latest(rows: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
     """The last written row of every key.
 
-    The rank filter also runs before the shuffle, so a key with very many
-    copies sends one row per task.
+    Of rows written together the one with the latest time stands, then the
+    largest amount, then the largest hash of all columns. The rank filter also
+    runs before the shuffle, so a key with very many copies sends one row per
+    task.
     """
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
+    ties = [F.desc(c) for c in ("occurred_at", "amount") if c in rows.columns]
+    newest = Window.partitionBy(key).orderBy(F.desc(order), *ties, F.desc(F.xxhash64(*rows.columns)))
     return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 

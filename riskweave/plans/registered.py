@@ -15,7 +15,7 @@ from riskweave.functions.text import transaction_text
 from riskweave.operators import activity, cost, outbox, redact, rules, scoring, tables, validate, vectors
 from riskweave.plans import fixtures
 from riskweave.plans.evaluate import evaluate, gate, neighbours, score_flagged, similar_to_flagged, stored_vectors
-from riskweave.schemas import DECIDED, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskweave.schemas import DECIDED, OUTBOX, TRANSACTION_COLUMNS, TRANSACTIONS
 from riskweave.session import configure, cut, releasing, scratch_dir
 from riskweave.sources import streams
 from riskweave.streaming import account_state, run, store
@@ -494,6 +494,65 @@ def stream_velocity_open(spark, sf_dir):
     return _stream_velocity(spark, sf_dir, lateness_seconds=0, max_state_rows=30)
 
 
+def redeliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three deliveries: with copies inside one, copies of earlier rows, and earlier rows with another account and amount."""
+    first, second, third = _steps(fixtures.transactions(spark, sf_dir), "occurred_at")
+    number = F.substring("id", 25, 12).cast("bigint")
+    moved = first.filter(number % 21 == 0).withColumns({
+        "amount": (F.col("amount") + 1000).cast("decimal(19,4)"),
+        "from_account": F.concat(F.lit("US"), F.lpad((number % 150).cast("string"), 10, "0"))})
+    return [
+        first.unionByName(first.filter(number % 10 == 0)),
+        second.unionByName(first.filter(number % 15 == 0)),
+        third.unionByName(moved),
+    ]
+
+
+def answer_deliveries(spark: SparkSession, deliveries: list[DataFrame], cfg: RiskConfig = CFG, **state) -> DataFrame:
+    """Features of every delivered row, as the table stood after its delivery."""
+    folder = scratch_dir(spark, "deliveries")
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        with releasing():
+            rows = cut(rows)
+            standing, reopened = store.save_batch(spark, rows, folder, batch_id)
+            store.write_batch(account_state.complete_features(rows, standing, cfg, reopened), folder, "out", batch_id)
+
+    for step in deliveries:
+        step.write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(TRANSACTIONS).parquet(f"{folder}/in")
+        _caught_up(account_state.stream_velocity(rows, cfg, **state).writeStream.foreachBatch(keep), folder)
+    return spark.read.parquet(f"{folder}/out").select(
+        F.col("batch_id").cast("bigint").alias("delivery"), "id", "from_account", "amount", "velocity", "history_count", "history_sum")
+
+
+@_query
+def redelivery(spark, sf_dir):
+    return answer_deliveries(spark, redeliveries(spark, sf_dir))
+
+
+@_query
+def purge_outbox(spark, sf_dir):
+    folder = scratch_dir(spark, "purge")
+    rows = outbox.to_outbox(fixtures.transactions(spark, sf_dir), V.RECEIVED, F.col("occurred_at"))
+    for batch_id, step in enumerate(_steps(rows, "created_at")):
+        store.write_batch(step, folder, "outbox", batch_id, day_of="created_at")
+    store.purge_outbox(spark, folder, outbox.outbox_cutoff(instant("2024-01-24 07:30:00")))
+    return store.read_all(spark, folder, "outbox", OUTBOX, by_day=True).select(*OUTBOX.names)
+
+
+@_query
+def compact_store(spark, sf_dir):
+    """Deliveries in two batches, made one."""
+    folder = scratch_dir(spark, "compact")
+    rows = fixtures.deliveries(spark, sf_dir)
+    late = F.col("ingest_seq") >= 1_000_000_000
+    for batch_id, part in enumerate((rows.filter(~late), rows.filter(late))):
+        store.write_batch(part.select(*TRANSACTIONS.names), folder, "transactions", batch_id, day_of="occurred_at")
+    store.compact(spark, folder, "transactions", TRANSACTIONS, 1, day_of="occurred_at")
+    return store.read_all(spark, folder, "transactions", TRANSACTIONS, by_day=True).drop("day")
+
+
 def _run_loop(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_dir(spark, "loop")
     for step in _steps(_received_records(spark, sf_dir), "timestamp"):

@@ -7,9 +7,10 @@ micro-batch then costs as much as its own rows, however long the history is.
 State answers most rows, the stored table the rest. A row is left open (its
 features stay null) when it is older than what is kept, or when its account
 has outgrown `max_state_rows` and is no longer kept at all;
-`complete_features` answers open rows from the store. So both are exact, no
-row is dropped, and one task never holds more than a bounded number of rows
-of one account. A row that comes again replaces itself.
+`complete_features` answers open rows from the store. So both are exact, every
+delivered row is answered, and one task never holds more than a bounded number
+of rows of one account. A row that comes again replaces itself; if it changed,
+its accounts are answered from the store from then on (`store.save_batch`).
 """
 
 from __future__ import annotations
@@ -47,19 +48,22 @@ def _advance(new: pd.DataFrame, kept: pd.DataFrame, dropped_us: int, window_us:
     """Answers for the new paying rows; the rows to keep; the time of the last row not kept.
 
     `kept` is complete after `dropped_us`. A row's window must start there or
-    later, and N kept rows must precede it, or nothing was ever dropped.
+    later, and N kept rows must precede it, or nothing was ever dropped. Of
+    copies of a row the latest, then largest stands; every copy is answered
+    as that one.
     """
-    new = new.drop_duplicates("id", keep="last")
-    late = new[new["at_us"] <= dropped_us]
-    fresh = new[new["at_us"] > dropped_us]
+    stands = new.sort_values(["at_us", "amount"], kind="stable").drop_duplicates("id", keep="last")
+    fresh = stands[stands["at_us"] > dropped_us]
+    in_time = new["id"].isin(fresh["id"])
+    late = new[~in_time]
     line = pd.concat([kept[~kept["id"].isin(new["id"])], fresh[["at_us", "id", "amount"]]])
     line = line.sort_values(["at_us", "id"], ignore_index=True)
     times = line["at_us"].to_numpy(np.int64)
     totals = np.concatenate([[Decimal(0)], line["amount"].to_numpy(object)]).cumsum()
 
-    paying = fresh[fresh["is_from"]].copy()
+    paying = new[in_time & new["is_from"]].copy()
     place = pd.Series(np.arange(len(line)), index=line["id"])[paying["id"]].to_numpy(np.int64)
-    at = paying["at_us"].to_numpy(np.int64)
+    at = times[place]
     first = np.maximum(place - limit, 0)
     paying["velocity"] = np.searchsorted(times, at, "right") - np.searchsorted(times, at - window_us, "right")
     paying["history_count"] = place - first
@@ -117,13 +121,21 @@ def stream_velocity(
 
 
 def complete_features(
-    rows: DataFrame, stored: Callable[[], DataFrame], cfg: RiskConfig = RiskConfig()
+    rows: DataFrame, stored: Callable[[], DataFrame], cfg: RiskConfig = RiskConfig(), reopened: DataFrame | None = None
 ) -> DataFrame:
     """Rows of `stream_velocity` with open features answered from the stored table.
 
-    `stored` opens that table, which has `ingest_seq`; it is only called if a row is open.
+    `stored` opens that table, which has `ingest_seq`; it is only called if a
+    row is open. `reopened` lists accounts whose state still holds a row that
+    was replaced: their rows count as open.
     """
-    missing = rows.filter(F.col("velocity").isNull()).drop(*FEATURES)
+    is_open = F.col("velocity").isNull()
+    if reopened is not None:
+        marked = reopened.select(F.col("account").alias("from_account"), F.lit(True).alias("_again")).distinct()
+        rows = rows.join(marked, "from_account", "left")
+        is_open = is_open | F.col("_again").isNotNull()
+    missing = rows.filter(is_open).drop(*FEATURES, "_again")
     if missing.isEmpty():
-        return rows
-    return rows.filter(F.col("velocity").isNotNull()).unionByName(features_from_store(missing, stored(), cfg))
+        return rows.drop("_again")
+    answered = rows.filter(~is_open).drop("_again")
+    return answered.unionByName(features_from_store(missing, stored(), cfg))

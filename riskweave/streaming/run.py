@@ -28,11 +28,11 @@ from riskweave.operators.validate import rejected_rows, valid_rows, validate_eve
 from riskweave.operators.vectors import embed_transactions
 from riskweave.plans.evaluate import neighbours, score_flagged, similar_to_flagged
 from riskweave.schemas import (
-    ACCOUNT_FEATURES, DECIDED, REJECTS, STORED_EMBEDDINGS, TRANSACTION_COLUMNS, TRANSACTIONS,
+    ACCOUNT_FEATURES, DECIDED, REJECTS, STORED_EMBEDDINGS, TRANSACTION_COLUMNS,
 )
 from riskweave.session import cut, releasing
 from riskweave.streaming.account_state import complete_features, stream_velocity
-from riskweave.streaming.store import read_all, read_batch, write_batch
+from riskweave.streaming.store import read_all, read_batch, save_batch, write_batch
 
 FLAG = V.DECISIONS[1]
 
@@ -58,23 +58,18 @@ def evaluate_batch(
 
 def _evaluate_batch(rows, batch_id, root, cfg, embed, model, clock) -> None:
     spark = rows.sparkSession
-    # Written once and read back: the table is what later steps start from.
-    write_batch(rows, root, "transactions", batch_id, day_of="occurred_at")
+    # Written and read back: the table is what later steps start from.
+    standing, reopened = save_batch(spark, cut(rows), root, batch_id)
     rows = read_batch(spark, root, "transactions", ACCOUNT_FEATURES, batch_id)
     if rows is None:
         return
     write_batch(embed_transactions(rows, embed, keep=("occurred_at",)), root, "embeddings", batch_id)
-
-    def stored() -> DataFrame:
-        return read_all(spark, root, "transactions", TRANSACTIONS, by_day=True)
-
-    gated = cut(rule_gate(complete_features(
-        rows, lambda: stored().withColumnRenamed("batch_id", "ingest_seq"), cfg), cfg))
+    gated = cut(rule_gate(complete_features(rows, standing, cfg, reopened), cfg))
     flagged = gated.filter(F.col("gate_decision") == FLAG)
     vectors = read_all(spark, root, "embeddings", STORED_EMBEDDINGS).withColumn("at_us", F.unix_micros("occurred_at"))
     asked = flagged.withColumn("batch_id", F.lit(batch_id))
     matches = similar_to_flagged(asked, vectors, cfg, embed, as_of=("batch_id", "at_us"))
-    known = upsert_latest(stored(), order="batch_id") if reads_neighbours(model) else stored()
+    known = upsert_latest(standing()) if reads_neighbours(model) else standing()
     scored = score_flagged(flagged, neighbours(matches, known, model), cfg, model)
     decided = (
         decide_early(gated).unionByName(scored, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from riskweave.config import RiskConfig
 from riskweave.operators.activity import account_features
 from riskweave.operators.outbox import outbox_cutoff, route_outbox, to_outbox
 from riskweave.operators.vectors import embed_transactions
+from riskweave.plans import registered
 from riskweave.plans.evaluate import evaluate
 from riskweave.schemas import DECIDED, EMBEDDINGS, OUTBOX, REJECTS, TRANSACTION_COLUMNS, TRANSACTIONS
 from riskweave.sources.streams import read_event_stream, read_outbox_stream
@@ -84,7 +85,7 @@ def test_repeated_events_replace_themselves(spark, make, tmp_path):
     first, second = in_order(make, rows, 2)
     got, _ = features(spark, [first, second.unionByName(second), second], tmp_path, cfg)
     expected = {r.id: tuple(r) for r in account_features(make(rows), cfg).collect()}
-    assert {r[0]: r for r in got} == expected and len(got) == 120 + 60
+    assert {r[0]: r for r in got} == expected and len(got) == 120 + 2 * 60
 
 
 @pytest.fixture(scope="module")
@@ -167,15 +168,49 @@ def test_outbox_is_relayed_once(spark, loop):
     assert store.read_all(spark, f"{folder}/back", "rejects", REJECTS).isEmpty()
 
 
-def test_purge_writes_what_is_kept(spark, loop):
+def test_purge_happens_in_place_and_again_without_harm(spark, loop, tmp_path):
     folder, _, _ = loop
+    root = str(tmp_path)
+    spark.read.parquet(f"{folder}/store/outbox").write.partitionBy("batch_id", "day").parquet(f"{root}/outbox")
     cutoff = outbox_cutoff(F.lit("2024-01-08 02:30:00").cast("timestamp"))
-    rows = spark.read.parquet(f"{folder}/store/outbox")
-    old = rows.filter("created_at < timestamp '2024-01-01 02:30:00'").count()
+    old = spark.read.parquet(f"{root}/outbox").filter("created_at < timestamp '2024-01-01 02:30:00'").count()
     assert 0 < old < 150
-    assert store.purge_outbox(spark, f"{folder}/store", cutoff, f"{folder}/kept") == old
-    kept = spark.read.parquet(f"{folder}/kept")
+    assert store.purge_outbox(spark, root, cutoff) == old
+    kept = store.read_all(spark, root, "outbox", OUTBOX, by_day=True)
     assert kept.count() == 150 - old and kept.filter("created_at < timestamp '2024-01-01 02:30:00'").isEmpty()
+    assert store.purge_outbox(spark, root, cutoff) == 0
+    assert store.read_all(spark, root, "outbox", OUTBOX, by_day=True).count() == 150 - old
+
+
+def test_compacting_leaves_the_last_rows(spark, make, tmp_path):
+    root, rows = str(tmp_path), skewed(12, rows=40)
+    first, second = make(rows), make([(*r[:4], r[4] + 1) for r in rows[:10]])
+    for n, part in enumerate((first, second)):
+        store.write_batch(part, root, "transactions", n, day_of="occurred_at")
+    before = sorted(map(tuple, store.read_latest(spark, root, "transactions", TRANSACTIONS).collect()))
+    store.compact(spark, root, "transactions", TRANSACTIONS, 1, day_of="occurred_at")
+    assert sorted(map(tuple, store.read_latest(spark, root, "transactions", TRANSACTIONS).collect())) == before
+    assert store.read_all(spark, root, "transactions", TRANSACTIONS, by_day=True).count() == 40
+
+
+@pytest.mark.parametrize("state", [{"max_state_rows": 0}, {"max_state_rows": 3}, {}, {"lateness_seconds": 0}])
+def test_every_delivery_is_answered_as_the_table_stands(spark, make, state):
+    """Copies in one delivery, in two, and with another account and amount: the same for any size of the state."""
+    rows, cfg = skewed(13, rows=60, ties=False), RiskConfig(history_limit=5)
+    rows = sorted(rows, key=lambda r: r[3])
+    early, late = rows[:30], rows[30:]
+    moved = [(r[0], r[1] % 7 + 1, r[2], r[3], r[4] + 5) for r in early[:6]]
+    deliveries = [[*early, *early[:4]], [*late, *moved, early[8]]]
+    got = registered.answer_deliveries(spark, [make(d) for d in deliveries], cfg, **state).collect()
+    stands, expected = {}, []
+    for n, delivery in enumerate(deliveries):
+        stands |= {r[0]: r for r in delivery}
+        answers = {r.id: r for r in account_features(make(list(stands.values())), cfg).collect()}
+        for row in make(delivery).collect():
+            a = answers[row.id]
+            expected.append((n, row.id, row.from_account, row.amount, a.velocity, a.history_count, a.history_sum))
+    order = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=order) == sorted(expected, key=order)
 
 
 def test_a_batch_that_runs_again_leaves_the_same_rows(spark, make, tmp_path):

@@ -39,15 +39,11 @@ class RiskConfig:
     approve_max: int = 30
     flag_max: int = 70
 
-    # An account is split by time once it has more rows than this and more
-    # than 1/max_hot_accounts of all rows; so at most max_hot_accounts are.
-    # Slots are as wide as to hold hot_rows_per_slot on average.
+    # An account with more rows is split into ranges of about hot_rows_per_slot.
     hot_account_rows: int = 1_000_000
-    max_hot_accounts: int = 1024
-    # heat_rows are looked at to tell which accounts those are.
-    heat_rows: int = 5_000_000
     hot_rows_per_slot: int = 100_000
-    max_slots: int = 65_536
+    # Names of such accounts that are sent to every task; beyond, all accounts are split.
+    broadcast_accounts: int = 10_000
 
     # Query vectors sent to every task at once; more go in several blocks.
     broadcast_queries: int = 16_384

@@ -5,19 +5,20 @@ both. `account_activity` turns that OR into one equi key, so everything here
 shuffles once on the account.
 
 Busy accounts. Both measures look back along an account's time line, which
-would put one account into one task. Accounts above a share of all rows
-(`busy_accounts`) are therefore cut into time slots:
-
-* velocity is a running count over "enter" and "leave" marks, so a slot only
-  needs the sum of the marks of earlier slots;
-* the last N rows before a row lie in its own slot, except for the first N
-  rows of each slot; those are answered from the first and last N rows of
-  all slots of the account.
+would put one account into one task. The rows of accounts above a limit are
+therefore sorted by account, time and id in ranges of about equal size,
+whatever the accounts and instants are (`_split`):
+
+* velocity depends only on the account and the instant, so it is a running
+  count over instants, which needs of earlier ranges only their sum;
+* the last N rows before a row lie in its own range, except for the first N
+  rows of each account in a range; those are answered from the first and last
+  N rows of the account's ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,80 +72,54 @@ def recent_transactions(transactions: DataFrame, cfg: RiskConfig = RiskConfig())
     )
 
 
-def busy_accounts(transactions: DataFrame, cfg: RiskConfig = RiskConfig()) -> dict[str, int]:
-    """Accounts to split, at most `cfg.max_hot_accounts`, with the width of their time slots.
+def busy_accounts(transactions: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame | None:
+    """`account, n` of the accounts with more than `cfg.hot_account_rows` rows, None if there are none.
 
     Only the plan depends on this, never a result: every row is evaluated
-    either way. So the shares are read off a sample, which spares a shuffle of
-    all accounts; a share of 1/max_hot_accounts still means thousands of its
-    rows.
+    either way.
     """
-    return _busy(transactions.select("from_account", "to_account", "occurred_at"), _sides, cfg)
+    return _busy(transactions.select("from_account", "to_account"), account_activity, cfg)
 
 
-def _sides(transactions: DataFrame) -> DataFrame:
-    return account_activity(transactions).select("account", F.unix_micros("occurred_at").alias("at_us"))
-
-
-def _busy(rows: DataFrame, activity: Callable[[DataFrame], DataFrame], cfg: RiskConfig) -> dict[str, int]:
-    total = rows.count()
-    if 2 * total <= cfg.hot_account_rows:
-        return {}
-    fraction = min(1.0, cfg.heat_rows / total)
-    looked_at = rows if fraction == 1.0 else rows.sample(fraction, seed=1)
-    counts = activity(looked_at).groupBy("account").agg(
-        F.count("*").alias("n"), F.min("at_us").alias("first"), F.max("at_us").alias("last"))
-    share = counts.agg(F.sum("n") / cfg.max_hot_accounts).scalar()
-    # Each of these has more than that share, so there are at most max_hot_accounts.
-    busy = counts.filter((F.col("n") > cfg.hot_account_rows * fraction) & (F.col("n") > share))
-    return {
-        row.account: 1 + (row.last - row.first) // min(cfg.max_slots, 1 + int(row.n / fraction) // cfg.hot_rows_per_slot)
-        for row in busy.collect()
-    }
+def _busy(rows: DataFrame, activity: Callable[[DataFrame], DataFrame], cfg: RiskConfig) -> DataFrame | None:
+    if 2 * rows.count() <= cfg.hot_account_rows:
+        return None
+    counts = activity(rows).groupBy("account").agg(F.count("*").alias("n"))
+    busy = cut(counts.filter(F.col("n") > cfg.hot_account_rows))
+    return None if busy.isEmpty() else busy
 
 
 def account_features(
-    transactions: DataFrame,
-    cfg: RiskConfig = RiskConfig(),
-    busy: Mapping[str, int] | None = None,
+    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: DataFrame | None = None
 ) -> DataFrame:
     """Every transaction with the velocity and the history of its paying account.
 
     Adds `velocity` (rows of the account in the window that ends with this
     row, itself included), `history_count` and `history_sum` (the N rows
-    before it). `busy` names the accounts to split and the width of their
-    slots in microseconds; None measures them.
+    before it). `busy` lists the accounts to split (`account, n`); None
+    measures them.
     """
     if busy is None:
         busy = busy_accounts(transactions, cfg)
-    busy_rows = None
-    if busy:
-        names = list(busy)
-        busy_rows = slim_activity(transactions.filter(F.col("from_account").isin(names) | F.col("to_account").isin(names)))
-    return activity_features(slim_activity(transactions), cfg, busy, busy_rows).select(*transactions.columns, *FEATURES)
-
+    return activity_features(slim_activity(transactions), cfg, busy).select(*transactions.columns, *FEATURES)
 
-def activity_features(
-    activity: DataFrame, cfg: RiskConfig, busy: Mapping[str, int], busy_rows: DataFrame | None = None
-) -> DataFrame:
-    """The paying rows of `slim_activity` rows with their features.
 
-    `busy_rows` may be a cheaper source of the rows of busy accounts.
-    """
+def activity_features(activity: DataFrame, cfg: RiskConfig, busy: DataFrame | None) -> DataFrame:
+    """The paying rows of `slim_activity` rows with their features."""
     # Sorting compares the number first, which tells accounts apart faster than their names.
     keys = ["account_key", "account"]
-    key = F.xxhash64("account")
-    if not busy:
-        return _features(activity.withColumn("account_key", key), keys, cfg).filter("is_from")
-    usual = activity.filter(~F.col("account").isin(list(busy)))
-    # At most cfg.max_hot_accounts rows.
-    slots = activity.sparkSession.createDataFrame(list(busy.items()), "account string, slot_us bigint")
-    split = (busy_rows or activity).join(F.broadcast(slots), "account")
-    return (
-        _features(usual.withColumn("account_key", key), keys, cfg)
-        .unionByName(_split(split.withColumn("account_key", key), keys, cfg))
-        .filter("is_from")
-    )
+    activity = activity.withColumn("account_key", F.xxhash64("account"))
+    if busy is None:
+        return _features(activity, keys, cfg).filter("is_from")
+    found = busy.agg(F.count("*").alias("accounts"), F.sum("n").alias("n")).first()
+    ranges = 1 + found.n // cfg.hot_rows_per_slot
+    if found.accounts > cfg.broadcast_accounts:
+        # Too many names to send to every task: all accounts are split.
+        return _split(activity, keys, cfg, 1 + activity.count() // cfg.hot_rows_per_slot).filter("is_from")
+    names = F.broadcast(busy.select("account"))
+    usual = activity.join(names, "account", "left_anti")
+    split = activity.join(names, "account", "left_semi")
+    return _features(usual, keys, cfg).unionByName(_split(split, keys, cfg, ranges)).filter("is_from")
 
 
 def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
@@ -196,12 +171,12 @@ def _context(paying: DataFrame, stored: DataFrame, cfg: RiskConfig) -> tuple[Dat
     return near.unionByName(older).drop("_r", "since_us", "ingest_seq"), older
 
 
-def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None) -> DataFrame:
+def velocity(transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: DataFrame | None = None) -> DataFrame:
     return account_features(transactions, cfg, busy).drop("history_count", "history_sum")
 
 
 def history_window(
-    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
+    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: DataFrame | None = None
 ) -> DataFrame:
     """Every transaction with size, sum and mean of the N rows before it."""
     return account_features(transactions, cfg, busy).drop("velocity").withColumn("history_mean", history_mean())
@@ -212,10 +187,6 @@ def history_mean() -> Column:
     return F.col("history_sum").cast("double") / F.nullif(F.col("history_count"), F.lit(0))
 
 
-def _payload(transactions: DataFrame) -> list[str]:
-    return [c for c in transactions.columns if c not in ("id", "amount")]
-
-
 def slim_activity(transactions: DataFrame) -> DataFrame:
     """`account_activity` whose receiving side carries only what the windows read."""
     payload = [c for c in transactions.columns if c not in ("id", "amount")]
@@ -291,55 +262,66 @@ def _features(activity: DataFrame, keys: Sequence[str], cfg: RiskConfig) -> Data
 
 # ---- accounts that are split ------------------------------------------------
 
-def _slot(at_us: Column) -> Column:
-    return F.floor(at_us / F.col("slot_us")).cast("bigint")
-
+def _ranges(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Rows with the number of the range they are in; ranges have about equal size and follow the order."""
+    return cut(rows.repartitionByRange(n, *order).withColumn("slot", F.spark_partition_id()))
 
-def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
-    """Both features with every account cut into time slots of its `slot_us`.
 
-    Rows and their leaving marks are shuffled once, to their slots. What a slot
-    needs from others is one row: the marks before it, and the history of its
-    first N rows.
-    """
+def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig, ranges: int) -> DataFrame:
+    """Both features over ranges of rows. No task holds an account, or an instant, as a whole."""
     slot_keys = [*keys, "slot"]
-    left_at = F.col("at_us") + cfg.velocity_window_us
-    entering = activity.withColumns({"slot": _slot(F.col("at_us")), "step": F.lit(1)})
-    leaving = activity.select(*keys, _slot(left_at).alias("slot"), left_at.alias("at_us"), F.lit(-1).alias("step"))
-    marks = entering.drop("slot_us").unionByName(leaving, allowMissingColumns=True).repartition(*slot_keys)
-
-    mark = F.explode(F.array(
-        F.struct(_slot(F.col("at_us")).alias("slot"), F.lit(1).alias("step")),
-        F.struct(_slot(left_at).alias("slot"), F.lit(-1).alias("step")),
-    ))
-    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    others = (
-        activity.select(*keys, mark.alias("m")).groupBy(*keys, F.col("m.slot").alias("slot"))
-        .agg(F.sum("m.step").alias("_net"))
-        .select(*slot_keys, F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_base"))
-        .join(_across_slots(entering, keys, cfg), slot_keys, "left")
+    rows = _ranges(activity, [*keys, "at_us", "id"], ranges)
+    velocity = (
+        rows.groupBy(*slot_keys, "at_us").count().drop("count")
+        .join(_velocity_at(rows, keys, cfg, ranges), [*keys, "at_us"])
     )
     return (
-        _look_back(marks, [*slot_keys, "step"], cfg).drop("_start", "_follows")
-        .join(others, slot_keys)
+        _look_back(rows, slot_keys, cfg).drop("_start", "_follows")
+        .join(_across_slots(rows, keys, cfg), slot_keys, "left")
         .withColumn("_first", F.expr("try_element_at(_across, id)")).drop("_across")
-        .selectExpr("*", f"{_count(slot_keys)} as _inside")
-        .filter("step > 0")
         .withColumns({
             "history_sum": F.when(F.col("_first").isNull(), F.col("history_sum")).otherwise(F.col("_first.sum")),
             "history_count": F.coalesce("_first.count", "history_count"),
-            "velocity": F.col("_inside") + F.col("_base"),
         })
-        .drop("step", "slot", "_inside", "_base", "_first")
+        .join(velocity, [*slot_keys, "at_us"])
+        .drop("slot", "_first")
+    )
+
+
+def _velocity_at(rows: DataFrame, keys: list[str], cfg: RiskConfig, ranges: int) -> DataFrame:
+    """Velocity of every account at each of its instants.
+
+    The rows of an instant enter together and leave one window later. The
+    marks are summed before they are shuffled, sorted into ranges, and counted
+    up inside each range from the sum of the ranges before it.
+    """
+    step = F.explode(F.array(
+        F.struct(F.col("at_us"), F.col("count").alias("net"), F.lit(True).alias("enters")),
+        F.struct((F.col("at_us") + cfg.velocity_window_us).alias("at_us"), (-F.col("count")).alias("net"),
+                 F.lit(False).alias("enters"))))
+    marks = (
+        rows.groupBy(*keys, "at_us").count().select(*keys, step.alias("m")).select(*keys, "m.*")
+        .groupBy(*keys, "at_us").agg(F.sum("net").alias("net"), F.max("enters").alias("enters"))
+    )
+    marks = _ranges(marks, [*keys, "at_us"], ranges)
+    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = marks.groupBy(*keys, "slot").agg(F.sum("net").alias("_net")).withColumn(
+        "_base", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*keys, "slot").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marks.withColumn("_inside", F.sum("net").over(inside))
+        .join(base.drop("_net"), [*keys, "slot"])
+        .filter("enters")
+        .select(*keys, "at_us", (F.col("_inside") + F.col("_base")).alias("velocity"))
     )
 
 
 def _across_slots(entering: DataFrame, keys: list[str], cfg: RiskConfig) -> DataFrame:
     """Per slot, the history of its first N rows as a map from id.
 
-    It follows from the first and last N rows of all slots: the N rows before
-    such a row are among these, and next to each other. An account has at most
-    2N of them per slot, a map at most N entries.
+    It follows from the first and last N rows of all of the account's slots:
+    the N rows before such a row are among these, and next to each other. An
+    account has at most 2N of them per slot, a map at most N entries.
     """
     n, slot_keys = cfg.history_limit, [*keys, "slot"]
     line = _line(slot_keys)

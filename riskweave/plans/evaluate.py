@@ -23,7 +23,7 @@ Embed = Callable[[Column], Column]
 
 
 def gate(
-    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: Mapping[str, int] | None = None
+    transactions: DataFrame, cfg: RiskConfig = RiskConfig(), busy: DataFrame | None = None
 ) -> DataFrame:
     """Phase one: features and gate columns on every transaction. One shuffle, on the account."""
     return rule_gate(account_features(transactions, cfg, busy), cfg)
@@ -93,7 +93,7 @@ def evaluate(
     transactions: DataFrame,
     embeddings: DataFrame | None = None,
     cfg: RiskConfig = RiskConfig(),
-    busy: Mapping[str, int] | None = None,
+    busy: DataFrame | None = None,
     model: Model = heuristic,
     self_takes_slot: bool = True,
     evaluated_at: Column | None = None,

@@ -139,8 +139,8 @@ def history_window(spark, sf_dir):
         "id", "from_account", "history_count", "history_sum", "history_mean")
 
 
-# So small that every account is split, into many slots.
-SPLIT = RiskConfig(velocity_limit=2, hot_account_rows=1, max_hot_accounts=1_000_000, hot_rows_per_slot=10)
+# So small that every account is split, into many ranges.
+SPLIT = RiskConfig(velocity_limit=2, hot_account_rows=1, hot_rows_per_slot=500)
 
 
 @_query

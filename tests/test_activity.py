@@ -44,30 +44,41 @@ def test_usual_plan(make, seed):
     assert got(A.account_features(make(rows), cfg)) == brute(rows, cfg)
 
 
-@pytest.mark.parametrize("slot", [1, 60, 3600, 86_400])
-@pytest.mark.parametrize("window, limit", [(3600, 20), (60, 3), (7200, 1)])
-def test_split_accounts_give_the_same(make, slot, window, limit):
+@pytest.mark.parametrize("cfg", [
+    RiskConfig(hot_account_rows=100, hot_rows_per_slot=30),
+    RiskConfig(hot_account_rows=1, hot_rows_per_slot=7, velocity_window_seconds=60, history_limit=3),
+    RiskConfig(hot_account_rows=20, hot_rows_per_slot=50, velocity_window_seconds=7200, history_limit=1),
+    RiskConfig(hot_account_rows=20, hot_rows_per_slot=50, broadcast_accounts=0),
+])
+def test_split_accounts_give_the_same(make, cfg):
     rows = skewed(3)
-    cfg = RiskConfig(velocity_window_seconds=window, history_limit=limit)
-    busy = {"US0000000001": slot * 1_000_000, "US0000000004": slot * 777_777}
-    assert got(A.account_features(make(rows), cfg, busy)) == brute(rows, cfg)
+    assert got(A.account_features(make(rows), cfg)) == brute(rows, cfg)
 
 
 def test_busy_accounts_are_measured(make):
     tx = make(skewed(4))
-    assert A.busy_accounts(tx, RiskConfig()) == {}
-    busy = A.busy_accounts(tx, RiskConfig(hot_account_rows=100, max_hot_accounts=4, hot_rows_per_slot=50))
-    assert list(busy) == ["US0000000001"] and 0 < busy["US0000000001"] < 6 * HOUR // 3
-    sampled = RiskConfig(hot_account_rows=100, max_hot_accounts=4, hot_rows_per_slot=50, heat_rows=200)
-    assert list(A.busy_accounts(tx, sampled)) == ["US0000000001"]
-    # No account can hold more than all rows.
-    assert A.busy_accounts(tx, RiskConfig(hot_account_rows=1, max_hot_accounts=1)) == {}
-
-
-def test_measured_accounts_are_split_with_equal_results(make):
-    rows = skewed(12)
-    cfg = RiskConfig(hot_account_rows=20, max_hot_accounts=50, hot_rows_per_slot=7)
-    assert len(A.busy_accounts(make(rows), cfg)) > 3
+    assert A.busy_accounts(tx, RiskConfig()) is None
+    assert A.busy_accounts(tx, RiskConfig(hot_account_rows=390)) is None
+    busy = A.busy_accounts(tx, RiskConfig(hot_account_rows=100)).collect()
+    assert [r.account for r in busy] == ["US0000000001"]
+    assert busy[0].n == A.account_rows(tx, "US0000000001").count()
+
+
+def test_an_instant_is_split_by_id(make):
+    """Nearly all rows at one instant: ranges stay even, and results the same."""
+    rows = [(n, 1, 2, 5 if n % 50 else n, n % 97) for n in range(600)]
+    cfg = RiskConfig(hot_account_rows=50, hot_rows_per_slot=60)
+    activity = A.slim_activity(make(rows)).withColumn("account_key", F.xxhash64("account"))
+    ranged = A._ranges(activity, ["account_key", "account", "at_us", "id"], 20)
+    assert max(r["count"] for r in ranged.groupBy("slot").count().collect()) < 130
+    assert got(A.account_features(make(rows), cfg)) == brute(rows, cfg)
+
+
+def test_many_busy_accounts(make):
+    rng = random.Random(15)
+    rows = [(n, rng.randint(1, 120), rng.randint(1, 120), rng.randrange(0, 3 * HOUR, 1_000_000), n) for n in range(700)]
+    cfg = RiskConfig(hot_account_rows=5, hot_rows_per_slot=40, history_limit=4)
+    assert A.busy_accounts(make(rows), cfg).count() > 100
     assert got(A.account_features(make(rows), cfg)) == brute(rows, cfg)
 
 
@@ -109,7 +120,7 @@ def test_features_from_store(make, spark):
     late = tx.filter(F.substring("id", 36, 1).isin("1", "4"))
     expected = {n: v for n, v in brute(rows, cfg).items() if n % 10 in (1, 4)}
     assert got(A.features_from_store(late, stored, cfg)) == expected
-    small = RiskConfig(history_limit=5, hot_account_rows=10, max_hot_accounts=1000, hot_rows_per_slot=5)
+    small = RiskConfig(history_limit=5, hot_account_rows=10, hot_rows_per_slot=25)
     assert got(A.features_from_store(late, stored, small)) == expected
 
 

@@ -70,7 +70,7 @@ def test_validation_parses_each_payload_once(spark):
 
 
 def test_split_plan_spreads_a_busy_account(spark):
-    cfg = RiskConfig(hot_account_rows=10, max_hot_accounts=10_000)
+    cfg = RiskConfig(hot_account_rows=10)
     tx = fixtures.transactions(spark, SF)
     text = plan(activity.account_features(tx, cfg))
     assert "slot" in text

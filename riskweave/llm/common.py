@@ -74,7 +74,7 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", s
     salt = free_name("_salt", rows, few)
     spread = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copied = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copied.hint("shuffle_hash"), [key, salt], how).drop(salt)
+    return spread.join(copied.hint("merge"), [key, salt], how).drop(salt)
 
 
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 10_000) -> list:

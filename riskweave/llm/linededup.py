@@ -1,5 +1,9 @@
 """Repeated passages deleted by pairwise alignment of documents.
 
+A line ends at a line feed or after a full stop, exclamation or question mark
+before a blank, so that passages in the middle of a paragraph are found too.
+Lines of fewer than `line_words` words are left alone and do not part a block.
+
 A line that several documents hold nominates pairs: each later holder with the
 first holder. Rare lines nominate the later holder's previous holder as well.
 The number of pairs grows with the lines, not with the square of a line's
@@ -9,33 +13,36 @@ common order, are anchors; the gaps between anchors are aligned in the same
 way. Runs of aligned lines without a gap in either document are blocks. Blocks
 of `block_words` words or more are deleted from the later document.
 
-A line's first holder never loses it. Documents are ordered by doc_id, equal
-ones by a hash of their text. Lines are compared without blanks at their ends;
-blank lines are never deleted and do not part a block. Null text has no lines.
-Rows without doc_id take no part and stay as they are; repeated rows stay or
-lose lines alike.
+A line's first holder never loses it. Documents are ordered by doc_id. Lines
+are compared without blanks at their ends. Null text has no lines. Rows
+without doc_id take no part and stay as they are. Rows of one doc_id are not
+compared with each other; repeated rows lose the same lines.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import free_name, skewed_join, stored, text_or_empty
+from riskweave.llm.common import free_name, id_number, id_text, skewed_join, stored, text_or_empty
 
-BLANKS = " \t\r\f\v"
+#: What parts lines: blanks after the end of a sentence, or a line feed and the blanks after it.
+PARTING = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
 @dataclass(frozen=True)
 class LineDedup:
-    #: A line needs as many words to nominate a pair.
-    seed_words: int = 5
+    #: Shorter lines are left alone.
+    line_words: int = 4
     #: A block needs as many words to be deleted.
     block_words: int = 10
     #: Holders up to which a line is rare.
@@ -89,7 +96,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]:
-    """Line numbers of b in blocks shared with a. Lines are (order among lines with words, hash, words, line number)."""
+    """Numbers of the lines of b in blocks shared with a; lines are (number, hash, words)."""
     out: list[int] = []
     block: list[int] = []
     words = 0
@@ -101,53 +108,100 @@ def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]
                 out += block
             block, words = [], 0
         if here is not None:
-            block.append(b[j][3])
+            block.append(b[j][0])
             words += b[j][2]
             previous = here
     return out
 
 
+def lines_of(text: str, line_words: int) -> list[tuple[int, int, str, int]]:
+    """Lines with enough words: where each starts, where the next begins, the line, its words."""
+    found = []
+    at = 0
+    for start, end in [*(m.span() for m in PARTING.finditer(text)), (len(text), len(text))]:
+        line = text[at:start].strip()
+        words = line.count(" ") + 1
+        if words >= line_words:
+            found.append((at, end, line, words))
+        at = end
+    return found
+
+
+def _line_rows(how: LineDedup):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [lines_of(t, how.line_words) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "tie": batch["tie"],
+                "lines": [np.array([xxhash.xxh64_intdigest(x[2]) for x in ls], dtype=np.uint64).view(np.int64) for ls in lines],
+                "words": [[x[3] for x in ls] for ls in lines]})
+
+    return run
+
+
+def _align(how: LineDedup):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, list] = {"doc_id": [], "tie": [], "gone": []}
+            for doc_id, tie, a, b in zip(
+                    batch["doc_id"], batch["tie"], batch["lines_earlier"], batch["lines"], strict=True):
+                gone = common_blocks([tuple(x.values()) for x in a], [tuple(x.values()) for x in b], how.block_words)
+                if gone:
+                    out["doc_id"].append(doc_id)
+                    out["tie"].append(tie)
+                    out["gone"].append(sorted(set(gone)))
+            if out["gone"]:
+                yield pd.DataFrame(out)
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, how: LineDedup) -> DataFrame:
-    """(doc, lines): for every document (doc_id, tie) the numbers of the lines that an earlier one has in a common block."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
-    cut = F.transform(F.split("text", "\n", -1), lambda line, at: F.struct(at.alias("at"), F.btrim(line, F.lit(BLANKS)).alias("line")))
-    filled = F.filter(cut, lambda x: x["line"] != "")
-    lines = texts.select(
-        F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("doc"), F.posexplode(filled).alias("nth", "x")
-    ).select("doc", "nth", F.xxhash64("x.line").alias("line"), F.size(F.split("x.line", r"\s+")).alias("words"),
-             F.col("x.at").alias("at")).distinct()
-    lines = stored(lines, "lines")
-    holders = lines.groupBy("line", "doc").agg(F.max("words").alias("words"))
-    shared = stored(holders.groupBy("line").agg(
-        F.count("*").alias("holders"), F.min("doc").alias("first"), F.max("words").alias("most"),
-    ).filter(F.col("holders") > 1), "shared-lines")
-    # Rows of a line are its holders and, where a document repeats it, some more.
-    held = stored(skewed_join(lines, shared, "line", "holders"), "held-lines")
-    arrays = held.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "words", "at"))).alias("lines"))
-    seeds = held.filter(F.col("most") >= how.seed_words).select("line", "doc", "holders", "first").distinct()
-    firsts = seeds.filter(F.col("doc") != F.col("first")).select(F.col("first").alias("earlier"), F.col("doc").alias("later"))
-    rare = seeds.filter(F.col("holders") <= how.rare)
-    before = F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))
-    previous = rare.select(before.alias("earlier"), F.col("doc").alias("later")).filter(F.col("earlier").isNotNull())
+    """doc_id, a hash of the text, and the numbers of its lines that an earlier document has in a common block."""
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(
+        id_text(), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    rows = stored(id_number(texts.mapInPandas(
+        _line_rows(how), "doc_id string, tie bigint, lines array<bigint>, words array<int>")), "lines")
+    once = F.array_distinct(F.arrays_zip("lines", "words"))
+    held = rows.select("doc_id", F.inline(once).alias("line", "words")).groupBy("line").agg(
+        F.count("*").alias("holders"), F.min("doc_id").alias("first"), F.max("words").alias("words"))
+    shared = stored(held.filter(F.col("holders") > 1), "shared-lines")
+    # A common line's holders are many; the join splits them.
+    found = rows.select("doc_id", "tie", F.posexplode("lines").alias("nth", "line")).join(shared.hint("merge"), "line")
+    keys = ("doc_id", "tie")
+    arrays = stored(found.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct("nth", "line", "words"))).alias("lines"),
+        F.collect_set("first").alias("firsts"),
+        F.collect_set(F.when(F.col("holders") <= how.rare, F.col("line"))).alias("rare")), "held-lines")
+    firsts = arrays.select(F.explode("firsts").alias("earlier"), *keys).filter(F.col("earlier") < F.col("doc_id"))
+    # At most `rare` documents hold such a line.
+    rare = arrays.select("doc_id", "tie", F.explode("rare").alias("line"))
+    before = F.lag("doc_id").over(Window.partitionBy("line").orderBy(*keys))
+    previous = rare.select(before.alias("earlier"), *keys).filter(F.col("earlier") < F.col("doc_id"))
     pairs = stored(firsts.unionByName(previous).distinct(), "line-pairs")
     asked = pairs.groupBy("earlier").agg(F.count("*").alias("n"))
-    left = arrays.withColumnRenamed("doc", "earlier").join(asked, "earlier").withColumnRenamed("lines", "lines_earlier")
-    right = arrays.withColumnRenamed("doc", "later").withColumnRenamed("lines", "lines_later")
-    both = skewed_join(pairs, left, "earlier", "n").select("later", "lines_earlier").join(right, "later")
+    left = arrays.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("lines_earlier")).join(asked, "earlier")
+    both = skewed_join(pairs, left, "earlier", "n").select(*keys, "lines_earlier").join(
+        arrays.select(*keys, "lines"), [*keys])
+    gone = both.mapInPandas(_align(how), "doc_id bigint, tie bigint, gone array<int>")
+    return gone.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            later, tie, found = [], [], []
-            for doc, a, b in zip(batch["later"], batch["lines_earlier"], batch["lines_later"], strict=True):
-                at = common_blocks([tuple(x.values()) for x in a], [tuple(x.values()) for x in b], how.block_words)
-                if at:
-                    later.append(doc["doc_id"])
-                    tie.append(doc["tie"])
-                    found.append(sorted(set(at)))
-            yield pd.DataFrame({"doc_id": pd.Series(later, dtype="Int64"), "tie": pd.Series(tie, dtype="Int64"), "at": found})
 
-    found = both.mapInPandas(run, "doc_id bigint, tie bigint, at array<int>")
-    return found.groupBy("doc_id", "tie").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("lines"))
+def _without(how: LineDedup):
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        def kept(text: str, numbers) -> str:
+            at, parts = 0, []
+            lines = lines_of(text, how.line_words)
+            for number in sorted(numbers):
+                start, end, *_ = lines[number]
+                parts.append(text[at:start])
+                at = end
+            return "".join(parts) + text[at:]
+
+        return pd.Series([t if g is None else kept(t, g) for t, g in zip(texts, gone, strict=True)])
+
+    return cut
 
 
 def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
@@ -155,15 +209,15 @@ def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
 
     Columns of docs that have the names of the last two are replaced.
     """
-    key, tie, gone = (free_name(name, docs) for name in ("_id", "_tie", "_gone"))
+    key, tie, gone, kept = (free_name(name, docs) for name in ("_id", "_tie", "_gone", "_kept"))
     found = repeated_lines(docs, how).select(
-        F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("lines").alias(gone))
+        F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("gone").alias(gone))
     text, untouched = text_or_empty(), F.col(gone).isNull()
     rows = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(text) == F.col(tie)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
+    rows = rows.withColumn(kept, _without(how)(text, F.col(gone)))
     told = {"removed_lines": F.when(untouched, 0).otherwise(F.size(gone)),
             "removed_chars": F.when(untouched, 0).otherwise(F.length(text) - F.length(kept)).cast("bigint")}
     return rows.select(
-        *[(F.when(untouched, F.col("text")).otherwise(kept) if c == "text" else F.col(c)).alias(c)
+        *[(F.when(untouched, F.col("text")).otherwise(F.col(kept)) if c == "text" else F.col(c)).alias(c)
           for c in docs.columns if c not in told],
         *[column.alias(name) for name, column in told.items()])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,29 +178,36 @@ def test_paragraphs_are_added_and_taken_out(spark):
 
 # ---- line dedup -----------------------------------------------------------------
 
+def cut_lines(text, how):
+    """Parts of a text, lines and what parts them in turn, and the places of lines with enough words."""
+    parts = re.split(r"((?<=[.!?])\s+|\n\s*)", text)
+    return parts, [n for n in range(0, len(parts), 2) if len(parts[n].strip().split(" ")) >= how.line_words]
+
+
 def plain_lines(pairs, how):
     """Line dedup of (doc_id, text) in ascending doc_id, by comparing each document with all that share a line."""
     docs = sorted((i, t or "") for i, t in pairs)
-    held, lines = {}, {}
-    for i, t in docs:
-        lines[i] = []
-        for at, line in enumerate(t.split("\n")):
-            clean = line.strip(" \t\r\f\v")
-            if clean:
-                lines[i].append((len(lines[i]), clean, len(clean.split()), at))
-                held.setdefault(clean, {}).setdefault(i)
+    cut = {i: cut_lines(t, how) for i, t in docs}
+    lines = {i: [(n, parts[at].strip(), len(parts[at].strip().split(" "))) for n, at in enumerate(places)]
+             for i, (parts, places) in cut.items()}
+    held = {}
+    for i, ls in lines.items():
+        for _, line, _ in ls:
+            held.setdefault(line, {}).setdefault(i)
     pairs = set()
-    for line, owners in held.items():
-        owners = sorted(owners)
-        if len(line.split()) >= how.seed_words:
-            pairs |= {(owners[0], later) for later in owners[1:]}
-            if len(owners) <= how.rare:
-                pairs |= set(zip(owners, owners[1:]))
+    for owners in map(sorted, held.values()):
+        pairs |= {(owners[0], later) for later in owners[1:]}
+        if len(owners) <= how.rare:
+            pairs |= set(zip(owners, owners[1:]))
     shared = {i: [x for x in ls if len(held[x[1]]) > 1] for i, ls in lines.items()}
     gone = {i: set() for i, _ in docs}
     for earlier, later in pairs:
         gone[later] |= set(linededup.common_blocks(shared[earlier], shared[later], how.block_words))
-    return {i: "\n".join(line for at, line in enumerate(t.split("\n")) if at not in gone[i]) for i, t in docs}
+    out = {}
+    for i, (parts, places) in cut.items():
+        drop = {p for n in gone[i] for p in (places[n], places[n] + 1)}
+        out[i] = "".join(part for n, part in enumerate(parts) if n not in drop)
+    return out
 
 
 def mixed(rng, passages, n):
@@ -214,11 +222,16 @@ def test_line_dedup_equals_plain_version(documents):
     passages = [prose(rng, n) for n in (60, 75, 24, 8, 4)]
     texts = [mixed(rng, passages, 3) for _ in range(40)]
     texts += [texts[0], texts[1], texts[2] + "\n" + prose(rng, 30), "\n\n".join(texts[5].split("\n")), passages[0]]
+    sentences = ". ".join(prose(rng, 9).replace("\n", " ") for _ in range(8)) + "."
+    texts += [prose(rng, 30) + " and " + sentences + " " + prose(rng, 30) for _ in range(3)]
     how = linededup.LineDedup()
     found = linededup.dedup_lines(documents(texts), how).collect()
     expected = plain_lines(list(enumerate(texts)), how)
     assert {r.doc_id: r.text for r in found} == expected
     assert all(r.removed_chars == len(texts[r.doc_id]) - len(r.text) for r in found)
+    # A passage inside a paragraph goes, but for its first, broken sentence.
+    assert [sentences[20:] in r.text for r in sorted(found)[-3:]] == [True, False, False]
+    assert all(". ".join(sentences.split(". ")[1:]) not in r.text for r in sorted(found)[-2:])
     for passage in passages[:2]:  # each stays in one document
         assert sum(passage in r.text for r in found) <= 1
         assert any(passage.split("\n")[0] in r.text for r in found if passage in texts[r.doc_id])
@@ -226,7 +239,7 @@ def test_line_dedup_equals_plain_version(documents):
 
 def test_clean_documents_keep_their_lines(documents):
     rng = random.Random(10)
-    texts = [prose(rng, 100) + "\nYes.\nNo, not at all." for _ in range(10)]
+    texts = [prose(rng, 100) + "\nYes.\nNo, it is not at all. So we said." for _ in range(10)]
     assert {r.doc_id: r.text for r in linededup.dedup_lines(documents(texts)).collect()} == dict(enumerate(texts))
 
 

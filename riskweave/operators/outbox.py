@@ -78,12 +78,16 @@ def outbox_cutoff(now: Column, days: int = V.OUTBOX_RETENTION_DAYS) -> Column:
 
 
 def outbox_retained(outbox: DataFrame, cutoff: Column) -> DataFrame:
-    """What the purge keeps; a row exactly at the cutoff stays."""
-    return outbox.filter(F.col("created_at") >= cutoff)
+    """What the purge keeps; a row exactly at the cutoff stays. Days before it are not read if there is a `day`."""
+    kept = outbox.filter(F.col("created_at") >= cutoff)
+    return kept.filter(F.col("day") >= F.to_date(cutoff)) if "day" in outbox.columns else kept
 
 
 def outbox_purge_count(outbox: DataFrame, cutoff: Column) -> DataFrame:
-    return outbox.filter(F.col("created_at") < cutoff).agg(F.count("*").alias("purged"))
+    old = outbox.filter(F.col("created_at") < cutoff)
+    if "day" in outbox.columns:
+        old = old.filter(F.col("day") <= F.to_date(cutoff))
+    return old.agg(F.count("*").alias("purged"))
 
 
 def audit_log(evaluated: DataFrame) -> DataFrame:

@@ -31,8 +31,10 @@ from riskweave.session import cut, scratch_dir
 
 _MATCHES = "query_id string, id string, similarity double"
 _PAIRS_AT_ONCE = 4_000_000
-# Cosines this close may round to the same similarity.
-_ROUNDING = 4e-9
+# Candidates that set the bar, pairs that are computed exactly at once.
+_FIRST, _EXACT = 1024, 20_000
+# More than single precision can be wrong about a cosine.
+_MARGIN = 1e-5
 
 
 def embed_transactions(
@@ -163,11 +165,11 @@ def _order(vectors: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
     return [vectors.column(n).to_numpy() for n in vectors.schema.names[2:]]
 
 
-def _came(query_ids: np.ndarray, query_order: list, ids: np.ndarray, order: list) -> np.ndarray:
-    """Which candidates do not come after each query."""
-    came = ids[None, :] <= query_ids[:, None]
-    for asked, held in zip(reversed(query_order), reversed(order)):
-        came = (held[None, :] < asked[:, None]) | ((held[None, :] == asked[:, None]) & came)
+def _came(query: tuple, rows: np.ndarray, ids: np.ndarray, order: list, cols: np.ndarray) -> np.ndarray:
+    """Whether candidates do not come after queries, for pairs of places."""
+    came = ids[cols] <= query[0][rows]
+    for asked, held in zip(reversed(query[2]), reversed(order)):
+        came = (held[cols] < asked[rows]) | ((held[cols] == asked[rows]) & came)
     return came
 
 
@@ -196,27 +198,39 @@ def _first_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray,
 
 
 def _best(query: tuple, ids: np.ndarray, units: np.ndarray, order: list, keep: int, floor: float | None):
-    """Query numbers, candidate ids and similarities of the best pairs of one block."""
-    query_ids, query_units, query_order = query
+    """Query numbers, candidate ids and similarities of the best pairs of one block.
+
+    Single precision tells which pairs may be among the best; only these are
+    computed in double precision. The bar comes from the first candidates.
+    """
     ids, units, order = _fewer_copies(ids, units, order, keep)
+    single = units.astype(np.float32)
+    first = np.arange(min(len(ids), _FIRST))
     found = []
     step = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
-    for start in range(0, len(query_units), step):
-        here = slice(start, start + step)
-        cosine = query_units[here] @ units.T
+    for start in range(0, len(query[1]), step):
+        numbers = np.arange(start, min(start + step, len(query[1])))
+        cosine = query[1][numbers].astype(np.float32) @ single.T
+        bar = np.full((len(numbers), 1), -2.0 if floor is None else 2.0 * floor - 1.0, dtype=np.float32)
+        if len(first) > keep:
+            some = cosine[:, first]
+            if order:
+                some[~_came(query, numbers[:, None], ids, order, first[None, :])] = -2.0
+            bar = np.maximum(bar, np.partition(some, len(first) - keep, axis=1)[:, -keep][:, None])
+        rows, cols = np.nonzero(cosine >= bar - np.float32(_MARGIN))
+        rows += start
         if order:
-            cosine[~_came(query_ids[here], [o[here] for o in query_order], ids, order)] = -np.inf
-        # Only what can still rank after rounding is rounded.
-        bar = np.full((len(cosine), 1), -2.0 if floor is None else 2.0 * floor - 1.0)
-        if cosine.shape[1] > keep:
-            bar = np.maximum(bar, np.partition(cosine, cosine.shape[1] - keep, axis=1)[:, -keep][:, None])
-        rows, cols = np.nonzero(cosine >= bar - _ROUNDING)
-        similarity = np.round((1.0 + np.clip(cosine[rows, cols], -1.0, 1.0)) / 2.0, 9)
+            came = _came(query, rows, ids, order, cols)
+            rows, cols = rows[came], cols[came]
+        exact = np.concatenate([
+            np.einsum("ij,ij->i", query[1][rows[i:i + _EXACT]], units[cols[i:i + _EXACT]])
+            for i in range(0, len(rows), _EXACT)] or [np.empty(0)])
+        similarity = np.round((1.0 + np.clip(exact, -1.0, 1.0)) / 2.0, 9)
         if floor is not None:
             near = similarity > floor
             rows, cols, similarity = rows[near], cols[near], similarity[near]
         best = _first_per_query(rows, similarity, ids[cols], keep)
-        found.append((rows[best] + start, ids[cols[best]], similarity[best]))
+        found.append((rows[best], ids[cols[best]], similarity[best]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce, wraps
+from functools import lru_cache, reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +72,18 @@ def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return received.unionByName(evaluated)
 
 
+@lru_cache
+def _outbox_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The outbox as it is stored, by day; written once per session and input."""
+    folder = scratch_dir(spark, "stored-outbox")
+    store.write_batch(_outbox(spark, sf_dir), folder, "outbox", 0, day_of="created_at")
+    return folder
+
+
+def _stored_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_all(spark, _outbox_folder(spark, sf_dir), "outbox", OUTBOX, by_day=True)
+
+
 def _weights(embedded: DataFrame, *columns: str) -> DataFrame:
     """Stored vectors as rows, one per non-zero place."""
     places = embedded.select(*columns, F.posexplode("embedding").alias("bucket", "weight"))
@@ -374,25 +386,25 @@ def to_outbox(spark, sf_dir):
 
 @_query
 def route_outbox(spark, sf_dir):
-    return outbox.route_outbox(_outbox(spark, sf_dir)).select(
+    return outbox.route_outbox(_stored_outbox(spark, sf_dir)).select(
         "topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
         validate.event_type_of(F.col("headers")).alias("event_type"))
 
 
 @_query
 def outbox_scores(spark, sf_dir):
-    return outbox.outbox_scores(_outbox(spark, sf_dir))
+    return outbox.outbox_scores(_stored_outbox(spark, sf_dir))
 
 
 @_query
 def outbox_retained(spark, sf_dir):
-    kept = outbox.outbox_retained(_outbox(spark, sf_dir), outbox.outbox_cutoff(instant("2024-01-31 00:00:00")))
+    kept = outbox.outbox_retained(_stored_outbox(spark, sf_dir), outbox.outbox_cutoff(instant("2024-01-31 00:00:00")))
     return kept.select("id", "event_type", "created_at")
 
 
 @_query
 def outbox_purge_count(spark, sf_dir):
-    return outbox.outbox_purge_count(_outbox(spark, sf_dir), outbox.outbox_cutoff(instant("2024-01-31 00:00:00")))
+    return outbox.outbox_purge_count(_stored_outbox(spark, sf_dir), outbox.outbox_cutoff(instant("2024-01-31 00:00:00")))
 
 
 # ---- model cost -------------------------------------------------------------

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import id_number, id_text, stored, tasks, text_or_empty
+from riskweave.llm.common import id_number, id_text, small_batches, stored, tasks, text_or_empty
 from riskweave.llm.tokens import encoder
 from riskweave.session import scratch_dir
 
@@ -102,7 +102,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ids = [words.encode(t) + end for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [halves(x) for x in ids]})
 
-    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    rows = small_batches(docs).select(id_text(), text_or_empty().alias("text"))
     return id_number(rows.mapInPandas(run, "doc_id string, ids binary"))
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import id_number, id_text, kept, text_or_empty
+from riskweave.llm.common import id_number, id_text, kept, small_batches, text_or_empty
 from riskweave.llm.tokens import UNUSUAL, WORD_PIECES, byte_letters
 
 NO_PAIR = np.iinfo(np.int64).max
@@ -203,7 +203,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
             ids = words.encode(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [words.decode(x) for x in ids]})
 
-    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    rows = small_batches(docs).select(id_text(), text_or_empty().alias("text"))
     return id_number(rows.mapInPandas(run, "doc_id string, ids array<int>, decoded string"))
 
 
@@ -219,5 +219,5 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for ids, _ in out],
                 "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text in out]})
 
-    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    rows = small_batches(docs).select(id_text(), text_or_empty().alias("text"))
     return id_number(rows.mapInPandas(run, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -48,6 +48,24 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return vars(home)[key]
 
 
+def forget() -> None:
+    """Let go of what `kept` holds, for operators that need the room."""
+    home = sys.modules.get("_kept_by_worker")
+    if home is not None:
+        vars(home).clear()
+
+
+#: Rows and bytes that go to a Python worker at once; texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 * 1024 * 1024}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session that sends small batches to Python workers."""
+    for key, most in BATCH.items():
+        df.sparkSession.conf.set(key, most)
+    return df
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import free_name, salted_join
+from riskweave.llm.common import forget, free_name, salted_join, small_batches
 from riskweave.session import scratch_dir
 
 #: Rules in the order in which spans of one start are listed: kind, version, pattern, group that is measured, least length.
@@ -47,6 +47,7 @@ def spans_of(text: str, pattern: re.Pattern, group: int, least: int) -> list[tup
 
 def _scanner(rules: tuple):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         compiled = {
             f"{kind}@{version}": (kind, re.compile(QUICK.get(kind, pattern) if (kind, version, pattern, group, least) in RULES
                                                    else pattern, re.ASCII), group, least)
@@ -68,7 +69,7 @@ def _scanner(rules: tuple):
 
 def scan_new(versions: DataFrame, ledger: str, rules: tuple = RULES) -> None:
     """Scan (path, content) rows: every blob with the rule versions that the ledger lacks for it."""
-    spark = versions.sparkSession
+    spark = small_batches(versions).sparkSession
     wanted = F.array(*[F.lit(r) for r in rule_ids(rules)])
     blobs = versions.select(
         F.sha2(F.col("content").cast("binary"), 256).alias("blob"), "content").dropDuplicates(["blob"])

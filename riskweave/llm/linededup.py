@@ -33,7 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import free_name, id_number, id_text, skewed_join, stored, text_or_empty
+from riskweave.llm.common import (
+    forget, free_name, id_number, id_text, skewed_join, small_batches, stored, text_or_empty,
+)
 
 #: What parts lines: blanks after the end of a sentence, or a line feed and the blanks after it.
 PARTING = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -129,6 +131,7 @@ def lines_of(text: str, line_words: int) -> list[tuple[int, int, str, int]]:
 
 def _line_rows(how: LineDedup):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             lines = [lines_of(t, how.line_words) for t in batch["text"]]
             yield pd.DataFrame({
@@ -158,7 +161,7 @@ def _align(how: LineDedup):
 
 def repeated_lines(docs: DataFrame, how: LineDedup) -> DataFrame:
     """doc_id, a hash of the text, and the numbers of its lines that an earlier document has in a common block."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(
+    texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
         id_text(), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     rows = stored(id_number(texts.mapInPandas(
         _line_rows(how), "doc_id string, tie bigint, lines array<bigint>, words array<int>")), "lines")

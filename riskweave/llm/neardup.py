@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import id_number, id_text, salted_join, stored, text_or_empty
+from riskweave.llm.common import forget, id_number, id_text, salted_join, small_batches, stored, text_or_empty
 from riskweave.llm.components import components
 from riskweave.llm.shingles import Shingler, mix
 
@@ -130,6 +130,7 @@ def sketch(docs: DataFrame, how: NearDup) -> DataFrame:
     """doc_id, n_shingles, two numbers that tell sets apart, band keys, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingler = Shingler(how.words)
         a, b = multipliers()
         weights = mix(np.arange(1, 1 + how.band_rows, dtype=np.uint64)) | np.uint64(1)
@@ -153,7 +154,7 @@ def sketch(docs: DataFrame, how: NearDup) -> DataFrame:
                 "set_two": np.array(two, dtype=np.uint64).view(np.int64), "bands": keys, "signature": signs})
 
     text = text_or_empty()
-    rows = docs.select(id_text(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = small_batches(docs).select(id_text(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return id_number(rows.mapInPandas(run, "doc_id string, text_hash bigint, n_shingles bigint, set_one bigint, "
                                            "set_two bigint, bands array<bigint>, signature array<bigint>"))
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import id_number, id_text, stored, text_or_empty
+from riskweave.llm.common import id_number, id_text, small_batches, stored, text_or_empty
 from riskweave.llm.tokens import encoder
 
 
@@ -175,7 +175,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, room: int) -> DataFrame:
                          for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(id_text(), text_or_empty().alias("text"))
+    rows = small_batches(docs).select(id_text(), text_or_empty().alias("text"))
     return id_number(rows.mapInPandas(run, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"))
 
 

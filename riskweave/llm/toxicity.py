@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import stored, text_or_empty
+from riskweave.llm.common import forget, small_batches, stored, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -92,6 +92,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, size: FitSize) -> DataFrame:
     """(text, toxic) of a bounded draw of labelled rows outside the held-out part; copies once."""
+    small_batches(docs)
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, size.fit_rows / max(1, known.count()))
@@ -246,6 +247,7 @@ def score_with(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         lexicon = Lexicon(terms)
         for texts in batches:
             hits = np.zeros((len(texts), len(terms)), dtype=np.float32)

@@ -79,17 +79,18 @@ def _nearest(name: str, queries: str, k: int, extra: str = "") -> str:
 
 _TEXT = "amount || ' ' || currency || ' from ' || from_account || ' to ' || to_account || ': ' || description"
 
-SIMILAR = f"""
+def _similar(dimensions: int) -> str:
+    return f"""
 texts as (select id, epoch_us(occurred_at) as at_us, {_TEXT} as text from transactions),
 words as (
- select id, cast(('0x' || substr(md5(w), 1, 8)) as bigint) % 384 as bucket
+ select id, cast(('0x' || substr(md5(w), 1, 8)) as bigint) % {dimensions} as bucket
  from (select id, unnest(regexp_split_to_array(lower(text), '\\W+')) as w from texts) where w <> ''),
 counts as (select id, bucket, count(*) as n from words group by id, bucket),
 norms as (select id, sqrt(cast(sum(n * n) as double)) as norm from counts group by id),
 stored as (
  select t.id, any_value(t.at_us) as at_us,
-  cast(list_transform(range(384), lambda b: coalesce(map_from_entries(list((c.bucket, cast(cast(n / norm as float) as double))))[b], 0))
-   as double[384]) as v
+  cast(list_transform(range({dimensions}), lambda b: coalesce(map_from_entries(list((c.bucket, cast(cast(n / norm as float) as double))))[b], 0))
+   as double[{dimensions}]) as v
  from texts t join counts c on t.id = c.id join norms m on t.id = m.id group by t.id),
 asked as (select * from stored where id in (select id from gated where gate_decision = 'FLAG')),
 near as (
@@ -103,6 +104,9 @@ alike as (
   cast(sum(cast(similarity as decimal(12,9))) as double) / count(*) as similar_mean
  from near group by query_id)"""
 
+
+SIMILAR = _similar(384)
+
 _EXACT2 = "cast(round(cast(cast({0} as varchar) as decimal(38,18)), 2) as decimal(20,2))"
 
 _ALL_ALIKE = "g.id = s.id"
@@ -413,6 +417,10 @@ def oracle_sql() -> dict[str, str]:
             f"with {_EMBEDDINGS}, {_nearest('nearest', 'vectors', 10, 'where similarity > 0.7')} "
             "select query_id, id, similarity, round(2.0 * (1.0 - similarity), 8) as distance, rank from nearest",
         "similar_transactions": f"with {TO_GATE}, {SIMILAR} select query_id, id, similarity, rank from near",
+        "similar_transactions_embed": f"with {TO_GATE}, {_similar(32)} select query_id, id, similarity, rank from near",
+        "audit_stream":
+            f"with {RAW_EVENTS}, {VALIDATED} select {_TX}, decision, risk_score, reasoning, evaluated_at from validated "
+            "where reject_reason is null and event_type = 'TransactionEvaluated'",
         "velocity_split": f"with {TO_GATE} select id, from_account, velocity from features",
         "history_split":
             f"with {TO_GATE} select id, from_account, history_count, history_sum, "

@@ -19,6 +19,7 @@ whatever the accounts and instants are (`_split`):
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,21 +131,25 @@ def features_from_store(rows: DataFrame, stored: DataFrame, cfg: RiskConfig = Ri
     in `rows` are read back, and of each only what its earliest row can see:
     everything since one window before it, and the N rows before that.
 
-    With `day`, a short look back comes first: it is enough once every account
-    has its N rows, and busy accounts have them soon.
+    With `day`, a short look back comes first: it is enough for accounts that
+    have their N rows in it, and busy accounts have them soon. Only the others
+    look back further.
     """
     paying = cut(rows.groupBy(F.col("from_account").alias("account")).agg(
         (F.min(F.unix_micros("occurred_at")) - cfg.velocity_window_us).alias("since_us")))
-    found = paying.agg(F.count("*").alias("accounts"), F.min("since_us").alias("since_us")).first()
-    for days in (1, 30) if "day" in stored.columns and found.accounts else ():
-        first_day = F.to_date(F.timestamp_micros(F.lit(found.since_us))) - days
+    contexts = []
+    for days in (1, 30) if "day" in stored.columns else ():
+        since_us = paying.agg(F.min("since_us")).first()[0]
+        first_day = F.to_date(F.timestamp_micros(F.lit(since_us))) - days
         context, older = _context(paying, stored.filter(F.col("day") >= first_day), cfg)
-        complete = older.groupBy("account").count().filter(F.col("count") >= cfg.history_limit)
-        if complete.count() == found.accounts:
+        complete = cut(older.groupBy("account").count().filter(F.col("count") >= cfg.history_limit).select("account"))
+        contexts.append(context.join(complete, "account", "left_semi"))
+        paying = cut(paying.join(complete, "account", "left_anti"))
+        if paying.isEmpty():
             break
     else:
-        context, _ = _context(paying, stored, cfg)
-    context = cut(context)
+        contexts.append(_context(paying, stored, cfg)[0])
+    context = cut(reduce(DataFrame.unionByName, contexts))
     features = activity_features(context, cfg, _busy(context, lambda rows: rows, cfg))
     return rows.join(features.select("id", *FEATURES), "id")
 

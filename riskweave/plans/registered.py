@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, reduce, wraps
+from functools import lru_cache, partial, reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
+from riskweave.functions.embed import hash_embedding
 from riskweave.functions.text import transaction_text
 from riskweave.operators import activity, cost, outbox, redact, rules, scoring, tables, validate, vectors
 from riskweave.plans import fixtures
@@ -18,12 +19,13 @@ from riskweave.plans.evaluate import evaluate, gate, neighbours, score_flagged,
 from riskweave.schemas import DECIDED, OUTBOX, TRANSACTION_COLUMNS, TRANSACTIONS
 from riskweave.session import configure, cut, releasing, scratch_dir
 from riskweave.sources import streams
+from riskweave.sources import tables as table_sources
 from riskweave.streaming import account_state, run, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Two transactions in an hour are the limit, so that the test tables reach it.
-CFG = RiskConfig(velocity_limit=2)
+CFG = RiskConfig.from_settings({"velocity-limit": 2, "velocity-window": "PT1H"})
 ACCOUNT = "US0000000042"
 TRANSACTION = "00000000-0000-0000-0000-000000000042"
 
@@ -95,7 +97,9 @@ def _weights(embedded: DataFrame, *columns: str) -> DataFrame:
 
 @_query
 def read_transactions(spark, sf_dir):
-    return fixtures.transactions(spark, sf_dir)
+    folder = scratch_dir(spark, "transactions")
+    fixtures.transactions(spark, sf_dir).write.parquet(folder)
+    return table_sources.read_transactions(spark, folder)
 
 
 @_query
@@ -244,6 +248,14 @@ def similar_transactions(spark, sf_dir):
     return matches.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@_query
+def similar_transactions_embed(spark, sf_dir):
+    """The same with another embedder."""
+    tx, embed = fixtures.transactions(spark, sf_dir), partial(hash_embedding, dimensions=32)
+    matches = similar_to_flagged(_flagged(spark, sf_dir), stored_vectors(tx, embed), CFG, embed)
+    return matches.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # ---- gate, scores, decisions ------------------------------------------------
 
 @_query
@@ -579,9 +591,9 @@ def run_stream(spark, sf_dir):
     return store.read_latest(spark, _run_loop(spark, sf_dir), "decisions", DECIDED)
 
 
-@_query
-def reject_stream(spark, sf_dir):
-    folder = scratch_dir(spark, "rejects")
+def _side_outputs(spark: SparkSession, sf_dir: str) -> str:
+    """Rejected events and recorded decisions of a stream of events with every fault."""
+    folder = scratch_dir(spark, "side-outputs")
     raw = fixtures.raw_events(spark, sf_dir)
     header = F.struct(F.lit(V.EVENT_TYPE_HEADER).alias("key"), F.col("event_type").cast("binary").alias("value"))
     raw.select(
@@ -591,5 +603,15 @@ def reject_stream(spark, sf_dir):
     ).write.parquet(f"{folder}/in")
     frames = streams.read_event_stream(spark, f"{folder}/in", format="parquet")
     run.start_side_outputs(frames, folder, {"availableNow": True}).awaitTermination()
-    rejects = spark.read.parquet(f"{folder}/rejects")
+    return folder
+
+
+@_query
+def reject_stream(spark, sf_dir):
+    rejects = spark.read.parquet(f"{_side_outputs(spark, sf_dir)}/rejects")
     return rejects.select(F.col("key").cast("bigint").alias("event_id"), "event_type", "value", "reject_reason")
+
+
+@_query
+def audit_stream(spark, sf_dir):
+    return spark.read.parquet(f"{_side_outputs(spark, sf_dir)}/audit").drop("batch_id")

@@ -21,7 +21,7 @@ def plan(df):
 
 
 STREAMS = {"read_event_stream", "read_outbox_stream", "relay_outbox", "stream_velocity", "stream_velocity_open",
-           "run_stream", "reject_stream", "redelivery", "purge_outbox", "compact_store"}
+           "run_stream", "reject_stream", "audit_stream", "redelivery", "purge_outbox", "compact_store"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registered.queries()) - STREAMS))

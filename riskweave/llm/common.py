@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.session import scratch_dir
 
@@ -90,7 +91,9 @@ def free_name(name: str, *frames: DataFrame) -> str:
 def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join rows, of which many may share one key, with slim rows of which each key has one."""
     salt = free_name("_salt", rows, few)
-    spread = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    # By content, so that a task that runs again deals its rows in the same way.
+    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = rows.withColumn(salt, F.pmod(F.xxhash64(*content), F.lit(salts)).cast("int"))
     copied = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copied.hint("merge"), [key, salt], how).drop(salt)
 

@@ -30,8 +30,8 @@ BYTE_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
-#: Pieces a worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
+#: Pieces a worker remembers from lately, and as many again from before.
+REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,12 +47,17 @@ class PieceIds(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.model, self.letters = tokenizer.model, byte_letters()
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        self[piece] = found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        found = self.before.get(piece)
+        if found is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        self[piece] = found
         return found
 
 

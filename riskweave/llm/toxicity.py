@@ -98,7 +98,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, size: FitSize) -> DataFram
     share = min(1.0, size.fit_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(drawn, "doc_id").select("text", "toxic")
-    return rows.withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy"]).drop("copy")
+    return _one_of_each(rows, F.xxhash64("text"))
+
+
+def _one_of_each(rows: DataFrame, key: Column) -> DataFrame:
+    """One row for each key, the same in every run."""
+    least = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), -F.col("toxic")))
+    return rows.groupBy(key.alias("key")).agg(least.alias("row")).select("row.*")
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,12 +118,13 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with a key that near copies tend to share: their three smallest word hashes."""
+    """Texts with a key that near copies tend to share: their three smallest hashes of word pairs."""
     for batch in batches:
         keys = []
         for text in batch["text"]:
-            words = pd.Series(list(set(WORD.findall(text.lower()))), dtype=object)
-            hashes = np.sort(pd.util.hash_array(words.to_numpy(), categorize=False))[:3] if len(words) else []
+            words = WORD.findall(text.lower())
+            pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)
+            hashes = sorted(pd.util.hash_array(np.array(list(pairs), dtype=object), categorize=False))[:3] if pairs else []
             keys.append("-".join(map(str, hashes)))
         yield batch.assign(sketch=keys)
 
@@ -213,8 +220,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, size: FitSize = FitSize()) -> Model | None:
     """Lexicon, label model and classifier from labelled rows; None where labels lack a class."""
     train = training_rows(docs, labels, size).mapInPandas(_sketch, "text string, toxic int, sketch string")
-    train = train.dropDuplicates(["sketch"]).drop("sketch")
-    train = stored(train, "toxicity-train")
+    train = stored(_one_of_each(train, F.col("sketch")), "toxicity-train")
     terms = find_terms(train, size)
     if not terms:
         return None
@@ -230,6 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: FitSize = FitSize()) -> Model
 
     seen = train.mapInPandas(patterns, "places array<int>, times array<int>, words long, toxic int")
     rows = seen.groupBy("places", "times", "words").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).toPandas()
+    # In one order, whatever order the groups came in.
+    shape = [(*p, -1, *t, -1, w) for p, t, w in zip(rows["places"], rows["times"], rows["words"], strict=True)]
+    rows = rows.iloc[sorted(range(len(rows)), key=shape.__getitem__)].reset_index(drop=True)
     hits = np.zeros((len(rows), len(terms)), dtype=np.float32)
     for i, (places, times) in enumerate(zip(rows["places"], rows["times"], strict=True)):
         hits[i, np.asarray(places, dtype=int)] = times

@@ -166,11 +166,24 @@ def _order(vectors: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _came(query: tuple, rows: np.ndarray, ids: np.ndarray, order: list, cols: np.ndarray) -> np.ndarray:
-    """Whether candidates do not come after queries, for pairs of places."""
-    came = ids[cols] <= query[0][rows]
-    for asked, held in zip(reversed(query[2]), reversed(order)):
-        came = (held[cols] < asked[rows]) | ((held[cols] == asked[rows]) & came)
-    return came
+    """Whether candidates do not come after queries, for pairs of places; ids are only compared at equal times."""
+    shape = np.broadcast_shapes(rows.shape, cols.shape)
+    before, same = np.zeros(shape, dtype=bool), np.ones(shape, dtype=bool)
+    for asked, held in zip(query[2], order):
+        before |= same & (held[cols] < asked[rows])
+        same &= held[cols] == asked[rows]
+    ties = np.nonzero(same)
+    before[ties] = ids[np.broadcast_to(cols, shape)[ties]] <= query[0][np.broadcast_to(rows, shape)[ties]]
+    return before
+
+
+def _not_after(last: list, order: list) -> int:
+    """Number of candidates, in order of time, whose time is not after the last."""
+    before, same = np.zeros(len(order[0]), dtype=bool), np.ones(len(order[0]), dtype=bool)
+    for asked, held in zip(last, order):
+        before |= same & (held < asked)
+        same &= held == asked
+    return int((before | same).sum())
 
 
 def _fewer_copies(ids: np.ndarray, units: np.ndarray, order: list, keep: int):
@@ -204,13 +217,22 @@ def _best(query: tuple, ids: np.ndarray, units: np.ndarray, order: list, keep: i
     computed in double precision. The bar comes from the first candidates.
     """
     ids, units, order = _fewer_copies(ids, units, order, keep)
+    every = np.arange(len(query[1]))
+    if order:
+        # Both sides by time, so that queries leave out the candidates after them.
+        by_time = np.lexsort(order[::-1])
+        ids, units, order = ids[by_time], units[by_time], [o[by_time] for o in order]
+        every = np.lexsort(query[2][::-1])
     single = units.astype(np.float32)
-    first = np.arange(min(len(ids), _FIRST))
     found = []
     step = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
-    for start in range(0, len(query[1]), step):
-        numbers = np.arange(start, min(start + step, len(query[1])))
-        cosine = query[1][numbers].astype(np.float32) @ single.T
+    for start in range(0, len(every), step):
+        numbers = every[start:start + step]
+        upto = len(ids)
+        if order:
+            upto = _not_after([o[numbers[-1]] for o in query[2]], order)
+        first = np.arange(min(upto, _FIRST))
+        cosine = query[1][numbers].astype(np.float32) @ single[:upto].T
         bar = np.full((len(numbers), 1), -2.0 if floor is None else 2.0 * floor - 1.0, dtype=np.float32)
         if len(first) > keep:
             some = cosine[:, first]
@@ -218,7 +240,7 @@ def _best(query: tuple, ids: np.ndarray, units: np.ndarray, order: list, keep: i
                 some[~_came(query, numbers[:, None], ids, order, first[None, :])] = -2.0
             bar = np.maximum(bar, np.partition(some, len(first) - keep, axis=1)[:, -keep][:, None])
         rows, cols = np.nonzero(cosine >= bar - np.float32(_MARGIN))
-        rows += start
+        rows = numbers[rows]
         if order:
             came = _came(query, rows, ids, order, cols)
             rows, cols = rows[came], cols[came]

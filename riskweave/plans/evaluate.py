@@ -34,7 +34,10 @@ def stored_vectors(transactions: DataFrame, embed: Embed = hash_embedding, embed
     at = transactions.select("id", F.unix_micros("occurred_at").alias("at_us"))
     if embeddings is not None:
         return embeddings.select("id", "embedding").join(at, "id")
-    return embed_transactions(transactions.withColumn("at_us", F.unix_micros("occurred_at")), embed, keep=("at_us",))
+    # The rows are dealt out while they are slim: few files would make few tasks of the search.
+    tasks = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = transactions.withColumn("at_us", F.unix_micros("occurred_at")).repartition(tasks, "id")
+    return embed_transactions(rows, embed, keep=("at_us",))
 
 
 def similar_to_flagged(

@@ -10,7 +10,8 @@ The number of pairs grows with the lines, not with the square of a line's
 holders, and no line is too frequent to nominate. A pair is aligned by
 patience diff: lines that are unique in both documents, in their longest
 common order, are anchors; the gaps between anchors are aligned in the same
-way. Runs of aligned lines without a gap in either document are blocks. Blocks
+way. Runs of aligned lines without a gap in either document are blocks; lines that
+alignment leaves, twice there or in another order, are matched as well. Blocks
 of `block_words` words or more are deleted from the later document.
 
 A line's first holder never loses it. Documents are ordered by doc_id. Lines
@@ -97,6 +98,35 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def windows_of(words: list[int], block_words: int, numbers: list[int] | None = None) -> list[tuple[int, int]]:
+    """Shortest runs of lines with enough words, from each line on and from each back: first place, place after the last."""
+    found = []
+    origin = start = total = 0
+    for end, n in enumerate(words):
+        if numbers and end and numbers[end] != numbers[end - 1] + 1:
+            origin, start, total = end, end, 0
+        total += n
+        if total < block_words and start > origin:
+            found.append((start - 1, end + 1))
+        while total >= block_words:
+            found.append((start, end + 1))
+            total -= words[start]
+            start += 1
+    return found
+
+
+def left_windows(a: list[tuple], b: list[tuple], gone: set[int], block_words: int) -> list[int]:
+    """Numbers of the lines of b in windows shared with a that have a line which is not gone, in any order."""
+
+    def windows(lines: list[tuple]) -> Iterator[list[tuple]]:
+        numbers, _, words = zip(*lines, strict=True)
+        return (lines[start:end] for start, end in windows_of(words, block_words, numbers))
+
+    held = {tuple(x[1] for x in window) for window in windows(a)} if a and b else set()
+    left = [w for w in windows(b) if not gone.issuperset(x[0] for x in w)] if held else []
+    return [x[0] for window in left if tuple(x[1] for x in window) in held for x in window]
+
+
 def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]:
     """Numbers of the lines of b in blocks shared with a; lines are (number, hash, words)."""
     out: list[int] = []
@@ -113,6 +143,8 @@ def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]
             block.append(b[j][0])
             words += b[j][2]
             previous = here
+    if len(out) < len(b):
+        out += left_windows(a, b, set(out), block_words)
     return out
 
 

@@ -4,15 +4,17 @@ A line ends at a line feed or after a full stop, exclamation or question mark
 before a blank, so that passages in the middle of a paragraph are found too.
 Lines of fewer than `line_words` words are left alone and do not part a block.
 
-A line that several documents hold nominates pairs: each later holder with the
-first holder. Rare lines nominate the later holder's previous holder as well.
-The number of pairs grows with the lines, not with the square of a line's
-holders, and no line is too frequent to nominate. A pair is aligned by
+A window is a run of lines that just reaches `block_words` words, counted from
+its first line on or from its last line back; a block of that many words or
+more is made of windows. A window that several documents hold nominates pairs:
+each later holder with the first holder, which holds the whole window. The
+number of pairs grows with the lines, not with the square of a window's
+holders, and no window is too frequent to nominate. A pair is aligned by
 patience diff: lines that are unique in both documents, in their longest
 common order, are anchors; the gaps between anchors are aligned in the same
-way. Runs of aligned lines without a gap in either document are blocks; lines that
-alignment leaves, twice there or in another order, are matched as well. Blocks
-of `block_words` words or more are deleted from the later document.
+way. Runs of aligned lines without a gap in either document are blocks; lines
+that alignment leaves, since they come twice or in another order, are matched
+window by window. Blocks are deleted from the later document.
 
 A line's first holder never loses it. Documents are ordered by doc_id. Lines
 are compared without blanks at their ends. Null text has no lines. Rows
@@ -48,7 +50,7 @@ class LineDedup:
     line_words: int = 4
     #: A block needs as many words to be deleted.
     block_words: int = 10
-    #: Holders up to which a line is rare.
+    #: Holders up to which a line is rare; windows nominate whatever number holds them.
     rare: int = 16
 
 
@@ -166,10 +168,13 @@ def _line_rows(how: LineDedup):
         forget()
         for batch in batches:
             lines = [lines_of(t, how.line_words) for t in batch["text"]]
+            words = [[x[3] for x in ls] for ls in lines]
+            windows = [np.array(windows_of(ws, how.block_words), dtype=np.int32).reshape(-1, 2) for ws in words]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "tie": batch["tie"],
                 "lines": [np.array([xxhash.xxh64_intdigest(x[2]) for x in ls], dtype=np.uint64).view(np.int64) for ls in lines],
-                "words": [[x[3] for x in ls] for ls in lines]})
+                "words": [np.array(ws, dtype=np.int32) for ws in words],
+                "starts": [w[:, 0] for w in windows], "ends": [w[:, 1] for w in windows]})
 
     return run
 
@@ -195,25 +200,23 @@ def repeated_lines(docs: DataFrame, how: LineDedup) -> DataFrame:
     """doc_id, a hash of the text, and the numbers of its lines that an earlier document has in a common block."""
     texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
         id_text(), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    rows = stored(id_number(texts.mapInPandas(
-        _line_rows(how), "doc_id string, tie bigint, lines array<bigint>, words array<int>")), "lines")
-    once = F.array_distinct(F.arrays_zip("lines", "words"))
-    held = rows.select("doc_id", F.inline(once).alias("line", "words")).groupBy("line").agg(
-        F.count("*").alias("holders"), F.min("doc_id").alias("first"), F.max("words").alias("words"))
-    shared = stored(held.filter(F.col("holders") > 1), "shared-lines")
-    # A common line's holders are many; the join splits them.
-    found = rows.select("doc_id", "tie", F.posexplode("lines").alias("nth", "line")).join(shared.hint("merge"), "line")
+    rows = stored(id_number(texts.mapInPandas(_line_rows(how), (
+        "doc_id string, tie bigint, lines array<bigint>, words array<int>, starts array<int>, ends array<int>"))), "lines")
     keys = ("doc_id", "tie")
-    arrays = stored(found.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.struct("nth", "line", "words"))).alias("lines"),
-        F.collect_set("first").alias("firsts"),
-        F.collect_set(F.when(F.col("holders") <= how.rare, F.col("line"))).alias("rare")), "held-lines")
+    hashed = F.transform(F.arrays_zip("starts", "ends"), lambda w: F.struct(
+        F.xxhash64(F.slice("lines", w["starts"] + 1, w["ends"] - w["starts"])).alias("window"), w["starts"], w["ends"]))
+    holders = Window.partitionBy("window")
+    found = rows.select(*keys, F.inline(hashed)).select(
+        *keys, "starts", "ends", F.min("doc_id").over(holders).alias("first"),
+        F.max("doc_id").over(holders).alias("last")).filter("first < last")
+    shared = found.groupBy(*keys).agg(
+        F.flatten(F.collect_set(F.sequence("starts", F.col("ends") - 1))).alias("nths"), F.collect_set("first").alias("firsts"))
+    nths = F.array_sort(F.array_distinct("nths"))
+    arrays = stored(rows.select(*keys, "lines", "words").join(shared, [*keys]).dropDuplicates([*keys]).select(
+        *keys, "firsts", F.transform(nths, lambda n: F.struct(
+            n.alias("nth"), F.get("lines", n).alias("line"), F.get("words", n).alias("words"))).alias("lines")), "held-lines")
     firsts = arrays.select(F.explode("firsts").alias("earlier"), *keys).filter(F.col("earlier") < F.col("doc_id"))
-    # At most `rare` documents hold such a line.
-    rare = arrays.select("doc_id", "tie", F.explode("rare").alias("line"))
-    before = F.lag("doc_id").over(Window.partitionBy("line").orderBy(*keys))
-    previous = rare.select(before.alias("earlier"), *keys).filter(F.col("earlier") < F.col("doc_id"))
-    pairs = stored(firsts.unionByName(previous).distinct(), "line-pairs")
+    pairs = stored(firsts, "line-pairs")
     asked = pairs.groupBy("earlier").agg(F.count("*").alias("n"))
     left = arrays.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("lines_earlier")).join(asked, "earlier")
     both = skewed_join(pairs, left, "earlier", "n").select(*keys, "lines_earlier").join(

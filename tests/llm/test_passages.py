@@ -1,13 +1,53 @@
 """Blocks of lines and passages beside versions that compare everything."""
 
+import random
+
+from samples import documents, prose  # noqa: F401
+
 from riskweave.llm import linededup
 
 
 # ---- blocks of lines --------------------------------------------------------------
 
+def plain_blocks(pairs, line_words=4, block_words=10):
+    """Lines of each document that do not lie in a run of enough words that a smaller doc_id has too, by all runs."""
+    first, out = {}, {}
+    for doc_id, text in sorted(pairs):
+        lines = [x.strip() for x in text.split("\n") if len(x.split()) >= line_words]
+        gone = set()
+        for start in range(len(lines)):
+            for end in range(start + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[start:end]) >= block_words:
+                    if first.setdefault(tuple(lines[start:end]), doc_id) < doc_id:
+                        gone.update(range(start, end))
+        out[doc_id] = [x for n, x in enumerate(lines) if n not in gone]
+    return out
+
+
+def lines_left(documents, texts):
+    return {r.doc_id: [x for x in r.text.split("\n") if len(x.split()) >= 4] for r in linededup.dedup_lines(documents(texts)).collect()}
+
+
 def test_repeated_and_turned_blocks_go():
     a, b, c = [(n, h, 5) for n, h in enumerate("xyz")], [(n, h, 5) for n, h in enumerate("xyzxyz")], [(n, h, 10) for n, h in enumerate("zyx")]
     assert set(linededup.common_blocks(a, b, 10)) == set(range(6))
     assert set(linededup.common_blocks(b, a, 10)) == set(range(3))
     assert set(linededup.common_blocks([(n, h, 10) for n, h in enumerate("xyz")], c, 10)) == set(range(3))
     assert set(linededup.common_blocks(a, [(n, h, 5) for n, h in enumerate("zyx")], 10)) == set()
+
+
+def test_blocks_of_every_pair_equal_all_runs(documents):
+    rng = random.Random(34)
+    pool = [" ".join(prose(rng, rng.randint(4, 12)).split()) for _ in range(9)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(60)]
+    assert lines_left(documents, texts) == plain_blocks(list(enumerate(texts)))
+
+
+def test_a_block_is_found_in_whichever_document_holds_it(documents):
+    rng = random.Random(35)
+    one, two = (" ".join(prose(rng, 6).split()) for _ in range(2))
+    own = lambda: " ".join(prose(rng, 30).split())
+    texts = [f"{own()}\n{one}\n{own()}", f"{own()}\n{two}\n{own()}"] + [f"{own()}\n{one}\n{two}\n{own()}" for _ in range(20)]
+    found = lines_left(documents, texts)
+    assert found == plain_blocks(list(enumerate(texts)))
+    assert [len(found[i]) for i in range(22)] == [3, 3, 4] + [2] * 19

@@ -34,9 +34,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskweave.llm.linededup import dedup_lines
+    from riskweave.llm.passages import dedup_passages
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,78 @@
-"""Blocks of lines and passages beside versions that compare everything."""
+"""Passages beside a version that compares every window of every document."""
 
 import random
 
-from samples import documents, prose  # noqa: F401
+from samples import clashing, documents, odd_texts, prose  # noqa: F401
 
-from riskweave.llm import linededup
+from riskweave.llm import linededup, passages
+
+
+def plain_passages(pairs, window=50, least=10):
+    """Words of each document in a window that a smaller doc_id has too, by a table of all windows."""
+    first, out = {}, {}
+    for doc_id, text in sorted((i, t or "") for i, t in pairs):
+        words = text.split()
+        gone = [False] * len(words)
+        for at in range(max(1, len(words) - window + 1) if len(words) >= least else 0):
+            run = tuple(words[at:at + window])
+            if first.setdefault(run, doc_id) < doc_id:
+                gone[at:at + len(run)] = [True] * len(run)
+        out[doc_id] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return out
+
+
+def text_left(documents, texts):
+    return {r.doc_id: r.text for r in passages.dedup_passages(documents(texts)).collect()}
+
+
+def words_left(found):
+    return {i: (t or "").split() for i, t in found.items()}
+
+
+def test_a_passage_goes_from_its_first_to_its_last_word(documents):
+    rng = random.Random(31)
+    line = lambda n: prose(rng, n).replace("\n", " ")
+    passage = line(30) + ". " + line(20) + ". " + line(15)
+    texts = [line(20) + " " + passage + " " + line(20) for _ in range(3)]
+    single = line(60)
+    texts += [line(7) + " " + single + " " + line(9) for _ in range(3)]
+    texts += [single[1:], "tail " + " ".join(single.split()[:50]), "other " + " ".join(single.split()[:49])]
+    found = words_left(text_left(documents, texts))
+    assert found == plain_passages(list(enumerate(texts)))
+    assert [len(found[i]) for i in range(len(texts))] == [105, 40, 40, 76, 16, 16, 1, 1, 50]
+
+
+def test_every_window_is_compared_with_its_first_holder(documents):
+    rng = random.Random(33)
+    words = prose(rng, 400).split()
+    texts = []
+    for n in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(350)
+            parts += words[a:a + rng.randint(30, 90)] + prose(rng, rng.randint(0, 20)).split()
+        texts.append(" ".join(parts))
+    texts += ["same " * 500, "same " * 300, " ".join(words[:200]) * 2]
+    docs = documents(texts)
+    marks = passages.repeated_passages(docs, docs, linededup.LineDedup())
+    cut = {r.doc_id: r.windows for r in marks.collect()}
+    plain = plain_passages(list(enumerate(texts)))
+    for n, text in enumerate(texts):
+        at, left = 0, ""
+        for start, end in passages.spans_of(text, cut.get(n, []), 50, 10):
+            left, at = left + text[at:start], end
+        assert (left + text[at:]).split() == plain[n]
+
+
+def test_passages_of_odd_rows(documents, clashing, odd_texts):
+    found = passages.dedup_passages(clashing(documents(odd_texts))).collect()
+    assert len(found) == len(odd_texts)
+    text = odd_texts[3][1]
+    assert all(r.text == text for r in found if r.doc_id == 3)
+    assert all(r.text in (None, text) for r in found if r.doc_id is None)
+    assert {r.doc_id: r.text for r in found if r.doc_id in (0, 4, 10)} == {0: None, 4: "", 10: ""}
+    assert all(r.rep == "own rep" for r in found)
+    assert passages.dedup_passages(documents([])).count() == 0
 
 
 # ---- blocks of lines --------------------------------------------------------------

@@ -43,6 +43,9 @@ from riskweave.llm.common import (
 #: What parts lines: blanks after the end of a sentence, or a line feed and the blanks after it.
 PARTING = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
+#: Lines with as many U+0020 need no look for other blanks.
+LONG = 64
+
 
 @dataclass(frozen=True)
 class LineDedup:
@@ -157,6 +160,8 @@ def lines_of(text: str, line_words: int) -> list[tuple[int, int, str, int]]:
     for start, end in [*(m.span() for m in PARTING.finditer(text)), (len(text), len(text))]:
         line = text[at:start].strip()
         words = line.count(" ") + 1
+        if words < LONG:
+            words = max(words, len(line.split()))  # parted by other blanks
         if words >= line_words:
             found.append((at, end, line, words))
         at = end

@@ -75,6 +75,18 @@ def test_passages_of_odd_rows(documents, clashing, odd_texts):
     assert passages.dedup_passages(documents([])).count() == 0
 
 
+def test_short_sentences_and_list_lines_go(documents):
+    rng = random.Random(36)
+    short = [prose(rng, 3).capitalize() for _ in range(20)]
+    texts = [". ".join(short) + ".", ". ".join(short) + ".", "\n".join(short), prose(rng, 20) + "\n" + "\n".join(short[:17])]
+    texts += ["\n".join(short[3:8]), "\n".join(short[3:8])]
+    texts += ["one two\u00a0three\u00a0four\u00a0five six\u00a0seven eight nine ten\n" + prose(rng, 9) for _ in range(2)]
+    texts += ["a\tb\tc\td\te\tf\tg\th\ti\tj\n" + prose(rng, 9) for _ in range(2)]
+    texts[2] = texts[2].replace("\n", ".\n") + "."
+    found = words_left(text_left(documents, texts))
+    assert [len(found[i]) for i in range(len(texts))] == [60, 0, 0, 71, 15, 0, 19, 9, 19, 9]
+
+
 # ---- blocks of lines --------------------------------------------------------------
 
 def plain_blocks(pairs, line_words=4, block_words=10):

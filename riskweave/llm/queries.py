@@ -87,6 +87,26 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.trie import prefix_trie, rebuilt, with_end_digests
+
+    found, ends = prefix_trie(rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return with_end_digests(found, ends)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.repair import damaged, digests, repair_conversations, repaired_rows, summarised
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(given)
+    _, plan, faults = repair_conversations(rows)
+    digest = digests(repaired_rows(rows, plan, whole=True))
+    found = summarised(given, faults, plan).join(digest, "conv", "left")
+    return found.select(
+        F.col("conv").try_cast("bigint").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import table, text_or_empty
+from riskweave.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskweave.llm.warc import capture_index, with_payload_facts, write_archives
+
+    folder = scratch_dir(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return with_payload_facts(capture_index(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

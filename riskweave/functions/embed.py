@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
+from riskweave.schemas import SPARSE
 
 
 def word_buckets(text: Column, dimensions: int = V.EMBEDDING_DIMENSIONS) -> Column:
@@ -38,3 +39,27 @@ def hash_embedding(text: Column, dimensions: int = V.EMBEDDING_DIMENSIONS) -> Co
     Words are hashed inside the JVM; a whole Arrow batch is laid out at once.
     """
     return _densify(dimensions)(word_buckets(F.coalesce(text, F.lit("")), dimensions))
+
+
+def _count(dimensions: int):
+    @F.arrow_udf(SPARSE)
+    def count(buckets: pa.Array) -> pa.Array:
+        n = len(buckets)
+        rows = np.repeat(np.arange(n), np.diff(buckets.offsets.to_numpy()))
+        keys, counts = np.unique(rows * dimensions + buckets.flatten().to_numpy(), return_counts=True)
+        row, counts = keys // dimensions, counts.astype(np.float64)
+        norms = np.sqrt(np.bincount(row, counts * counts, n))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+        lists = (pa.array((keys % dimensions).astype(np.int32)), pa.array((counts / norms[row]).astype(np.float32)))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, x) for x in lists], names=SPARSE.names)
+
+    return count
+
+
+def sparse_hash_embedding(text: Column, dimensions: int = V.EMBEDDING_DIMENSIONS) -> Column:
+    """The same numbers as places and weights of what is not zero."""
+    return _count(dimensions)(word_buckets(F.coalesce(text, F.lit("")), dimensions))
+
+
+#: Embedders whose vectors have few places other than zero name the form that says which.
+hash_embedding.sparse = sparse_hash_embedding

@@ -27,6 +27,7 @@ from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.embed import hash_embedding
 from riskweave.functions.text import transaction_text
+from riskweave.operators import sparse
 from riskweave.session import cut, scratch_dir
 
 _MATCHES = "query_id string, id string, similarity double"
@@ -61,7 +62,8 @@ def knn(
 ) -> DataFrame:
     """`query_id, id, similarity, rank`: the k most similar candidates of every query.
 
-    Both inputs have `id, embedding`. A query never matches its own id; with
+    Both inputs have `id, embedding`, dense or (`sparse.SPARSE`) as places and
+    weights; sparse ones are found through inverted lists. A query never matches its own id; with
     `self_takes_slot` its own vector still uses up one of the k places.
     `min_similarity` is exclusive. Candidate ids may repeat if all copies
     have the same vector: they count once. `as_of` names columns of whole
@@ -70,9 +72,12 @@ def knn(
     """
     keep = k if self_takes_slot else k + 1
     columns = ["id", "embedding", *[F.col(c).cast("bigint").alias(c) for c in as_of]]
-    queries = queries.select(*columns).filter(F.col("embedding").isNotNull())
-    candidates = candidates.select(*columns).filter(F.col("embedding").isNotNull())
-    matches = _matches(queries, candidates, keep, cfg, min_similarity)
+    queries, candidates = queries.select(*columns), candidates.select(*columns)
+    if sparse.is_sparse(candidates):
+        matches = sparse.matches(queries, candidates, keep, min_similarity)
+    else:
+        known = F.col("embedding").isNotNull()
+        matches = _matches(queries.filter(known), candidates.filter(known), keep, cfg, min_similarity)
     # Copies of a candidate are neighbours in this order and share a dense rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     others = F.col("query_id") != F.col("id")

@@ -16,6 +16,7 @@ from riskweave.operators.rules import rule_gate
 from riskweave.operators.scoring import (
     Model, assess, decide_early, heuristic, history_risk, reads_neighbours, score,
 )
+from riskweave.operators.sparse import as_sparse, is_sparse
 from riskweave.operators.vectors import embed_transactions, existing_only, knn, similarity_summary
 from riskweave.session import cut
 
@@ -30,16 +31,25 @@ def gate(
 
 
 def stored_vectors(transactions: DataFrame, embed: Embed = hash_embedding, embeddings: DataFrame | None = None) -> DataFrame:
-    """`id, embedding, at_us` of known transactions, as they were stored or as `embed` makes them."""
+    """`id, embedding, at_us` of known transactions, as they were stored or as `embed` makes them.
+
+    Places and weights where the embedder has such a form.
+    """
     at = transactions.select("id", F.unix_micros("occurred_at").alias("at_us"))
     if embeddings is not None:
-        return embeddings.select("id", "embedding").join(at, "id")
+        return few_places(embeddings.select("id", "embedding"), embed).join(at, "id")
+    embed = getattr(embed, "sparse", embed)
     # The rows are dealt out while they are slim: few files would make few tasks of the search.
     tasks = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = transactions.withColumn("at_us", F.unix_micros("occurred_at")).repartition(tasks, "id")
     return embed_transactions(rows, embed, keep=("at_us",))
 
 
+def few_places(vectors: DataFrame, embed: Embed) -> DataFrame:
+    """Stored vectors of an embedder, as places and weights if it has such a form."""
+    return vectors.withColumn("embedding", as_sparse("embedding")) if hasattr(embed, "sparse") else vectors
+
+
 def similar_to_flagged(
     flagged: DataFrame,
     vectors: DataFrame,
@@ -54,6 +64,7 @@ def similar_to_flagged(
     it is searched, so it takes one of the places and is then left out; rows
     that came later, by `as_of` and then by id, are not there yet.
     """
+    embed = embed.sparse if is_sparse(vectors) else embed
     queries = embed_transactions(flagged.withColumn("at_us", F.unix_micros("occurred_at")), embed, keep=as_of)
     return knn(queries, vectors, cfg.max_neighbours, cfg, self_takes_slot, as_of=as_of)
 

@@ -67,6 +67,9 @@ EMBEDDINGS = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
+# A vector with few numbers other than zero.
+SPARSE = T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))])
+
 # In the store a vector keeps the time of its transaction.
 STORED_EMBEDDINGS = T.StructType([*EMBEDDINGS.fields, T.StructField("occurred_at", T.TimestampType())])
 

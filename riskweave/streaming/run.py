@@ -26,7 +26,7 @@ from riskweave.operators.scoring import Model, decide_early, heuristic, reads_ne
 from riskweave.operators.tables import upsert_latest
 from riskweave.operators.validate import rejected_rows, valid_rows, validate_events
 from riskweave.operators.vectors import embed_transactions
-from riskweave.plans.evaluate import neighbours, score_flagged, similar_to_flagged
+from riskweave.plans.evaluate import few_places, neighbours, score_flagged, similar_to_flagged
 from riskweave.schemas import (
     ACCOUNT_FEATURES, DECIDED, REJECTS, STORED_EMBEDDINGS, TRANSACTION_COLUMNS,
 )
@@ -68,7 +68,7 @@ def _evaluate_batch(rows, batch_id, root, cfg, embed, model, clock) -> None:
     flagged = gated.filter(F.col("gate_decision") == FLAG)
     vectors = read_all(spark, root, "embeddings", STORED_EMBEDDINGS).withColumn("at_us", F.unix_micros("occurred_at"))
     asked = flagged.withColumn("batch_id", F.lit(batch_id))
-    matches = similar_to_flagged(asked, vectors, cfg, embed, as_of=("batch_id", "at_us"))
+    matches = similar_to_flagged(asked, few_places(vectors, embed), cfg, embed, as_of=("batch_id", "at_us"))
     known = upsert_latest(standing()) if reads_neighbours(model) else standing()
     scored = score_flagged(flagged, neighbours(matches, known, model), cfg, model)
     decided = (

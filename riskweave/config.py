@@ -24,8 +24,8 @@ class RiskConfig:
     """Business settings first, then the sizes that shape the physical plan.
 
     The physical settings never change a result: they decide when a busy
-    account is split over several tasks and how large one block of vectors
-    may become.
+    account is split over several tasks and how many vectors one unit of a
+    search may have.
     """
 
     amount_threshold: Decimal = Decimal("10000")
@@ -45,9 +45,8 @@ class RiskConfig:
     # Names of such accounts that are sent to every task; beyond, all accounts are split.
     broadcast_accounts: int = 10_000
 
-    # Query vectors sent to every task at once; more go in several blocks.
-    broadcast_queries: int = 16_384
-    broadcast_bytes: int = 32 * 1024 * 1024
+    # Dense vectors of one unit of work of a search.
+    cut_vectors: int = 2048
 
     @property
     def velocity_window_us(self) -> int:

@@ -4,22 +4,18 @@ Similarity is `(1 + cosine) / 2`, computed in double precision and rounded to
 nine places; equal similarities rank by id, so results do not depend on how
 the vectors were distributed.
 
-Queries are taken in blocks of bounded number and size. A block goes to every
-task, which scans the candidates it has and returns its best; candidates are
-never shuffled or copied. The best of all tasks are merged by a rank limit
-that also runs before the shuffle. Several blocks run one after the other,
-each written to the shared folder.
+Dense vectors are searched by cells around pivots (`cells`), those of few
+places through inverted lists (`sparse`). Neither passes queries through the
+driver; both return a bounded number of matches per query and unit of work,
+which are merged by a rank limit that also runs before the shuffle.
 
-Pairs exist only inside a task's matrix product; only the best of a block
-become rows.
+Pairs exist only inside a unit's arithmetic; only the best become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +23,7 @@ from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.embed import hash_embedding
 from riskweave.functions.text import transaction_text
-from riskweave.operators import sparse
-from riskweave.session import cut, scratch_dir
-
-_MATCHES = "query_id string, id string, similarity double"
-_PAIRS_AT_ONCE = 4_000_000
-# Candidates that set the bar, pairs that are computed exactly at once.
-_FIRST, _EXACT = 1024, 20_000
-# More than single precision can be wrong about a cosine.
-_MARGIN = 1e-5
+from riskweave.operators import cells, sparse
 
 
 def embed_transactions(
@@ -76,8 +64,7 @@ def knn(
     if sparse.is_sparse(candidates):
         matches = sparse.matches(queries, candidates, keep, min_similarity)
     else:
-        known = F.col("embedding").isNotNull()
-        matches = _matches(queries.filter(known), candidates.filter(known), keep, cfg, min_similarity)
+        matches = cells.matches(queries, candidates, keep, min_similarity, cfg.cut_vectors)
     # Copies of a candidate are neighbours in this order and share a dense rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     others = F.col("query_id") != F.col("id")
@@ -123,175 +110,3 @@ def similarity_summary(matches: DataFrame, details: Sequence[str] = ()) -> DataF
 def similarity_faults(matches: DataFrame) -> DataFrame:
     """Matches outside 0..1; there must be none."""
     return matches.filter(~F.coalesce(F.col("similarity").between(0.0, 1.0), F.lit(False)))
-
-
-def _matches(
-    queries: DataFrame, candidates: DataFrame, keep: int, cfg: RiskConfig, min_similarity: float | None
-) -> DataFrame:
-    spark = queries.sparkSession
-    few = queries.limit(cfg.broadcast_queries + 1).toArrow()
-    if few.num_rows == 0:
-        return spark.createDataFrame([], _MATCHES)
-    dimensions = len(few.column("embedding")[0])
-    most = max(1, min(cfg.broadcast_queries, cfg.broadcast_bytes // (4 * dimensions)))
-    if few.num_rows <= most:
-        return _scan(few, candidates, keep, dimensions, min_similarity)[0]
-    # Computed once: every block reads them.
-    queries, candidates = cut(queries), cut(candidates)
-    blocks = -(-queries.count() * 5 // (most * 4))  # hashed blocks are not all of one size
-    folder = scratch_dir(spark, "matches")
-    for block in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        if mine.num_rows:
-            found, shared = _scan(mine, candidates, keep, dimensions, min_similarity)
-            found.write.mode("append").parquet(folder)
-            shared.destroy()
-    return spark.read.schema(_MATCHES).parquet(folder)
-
-
-# ---- arithmetic inside one task ---------------------------------------------
-
-def _unit(vectors: pa.Table | pa.RecordBatch, dimensions: int) -> np.ndarray:
-    """The embeddings as a matrix of unit rows; zero vectors stay zero."""
-    column = vectors.column("embedding")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = np.diff(column.offsets.to_numpy())
-    if (lengths != dimensions).any():
-        wrong = int(np.flatnonzero(lengths != dimensions)[0])
-        raise ValueError(f"vector of {vectors.column('id')[wrong]} has {lengths[wrong]} numbers, not {dimensions}")
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _order(vectors: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    """The columns behind the embedding: when a row came."""
-    return [vectors.column(n).to_numpy() for n in vectors.schema.names[2:]]
-
-
-def _came(query: tuple, rows: np.ndarray, ids: np.ndarray, order: list, cols: np.ndarray) -> np.ndarray:
-    """Whether candidates do not come after queries, for pairs of places; ids are only compared at equal times."""
-    shape = np.broadcast_shapes(rows.shape, cols.shape)
-    before, same = np.zeros(shape, dtype=bool), np.ones(shape, dtype=bool)
-    for asked, held in zip(query[2], order):
-        before |= same & (held[cols] < asked[rows])
-        same &= held[cols] == asked[rows]
-    ties = np.nonzero(same)
-    before[ties] = ids[np.broadcast_to(cols, shape)[ties]] <= query[0][np.broadcast_to(rows, shape)[ties]]
-    return before
-
-
-def _not_after(last: list, order: list) -> int:
-    """Number of candidates, in order of time, whose time is not after the last."""
-    before, same = np.zeros(len(order[0]), dtype=bool), np.ones(len(order[0]), dtype=bool)
-    for asked, held in zip(last, order):
-        before |= same & (held < asked)
-        same &= held == asked
-    return int((before | same).sum())
-
-
-def _fewer_copies(ids: np.ndarray, units: np.ndarray, order: list, keep: int):
-    """Each id once, sorted; without an order at most `keep` ids with one vector: further ones always rank behind."""
-    ids, first = np.unique(ids, return_index=True)
-    units, order = np.ascontiguousarray(units[first]), [o[first] for o in order]
-    if order:
-        return ids, units, order
-    _, group = np.unique(units.view(np.dtype((np.void, units.itemsize * units.shape[1]))).ravel(), return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[by_group], group[by_group], side="left")
-    kept = np.sort(by_group[np.arange(len(group)) - starts < keep])
-    return ids[kept], units[kept], []
-
-
-def _first_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the best `keep` entries of every query number, repeated ids left out."""
-    order = np.lexsort((ids, -similarity, query))
-    if len(order):
-        same = (query[order][1:] == query[order][:-1]) & (ids[order][1:] == ids[order][:-1])
-        order = order[np.concatenate([[True], ~same])]
-    sorted_query = query[order]
-    starts = np.searchsorted(sorted_query, sorted_query, side="left")
-    return order[np.arange(len(order)) - starts < keep]
-
-
-def _best(query: tuple, ids: np.ndarray, units: np.ndarray, order: list, keep: int, floor: float | None):
-    """Query numbers, candidate ids and similarities of the best pairs of one block.
-
-    Single precision tells which pairs may be among the best; only these are
-    computed in double precision. The bar comes from the first candidates.
-    """
-    ids, units, order = _fewer_copies(ids, units, order, keep)
-    every = np.arange(len(query[1]))
-    if order:
-        # Both sides by time, so that queries leave out the candidates after them.
-        by_time = np.lexsort(order[::-1])
-        ids, units, order = ids[by_time], units[by_time], [o[by_time] for o in order]
-        every = np.lexsort(query[2][::-1])
-    single = units.astype(np.float32)
-    found = []
-    step = max(1, _PAIRS_AT_ONCE // max(1, len(ids)))
-    for start in range(0, len(every), step):
-        numbers = every[start:start + step]
-        upto = len(ids)
-        if order:
-            upto = _not_after([o[numbers[-1]] for o in query[2]], order)
-        first = np.arange(min(upto, _FIRST))
-        cosine = query[1][numbers].astype(np.float32) @ single[:upto].T
-        bar = np.full((len(numbers), 1), -2.0 if floor is None else 2.0 * floor - 1.0, dtype=np.float32)
-        if len(first) > keep:
-            some = cosine[:, first]
-            if order:
-                some[~_came(query, numbers[:, None], ids, order, first[None, :])] = -2.0
-            bar = np.maximum(bar, np.partition(some, len(first) - keep, axis=1)[:, -keep][:, None])
-        rows, cols = np.nonzero(cosine >= bar - np.float32(_MARGIN))
-        rows = numbers[rows]
-        if order:
-            came = _came(query, rows, ids, order, cols)
-            rows, cols = rows[came], cols[came]
-        exact = np.concatenate([
-            np.einsum("ij,ij->i", query[1][rows[i:i + _EXACT]], units[cols[i:i + _EXACT]])
-            for i in range(0, len(rows), _EXACT)] or [np.empty(0)])
-        similarity = np.round((1.0 + np.clip(exact, -1.0, 1.0)) / 2.0, 9)
-        if floor is not None:
-            near = similarity > floor
-            rows, cols, similarity = rows[near], cols[near], similarity[near]
-        best = _first_per_query(rows, similarity, ids[cols], keep)
-        found.append((rows[best], ids[cols[best]], similarity[best]))
-    return tuple(np.concatenate(parts) for parts in zip(*found))
-
-
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
-
-
-def _as_table(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, similarity: np.ndarray) -> pa.Table:
-    return pa.table({
-        "query_id": pa.array(query_ids[query], pa.string()),
-        "id": pa.array(ids, pa.string()),
-        "similarity": pa.array(similarity, pa.float64()),
-    })
-
-
-def _scan(few: pa.Table, candidates: DataFrame, keep: int, dimensions: int, floor: float | None):
-    """Best pairs of a block of queries in each task's candidates, and the broadcast block."""
-    shared = candidates.sparkSession.sparkContext.broadcast(
-        (_ids(few.column("id")), _unit(few, dimensions), _order(few))
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = _best(
-                shared.value, _ids(batch.column("id")), _unit(batch, dimensions), _order(batch), keep, floor)
-            if held is not None:
-                found = tuple(np.concatenate(pair) for pair in zip(held, found))
-                best = _first_per_query(found[0], found[2], found[1], keep)
-                found = tuple(part[best] for part in found)
-            held = found
-        if held is not None:
-            yield from _as_table(shared.value[0], *held).to_batches(max_chunksize=10_000)
-
-    return candidates.mapInArrow(scan, _MATCHES), shared

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, partial, reduce, wraps
+from functools import partial, reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,16 +74,11 @@ def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return received.unionByName(evaluated)
 
 
-@lru_cache
-def _outbox_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The outbox as it is stored, by day; written once per session and input."""
+def _stored_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox as it is stored, by day."""
     folder = scratch_dir(spark, "stored-outbox")
     store.write_batch(_outbox(spark, sf_dir), folder, "outbox", 0, day_of="created_at")
-    return folder
-
-
-def _stored_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.read_all(spark, _outbox_folder(spark, sf_dir), "outbox", OUTBOX, by_day=True)
+    return store.read_all(spark, folder, "outbox", OUTBOX, by_day=True)
 
 
 def _weights(embedded: DataFrame, *columns: str) -> DataFrame:
@@ -224,8 +219,8 @@ def similar_within(spark, sf_dir):
     return vectors.similar_within(rows, rows, 0.6, cfg=CFG).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-# Queries beyond the bounds of one broadcast block go in several.
-BLOCKS = RiskConfig(broadcast_queries=100)
+# Cells of more vectors go in several units of work.
+BLOCKS = RiskConfig(cut_vectors=100)
 
 
 @_query

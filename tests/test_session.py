@@ -54,7 +54,7 @@ def test_named_folder_is_used(tmp_path):
         assert scratch_dir(spark, "x").startswith({str(tmp_path)!r})
         rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "id string, embedding array<float>")
         a = sorted(map(tuple, knn(rows, rows, 2).collect()))
-        b = sorted(map(tuple, knn(rows, rows, 2, RiskConfig(broadcast_queries=4)).collect()))
+        b = sorted(map(tuple, knn(rows, rows, 2, RiskConfig(cut_vectors=4)).collect()))
         assert a == b and len(a) == 40
     """
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, capture_output=True, text=True, timeout=300)

@@ -1,15 +1,16 @@
-"""Nearest neighbours, in one block of queries and in several, against brute force."""
+"""Nearest neighbours, in large units of work and in small ones, against brute force."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
+from riskweave.operators import cells
 from riskweave.operators import vectors as N
 
 BLOCKS = (
-    RiskConfig(broadcast_queries=40),
-    RiskConfig(broadcast_bytes=2000),
+    RiskConfig(cut_vectors=40),
+    RiskConfig(cut_vectors=7),
 )
 
 
@@ -152,3 +153,22 @@ def test_neighbours_for_a_model_come_in_order_and_redacted(spark, make):
     assert [n.rank for n in row.similar] == [1, 2] and row.similar_count == 2
     assert "from_account" not in row.similar[0].asDict()
     assert {n.redacted_description for n in row.similar} == {"call [REDACTED_PHONE]", "b"}
+
+
+def test_the_triangle_inequality_leaves_few_pairs(spark, monkeypatch):
+    """Of vectors in clusters, a radius meets the cells of its own cluster, and no query more than every cut once."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 64))
+    matrix = centres[rng.integers(0, 20, 2000)] + rng.normal(scale=0.1, size=(2000, 64))
+    rows, met = table(spark, matrix), []
+    work = cells._work
+
+    def counted(held, asked, *rest):
+        size = lambda df, name: df.groupBy(*cells._UNIT).agg(F.count("*").alias(name))
+        met.append(size(held, "h").join(size(asked, "a"), cells._UNIT).agg(F.sum(F.col("h") * F.col("a"))).first()[0])
+        return work(held, asked, *rest)
+
+    monkeypatch.setattr(cells, "_work", counted)
+    near = N.similar_within(rows, rows, 0.6, cfg=RiskConfig(cut_vectors=100))
+    assert got(near) == brute(matrix, 10, floor=0.7)
+    assert sum(met) < 0.2 * 2000 * 2000

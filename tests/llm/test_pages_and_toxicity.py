@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from samples import SF, clashing, documents, odd_texts, prose, varied  # noqa: F401
-from test_duplicates import plain_lines
+from test_passages import plain_dedup
 from test_search_and_secrets import plain_spans
 from test_tokens import check_packing
 
-from riskweave.llm import linededup, pages, toxicity
+from riskweave.llm import pages, toxicity
 from riskweave.llm.queries import queries
 
 WHOLE = """<!DOCTYPE html><html><head><title>Title</title><style>p{margin:0}</style></head><body class="content">
@@ -183,7 +183,7 @@ def test_pipeline_stage_by_stage(spark, corpus):
             kept[name] = {r.doc_id: r.text for r in rows}
     toxic = {i for i in range(150) if i % 3 == 0}
     assert kept["toxicity"] == {i: t for i, t in enumerate(texts) if i not in toxic}
-    plain = plain_lines([(i, t) for i, t in kept["toxicity"].items() if t], linededup.LineDedup())
+    plain = plain_dedup(kept["toxicity"].items())
     assert {i: t for i, t in kept["line dedup"].items() if t} == {i: t for i, t in plain.items() if t.strip()}
     near = [i for i, kind in kinds.items() if kind == "near"]
     assert kept["near dedup"].keys() == kept["line dedup"].keys() - set(near[1:])

@@ -1,6 +1,7 @@
 """Passages beside a version that compares every window of every document."""
 
 import random
+import re
 
 from samples import clashing, documents, odd_texts, prose  # noqa: F401
 
@@ -21,6 +22,36 @@ def plain_passages(pairs, window=50, least=10):
     return out
 
 
+def plain_dedup(pairs, line_words=4, block_words=10, window=50):
+    """What is left of each text: lines go that lie in a shortest run of enough words that a smaller doc_id has, and so do words in a window that one has."""
+    runs, windows, out = {}, {}, {}
+    for doc_id, text in sorted((i, t or "") for i, t in pairs):
+        gone = bytearray(len(text))
+        parts = list(re.finditer(r"(?<=[.!?])\s+|\n\s*", text))
+        edges = zip([0, *(m.end() for m in parts)], [*(m.start() for m in parts), len(text)], [*(m.end() for m in parts), len(text)])
+        lines = [(a, z, text[a:b].strip(), len(text[a:b].split())) for a, b, z in edges if len(text[a:b].split()) >= line_words]
+        n = len(lines)
+        for at in range(n):
+            for places in (range(at, n), range(at, -1, -1)):
+                words = 0
+                for last in places:
+                    words += lines[last][3]
+                    if words >= block_words:
+                        run = lines[min(at, last):max(at, last) + 1]
+                        if runs.setdefault(tuple(x[2] for x in run), doc_id) < doc_id:
+                            for a, z, *_ in run:
+                                gone[a:z] = b"x" * (z - a)
+                        break
+        words = [*re.finditer(r"\S+", text)]
+        starts = [*(m.start() for m in words), len(text)]
+        for at in range(max(1, len(words) - window + 1) if len(words) >= block_words else 0):
+            end = min(at + window, len(words))
+            if windows.setdefault(tuple(m.group() for m in words[at:end]), doc_id) < doc_id:
+                gone[starts[at]:starts[end]] = b"x" * (starts[end] - starts[at])
+        out[doc_id] = "".join(c for c, g in zip(text, gone, strict=True) if not g)
+    return out
+
+
 def text_left(documents, texts):
     return {r.doc_id: r.text for r in passages.dedup_passages(documents(texts)).collect()}
 

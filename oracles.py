@@ -338,6 +338,17 @@ costs as (
    + cast(cast(output_tokens as decimal(19,0)) * cast(price_out * 0.001 as decimal(18,12)) as decimal(38,12)), 0) as c
  from priced)"""
 
+DATED = USAGE + """,
+dated as (select *, cast(date '2024-01-01' + cast(conv_id % 60 as integer) as date) as day from usage),
+table_prices as (
+ select name, price_in * 2 as price_in, price_out * 2 as price_out, null::date as valid_from, date '2024-02-01' as valid_to from prices
+ union all select name, price_in, price_out, date '2024-02-01', case when name = 'gpt-3.5-turbo' then date '2024-02-20' end from prices
+ union all select 'all-MiniLM', price_in, price_out, date '2024-02-10', null from prices where name = 'gpt-4o'),
+dated_prices as (
+ select u.*, p.price_in, p.price_out from dated u left join table_prices p on starts_with(u.model, p.name)
+  and (p.valid_from is null or p.valid_from <= u.day) and (p.valid_to is null or u.day < p.valid_to)
+ qualify row_number() over (partition by conv_id, turn order by length(p.name) desc nulls last) = 1)"""
+
 _REDELIVERED = f"""
 first as (select * from transactions where occurred_at < timestamp '2024-01-10'),
 delivered as (
@@ -537,6 +548,14 @@ def oracle_sql() -> dict[str, str]:
         "llm_cost":
             f"with {USAGE} select conv_id, turn, model, input_tokens, output_tokens, cast(c as decimal(38,12)) as cost_usd, "
             "cast(nullif(c, 0) as decimal(38,12)) as emitted_cost_usd from costs",
+        "llm_cost_dated": f"""with {DATED},
+dated_costs as (
+ select conv_id, turn, model, input_tokens, output_tokens, day,
+  coalesce(cast(cast(input_tokens as decimal(19,0)) * cast(price_in * 0.001 as decimal(18,12)) as decimal(38,12))
+   + cast(cast(output_tokens as decimal(19,0)) * cast(price_out * 0.001 as decimal(18,12)) as decimal(38,12)), 0) as c
+ from dated_prices)
+select conv_id, turn, model, input_tokens, output_tokens, day, cast(c as decimal(38,12)) as cost_usd,
+ cast(nullif(c, 0) as decimal(38,12)) as emitted_cost_usd from dated_costs""",
         "llm_cost_by_model":
             f"with {USAGE} select model, count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, "
             "cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(c) as decimal(38,12)) as cost_usd "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave import fixed_values as V
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -105,6 +107,24 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls spread over sixty days."""
+    return usage(spark, sf_dir).withColumn("day", F.expr("date_add(date'2024-01-01', cast(conv_id % 60 as int))"))
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    """The listed prices as a table: twice as high before February; one model priced late, one price withdrawn."""
+    rows = [(name, price_in, price_out) for name, price_in, price_out in V.MODEL_PRICES]
+    listed = spark.createDataFrame(rows, "name string, price_in string, price_out string").selectExpr(
+        "name", "cast(price_in as decimal(18,9)) price_in", "cast(price_out as decimal(18,9)) price_out")
+    bounds = "cast({} as date) valid_from", "cast({} as date) valid_to"
+    before = listed.selectExpr("name", "cast(price_in * 2 as decimal(18,9)) price_in", "cast(price_out * 2 as decimal(18,9)) price_out",
+                               bounds[0].format("null"), bounds[1].format("'2024-02-01'"))
+    after = listed.selectExpr("*", bounds[0].format("'2024-02-01'"), bounds[1].format("if(name = 'gpt-3.5-turbo', '2024-02-20', null)"))
+    late = listed.filter("name = 'gpt-4o'").selectExpr("'all-MiniLM' name", "price_in", "price_out", bounds[0].format("'2024-02-10'"), bounds[1].format("null"))
+    return before.unionByName(after).unionByName(late)
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions as they arrive: every seventh arrives again later, one unit larger."""
     first = transactions(spark, sf_dir).withColumn("number", F.substring("id", 25, 12).cast("bigint"))

@@ -421,6 +421,12 @@ def llm_cost(spark, sf_dir):
     return cost.llm_cost(fixtures.usage(spark, sf_dir))
 
 
+@_query
+def llm_cost_dated(spark, sf_dir):
+    """With prices from a table, that change with time."""
+    return cost.llm_cost(fixtures.dated_usage(spark, sf_dir), fixtures.prices(spark), at="day")
+
+
 @_query
 def llm_cost_by_model(spark, sf_dir):
     return cost.llm_cost_by_model(fixtures.usage(spark, sf_dir))

@@ -125,6 +125,21 @@ def test_cost(spark, model, tokens_in, tokens_out, cost):
     assert row.emitted_cost_usd == (Decimal(cost) if Decimal(cost) else None)
 
 
+def test_prices_from_a_table(spark):
+    """The longest name that holds on the day; a new price needs no code."""
+    prices = spark.createDataFrame([
+        ("m", "1", "0", None, "2024-02-01"), ("m", "2", "0", "2024-02-01", None), ("m-large", "5", "1", "2024-02-05", None), ("m-l", "3", "0", None, None),
+    ], "name string, price_in string, price_out string, valid_from string, valid_to string").selectExpr(
+        "name", "price_in", "price_out", "cast(valid_from as date) valid_from", "cast(valid_to as date) valid_to")
+    calls = [("m", "2024-01-31", 1), ("m", "2024-02-01", 2), ("m-large-9", "2024-02-04", 3), ("m-large-9", "2024-02-05", 6), ("x", "2024-01-01", 0), (None, "2024-01-01", 0)]
+    usage = spark.createDataFrame([(m, d, 1000, 1000) for m, d, _ in calls], "model string, d string, input_tokens long, output_tokens long")
+    usage = usage.selectExpr("model", "cast(d as date) day", "input_tokens", "output_tokens")
+    found = {(r.model, str(r.day)): r.cost_usd for r in llm_cost(usage, prices, at="day").collect()}
+    assert found == {(m, d): Decimal(cost) for m, d, cost in calls}
+    now = {r.model: r.cost_usd for r in llm_cost(usage.drop("day").distinct(), prices).collect()}
+    assert now == {"m": 2, "m-large-9": 6, "x": 0, None: 0}
+
+
 def flagged(spark, amount, **columns):
     row = spark.range(1).select(
         F.lit("00000000-0000-0000-0000-000000000001").alias("id"), F.lit(Decimal(amount)).cast("decimal(19,4)").alias("amount"),

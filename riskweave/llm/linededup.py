@@ -24,7 +24,6 @@ compared with each other; repeated rows lose the same lines.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -32,19 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from riskweave.llm.common import (
-    forget, free_name, id_number, id_text, skewed_join, small_batches, stored, text_or_empty,
-)
+from riskweave.llm import runs
+from riskweave.llm.common import forget, free_name, skewed_join, small_batches, stored, text_or_empty
 
-#: What parts lines: blanks after the end of a sentence, or a line feed and the blanks after it.
-PARTING = re.compile(r"(?<=[.!?])\s+|\n\s*")
-
-#: Lines with as many U+0020 need no look for other blanks.
-LONG = 64
 
 
 @dataclass(frozen=True)
@@ -53,8 +47,6 @@ class LineDedup:
     line_words: int = 4
     #: A block needs as many words to be deleted.
     block_words: int = 10
-    #: Holders up to which a line is rare; windows nominate whatever number holds them.
-    rare: int = 16
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,98 +145,102 @@ def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]
     return out
 
 
-def lines_of(text: str, line_words: int) -> list[tuple[int, int, str, int]]:
-    """Lines with enough words: where each starts, where the next begins, the line, its words."""
-    found = []
-    at = 0
-    for start, end in [*(m.span() for m in PARTING.finditer(text)), (len(text), len(text))]:
-        line = text[at:start].strip()
-        words = line.count(" ") + 1
-        if words < LONG:
-            words = max(words, len(line.split()))  # parted by other blanks
-        if words >= line_words:
-            found.append((at, end, line, words))
-        at = end
-    return found
+PASS = ("doc_id bigint, tie bigint, lines array<bigint>, words array<int>, spans array<bigint>, starts array<int>, "
+        "ends array<int>, windows array<bigint>, marks array<bigint>, groups array<bigint>, group_spans array<bigint>")
 
 
-def _line_rows(how: LineDedup):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _units(how: LineDedup, passage_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        hashing = runs.Hashing()
         for batch in batches:
-            lines = [lines_of(t, how.line_words) for t in batch["text"]]
-            words = [[x[3] for x in ls] for ls in lines]
-            windows = [np.array(windows_of(ws, how.block_words), dtype=np.int32).reshape(-1, 2) for ws in words]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "tie": batch["tie"],
-                "lines": [np.array([xxhash.xxh64_intdigest(x[2]) for x in ls], dtype=np.uint64).view(np.int64) for ls in lines],
-                "words": [np.array(ws, dtype=np.int32) for ws in words],
-                "starts": [w[:, 0] for w in windows], "ends": [w[:, 1] for w in windows]})
+            doc_id, tie, texts = (batch.column(name) for name in ("doc_id", "tie", "text"))
+            for row, end, words in runs.chunks_of(texts, hashing):
+                found = {"doc_id": doc_id[row:end], "tie": tie[row:end], **runs.line_arrays(words, how.line_words, how.block_words)}
+                if passage_words:
+                    found |= runs.group_arrays(words, passage_words, how.block_words)
+                else:
+                    none = runs.lists(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), end - row)
+                    found |= dict.fromkeys(("marks", "groups", "group_spans"), none)
+                yield pa.RecordBatch.from_pydict(found)
 
     return run
 
 
+def units(docs: DataFrame, how: LineDedup, passage_words: int = 0) -> DataFrame:
+    """Lines, runs of lines and groups of windows of every row with a doc_id, from one pass over the texts.
+
+    `tie` is a hash of the text. Without `passage_words` there are no groups.
+    """
+    texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    return stored(texts.mapInArrow(_units(how, passage_words), PASS), "units")
+
+
 def _align(how: LineDedup):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "tie": [], "gone": []}
             for doc_id, tie, a, b in zip(
                     batch["doc_id"], batch["tie"], batch["lines_earlier"], batch["lines"], strict=True):
-                gone = common_blocks([tuple(x.values()) for x in a], [tuple(x.values()) for x in b], how.block_words)
+                gone = common_blocks(*([(x["nth"], x["line"], x["words"]) for x in side] for side in (a, b)), how.block_words)
                 if gone:
+                    gone = set(gone)
                     out["doc_id"].append(doc_id)
                     out["tie"].append(tie)
-                    out["gone"].append(sorted(set(gone)))
+                    out["gone"].append([x["span"] for x in b if x["nth"] in gone])
             if out["gone"]:
                 yield pd.DataFrame(out)
 
     return run
 
 
-def repeated_lines(docs: DataFrame, how: LineDedup) -> DataFrame:
-    """doc_id, a hash of the text, and the numbers of its lines that an earlier document has in a common block."""
-    texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
-        id_text(), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    rows = stored(id_number(texts.mapInPandas(_line_rows(how), (
-        "doc_id string, tie bigint, lines array<bigint>, words array<int>, starts array<int>, ends array<int>"))), "lines")
+def repeated_lines(rows: DataFrame, how: LineDedup) -> DataFrame:
+    """doc_id, tie, and the spans of lines that an earlier document has in a common block; rows are those of `units`."""
     keys = ("doc_id", "tie")
-    hashed = F.transform(F.arrays_zip("starts", "ends"), lambda w: F.struct(
-        F.xxhash64(F.slice("lines", w["starts"] + 1, w["ends"] - w["starts"])).alias("window"), w["starts"], w["ends"]))
-    holders = Window.partitionBy("window")
-    found = rows.select(*keys, F.inline(hashed)).select(
-        *keys, "starts", "ends", F.min("doc_id").over(holders).alias("first"),
-        F.max("doc_id").over(holders).alias("last")).filter("first < last")
+    runs_of_lines = rows.select(*keys, F.inline(F.arrays_zip(
+        F.col("windows").alias("window"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
+    held = runs_of_lines.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    found = runs_of_lines.join(held.select("window", "first").hint("merge"), "window")
     shared = found.groupBy(*keys).agg(
-        F.flatten(F.collect_set(F.sequence("starts", F.col("ends") - 1))).alias("nths"), F.collect_set("first").alias("firsts"))
+        F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1))).alias("nths"), F.collect_set("first").alias("firsts"))
     nths = F.array_sort(F.array_distinct("nths"))
-    arrays = stored(rows.select(*keys, "lines", "words").join(shared, [*keys]).dropDuplicates([*keys]).select(
+    arrays = stored(rows.select(*keys, "lines", "words", "spans").join(shared, [*keys]).dropDuplicates([*keys]).select(
         *keys, "firsts", F.transform(nths, lambda n: F.struct(
-            n.alias("nth"), F.get("lines", n).alias("line"), F.get("words", n).alias("words"))).alias("lines")), "held-lines")
+            n.alias("nth"), F.get("lines", n).alias("line"), F.get("words", n).alias("words"),
+            F.get("spans", n).alias("span"))).alias("lines")), "held-lines")
     firsts = arrays.select(F.explode("firsts").alias("earlier"), *keys).filter(F.col("earlier") < F.col("doc_id"))
     pairs = stored(firsts, "line-pairs")
     asked = pairs.groupBy("earlier").agg(F.count("*").alias("n"))
     left = arrays.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("lines_earlier")).join(asked, "earlier")
     both = skewed_join(pairs, left, "earlier", "n").select(*keys, "lines_earlier").join(
         arrays.select(*keys, "lines"), [*keys])
-    gone = both.mapInPandas(_align(how), "doc_id bigint, tie bigint, gone array<int>")
+    gone = both.mapInPandas(_align(how), "doc_id bigint, tie bigint, gone array<bigint>")
     return gone.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def _without(how: LineDedup):
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        def kept(text: str, numbers) -> str:
-            at, parts = 0, []
-            lines = lines_of(text, how.line_words)
-            for number in sorted(numbers):
-                start, end, *_ = lines[number]
-                parts.append(text[at:start])
-                at = end
-            return "".join(parts) + text[at:]
+@F.pandas_udf(BinaryType())
+def without_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts, as bytes, without spans."""
+    return pd.Series([t if s is None else runs.without(t, np.asarray(s, dtype=np.int64)) for t, s in zip(texts, spans, strict=True)])
+
 
-        return pd.Series([t if g is None else kept(t, g) for t, g in zip(texts, gone, strict=True)])
+def cut_texts(docs: DataFrame, rows: DataFrame, lines: str, spans: str) -> DataFrame:
+    """All columns of docs, the text cut, `removed_lines` and `removed_chars`.
 
-    return cut
+    `rows` are those of docs with the spans of lines in a column `lines`, all
+    spans in a column `spans`, and null in the latter for a text that stays.
+    """
+    kept = free_name("_kept", rows)
+    text, untouched = text_or_empty(), F.col(spans).isNull()
+    # Texts that stay as they are do not go to Python workers.
+    rows = rows.withColumn(kept, without_spans(F.when(~untouched, text.cast("binary")), F.col(spans)).cast("string"))
+    told = {"removed_lines": F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)),
+            "removed_chars": F.when(untouched, 0).otherwise(F.length(text) - F.length(kept)).cast("bigint")}
+    return rows.select(
+        *[(F.when(untouched, F.col("text")).otherwise(F.col(kept)) if c == "text" else F.col(c)).alias(c)
+          for c in docs.columns if c not in told],
+        *[column.alias(name) for name, column in told.items()])
 
 
 def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
@@ -252,15 +248,8 @@ def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
 
     Columns of docs that have the names of the last two are replaced.
     """
-    key, tie, gone, kept = (free_name(name, docs) for name in ("_id", "_tie", "_gone", "_kept"))
-    found = repeated_lines(docs, how).select(
+    key, tie, gone = (free_name(name, docs) for name in ("_id", "_tie", "_gone"))
+    found = repeated_lines(units(docs, how), how).select(
         F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("gone").alias(gone))
-    text, untouched = text_or_empty(), F.col(gone).isNull()
-    rows = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(text) == F.col(tie)), "left")
-    rows = rows.withColumn(kept, _without(how)(text, F.col(gone)))
-    told = {"removed_lines": F.when(untouched, 0).otherwise(F.size(gone)),
-            "removed_chars": F.when(untouched, 0).otherwise(F.length(text) - F.length(kept)).cast("bigint")}
-    return rows.select(
-        *[(F.when(untouched, F.col("text")).otherwise(F.col(kept)) if c == "text" else F.col(c)).alias(c)
-          for c in docs.columns if c not in told],
-        *[column.alias(name) for name, column in told.items()])
+    rows = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(text_or_empty()) == F.col(tie)), "left")
+    return cut_texts(docs, rows, gone, gone)

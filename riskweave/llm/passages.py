@@ -6,178 +6,73 @@ and whatever blanks part its words. A document of fewer words, but of
 `block_words` at least, is one run. This is exact, without pairs: every run of
 that length is a window, and each window has a first holder.
 
-Windows are as many as words, so most are left out before they are sorted. A
-window's mark is the least hash of the runs of a third of its words in it. Equal windows
-have equal marks, neighbouring windows mostly share theirs, and only windows
-whose mark several documents have are hashed.
+Windows are as many as words, so they are not sorted one by one. A window's
+mark is the least hash of the runs of a third of its words in it; neighbouring
+windows mostly share theirs and make up a group. Groups of the same words have
+the same windows, so all holders of a group but the first lose it whole. What is
+left are marks whose groups differ, at the ends of passages and where copies were
+edited: there the windows of each group's first holder are compared. A window's
+first holder is among those, since the first holder of any group that has the
+window has it too.
 
 A window's first holder never loses it. Documents are ordered by doc_id, blanks
-are what `str.split` parts words at. Rows are treated as line dedup does.
+are what `str.split` parts words at. Rows are treated as line dedup does: those
+without doc_id stay, those of one doc_id are not compared with each other.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import forget, free_name, small_batches, text_or_empty
-from riskweave.llm.linededup import LineDedup, lines_of, repeated_lines
+from riskweave.llm import runs
+from riskweave.llm.common import free_name, small_batches, stored, text_or_empty
+from riskweave.llm.linededup import LineDedup, cut_texts, repeated_lines, units
 
 #: Words of a passage that is deleted wherever it starts and ends.
 PASSAGE_WORDS = 50
 
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit numbers spread, one to one (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def words_at(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words with one blank between, and the byte places where each starts and ends."""
-    data = " ".join(text.split()).encode("utf-8", "surrogatepass")
-    blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
-    n = len(blanks) + 1 if data else 0
-    starts, ends = np.zeros(n, dtype=np.int64), np.full(n, len(data), dtype=np.int64)
-    starts[1:] = blanks + 1
-    ends[:-1] = blanks
-    return data, starts, ends
-
-
-class Marks:
-    """Marks of the windows of a text, by a rolling hash of its bytes."""
-
-    def __init__(self, window: int, least: int):
-        self.window, self.least = window, least
-        self.codes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.base = 0xD6E8FEB86659FD93
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n > len(self.powers):
-            n = max(n, 2 * len(self.powers))
-            inverse = pow(self.base, -1, 1 << 64)
-            self.powers, self.inverse = (
-                np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, dtype=np.uint64)], dtype=np.uint64) for b in (self.base, inverse))
-
-    def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(starts)
-        if n < self.least:
-            return np.zeros(0, dtype=np.uint64)
-        whole = n < self.window
-        part = n if whole else self.window // 3
-        self._grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.codes[np.frombuffer(data, dtype=np.uint8)] * self.powers[:len(data)], out=sums[1:])
-        first = starts[:n - part + 1]
-        found = mixed((sums[ends[part - 1:]] - sums[first]) * self.inverse[first])
-        wide = 1 if whole else self.window - part + 1
-        width = 1
-        while width < wide:
-            step = min(width, wide - width)
-            found = np.minimum(found[:-step], found[step:])
-            width += step
-        return found
-
-
-def window_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the words of the windows that start at the given words."""
-    last = ends[np.minimum(at + window, len(starts)) - 1]
-    return np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(starts[at].tolist(), last.tolist(), strict=True)],
-                    dtype=np.uint64).view(np.int64)
-
-
-def _marks(window: int, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget()
-        marks = Marks(window, least)
-        for batch in batches:
-            found = [marks(*words_at(t)) for t in batch["text"]]
-            # Neighbours that are equal are told once.
-            found = [x[np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]])] for x in found]
-            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in found]),
-                                "value": np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64)})
-
-    return run
+HELD = "doc_id bigint, tie bigint, value bigint, span bigint"
 
 
-def _windows(window: int, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = Marks(window, least)
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = runs.Hashing()
         for batch in batches:
-            found = []
-            for text, shared in zip(batch["text"], batch["marks"], strict=True):
-                words = words_at(text)
-                at = np.flatnonzero(np.isin(marks(*words).view(np.int64), np.asarray(shared, dtype=np.int64)))
-                found.append(np.unique(window_hashes(*words, window, at)))
-            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in found]),
-                                "value": np.concatenate([*found, np.zeros(0, dtype=np.int64)])})
+            doc_id, tie = (batch.column(name) for name in ("doc_id", "tie"))
+            asked = batch.column("asked").to_pylist()
+            for row, end, words in runs.chunks_of(batch.column("text"), hashing):
+                owner, values, spans = runs.windows_in(words, [np.unique(np.array(x, dtype=np.int64)) for x in asked[row:end]], window)
+                rows = pa.array(owner + row)
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": doc_id.take(rows), "tie": tie.take(rows), "value": pa.array(values), "span": pa.array(spans)})
 
     return run
 
 
-def repeated_passages(docs: DataFrame, by_id: DataFrame, how: LineDedup, window: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id and hashes of the windows of its texts that an earlier document has; by_id has the rows of docs by doc_id."""
-
-    def texts(rows: DataFrame) -> DataFrame:
-        return small_batches(rows).filter(F.col("doc_id").isNotNull()).select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-
-    holders = Window.partitionBy("value")
-    first, last = F.min("doc_id").over(holders), F.max("doc_id").over(holders)
-    marks = texts(docs).mapInPandas(_marks(window, how.block_words), "doc_id bigint, value bigint")
-    shared = marks.select("doc_id", "value", first.alias("first"), last.alias("last")).filter("first < last")
-    again = texts(by_id).join(shared.groupBy("doc_id").agg(F.collect_set("value").alias("marks")), "doc_id")
-    windows = again.mapInPandas(_windows(window, how.block_words), "doc_id bigint, value bigint")
-    later = windows.select("doc_id", "value", first.alias("first")).filter("first < doc_id")
-    return later.groupBy("doc_id").agg(F.collect_set("value").alias("windows"))
-
-
-def spans_of(text: str, windows, window: int, block_words: int) -> list[tuple[int, int]]:
-    """Where the words of the given windows are in a text, each span with the blanks after it."""
-    words = words_at(text)
-    n = len(words[1])
-    starts = np.arange(max(1, n - window + 1) if n >= block_words else 0)
-    at = starts[np.isin(window_hashes(*words, window, starts), np.asarray(windows, dtype=np.int64))]
-    if not len(at):
-        return []
-    places = [m.span() for m in re.finditer(r"\S+", text)] + [(len(text), len(text))]
-    spans, first, last = [], int(at[0]), int(at[0])
-    for place in [*at[1:].tolist(), n + window + 1]:
-        if place > last + window:
-            spans.append((places[first][0], places[min(last + window, n)][0]))
-            first = place
-        last = place
-    return spans
-
-
-def _without(how: LineDedup, window: int):
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series, windows: pd.Series) -> pd.Series:
-        def kept(text: str, numbers, hashes) -> str:
-            spans = []
-            if numbers is not None:
-                lines = lines_of(text, how.line_words)
-                spans += [lines[number][:2] for number in numbers]
-            if hashes is not None:
-                spans += spans_of(text, hashes, window, how.block_words)
-            at, parts = 0, []
-            for start, end in sorted(spans):
-                parts.append(text[at:start])
-                at = max(at, end)
-            return "".join(parts) + text[at:]
-
-        return pd.Series([t if g is None and w is None else kept(t, g, w)
-                          for t, g, w in zip(texts, gone, windows, strict=True)])
-
-    return cut
+def repeated_passages(rows: DataFrame, by_id: DataFrame, window: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, tie and span of passages that an earlier document has; rows are those of `units`, by_id has the texts."""
+    keys = ("doc_id", "tie")
+    groups = rows.select(*keys, F.inline(F.arrays_zip(
+        F.col("marks").alias("mark"), F.col("groups").alias("group"), F.col("group_spans").alias("span"))))
+    marks = groups.groupBy("mark").agg(
+        F.min("group").alias("one"), F.max("group").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    # A common mark has many rows; AQE splits them, the other side has one row for each.
+    shared = stored(groups.join(marks.select("mark", (F.col("one") < F.col("other")).alias("differ")).hint("merge"), "mark").select(
+        *keys, "group", "span", "differ"), "groups")
+    first = shared.groupBy("group").agg(F.min("doc_id").alias("first"))
+    held = stored(shared.join(first.hint("merge"), "group"), "held-groups")
+    asked = held.filter("first = doc_id and differ").groupBy(*keys).agg(F.collect_list("span").alias("asked"))
+    texts = small_batches(by_id).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    windows = stored(texts.join(asked.hint("merge"), [*keys]).mapInArrow(_windows(window), HELD), "windows")
+    least = windows.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    later = windows.join(least.select("value", "first").hint("merge"), "value")
+    return held.filter("first < doc_id").select(*keys, "span").unionByName(later.filter("first < doc_id").select(*keys, "span"))
 
 
 def dedup_passages(docs: DataFrame, how: LineDedup = LineDedup(), window: int = PASSAGE_WORDS) -> DataFrame:
@@ -186,21 +81,18 @@ def dedup_passages(docs: DataFrame, how: LineDedup = LineDedup(), window: int =
     `removed_lines` counts lines of blocks; words outside them count in
     `removed_chars` alone. Columns of docs that have these names are replaced.
     """
-    key, gone, passages, kept = (free_name(name, docs) for name in ("_id", "_gone", "_passages", "_kept"))
-    # One row for each doc_id, so that texts are moved once; lines are those of one text.
-    lines = repeated_lines(docs, how).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tie", "gone"))).alias("gone"))
+    key, gone, cut = (free_name(name, docs) for name in ("_id", "_gone", "_cut"))
+    rows = units(docs, how, window)
     # Two joins with texts read one exchange, where they need the same columns.
     by_id = docs.filter(F.col("doc_id").isNotNull()).repartition("doc_id")
-    found = lines.join(repeated_passages(docs, by_id, how, window), "doc_id", "full").select(
-        F.col("doc_id").alias(key), F.col("gone").alias(gone), F.col("windows").alias(passages))
-    text, untouched = text_or_empty(), F.col(key).isNull()
-    rows = by_id.join(found, F.col("doc_id") == F.col(key), "left").unionByName(
-        docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True).withColumn(gone, F.col(gone)[F.xxhash64(text)])
-    # Texts that stay as they are do not go to Python workers.
-    rows = rows.withColumn(kept, _without(how, window)(F.when(~untouched, text), F.col(gone), F.col(passages)))
-    told = {"removed_lines": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)),
-            "removed_chars": F.when(untouched, 0).otherwise(F.length(text) - F.length(kept)).cast("bigint")}
-    return rows.select(
-        *[(F.when(untouched, F.col("text")).otherwise(F.col(kept)) if c == "text" else F.col(c)).alias(c)
-          for c in docs.columns if c not in told],
-        *[column.alias(name) for name, column in told.items()])
+    lines = repeated_lines(rows, how).select("doc_id", "tie", "gone", F.lit(None).cast("bigint").alias("span"))
+    passages = repeated_passages(rows, by_id, window).withColumn("gone", F.lit(None).cast("array<bigint>"))
+    found = lines.unionByName(passages).groupBy("doc_id", "tie").agg(
+        F.flatten(F.collect_list("gone")).alias("gone"), F.collect_list("span").alias("spans"))
+    # By doc_id alone, as the texts are dealt; one row for each.
+    found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tie", F.struct("gone", "spans")))).alias(gone))
+    cuts = F.col(gone)[F.xxhash64(text_or_empty())]
+    everything = by_id.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").withColumn(gone, cuts)
+    everything = everything.unionByName(docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
+    everything = everything.withColumn(cut, F.concat(f"{gone}.gone", f"{gone}.spans")).withColumn(gone, F.col(f"{gone}.gone"))
+    return cut_texts(docs, everything, gone, cut)

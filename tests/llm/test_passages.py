@@ -3,9 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from samples import clashing, documents, odd_texts, prose  # noqa: F401
 
-from riskweave.llm import linededup, passages
+from riskweave.llm import linededup, passages, runs
 
 
 def plain_passages(pairs, window=50, least=10):
@@ -85,14 +89,39 @@ def test_every_window_is_compared_with_its_first_holder(documents):
         texts.append(" ".join(parts))
     texts += ["same " * 500, "same " * 300, " ".join(words[:200]) * 2]
     docs = documents(texts)
-    marks = passages.repeated_passages(docs, docs, linededup.LineDedup())
-    cut = {r.doc_id: r.windows for r in marks.collect()}
+    found = passages.repeated_passages(linededup.units(docs, linededup.LineDedup(), 50), docs).groupBy("doc_id").agg(F.collect_set("span"))
+    cut = {r[0]: r[1] for r in found.collect()}
     plain = plain_passages(list(enumerate(texts)))
     for n, text in enumerate(texts):
-        at, left = 0, ""
-        for start, end in passages.spans_of(text, cut.get(n, []), 50, 10):
-            left, at = left + text[at:start], end
-        assert (left + text[at:]).split() == plain[n]
+        assert runs.without(text.encode(), np.array(cut.get(n, []), dtype=np.int64)).decode().split() == plain[n]
+
+
+@pytest.mark.parametrize("chunk", [1, 400, 1 << 18])
+def test_words_lines_and_runs_of_lines(monkeypatch, chunk):
+    monkeypatch.setattr(runs, "CHUNK", chunk)
+    rng = random.Random(37)
+    blanks = [" ", "  ", "\n", " \n ", ". ", "! \n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "\u200b", "\u00e9", "\u4e2d"]
+    texts = ["".join(rng.choice(["a", "be", "\u00fcn", "\u20ac", *blanks]) for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    got = []
+    for row, end, words in runs.chunks_of(pa.array(texts), runs.Hashing()):
+        found = {k: v.to_pylist() for k, v in runs.line_arrays(words, 2, 5).items()}
+        for n in range(end - row):
+            raw = texts[row + n].encode()
+            a, z = words.first[n], words.first[n + 1]
+            assert [raw[s:e].decode() for s, e in zip(words.starts[a:z] - words.bounds[n], words.ends[a:z] - words.bounds[n])] == texts[row + n].split()
+            got.append([[x >> 32, x & 0xFFFFFFFF] for x in found["spans"][n]])
+            sizes = [len(raw[s:e].split()) if raw.isascii() else len(raw[s:e].decode().split()) for s, e in got[-1]]
+            assert found["words"][n] == sizes
+            wanted = set()
+            for i in range(len(sizes)):
+                for places in (range(i, len(sizes)), range(i, -1, -1)):
+                    reach = [j for j in places if sum(sizes[min(i, j):max(i, j) + 1]) >= 5]
+                    wanted |= {(min(i, j), max(i, j) + 1) for j in reach[:1]}
+            assert set(zip(found["starts"][n], found["ends"][n])) == wanted
+    for text, spans in zip(texts, got, strict=True):
+        parts = list(re.finditer(r"(?<=[.!?])\s+|\n\s*", text))
+        edges = zip([0, *(m.end() for m in parts)], [*(m.start() for m in parts), len(text)], [*(m.end() for m in parts), len(text)])
+        assert spans == [[len(text[:a].encode()), len(text[:z].encode())] for a, b, z in edges if len(text[a:b].split()) >= 2]
 
 
 def test_passages_of_odd_rows(documents, clashing, odd_texts):

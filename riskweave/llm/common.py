@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,15 +25,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back.
+def stored(df: DataFrame, name: str, hashes: Iterable[str] = ()) -> DataFrame:
+    """Write a result to the shared folder and read it back; arrays of hashes are written without dictionaries.
 
     Cuts the lineage: what several jobs read is computed once, and survives
     the loss of the executors that computed it.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    plain = {f"parquet.enable.dictionary#{c}.list.element": "false" for c in hashes}
+    df.write.options(compression="zstd", **plain).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -148,6 +148,9 @@ def common_blocks(a: list[tuple], b: list[tuple], block_words: int) -> list[int]
 PASS = ("doc_id bigint, tie bigint, lines array<bigint>, words array<int>, spans array<bigint>, starts array<int>, "
         "ends array<int>, windows array<bigint>, marks array<bigint>, groups array<bigint>, group_spans array<bigint>")
 
+#: Columns whose values hardly repeat.
+HASHES = ("lines", "windows", "marks", "groups", "spans", "group_spans")
+
 
 def _units(how: LineDedup, passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def units(docs: DataFrame, how: LineDedup, passage_words: int = 0) -> DataFrame:
     """
     texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    return stored(texts.mapInArrow(_units(how, passage_words), PASS), "units")
+    return stored(texts.mapInArrow(_units(how, passage_words), PASS), "units", HASHES)
 
 
 def _align(how: LineDedup):

@@ -54,22 +54,27 @@ def _windows(window: int):
     return run
 
 
-def repeated_passages(rows: DataFrame, by_id: DataFrame, window: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id, tie and span of passages that an earlier document has; rows are those of `units`, by_id has the texts."""
+def repeated_passages(rows: DataFrame, docs: DataFrame, window: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, tie and span of passages that an earlier document has; rows are those of `units` of docs."""
     keys = ("doc_id", "tie")
     groups = rows.select(*keys, F.inline(F.arrays_zip(
         F.col("marks").alias("mark"), F.col("groups").alias("group"), F.col("group_spans").alias("span"))))
-    marks = groups.groupBy("mark").agg(
-        F.min("group").alias("one"), F.max("group").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    marks = groups.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
     # A common mark has many rows; AQE splits them, the other side has one row for each.
-    shared = stored(groups.join(marks.select("mark", (F.col("one") < F.col("other")).alias("differ")).hint("merge"), "mark").select(
-        *keys, "group", "span", "differ"), "groups")
-    first = shared.groupBy("group").agg(F.min("doc_id").alias("first"))
-    held = stored(shared.join(first.hint("merge"), "group"), "held-groups")
-    asked = held.filter("first = doc_id and differ").groupBy(*keys).agg(F.collect_list("span").alias("asked"))
-    texts = small_batches(by_id).select(
+    shared = groups.join(marks.select("mark").hint("merge"), "mark")
+    first = shared.groupBy("mark", "group").agg(F.min("doc_id").alias("first"))
+    differ = first.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    # Both sides read one exchange of groups by mark.
+    known = first.join(differ.select("mark", F.lit(True).alias("differ")).hint("merge"), "mark", "left")
+    held = stored(shared.join(known.hint("merge"), ["mark", "group"]).select(
+        *keys, "span", "first", F.coalesce("differ", F.lit(False)).alias("differ")), "held-groups")
+    # On doc_id alone, so that texts move once.
+    asked = held.filter("first = doc_id and differ").groupBy("doc_id").agg(F.collect_list(F.struct("tie", "span")).alias("groups"))
+    texts = small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    windows = stored(texts.join(asked.hint("merge"), [*keys]).mapInArrow(_windows(window), HELD), "windows")
+    own = F.transform(F.filter("groups", lambda g: g["tie"] == F.col("tie")), lambda g: g["span"])
+    again = texts.join(asked.hint("merge"), "doc_id").select(*keys, "text", own.alias("asked"))
+    windows = stored(again.mapInArrow(_windows(window), HELD), "windows")
     least = windows.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     later = windows.join(least.select("value", "first").hint("merge"), "value")
     return held.filter("first < doc_id").select(*keys, "span").unionByName(later.filter("first < doc_id").select(*keys, "span"))
@@ -83,16 +88,15 @@ def dedup_passages(docs: DataFrame, how: LineDedup = LineDedup(), window: int =
     """
     key, gone, cut = (free_name(name, docs) for name in ("_id", "_gone", "_cut"))
     rows = units(docs, how, window)
-    # Two joins with texts read one exchange, where they need the same columns.
-    by_id = docs.filter(F.col("doc_id").isNotNull()).repartition("doc_id")
     lines = repeated_lines(rows, how).select("doc_id", "tie", "gone", F.lit(None).cast("bigint").alias("span"))
-    passages = repeated_passages(rows, by_id, window).withColumn("gone", F.lit(None).cast("array<bigint>"))
+    passages = repeated_passages(rows, docs, window).withColumn("gone", F.lit(None).cast("array<bigint>"))
     found = lines.unionByName(passages).groupBy("doc_id", "tie").agg(
         F.flatten(F.collect_list("gone")).alias("gone"), F.collect_list("span").alias("spans"))
     # By doc_id alone, as the texts are dealt; one row for each.
     found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tie", F.struct("gone", "spans")))).alias(gone))
     cuts = F.col(gone)[F.xxhash64(text_or_empty())]
-    everything = by_id.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").withColumn(gone, cuts)
+    known = docs.filter(F.col("doc_id").isNotNull())
+    everything = known.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").withColumn(gone, cuts)
     everything = everything.unionByName(docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
     everything = everything.withColumn(cut, F.concat(f"{gone}.gone", f"{gone}.spans")).withColumn(gone, F.col(f"{gone}.gone"))
     return cut_texts(docs, everything, gone, cut)

@@ -530,6 +530,11 @@ def oracle_sql() -> dict[str, str]:
         "relay_outbox":
             f"with {TO_OUTBOX} select 'outbox.event.' || aggregate_type as topic, aggregate_id as key, "
             "payload as value, event_type from outbox where event_type = 'TransactionReceived'",
+        "relay_outbox_both":
+            f"with {TO_OUTBOX} select 'outbox.event.' || aggregate_type as topic, aggregate_id as key, "
+            "payload as value, event_type from outbox",
+        "stream_velocity_expiring":
+            f"with {TO_GATE} select id, from_account, velocity, history_count, history_sum from features",
         "stream_velocity":
             f"with {TO_GATE} select id, from_account, velocity, history_count, history_sum from features",
         "run_stream":

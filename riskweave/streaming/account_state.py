@@ -11,16 +11,22 @@ has outgrown `max_state_rows` and is no longer kept at all;
 delivered row is answered, and one task never holds more than a bounded number
 of rows of one account. A row that comes again replaces itself; if it changed,
 its accounts are answered from the store from then on (`store.save_batch`).
+
+With `idle_seconds` the state of an account goes once the watermark is that far
+past its last row, outgrown or not. An account without state may then be one
+that came back: all its earlier rows are older than the watermark less the idle
+time, so its state begins there, and what it cannot know yet is left open.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -86,19 +92,43 @@ def stream_velocity(
     cfg: RiskConfig = RiskConfig(),
     lateness_seconds: int = 3600,
     max_state_rows: int = 100_000,
+    idle_seconds: int | None = None,
+    check_seconds: float = 600,
 ) -> DataFrame:
-    """The streaming form of `account_features`; open rows have null features."""
+    """The streaming form of `account_features`; open rows have null features.
+
+    With `idle_seconds`, each account is looked at `check_seconds` after its
+    last micro-batch, and again until it is idle. Such a stream is started
+    inside `data_batches_only`: Spark would otherwise run empty micro-batches
+    without end. Late rows are answered as without it.
+    """
     window_us = cfg.velocity_window_us
     keep_us = window_us + lateness_seconds * 1_000_000
+    check_ms = max(1, round(check_seconds * 1000))
     limit = cfg.history_limit
 
+    def idle_before(state: GroupState) -> int:
+        """Accounts whose last row is not after this time have no state."""
+        watermark_ms = state.getCurrentWatermarkMs() if idle_seconds is not None else 0
+        return watermark_ms * 1000 - idle_seconds * 1_000_000 if watermark_ms > 0 else _NOTHING_DROPPED
+
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at_us, ids, amounts, dropped_us, outgrown = state.get if state.exists else ([], [], [], _NOTHING_DROPPED, False)
+        at_us, ids, amounts, dropped_us, outgrown = (
+            state.get if state.exists else ([], [], [], idle_before(state), False))
+        if state.hasTimedOut:
+            if max([dropped_us, *at_us[-1:]]) <= idle_before(state):
+                state.remove()
+            else:
+                state.setTimeoutDuration(check_ms)
+            return
+        if idle_seconds is not None:
+            state.setTimeoutDuration(check_ms)
         held = []
         for chunk in chunks:
             held.append(chunk)
             outgrown = outgrown or len(at_us) + sum(map(len, held)) > max_state_rows
             if outgrown:
+                dropped_us = max([dropped_us, *at_us[-1:], *(int(h["at_us"].max()) for h in held if len(h))])
                 yield from filter(len, map(_open, held))
                 held = []
         if outgrown:
@@ -115,9 +145,25 @@ def stream_velocity(
         ))
         yield from answers
 
-    return slim_activity(transactions).groupBy("account").applyInPandasWithState(
-        step, ACCOUNT_FEATURES, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    rows, timeout = slim_activity(transactions), GroupStateTimeout.NoTimeout
+    if idle_seconds is not None:
+        # A timeout by event time would drop late rows; this one reads the watermark and drops none.
+        timeout = GroupStateTimeout.ProcessingTimeTimeout
+        rows = rows.withColumn("event_at", F.expr("timestamp_micros(at_us)")).withWatermark(
+            "event_at", f"{lateness_seconds} seconds")
+    return rows.groupBy("account").applyInPandasWithState(step, ACCOUNT_FEATURES, STATE, "append", timeout)
+
+
+@contextmanager
+def data_batches_only(spark: SparkSession):
+    """Streams started in this block run a micro-batch for data only; a stream keeps the setting it started with."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def complete_features(

@@ -12,6 +12,7 @@ A bad event ends up in the reject table and stops nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from riskweave.schemas import (
     ACCOUNT_FEATURES, DECIDED, REJECTS, STORED_EMBEDDINGS, TRANSACTION_COLUMNS,
 )
 from riskweave.session import cut, releasing
-from riskweave.streaming.account_state import complete_features, stream_velocity
+from riskweave.streaming.account_state import complete_features, data_batches_only, stream_velocity
 from riskweave.streaming.store import read_all, read_batch, save_batch, write_batch
 
 FLAG = V.DECISIONS[1]
@@ -91,14 +92,16 @@ def start_evaluation(
 ) -> StreamingQuery:
     """Start the query over received events.
 
-    `state` goes to `stream_velocity`, `options` to `evaluate_batch`.
+    `state` goes to `stream_velocity` (`{"idle_seconds": ...}` lets the state
+    of idle accounts go), `options` to `evaluate_batch`.
     """
     received = valid_rows(validate_events(frames.filter(F.col("event_type") == V.RECEIVED)))
     features = stream_velocity(received.select(*TRANSACTION_COLUMNS), cfg, **(state or {}))
     writer = features.writeStream.outputMode("append").foreachBatch(
         lambda rows, batch_id: evaluate_batch(rows, batch_id, root, cfg, **options)
     )
-    return _start(writer, f"{root}/checkpoints/evaluation", trigger)
+    with data_batches_only(frames.sparkSession) if (state or {}).get("idle_seconds") is not None else nullcontext():
+        return _start(writer, f"{root}/checkpoints/evaluation", trigger)
 
 
 def start_side_outputs(frames: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:

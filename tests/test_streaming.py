@@ -80,6 +80,44 @@ def test_late_rows_see_everything_before_them(spark, make, tmp_path):
     assert {r[0]: r for r in got} == {i: (everything if i in late_ids else without)[i] for i in everything}
 
 
+@pytest.mark.parametrize("max_state_rows", [100_000, 5])
+def test_state_of_idle_accounts_goes_and_answers_stay(spark, make, tmp_path, max_state_rows):
+    """Seven accounts fall silent, two others go on; one comes back with a new row and a row from long ago."""
+    day, cfg = 24 * HOUR, RiskConfig(history_limit=5)
+    usual = [r for r in skewed(14, rows=120, ties=False)]
+    end = max(r[3] for r in usual)
+    later = [(1000 + n, 91, 92, end + 20 * day + n * HOUR // 3, 10 + n) for n in range(40)]
+    back = [(2000, 1, 2, end + 21 * day, 5), (2001, 1, 92, end - HOUR // 2, 6)]
+    steps = [usual, later[:20], later[20:30], [*later[30:], *back]]
+    states, progress = [], []
+
+    def keep(rows, batch_id):
+        rows = rows.persist()
+        def stored():
+            return store.read_all(spark, str(tmp_path), "in", TRANSACTIONS).withColumnRenamed("batch_id", "ingest_seq")
+        store.write_batch(account_state.complete_features(rows, stored, cfg), str(tmp_path), "out", batch_id)
+
+    for number, step in enumerate(steps):
+        store.write_batch(make(step), str(tmp_path), "in", number)
+        rows = spark.readStream.schema(TRANSACTIONS).parquet(f"{tmp_path}/in").select(*TRANSACTION_COLUMNS)
+        features = account_state.stream_velocity(
+            rows, cfg, max_state_rows=max_state_rows, idle_seconds=86_400, check_seconds=0.001)
+        with account_state.data_batches_only(spark):
+            query = features.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(**NOW).start()
+        query.awaitTermination()
+        progress.append(len(query.recentProgress))
+        states.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    accounts = len({a for r in usual for a in r[1:3]})
+    # The watermark that shows they are idle is known from the third step on.
+    assert states[:3] == [accounts, accounts + 2, 2] and states[3] == 4, progress
+    got = {r.id: tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(
+        *TRANSACTIONS.names, *account_state.FEATURES).collect()}
+    everything = {r.id: tuple(r) for r in account_features(make([r for s in steps for r in s]), cfg).collect()}
+    before = {r.id: tuple(r) for r in account_features(make([*usual, *later]), cfg).collect()}
+    newest = {f"00000000-0000-0000-0000-{r[0]:012d}" for r in steps[3]}
+    assert got == {i: everything[i] if i in newest else before[i] for i in everything}
+
+
 def test_repeated_events_replace_themselves(spark, make, tmp_path):
     rows, cfg = skewed(9, rows=120, ties=False), RiskConfig(history_limit=5)
     first, second = in_order(make, rows, 2)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import partial
 from inspect import signature
 
 import pandas as pd
@@ -15,6 +15,7 @@ from riskweave import fixed_values as V
 from riskweave.config import RiskConfig
 from riskweave.functions.text import as_text, fill
 from riskweave.operators.activity import history_mean
+from riskweave.operators.calls import Breaker, BreakerSettings, call_all
 from riskweave.operators.redact import redacted_struct
 from riskweave.schemas import SCORE
 
@@ -60,35 +61,30 @@ def reads_neighbours(model: Model) -> bool:
 
 
 def model_of(
-    analyze: Callable[[dict, list[dict]], tuple[float, str]], timeout_seconds: float | None = None
+    analyze: Callable[[dict, list[dict]], tuple[float, str]],
+    timeout_seconds: float | None = None,
+    width: int = 1,
+    breaker: BreakerSettings | None = None,
 ) -> Model:
     """A model from a function of a redacted transaction and its neighbours, both as dictionaries.
 
-    It runs on Arrow batches. A call that raises or takes too long has no
-    answer; the row is then scored without an assessment.
+    It runs on Arrow batches, `width` calls at a time in each task. A call that
+    raises or takes too long has no answer; the row is then scored without an
+    assessment. With `breaker` a task stops calling for a while when too many
+    of its last calls failed; the rows in between have no answer either.
     """
     @F.pandas_udf(_ANSWER)
-    def answers(redacted: pd.DataFrame, similar: pd.Series) -> pd.DataFrame:
+    def answers(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        guard = Breaker(breaker) if breaker else None
+
         def answer(row: dict, near) -> tuple:
-            try:
-                risk, reasoning = analyze(row, [] if near is None else [dict(n) for n in near])
-                return float(risk), str(reasoning)
-            except Exception:
-                return None, None
-
-        rows = redacted.to_dict("records")
-        if timeout_seconds is None:
-            found = [answer(row, near) for row, near in zip(rows, similar)]
-        else:
-            found = []
-            for row, near in zip(rows, similar):
-                pool = ThreadPoolExecutor(1)
-                try:
-                    found.append(pool.submit(answer, row, near).result(timeout_seconds))
-                except TimeoutError:
-                    found.append((None, None))
-                pool.shutdown(wait=False)
-        return pd.DataFrame(found, columns=["risk", "reasoning"])
+            risk, reasoning = analyze(row, [] if near is None else [dict(n) for n in near])
+            return float(risk), str(reasoning)
+
+        for redacted, similar in batches:
+            jobs = [partial(answer, row, near) for row, near in zip(redacted.to_dict("records"), similar)]
+            found = call_all(jobs, width, timeout_seconds, guard)
+            yield pd.DataFrame([(None, None) if f is None else f for f in found], columns=["risk", "reasoning"])
 
     return lambda redacted, count, mean, similar: answers(redacted, similar)
 

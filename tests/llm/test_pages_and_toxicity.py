@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,59 @@ def test_suffixes_find_what_pages_share():
     assert not pages.repeated(np.array([1, 2, 3, 1, 2, 3, -1]), np.zeros(7, dtype=int), long=3).any()
 
 
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|math|select|button|object)\b"
+    r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>",
+    re.S | re.I,
+)
+
+
+def test_tags_are_those_of_one_pattern():
+    rng = random.Random(3)
+    parts = """< > " ' / ! -- --> <!-- <script </script <p </p <nav <titles <title-x <b </b> <SVG ? a= word""".split() + [" "]
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 18)))
+        expected = [(t.start(), t.end(), t["name"] and t["name"].lower(), bool(t["end"]), t["rest"] or "") for t in TAG.finditer(page)]
+        assert list(pages.tags(page)) == expected, page
+
+
+@pytest.mark.parametrize("page", [
+    '<x "' * 250_000, '<a "' * 250_000 + "'>", "<!" * 500_000, "<script>" + "</script " * 100_000,
+    "<div>" * 100_000 + "</b>" * 100_000, "<a " + "class=" * 150_000 + ">",
+])
+def test_a_page_of_a_megabyte_takes_seconds(page):
+    start = time.monotonic()
+    pages.blocks_of(page)
+    assert time.monotonic() - start < 10
+
+
+def test_unique_runs_of_a_block_stay():
+    rng = random.Random(4)
+    shared, own = prose(rng, 12), [prose(rng, 6) for _ in range(2)]
+    assert pages.unique_texts([[f"{shared} {own[0]}"], [f"{own[1]} {shared}"]]) == own
+    # Against all pairs of windows, over blocks that mix shared and own runs.
+    runs = [prose(rng, rng.randint(5, 14)) for _ in range(4)]
+    host = [[" ".join(rng.choice([*runs, prose(rng, rng.randint(1, 6))]) for _ in range(3)) for _ in range(rng.randint(0, 3))]
+            for _ in range(12)]
+    streams = [[w for block in page for w in block.split()] for page in host]
+    windows = [{tuple(t[i:i + pages.LONG]) for i in range(len(t) - pages.LONG + 1)} for t in streams]
+    expected = []
+    for n, (page, tokens) in enumerate(zip(host, streams, strict=True)):
+        others = set().union(*(w for m, w in enumerate(windows) if streams[m] != tokens))
+        gone = {i + d for i in range(len(tokens)) if tuple(tokens[i:i + pages.LONG]) in others for d in range(pages.LONG)}
+        at, lines = 0, []
+        for block in page:
+            words = block.split()
+            here = "".join("x" if i in gone else "." for i in range(at, at + len(words)))
+            # Short runs stay, unless they are the block.
+            here = here if "." not in here else re.sub(r"x+", lambda m: m[0] if len(m[0]) >= pages.LONG else "." * len(m[0]), here)
+            lines.append(" ".join(w for w, mark in zip(words, here, strict=True) if mark == "."))
+            at += len(words)
+        expected.append("\n".join(filter(None, lines)))
+    assert pages.unique_texts(host) == expected
+
+
 # ---- toxicity -------------------------------------------------------------------
 
 def test_held_out_accuracy(spark):

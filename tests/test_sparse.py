@@ -109,3 +109,15 @@ def test_both_forms_of_the_embedding_are_equal(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     both = rows.select(sparse.as_sparse(hash_embedding(F.col("t"))).alias("a"), sparse_hash_embedding(F.col("t")).alias("b"))
     assert all(r.a == r.b for r in both.collect())
+
+
+def test_lists_that_a_bar_needs(spark):
+    """Shortest lists first, until what is left of the query is shorter than the bar; without a bar, all rare ones."""
+    counts = {0: 90, 1: 5, 2: 50, 3: 20}
+    rows = spark.createDataFrame(
+        [([0, 1, 2, 3, 7], [1.0] * 5, bar) for bar in (-2.0, 0.85, 0.7, 0.6)], "places array<int>, weights array<float>, _floor double")
+    # The last place has no list, and the first is frequent: 4 of 5 squares are shared at most, then 3, 2 and 1.
+    found = rows.select("_floor", sparse._needed(counts, [0]).alias("needed")).collect()
+    assert {r["_floor"]: sorted(r.needed) for r in found} == {-2.0: [1, 2, 3], 0.85: [1], 0.7: [1, 3], 0.6: [1, 2, 3]}
+    begun = rows.select(sparse._begin_at(counts, [0], 10).alias("place")).first().place
+    assert begun == 3

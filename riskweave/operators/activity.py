@@ -18,6 +18,7 @@ whatever the accounts and instants are (`_split`):
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -267,15 +268,29 @@ def _features(activity: DataFrame, keys: Sequence[str], cfg: RiskConfig) -> Data
 
 # ---- accounts that are split ------------------------------------------------
 
-def _ranges(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Rows with the number of the range they are in; ranges have about equal size and follow the order."""
-    return cut(rows.repartitionByRange(n, *order).withColumn("slot", F.spark_partition_id()))
+#: Fewer rows are not worth a task of their own; ranges may be finer.
+ROWS_PER_TASK = 100_000
+_PLACE_BITS = 33
+
+
+def _ranges(rows: DataFrame, order: list[str], n: int, size: int = 1 << _PLACE_BITS) -> DataFrame:
+    """Rows with the number of the range they are in; ranges have about equal size and follow the order.
+
+    With `size`, n ranges of so many rows: a task sorts its rows and cuts them,
+    so that small ranges make neither as many tasks nor as many files and blocks.
+    """
+    tasks = min(n, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * size / ROWS_PER_TASK)))
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # The task's number in the upper bits, the row's place in the lower.
+    at = F.monotonically_increasing_id()
+    place = at.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return cut(dealt.withColumn("slot", at - place + F.floor(place / size)))
 
 
 def _split(activity: DataFrame, keys: list[str], cfg: RiskConfig, ranges: int) -> DataFrame:
     """Both features over ranges of rows. No task holds an account, or an instant, as a whole."""
     slot_keys = [*keys, "slot"]
-    rows = _ranges(activity, [*keys, "at_us", "id"], ranges)
+    rows = _ranges(activity, [*keys, "at_us", "id"], ranges, cfg.hot_rows_per_slot)
     velocity = (
         rows.groupBy(*slot_keys, "at_us").count().drop("count")
         .join(_velocity_at(rows, keys, cfg, ranges), [*keys, "at_us"])
@@ -308,7 +323,7 @@ def _velocity_at(rows: DataFrame, keys: list[str], cfg: RiskConfig, ranges: int)
         rows.groupBy(*keys, "at_us").count().select(*keys, step.alias("m")).select(*keys, "m.*")
         .groupBy(*keys, "at_us").agg(F.sum("net").alias("net"), F.max("enters").alias("enters"))
     )
-    marks = _ranges(marks, [*keys, "at_us"], ranges)
+    marks = _ranges(marks, [*keys, "at_us"], ranges, cfg.hot_rows_per_slot)
     earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     base = marks.groupBy(*keys, "slot").agg(F.sum("net").alias("_net")).withColumn(
         "_base", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))

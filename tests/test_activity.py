@@ -133,3 +133,14 @@ def test_features_from_store_by_day(make, span):
     for some in (newest, [r for r in newest if r[1] == 1] or newest[:1], rows[:3]):
         expected = {n: v for n, v in brute(rows, cfg).items() if n in {r[0] for r in some}}
         assert got(A.features_from_store(make(some), stored, cfg)) == expected
+
+
+def test_small_ranges_make_no_tasks_of_their_own(make, spark):
+    order = ["at_us", "id"]
+    activity = A.slim_activity(make(skewed(5)))
+    ranged = A._ranges(activity, order, 1 + activity.count() // 4, 4)
+    assert len(ranged.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = ranged.groupBy("slot").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("z"))
+    found = slots.orderBy("slot").collect()
+    assert max(r.n for r in found) == 4 and len(found) < 200
+    assert all(r.z <= s.a for r, s in zip(found, found[1:]))

@@ -6,7 +6,8 @@ pivot are the sorted key of a cell. A vector within an angle of a query cannot
 differ from it by more than that angle in the angle to any pivot, so a query
 only meets the rings that the triangle inequality leaves. A search for the k
 nearest first looks at the query's own cell; what it finds there is the angle
-for all others. Rings of many vectors are cut by id.
+for all others. Rings of many vectors are cut by id; cuts grow with the number
+of vectors, so that a query goes to a bounded number of them.
 
 Every candidate is shuffled once in each of the two steps, a query once per ring
 that it meets. All that the driver learns are the pivots and two angles
@@ -28,6 +29,8 @@ from riskweave.session import cut
 MATCHES = "query_id string, id string, similarity double"
 
 PIVOTS, PIVOTS_FROM, RINGS, QUERIES_AT_ONCE = 32, 1024, 32, 2048
+# A query goes at most to about as many cuts, until a cut has as many vectors as a task can well hold.
+MOST_CUTS, MOST_VECTORS = 256, 1 << 15
 _PAIRS_AT_ONCE = 4_000_000
 # Candidates that set the bar, pairs that are computed exactly at once.
 _FIRST, _EXACT = 1024, 20_000
@@ -74,6 +77,8 @@ def matches(queries: DataFrame, candidates: DataFrame, keep: int, min_similarity
         return spark.createDataFrame([], MATCHES)
     dimensions = len(one.column("embedding")[0])
     reach = math.pi if min_similarity is None else math.acos(max(-1.0, min(1.0, 2 * min_similarity - 1))) + MARGIN
+    # Were cuts of one size at any number of vectors, the copies of queries would grow with its square.
+    cut_vectors = max(cut_vectors, min(MOST_VECTORS, math.ceil(n / MOST_CUTS)))
     if n <= cut_vectors:
         # One cut: all of it meets a share of the queries in each task.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

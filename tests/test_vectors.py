@@ -172,3 +172,18 @@ def test_the_triangle_inequality_leaves_few_pairs(spark, monkeypatch):
     near = N.similar_within(rows, rows, 0.6, cfg=RiskConfig(cut_vectors=100))
     assert got(near) == brute(matrix, 10, floor=0.7)
     assert sum(met) < 0.2 * 2000 * 2000
+
+
+def test_cuts_grow_with_the_vectors(spark, clustered, monkeypatch):
+    """However small cuts are, a query goes to a bounded number of them."""
+    met, work = [], cells._work
+
+    def counted(held, asked, *rest):
+        met.append(asked.groupBy("id").count().agg(F.max("count")).first()[0] or 0)
+        return work(held, asked, *rest)
+
+    monkeypatch.setattr(cells, "_work", counted)
+    monkeypatch.setattr(cells, "MOST_CUTS", 2)
+    rows = table(spark, clustered)
+    assert got(N.knn(rows, rows, 4, RiskConfig(cut_vectors=3))) == brute(clustered, 4)
+    assert max(met) <= 4

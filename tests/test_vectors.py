@@ -187,3 +187,21 @@ def test_cuts_grow_with_the_vectors(spark, clustered, monkeypatch):
     rows = table(spark, clustered)
     assert got(N.knn(rows, rows, 4, RiskConfig(cut_vectors=3))) == brute(clustered, 4)
     assert max(met) <= 4
+
+
+def test_dense_vectors_are_laid_out_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from riskweave.functions.embed import dense_units
+
+    rows = 4000
+    buckets = pa.array([[i % 384, i % 7, i % 7] for i in range(rows + 1)], pa.list_(pa.int32())).slice(1)
+    tracemalloc.start()
+    found = dense_units(buckets, 384)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * rows * 384 * 4
+    row = found[2999].as_py()
+    assert len(found) == rows and row[3000 % 384] == pytest.approx(5 ** -0.5) and row[3000 % 7] == pytest.approx(2 * 5 ** -0.5)

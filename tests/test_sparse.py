@@ -121,3 +121,29 @@ def test_lists_that_a_bar_needs(spark):
     assert {r["_floor"]: sorted(r.needed) for r in found} == {-2.0: [1, 2, 3], 0.85: [1], 0.7: [1, 3], 0.6: [1, 2, 3]}
     begun = rows.select(sparse._begin_at(counts, [0], 10).alias("place")).first().place
     assert begun == 3
+
+
+def test_pairs_leave_no_list_to_read(spark, monkeypatch):
+    """What shares two rare places is met first; a bar from there that one rare place cannot reach closes all lists."""
+    rng = np.random.default_rng(9)
+    n, met = 600, []
+    matrix = np.zeros((n, 160))
+    matrix[:, :6] = 1
+    for row in matrix:
+        row[rng.choice(np.arange(6, 160), 3, replace=False)] = 1
+    matrix[1::2] = matrix[::2]
+    rows = frame(spark, matrix, np.zeros(n))
+    work = sparse._work
+    monkeypatch.setattr(sparse, "_work", lambda held, asked, *rest: met.append(asked.count()) or work(held, asked, *rest))
+    assert got(N.knn(rows, rows, 1)) == brute(matrix, np.zeros(n), 1, range(n), False, self_takes_slot=False)
+    assert sum(met) == 0
+
+
+def test_lists_needed_after_pairs(spark):
+    """A list holds news only if one place, and those it makes an unmet pair with, can reach the bar."""
+    counts = {0: 90, 1: 5, 2: 6, 3: 7, 4: 8}
+    rows = spark.createDataFrame([([0, 1, 2, 3], [2.0, 1.0, 1.0, 1.0], 0.88)], "places array<int>, weights array<float>, _floor double")
+    # Squares 4 of 7 and one more are shared at most: 0.845; with an unmet pair, two more: 0.926.
+    needed = lambda unmet: sorted(rows.select(sparse._needed(counts, [0], unmet).alias("n")).first().n)
+    assert needed([]) == [] and needed([(2, 3)]) == [2] and needed(None) == [1, 2]
+    assert sorted(rows.select(sparse._pairs_of(counts, [0]).alias("n")).first().n) == [1 * 5 + 2, 1 * 5 + 3, 2 * 5 + 3]

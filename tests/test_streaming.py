@@ -1,8 +1,11 @@
 """Streams against the batch functions, with late, repeated and bad events."""
 
+import cProfile
 import json
+import pstats
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +263,20 @@ def test_a_batch_that_runs_again_leaves_the_same_rows(spark, make, tmp_path):
     rows = store.read_all(spark, str(tmp_path), "outbox", OUTBOX)
     assert rows.count() == 35 and rows.filter("batch_id = 4").select("id").distinct().count() == 30
     assert store.read_latest(spark, str(tmp_path), "outbox", OUTBOX).count() == 30
+
+
+def test_a_step_of_a_small_account_is_cheap(make):
+    """Answers of plain rows, and few calls for them: the accounts of a micro-batch are many."""
+    rows = [r.asDict() for r in make([(n, 1, 2, n * HOUR, n + 1) for n in range(4)]).collect()]
+    frame = pd.DataFrame([{**r, "account": r["from_account"], "is_from": n != 2, "at_us": at}
+                          for n, (r, at) in enumerate(zip(rows, (10, 20, 20, None)))])
+    frame["occurred_at"] = pd.to_datetime(frame["occurred_at"])
+    kept = [(5, "before", Decimal(7))]
+    profile = cProfile.Profile()
+    answers, line, dropped = profile.runcall(account_state._advance, frame, kept, account_state._NOTHING_DROPPED, 12, 100, 2)
+    got = {r.id[-1]: (r.velocity, r.history_count, r.history_sum) for a in answers for r in a.itertuples()}
+    # The row that is only received counts, the one without a time is left open.
+    assert got == {"0": (2, 1, Decimal(7)), "1": (3, 2, Decimal(8)), "3": (None, None, None)}
+    assert [(at, id[-1]) for at, id, _ in line] == [(5, "e"), (10, "0"), (20, "1"), (20, "2")]
+    assert dropped == account_state._NOTHING_DROPPED
+    assert pstats.Stats(profile).total_calls < 4000

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import stored, table, text_or_empty
 from riskweave.llm.ledger import findings, mask_spans, scan_new
 from riskweave.llm.neardup import near_duplicates
-from riskweave.llm.packing import pack_documents
+from riskweave.llm.packing import Evolution, pack_documents
 from riskweave.llm.passages import dedup_passages
 from riskweave.llm.toxicity import fit, score_with
 from riskweave.session import scratch_dir
@@ -63,9 +63,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _changed(found.withColumn("text", masked), changed)
 
 
+#: Packings that compete in a shard; one that meets the lower bound ends its island's work.
+EVOLUTION = Evolution(islands=4, epochs=4, population=8, children=16, elites=2)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in training sequences."""
-    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), how=EVOLUTION)
 
 
 STAGES = [

@@ -87,6 +87,28 @@ def test_suffixes_find_what_pages_share():
     assert not pages.repeated(np.array([1, 2, 3, 1, 2, 3, -1]), np.zeros(7, dtype=int), long=3).any()
 
 
+def test_suffix_array_is_sorted_beyond_the_least_length():
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(500):
+        words, owner = [], []
+        for page in range(rng.randint(0, 5)):
+            run = [rng.randint(0, rng.randint(0, 3)) for _ in range(rng.randint(0, 20))]
+            words, owner = [*words, *run, -1 - page], [*owner, *[page] * (len(run) + 1)]
+        order, common = pages.suffix_array(np.array(words, dtype=np.int64))
+        expected = sorted(range(len(words)), key=lambda i: words[i:])
+        assert order.tolist() == expected
+        for k, (i, j) in enumerate(zip(expected, expected[1:]), 1):
+            alike = [a == b for a, b in zip(words[i:], words[j:])]
+            assert common[k] == (alike.index(False) if False in alike else len(alike))
+        long, held = rng.randint(1, 4), {}
+        for i in range(len(words) - long + 1):
+            held.setdefault(tuple(words[i:i + long]), []).append(i)
+        shared = {i + d for v in held.values() if len({owner[i] for i in v}) > 1 for i in v for d in range(long)}
+        assert set(np.flatnonzero(pages.repeated(np.array(words), np.array(owner), long)).tolist()) == shared
+
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|math|select|button|object)\b"
     r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"

@@ -32,11 +32,11 @@ from riskweave.llm.tokens import encoder
 @dataclass(frozen=True)
 class Evolution:
     shard_items: int = 8192
-    islands: int = 2
-    epochs: int = 2
-    population: int = 3
-    children: int = 4
-    elites: int = 1
+    islands: int = 4
+    epochs: int = 3
+    population: int = 6
+    children: int = 12
+    elites: int = 2
     well_filled: float = 0.97
 
 
@@ -49,11 +49,14 @@ class Packing:
         self.free: list[int] = []
         self.by_free: list[list[int]] = [[] for _ in range(room + 1)]
         self.mask = 0
+        self.squares = 0
 
-    def add_bin(self, items: list[int]) -> None:
-        free = self.room - sum(map(self.sizes.__getitem__, items))
+    def add_bin(self, items: list[int], free: int | None = None) -> None:
+        if free is None:
+            free = self.room - sum(map(self.sizes.__getitem__, items))
         self.bins.append(list(items))
         self.free.append(free)
+        self.squares += (self.room - free) ** 2
         self.by_free[free].append(len(self.bins) - 1)
         self.mask |= 1 << free
 
@@ -71,6 +74,7 @@ class Packing:
             self.mask &= ~(1 << free)
         self.bins[at].append(item)
         self.free[at] = free - size
+        self.squares += size * (2 * (self.room - free) + size)
         self.by_free[free - size].append(at)
         self.mask |= 1 << (free - size)
 
@@ -81,7 +85,7 @@ class Packing:
 
     def worth(self) -> tuple[int, float]:
         """Fewer bins are better, then bins that are full rather than even."""
-        return -len(self.bins), sum((self.room - f) ** 2 for f in self.free) / max(1, len(self.bins))
+        return -len(self.bins), self.squares / max(1, len(self.bins))
 
     def bin_of(self) -> np.ndarray:
         out = np.zeros(len(self.sizes), dtype=np.int32)
@@ -114,11 +118,11 @@ def lower_bound(sizes: np.ndarray, room: int) -> int:
 def crossover(one: Packing, other: Packing, rng: random.Random, well_filled: float) -> Packing:
     """Well-filled bins of one parent go into the other; bins with the same items go, the rest is placed anew."""
     enough = (1 - well_filled) * one.room
-    chosen = [items for items, free in zip(one.bins, one.free, strict=True) if free <= enough and rng.random() < 0.5]
+    chosen = [(items, free) for items, free in zip(one.bins, one.free, strict=True) if free <= enough and rng.random() < 0.5]
     child = Packing(one.sizes, one.room)
     taken = bytearray(len(one.sizes))
-    for items in chosen:
-        child.add_bin(items)
+    for items, free in chosen:
+        child.add_bin(items, free)
         for item in items:
             taken[item] = 1
     displaced = []
@@ -126,7 +130,7 @@ def crossover(one: Packing, other: Packing, rng: random.Random, well_filled: flo
         here = [item for item in items if not taken[item]]
         # A half-empty bin is dissolved too: its items are what new bins are made of.
         if len(here) == len(items) and (free <= enough or rng.random() < 0.5):
-            child.add_bin(items)
+            child.add_bin(items, free)
         else:
             displaced += here
     return child.place_all(displaced)

@@ -28,6 +28,8 @@ UNUSUAL = re.compile(r"[^\t-\r -~¡-įıĲ-ɏ–—‘-”…]|<\|")
 # How the two kinds of vocabulary file cut text into pieces.
 BYTE_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: No piece goes on from one of these runs into the next.
+BYTE_RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
 #: Pieces a worker remembers from lately, and as many again from before.
@@ -62,7 +64,7 @@ class PieceIds(dict):
 
 
 class RunIds(dict):
-    """Ids of runs of pieces without white space, put together when first asked for."""
+    """Ids of runs of pieces, from one white space to the next, put together when first asked for."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -93,7 +95,7 @@ class Encoder:
         if self.words:
             # No piece holds white space: runs between blanks are looked up whole.
             return b"".join(map(self.runs.__getitem__, text.lower().split()))
-        return b"".join(map(self.ids.__getitem__, self.pieces.findall(text)))
+        return b"".join(map(self.runs.__getitem__, BYTE_RUNS.findall(text)))
 
 
 def encoder(path: str) -> Encoder:

@@ -171,3 +171,36 @@ def test_evolution_beats_best_fit_on_triplets():
     assert len(best.bins) < len(start.bins)
     assert sorted(i for items in best.bins for i in items) == list(range(len(sizes)))
     assert packing.lower_bound(np.array(sizes), 1024) == 60
+
+
+def evolved(sizes, how):
+    """Bins of the best packing of one shard, by island, as `pack_items` evolves them."""
+    best = [packing.evolve(sizes, 1024, [], hash((0, i)), how)[:how.elites] for i in range(how.islands)]
+    for epoch in range(1, how.epochs):
+        best = [packing.evolve(sizes, 1024, best[i] + best[i - 1], hash((epoch, 0, i)), how)[:how.elites]
+                for i in range(how.islands)]
+    return min(len(b[0].bins) for b in best)
+
+
+def test_production_size_finds_better_packings():
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    sizes = []
+    for _ in range(60):
+        a = rng.randint(380, 490)
+        b = rng.randint(258, (1024 - a) - 258)
+        sizes += [a, b, 1024 - a - b]
+    little = packing.Evolution(islands=2, epochs=2, population=3, children=4, elites=1)
+    assert evolved(sizes, packing.Evolution()) < evolved(sizes, little)
+    assert evolved(sizes, corpus_pipeline.EVOLUTION) < evolved(sizes, packing.Evolution())
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_runs_are_pieces_put_together(path):
+    ours, library, rng = tokens.encoder(path), Tokenizer_of(path), random.Random(5)
+    parts = ["a", "It's", "'s", "'ll", " ", "  ", "\n", "\t", " \n", "\r\n", "12", "3x", "...", "don't!", "é", "—", "_", "\"", "'"]
+    for _ in range(5_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert ours.encode(text) == as_bytes(library.encode(text, add_special_tokens=False).ids), repr(text)
+    assert ours.runs and all(run == run.strip() or run.isspace() or run[1:] == run.strip() for run in ours.runs)

@@ -203,8 +203,10 @@ def repeated_lines(rows: DataFrame, how: LineDedup) -> DataFrame:
     keys = ("doc_id", "tie")
     runs_of_lines = rows.select(*keys, F.inline(F.arrays_zip(
         F.col("windows").alias("window"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
-    held = runs_of_lines.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    found = runs_of_lines.join(held.select("window", "first").hint("merge"), "window")
+    # Without the zip: all of its arrays would be read.
+    alone = rows.select("doc_id", F.explode("windows").alias("window"))
+    held = alone.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    found = runs_of_lines.join(held.select("window", "first").hint("shuffle_hash"), "window")
     shared = found.groupBy(*keys).agg(
         F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1))).alias("nths"), F.collect_set("first").alias("firsts"))
     nths = F.array_sort(F.array_distinct("nths"))

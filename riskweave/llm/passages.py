@@ -59,9 +59,11 @@ def repeated_passages(rows: DataFrame, docs: DataFrame, window: int = PASSAGE_WO
     keys = ("doc_id", "tie")
     groups = rows.select(*keys, F.inline(F.arrays_zip(
         F.col("marks").alias("mark"), F.col("groups").alias("group"), F.col("group_spans").alias("span"))))
-    marks = groups.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
-    # A common mark has many rows; AQE splits them, the other side has one row for each.
-    shared = groups.join(marks.select("mark").hint("merge"), "mark")
+    # From their own column: nothing is left out of a zip of arrays, and the others are not needed to count.
+    marks = rows.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    # A common mark has many rows; AQE splits them, the other side has one row for each. That side is hashed, here and
+    # below, so that groups, windows and texts are not sorted.
+    shared = groups.join(marks.select("mark").hint("shuffle_hash"), "mark")
     first = shared.groupBy("mark", "group").agg(F.min("doc_id").alias("first"))
     differ = first.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
     # Both sides read one exchange of groups by mark.
@@ -73,10 +75,10 @@ def repeated_passages(rows: DataFrame, docs: DataFrame, window: int = PASSAGE_WO
     texts = small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     own = F.transform(F.filter("groups", lambda g: g["tie"] == F.col("tie")), lambda g: g["span"])
-    again = texts.join(asked.hint("merge"), "doc_id").select(*keys, "text", own.alias("asked"))
+    again = texts.join(asked.hint("shuffle_hash"), "doc_id").select(*keys, "text", own.alias("asked"))
     windows = stored(again.mapInArrow(_windows(window), HELD), "windows")
     least = windows.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = windows.join(least.select("value", "first").hint("merge"), "value")
+    later = windows.join(least.select("value", "first").hint("shuffle_hash"), "value")
     return held.filter("first < doc_id").select(*keys, "span").unionByName(later.filter("first < doc_id").select(*keys, "span"))
 
 
@@ -96,7 +98,7 @@ def dedup_passages(docs: DataFrame, how: LineDedup = LineDedup(), window: int =
     found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tie", F.struct("gone", "spans")))).alias(gone))
     cuts = F.col(gone)[F.xxhash64(text_or_empty())]
     known = docs.filter(F.col("doc_id").isNotNull())
-    everything = known.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").withColumn(gone, cuts)
+    everything = known.join(found.withColumnRenamed("doc_id", key).hint("shuffle_hash"), F.col("doc_id") == F.col(key), "left").withColumn(gone, cuts)
     everything = everything.unionByName(docs.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
     everything = everything.withColumn(cut, F.concat(f"{gone}.gone", f"{gone}.spans")).withColumn(gone, F.col(f"{gone}.gone"))
     return cut_texts(docs, everything, gone, cut)

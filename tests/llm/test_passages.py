@@ -191,3 +191,8 @@ def test_a_block_is_found_in_whichever_document_holds_it(documents):
     found = lines_left(documents, texts)
     assert found == plain_blocks(list(enumerate(texts)))
     assert [len(found[i]) for i in range(22)] == [3, 3, 4] + [2] * 19
+
+
+def test_texts_are_cut_without_a_sort(spark, documents):
+    plan = passages.dedup_passages(documents([(1, "one two three four. " * 30)]))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan

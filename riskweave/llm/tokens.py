@@ -28,8 +28,6 @@ UNUSUAL = re.compile(r"[^\t-\r -~¡-įıĲ-ɏ–—‘-”…]|<\|")
 # How the two kinds of vocabulary file cut text into pieces.
 BYTE_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: No piece goes on from one of these runs into the next.
-BYTE_RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
 #: Pieces a worker remembers from lately, and as many again from before.
@@ -63,20 +61,6 @@ class PieceIds(dict):
         return found
 
 
-class RunIds(dict):
-    """Ids of runs of pieces, from one white space to the next, put together when first asked for."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.pieces, self.ids = encoder.pieces, encoder.ids
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[run] = found = b"".join(map(self.ids.__getitem__, self.pieces.findall(run)))
-        return found
-
-
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,16 +70,14 @@ class Encoder:
             self.words = json.load(file)["normalizer"] is not None
         self.pieces = WORD_PIECES if self.words else BYTE_PIECES
         self.ids = PieceIds(self.tokenizer)
-        self.runs = RunIds(self)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, without special tokens added, as little-endian unsigned 32-bit integers."""
         if UNUSUAL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.words:
-            # No piece holds white space: runs between blanks are looked up whole.
-            return b"".join(map(self.runs.__getitem__, text.lower().split()))
-        return b"".join(map(self.runs.__getitem__, BYTE_RUNS.findall(text)))
+            text = text.lower()
+        return b"".join(map(self.ids.__getitem__, self.pieces.findall(text)))
 
 
 def encoder(path: str) -> Encoder:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +45,7 @@ class Packing:
 
     def __init__(self, sizes: list[int], room: int):
         self.sizes, self.room = sizes, room
+        self.least = min(sizes, default=0)
         self.bins: list[list[int]] = []
         self.free: list[int] = []
         self.by_free: list[list[int]] = [[] for _ in range(room + 1)]
@@ -54,34 +55,46 @@ class Packing:
     def add_bin(self, items: list[int], free: int | None = None) -> None:
         if free is None:
             free = self.room - sum(map(self.sizes.__getitem__, items))
-        self.bins.append(list(items))
         self.free.append(free)
         self.squares += (self.room - free) ** 2
+        if free < self.least:
+            # Nothing is added to it any more: packings share the list.
+            self.bins.append(items)
+            return
+        self.bins.append(items.copy())
         self.by_free[free].append(len(self.bins) - 1)
         self.mask |= 1 << free
 
-    def place(self, item: int) -> None:
-        """Best fit: into the bin with least room that is enough, or a new one."""
-        size = self.sizes[item]
-        fits = self.mask >> size
-        if not fits:
-            self.add_bin([item])
-            return
-        free = size + (fits & -fits).bit_length() - 1
-        stack = self.by_free[free]
-        at = stack.pop()
-        if not stack:
-            self.mask &= ~(1 << free)
-        self.bins[at].append(item)
-        self.free[at] = free - size
-        self.squares += size * (2 * (self.room - free) + size)
-        self.by_free[free - size].append(at)
-        self.mask |= 1 << (free - size)
+    def place_each(self, items: Iterable[int]) -> Packing:
+        """Best fit, in the given order: into the bin with least room that is enough, or a new one."""
+        sizes, room, bins, frees, by_free = self.sizes, self.room, self.bins, self.free, self.by_free
+        mask, squares = self.mask, self.squares
+        for item in items:
+            size = sizes[item]
+            fits = mask >> size
+            if fits:
+                free = size + (fits & -fits).bit_length() - 1
+                stack = by_free[free]
+                at = stack.pop()
+                if not stack:
+                    mask ^= 1 << free
+                bins[at].append(item)
+                left = frees[at] = free - size
+                squares += size * (2 * (room - free) + size)
+            else:
+                at, left = len(bins), room - size
+                bins.append([item])
+                frees.append(left)
+                squares += size * size
+            stack = by_free[left]
+            if not stack:
+                mask |= 1 << left
+            stack.append(at)
+        self.mask, self.squares = mask, squares
+        return self
 
     def place_all(self, items: list[int]) -> Packing:
-        for item in sorted(items, key=self.sizes.__getitem__, reverse=True):
-            self.place(item)
-        return self
+        return self.place_each(sorted(items, key=self.sizes.__getitem__, reverse=True))
 
     def worth(self) -> tuple[int, float]:
         """Fewer bins are better, then bins that are full rather than even."""
@@ -148,9 +161,7 @@ def evolve(sizes: list[int], room: int, population: list[Packing], seed: int, ho
         mixed = list(range(len(sizes)))
         rng.shuffle(mixed)
         head = mixed[: len(mixed) // (2 + len(population))]
-        for item in head:
-            start.place(item)
-        population.append(start.place_all(mixed[len(head):]))
+        population.append(start.place_each(head).place_all(mixed[len(head):]))
     for _ in range(how.children):
         population.sort(key=Packing.worth, reverse=True)
         if len(population[0].bins) <= bound:

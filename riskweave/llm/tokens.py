@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from riskweave.llm.common import kept
@@ -24,6 +25,8 @@ NUMBER = "0-9²³¹¼½¾"
 SPACE = " \t\n\r\f\v"
 #: Anything else is left to the tokenizer.
 UNUSUAL = re.compile(r"[^\t-\r -~¡-įıĲ-ɏ–—‘-”…]|<\|")
+#: Texts without UNUSUAL, but for special tokens; one run of a class is matched quicker than searched for.
+USUAL = re.compile(r"[\t-\r -~¡-įıĲ-ɏ–—‘-”…]*")
 
 # How the two kinds of vocabulary file cut text into pieces.
 BYTE_PIECES = re.compile(
@@ -41,12 +44,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class PieceIds(dict):
     """Ids of pieces as little-endian unsigned 32-bit integers, made when first asked for."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.model, self.letters = tokenizer.model, byte_letters()
+        self.blank = self.letters[ord(" ")]
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -55,8 +66,11 @@ class PieceIds(dict):
             self.clear()
         found = self.before.get(piece)
         if found is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            if piece.isascii() and piece.isprintable():
+                letters = piece.replace(" ", self.blank)
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = as_bytes([t.id for t in self.model.tokenize(letters)])
         self[piece] = found
         return found
 
@@ -73,8 +87,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, without special tokens added, as little-endian unsigned 32-bit integers."""
-        if UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if "<|" in text or not USUAL.fullmatch(text):
+            return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.words:
             text = text.lower()
         return b"".join(map(self.ids.__getitem__, self.pieces.findall(text)))

@@ -203,3 +203,32 @@ def test_white_space_parts_pieces(path):
     for _ in range(5_000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert ours.encode(text) == as_bytes(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_usual_characters_are_those_that_are_not_unusual():
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]):
+        assert bool(tokens.USUAL.fullmatch(c)) != bool(tokens.UNUSUAL.search(c)), repr(c)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_new_pieces_of_any_bytes(path):
+    library = Tokenizer_of(path)
+    for text in ["a b", "a  b", "\tx\n", "é", " é", "\x7f", "\x0b", "'s", "²", ""]:
+        assert tokens.Encoder(path).encode(text) == as_bytes(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_packings_share_bins_that_nothing_is_added_to():
+    sizes = [600, 424, 500, 300]
+    one = packing.Packing(sizes, 1024)
+    full, open_ = [0, 1], [2]
+    one.add_bin(full)
+    one.add_bin(open_)
+    one.place_all([3])
+    assert one.bins == [[0, 1], [2, 3]]
+    assert one.bins[0] is full
+    assert open_ == [2]
+    # An item of no length fits into a full bin, so that one is not shared.
+    other = packing.Packing([600, 424, 0], 1024)
+    other.add_bin(full)
+    assert other.place_all([2]).bins == [[0, 1, 2]]
+    assert full == [0, 1]

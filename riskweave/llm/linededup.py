@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType
 
 from riskweave.llm import runs
 from riskweave.llm.common import forget, free_name, skewed_join, small_batches, stored, text_or_empty
-
+from riskweave.session import remove, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -170,14 +170,14 @@ def _units(how: LineDedup, passage_words: int):
     return run
 
 
-def units(docs: DataFrame, how: LineDedup, passage_words: int = 0) -> DataFrame:
+def units(docs: DataFrame, how: LineDedup, passage_words: int = 0, path: str | None = None) -> DataFrame:
     """Lines, runs of lines and groups of windows of every row with a doc_id, from one pass over the texts.
 
-    `tie` is a hash of the text. Without `passage_words` there are no groups.
+    `tie` is a hash of the text. Without `passage_words` there are no groups. They are stored, below `path` if it is given.
     """
     texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    return stored(texts.mapInArrow(_units(how, passage_words), PASS), "units", HASHES)
+    return stored(texts.mapInArrow(_units(how, passage_words), PASS), "units", HASHES, path)
 
 
 def _align(how: LineDedup):
@@ -199,7 +199,10 @@ def _align(how: LineDedup):
 
 
 def repeated_lines(rows: DataFrame, how: LineDedup) -> DataFrame:
-    """doc_id, tie, and the spans of lines that an earlier document has in a common block; rows are those of `units`."""
+    """doc_id, tie, and the spans of lines that an earlier document has in a common block; rows are those of `units`.
+
+    The result reads what this stores, not the rows.
+    """
     keys = ("doc_id", "tie")
     runs_of_lines = rows.select(*keys, F.inline(F.arrays_zip(
         F.col("windows").alias("window"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
@@ -254,7 +257,9 @@ def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     Columns of docs that have the names of the last two are replaced.
     """
     key, tie, gone = (free_name(name, docs) for name in ("_id", "_tie", "_gone"))
-    found = repeated_lines(units(docs, how), how).select(
+    folder = scratch_dir(docs.sparkSession, "units")
+    found = repeated_lines(units(docs, how, path=folder), how).select(
         F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("gone").alias(gone))
+    remove(docs.sparkSession, folder)
     rows = docs.join(found, (F.col("doc_id") == F.col(key)) & (F.xxhash64(text_or_empty()) == F.col(tie)), "left")
     return cut_texts(docs, rows, gone, gone)

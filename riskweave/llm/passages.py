@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from riskweave.llm import runs
 from riskweave.llm.common import free_name, small_batches, stored, text_or_empty
 from riskweave.llm.linededup import LineDedup, cut_texts, repeated_lines, units
+from riskweave.session import remove, scratch_dir
 
 #: Words of a passage that is deleted wherever it starts and ends.
 PASSAGE_WORDS = 50
@@ -55,7 +56,10 @@ def _windows(window: int):
 
 
 def repeated_passages(rows: DataFrame, docs: DataFrame, window: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id, tie and span of passages that an earlier document has; rows are those of `units` of docs."""
+    """doc_id, tie and span of passages that an earlier document has; rows are those of `units` of docs.
+
+    The result reads what this stores, not the rows.
+    """
     keys = ("doc_id", "tie")
     groups = rows.select(*keys, F.inline(F.arrays_zip(
         F.col("marks").alias("mark"), F.col("groups").alias("group"), F.col("group_spans").alias("span"))))
@@ -89,9 +93,12 @@ def dedup_passages(docs: DataFrame, how: LineDedup = LineDedup(), window: int =
     `removed_chars` alone. Columns of docs that have these names are replaced.
     """
     key, gone, cut = (free_name(name, docs) for name in ("_id", "_gone", "_cut"))
-    rows = units(docs, how, window)
+    folder = scratch_dir(docs.sparkSession, "units")
+    rows = units(docs, how, window, folder)
     lines = repeated_lines(rows, how).select("doc_id", "tie", "gone", F.lit(None).cast("bigint").alias("span"))
     passages = repeated_passages(rows, docs, window).withColumn("gone", F.lit(None).cast("array<bigint>"))
+    # Both have stored what they need of the rows; texts are dealt out without them on the disk.
+    remove(docs.sparkSession, folder)
     found = lines.unionByName(passages).groupBy("doc_id", "tie").agg(
         F.flatten(F.collect_list("gone")).alias("gone"), F.collect_list("span").alias("spans"))
     # By doc_id alone, as the texts are dealt; one row for each.

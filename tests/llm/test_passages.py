@@ -2,6 +2,8 @@
 
 import random
 import re
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -196,3 +198,16 @@ def test_a_block_is_found_in_whichever_document_holds_it(documents):
 def test_texts_are_cut_without_a_sort(spark, documents):
     plan = passages.dedup_passages(documents([(1, "one two three four. " * 30)]))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan
+
+
+def test_units_are_gone_once_nothing_reads_them(spark, documents):
+    def stored_units():
+        return set(Path(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).glob("units-*"))
+
+    before = stored_units()
+    words = prose(random.Random(3), 200).split()
+    texts = [" ".join(words), " ".join(words[50:150]), "Something else."]
+    left = [passages.dedup_passages(documents(texts)), linededup.dedup_lines(documents([texts[0], texts[0]]))]
+    assert stored_units() == before
+    assert {r.doc_id: r.text.strip() for r in left[0].collect()} == {0: texts[0], 1: "", 2: texts[2]}
+    assert left[1].count() == 2

@@ -4,12 +4,20 @@ A bounded number of vectors are pivots. Every candidate is in the cell of the
 pivot that it makes the smallest angle with, and there in a ring: angles to the
 pivot are the sorted key of a cell. A vector within an angle of a query cannot
 differ from it by more than that angle in the angle to any pivot, so a query
-only meets the rings that the triangle inequality leaves. A search for the k
-nearest first looks at the query's own cell; what it finds there is the angle
-for all others. Rings of many vectors are cut by id; cuts grow with the number
-of vectors, so that a query goes to a bounded number of them.
-
-Every candidate is shuffled once in each of the two steps, a query once per ring
+only meets the rings that the triangle inequality leaves, in cells whose pivot
+is not farther from the query than the nearest by more than twice that angle. A
+search for the k nearest first looks at the query's own cell; what it finds there
+is the angle for all others. Rings of many vectors are cut by id; cuts grow with
+the number of vectors, so that a query goes to a bounded number of them.
+
+Vectors that come again and again are not compared one by one. Vectors with
+about the same angles to the first pivots stand together, and a query passes
+them first, in order of time. If as many as it asks for are its equals, and none
+beyond a border of those angles can be, it has the best there are and goes no
+further. So the queries that go to cells grow with the different vectors rather
+than with their copies.
+
+Every candidate is shuffled once in each of the three steps, a query once per ring
 that it meets. All that the driver learns are the pivots and two angles
 and a count for each ring, whatever the number of vectors.
 """
@@ -17,12 +25,14 @@ and a count for each ring, whatever the number of vectors.
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.session import cut
 
@@ -38,20 +48,33 @@ _FIRST, _EXACT = 1024, 20_000
 _MARGIN = 1e-5
 #: More than single precision and rounding can be wrong about an angle.
 MARGIN = 2e-4
+# Pivots whose angles, in steps, tell which vectors stand together; different vectors of such a group that are remembered.
+_KEY_PIVOTS, _KEY_STEP, _KINDS = 10, 0.05, 64
 
 _UNIT = ["_cell", "_ring", "_part"]
 
 
-def _angles(pivots: np.ndarray, dimensions: int):
-    """Angles of vectors to all pivots."""
-    @F.arrow_udf("array<float>")
-    def angles(ids: pa.Array, vectors: pa.Array) -> pa.Array:
+def _near(pivots: np.ndarray, dimensions: int, angles: bool):
+    """Nearest pivot and the angle to it, key of the angles to the first pivots, whether all equals have that key; all angles if asked."""
+    @F.arrow_udf("struct<angles: array<float>, cell: int, angle: float, key: bigint, sure: boolean>")
+    def near(ids: pa.Array, vectors: pa.Array) -> pa.Array:
         rows = _unit(pa.RecordBatch.from_arrays([ids, vectors], names=["id", "embedding"]), dimensions)
         found = np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0)).astype(np.float32)
-        ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(pivots))
-        return pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
-
-    return angles("id", "embedding")
+        # Not a number is the largest, as Spark has it.
+        known = np.where(np.isnan(found), np.float32(2 * math.pi), found)
+        cell = known.argmin(axis=1)
+        steps = known[:, :_KEY_PIVOTS].astype(np.float64)
+        # No angle is below zero, where copies of pivots are.
+        low, high = np.floor(np.maximum(steps - MARGIN, 0.0) / _KEY_STEP), np.floor((steps + MARGIN) / _KEY_STEP)
+        key = (np.floor(steps / _KEY_STEP).astype(np.int64) * (1 << 6) ** np.arange(steps.shape[1], dtype=np.int64)).sum(axis=1)
+        told = found if angles else found[:, :0]
+        ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * told.shape[1])
+        return pa.StructArray.from_arrays([
+            pa.ListArray.from_arrays(ends, pa.array(told.ravel())), pa.array(cell.astype(np.int32)),
+            pa.array(found[np.arange(len(found)), cell]), pa.array(key), pa.array((low == high).all(axis=1))],
+            names=["angles", "cell", "angle", "key", "sure"])
+
+    return near("id", "embedding")
 
 
 def _far_apart(units: np.ndarray, most: int) -> np.ndarray:
@@ -93,10 +116,21 @@ def matches(queries: DataFrame, candidates: DataFrame, keep: int, min_similarity
     pivots = _far_apart(_unit(some, dimensions), min(PIVOTS, math.ceil(n / cut_vectors)))
 
     # Each vector's own cell, and its angle to that pivot.
-    near = lambda df: df.withColumn("_angles", _angles(pivots, dimensions))
-    own = F.array_min(F.transform("_angles", lambda a, i: F.struct(a.alias("angle"), i.alias("cell"))))
-    held = cut(near(candidates).withColumn("_own", own).select("*", F.col("_own.cell").alias("_cell"), F.col("_own.angle").alias("_angle")).drop("_own", "_angles"))
-    queries = cut(near(queries))
+    near = lambda df, angles: df.withColumn("_near", _near(pivots, dimensions, angles)).select(
+        "*", F.col("_near.key").alias("_key"), F.col("_near.cell").alias("_cell"), F.col("_near.angle").alias("_angle"),
+        F.col("_near.sure").alias("_sure"), F.col("_near.angles").alias("_angles")).drop("_near")
+    held = cut(near(candidates, False).drop("_sure", "_angles"))
+    queries = near(queries, True).withColumnsRenamed({"_cell": "_home"}).drop("_angle")
+    if min_similarity is None or min_similarity < 1.0:
+        queries = cut(_equals(queries, held, order, keep, dimensions))
+        equals = queries.select(F.col("id").alias("query_id"), F.explode("_equals").alias("id"), F.lit(1.0).alias("similarity"))
+        queries = queries.filter(~F.col("_settled"))
+    else:
+        queries, equals = cut(queries.withColumn("_equals", F.array().cast("array<string>"))), spark.createDataFrame([], MATCHES)
+    # Who has enough equals only looks for others.
+    queries = queries.withColumn("_reach", F.when(F.size("_equals") == keep, F.lit(MARGIN)).otherwise(F.lit(reach)))
+    queries = queries.drop("_key", "_sure", "_settled", "_equals")
+    held = held.drop("_key")
     fine = {r["_cell"]: (r["b"], min(RINGS, math.ceil(r["n"] / cut_vectors))) for r in held.groupBy("_cell").agg(
         F.percentile_approx("_angle", [i / RINGS for i in range(1, RINGS)], 1000).alias("b"), F.count("*").alias("n")).collect()}
     bounds = {c: sorted({b[RINGS * i // n - 1] for i in range(1, n)}) for c, (b, n) in fine.items()}
@@ -114,27 +148,104 @@ def matches(queries: DataFrame, candidates: DataFrame, keep: int, min_similarity
     def meet(asked: DataFrame, allowed) -> DataFrame:
         """Queries, once per cut of each allowed ring."""
         met = asked.withColumn("_met", F.explode(F.filter(listed, allowed)))
-        return met.select("*", "_met._cell", "_met._ring", F.explode(F.sequence(F.lit(0), F.col("_met.parts") - 1)).alias("_part")).drop("_met", "_angles")
+        return met.select("*", "_met._cell", "_met._ring", F.explode(F.sequence(F.lit(0), F.col("_met.parts") - 1)).alias("_part")).drop("_met", "_angles", "_home")
 
-    nearest = F.array_min(F.transform("_angles", lambda a, i: F.struct(a.alias("angle"), i.alias("cell"))))["cell"]
     if min_similarity is not None:
         # The radius is the angle.
-        return _work(held, meet(queries.withColumn("_reach", F.lit(reach)), _within), order, keep, dimensions, min_similarity)
-    home = meet(queries.withColumn("_reach", F.lit(math.pi)).withColumn("_home", nearest), lambda r: r["_cell"] == F.col("_home")).drop("_home")
-    first = _work(held, home, order, keep, dimensions, None)
-    first = cut(first)
+        return equals.unionByName(_work(held, meet(queries, _within), order, keep, dimensions, min_similarity))
+    home = meet(queries, lambda r: (r["_cell"] == F.col("_home")) & _within(r))
+    first = equals.unionByName(cut(_work(held, home, order, keep, dimensions, None)))
     best = F.slice(F.sort_array(F.collect_set(F.struct("similarity", "id")), asc=False), 1, keep)
     bars = first.groupBy(F.col("query_id").alias("id")).agg(best.alias("b")).filter(F.size("b") == keep).select(
-        "id", (F.acos(F.greatest(F.lit(-1.0), 2 * F.element_at("b", -1)["similarity"] - 1)) + MARGIN).alias("_reach"))
-    rest = queries.join(bars, "id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.pi))).withColumn("_home", nearest)
-    rest = meet(rest, lambda r: (r["_cell"] != F.col("_home")) & _within(r)).drop("_home")
+        "id", (F.acos(F.greatest(F.lit(-1.0), 2 * F.element_at("b", -1)["similarity"] - 1)) + MARGIN).alias("_bar"))
+    rest = queries.join(bars, "id", "left").withColumn("_reach", F.coalesce("_bar", "_reach")).drop("_bar")
+    rest = meet(rest, lambda r: (r["_cell"] != F.col("_home")) & _within(r))
     return first.unionByName(_work(held, rest, order, keep, dimensions, None))
 
 
 def _within(ring):
     """Whether a ring may hold a vector within the reach of a query."""
     angle = F.get("_angles", ring["_cell"])
-    return (angle - F.col("_reach") <= ring["high"]) & (angle + F.col("_reach") >= ring["low"])
+    # A vector of another cell is nearer to that pivot than to the query's own.
+    nearer = angle - 2 * F.col("_reach") <= F.get("_angles", F.col("_home"))
+    return nearer & (angle - F.col("_reach") <= ring["high"]) & (angle + F.col("_reach") >= ring["low"])
+
+
+def _equals(queries: DataFrame, held: DataFrame, order: list[str], keep: int, dimensions: int) -> DataFrame:
+    """Queries with `_equals`, up to `keep` ids of similarity one among vectors of the same key, and `_settled`: these are the best there are."""
+    columns = ["_key", "id", "embedding", *order]
+    own = [c for c in queries.columns if c not in columns]
+    rows = queries.withColumn("_kind", F.lit(1)).unionByName(held.select(*columns, F.lit(0).alias("_kind")), allowMissingColumns=True)
+    # A row without a time comes neither before nor after another.
+    for name in order:
+        rows = rows.filter(F.col(name).isNotNull())
+    # A query comes behind those that it can match.
+    behind = [*order, "id", "_kind"] if order else ["_kind"]
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.select(*columns, *own, "_kind").repartition(tasks, "_key").sortWithinPartitions("_key", *behind)
+    told = sorted_.drop("_kind").schema.add("_equals", T.ArrayType(T.StringType())).add("_settled", T.BooleanType())
+    return sorted_.mapInArrow(_pass_equals(keep, dimensions), told)
+
+
+def _pass_equals(keep: int, dimensions: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, None
+        for batch in batches:
+            units = _unit(batch.select(["id", "embedding"]), dimensions)
+            raw = units.view(np.dtype((np.void, units.itemsize * dimensions))).ravel().tolist()
+            kinds, sure = (batch.column(c).to_pylist() for c in ("_kind", "_sure"))
+            rows, equals, settled = [], [], []
+            for i, (now, id_) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                if now != key:
+                    key, group = now, _Group(keep)
+                if not kinds[i]:
+                    group.add(raw[i], units[i], id_)
+                    continue
+                rows.append(i)
+                equals.append(group.equals(raw[i], units[i]))
+                settled.append(sure[i] and group.whole and len(equals[-1]) == keep)
+            if rows:
+                asked = batch.select([n for n in batch.schema.names if n != "_kind"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*asked.columns, pa.array(equals, pa.list_(pa.string())), pa.array(settled, pa.bool_())],
+                    names=[*asked.schema.names, "_equals", "_settled"])
+
+    return scan
+
+
+class _Group:
+    """The least ids of each different vector that came so far, of vectors that stand together."""
+
+    def __init__(self, keep: int):
+        self.keep, self.whole = keep, True
+        self.kinds: dict[bytes, list] = {}
+        self.units: list[np.ndarray] = []
+        self.known: dict[bytes, tuple[int, list]] = {}
+
+    def add(self, raw: bytes, unit: np.ndarray, id_: str) -> None:
+        least = self.kinds.get(raw)
+        if least is None:
+            if len(self.kinds) == _KINDS:
+                self.whole = False
+                return
+            least = self.kinds[raw] = []
+            self.units.append(unit.copy())
+        if (len(least) < self.keep or id_ < least[-1]) and id_ not in least:
+            insort(least, id_)
+            del least[self.keep:]
+
+    def equals(self, raw: bytes, unit: np.ndarray) -> list:
+        """The least ids among vectors of similarity one."""
+        upto, lists = self.known.get(raw, (0, []))
+        if upto < len(self.units):
+            cosine = np.clip(np.array(self.units[upto:]) @ unit, -1.0, 1.0)
+            every = list(self.kinds.values())[upto:]
+            lists = lists + [every[i] for i in np.flatnonzero(np.round((1.0 + cosine) / 2.0, 9) == 1.0)]
+            if raw in self.known or len(self.known) < _KINDS:
+                self.known[raw] = len(self.units), lists
+        if len(lists) == 1:
+            return list(lists[0])
+        return sorted({i for least in lists for i in least})[:self.keep]
 
 
 def _work(held: DataFrame, asked: DataFrame, order: list[str], keep: int, dimensions: int, floor: float | None) -> DataFrame:

@@ -205,3 +205,30 @@ def test_dense_vectors_are_laid_out_a_few_at_a_time():
     assert peak < 3 * rows * 384 * 4
     row = found[2999].as_py()
     assert len(found) == rows and row[3000 % 384] == pytest.approx(5 ** -0.5) and row[3000 % 7] == pytest.approx(2 * 5 ** -0.5)
+
+
+@pytest.mark.parametrize("floor", (None, 0.9))
+def test_copies_are_not_compared_one_by_one(spark, monkeypatch, floor):
+    """Six hundred vectors of which twelve differ, in any order of time; two of them are one but for their last bits."""
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(12, 8))
+    kinds[1] = kinds[0] * 3
+    matrix = kinds[rng.integers(0, 12, 600)].astype(np.float32)
+    at = [int(x) for x in rng.integers(0, 200, 600)]
+    rows = spark.createDataFrame(
+        [(f"v{i:04d}", [float(x) for x in v], at[i]) for i, v in enumerate(matrix)], "id string, embedding array<float>, at bigint")
+    odd = spark.createDataFrame([("v9998", None, 1), ("v9999", [1.0] * 8, None)], rows.schema)
+    met, work = [], cells._work
+    monkeypatch.setattr(cells, "_work", lambda held, asked, *rest: met.append(asked.select("id").distinct().count()) or work(held, asked, *rest))
+    found = got(N.knn(rows.union(odd), rows.union(odd), 5, RiskConfig(cut_vectors=40), True, floor, as_of=["at"]))
+    unit = matrix.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expected = []
+    for q in range(600):
+        similarity = np.round((1 + np.clip(unit @ unit[q], -1, 1)) / 2, 9)
+        came = [c for c in range(600) if (at[c], c) <= (at[q], q) and (floor is None or similarity[c] > floor)]
+        best = sorted((-similarity[c], c) for c in came)[:5]
+        expected += [(f"v{q:04d}", f"v{c:04d}", -s) for s, c in best if c != q]
+    assert found == sorted(expected)
+    # Before, each query met its own cell: only those that came before enough copies do, and those at borders of keys.
+    assert max(met) < 300

@@ -6,7 +6,10 @@ places, and once in a range over the length of what it has in frequent places.
 A list is cut by time and size, and each cut is one unit of work, which holds
 its vectors in blocks with the largest weight of a block at each rare place.
 A query goes to lists of its own rare places. There the blocks are read by
-decreasing bound, until the bound falls below the worst of the best found.
+decreasing bound, until the bound falls below the worst of the best found. Where
+bounds leave much of a cut, as where very many vectors are equally similar, all
+of it is multiplied in single precision, and only what may be among the best is
+computed exactly.
 
 A query first meets the vectors that have two of its rare places in common with
 it, but for pairs of places that very many vectors have. Such pairs have short
@@ -51,6 +54,10 @@ _BLOCK, _FIRST_BLOCKS, _QUERIES_AT_ONCE, _NUMBERS_AT_ONCE = 8, 4, 1024, 1_000_00
 _ROWS_AT_ONCE, _COMPARED_AT_ONCE = 16_384, 500_000
 # Blocks of a cut that set a query's first bar.
 _GLANCE = 28
+# With more of a cut's blocks to read than this share, all of the cut is multiplied at once, so many pairs at a time.
+_MOST_READ, _PAIRS_AT_ONCE = 1 / 8, 4_000_000
+# Numbers of a cut as a matrix in single precision; a larger one is always read by blocks.
+_MATRIX = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -526,6 +533,8 @@ class _Cut:
         first = first[np.concatenate([[True], read.ids[first][1:] != read.ids[first][:-1]])]
         first = first[np.lexsort(rank[first].T[::-1])]
         self.ids, self.order = read.ids[first], [o[first] for o in read.order]
+        self.id_rank = np.argsort(np.argsort(self.ids))
+        self.single = None
         self.places, self.values = places[first], values[first]
 
         block = np.arange(len(first)) // _BLOCK
@@ -561,7 +570,12 @@ class _Cut:
             block = np.argpartition(-bounds, glance, axis=1)[:, :glance].ravel()
             query = np.repeat(np.arange(n), glance)
         else:
-            query, block = np.nonzero(bounds >= (bar - _MARGIN)[:, None])
+            wanted = bounds >= (bar - _MARGIN)[:, None]
+            much = wanted.mean(axis=1) > _MOST_READ
+            if much.any() and len(self.ids) * self.dimensions <= _MATRIX:
+                yield from self._best_of_all(asked, units, bar, np.flatnonzero(much), keep, floor)
+                wanted[much] = False
+            query, block = np.nonzero(wanted)
         bound = bounds[query, block]
         by_bound = np.lexsort((-bound, query))
         query, block, bound = query[by_bound], block[by_bound], bound[by_bound]
@@ -583,17 +597,54 @@ class _Cut:
                 s = self.similarities(units, r, c)
                 above = (2 * s - 1 >= bar[r] - _MARGIN) & (True if floor is None else s > floor)
                 rows, cols, similarity = (np.concatenate(x) for x in ((rows, r[above]), (cols, c[above]), (similarity, s[above])))
-                ranked = np.lexsort((self.ids[cols], -similarity, rows))
-                rows, cols, similarity = rows[ranked], cols[ranked], similarity[ranked]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-                rows, cols, similarity = rows[place < keep], cols[place < keep], similarity[place < keep]
-                last = place[place < keep] == keep - 1
+                rows, cols, similarity, place = self._ranked(rows, cols, similarity, keep)
+                last = place == keep - 1
                 bar[rows[last]] = np.maximum(bar[rows[last]], 2 * similarity[last] - 1)
             later = ~now & (bound >= (bar - _MARGIN)[query])
             query, block, bound, rank = query[later], block[later], bound[later], rank[later]
             step *= 2
             upto += step
         if len(rows):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(asked.ids[rows]).cast(pa.string()), pa.array(self.ids[cols]).cast(pa.string()), pa.array(similarity, pa.float64())],
-                names=["query_id", "id", "similarity"])
+            yield self._found(asked, rows, cols, similarity)
+
+    def _ranked(self, rows: np.ndarray, cols: np.ndarray, similarity: np.ndarray, keep: int) -> tuple:
+        """The best `keep` of each query, and their places."""
+        ranked = np.lexsort((self.id_rank[cols], -similarity, rows))
+        place = np.arange(len(rows)) - np.searchsorted(rows[ranked], rows[ranked], side="left")
+        ranked, place = ranked[place < keep], place[place < keep]
+        return rows[ranked], cols[ranked], similarity[ranked], place
+
+    def _found(self, asked: _Rows, rows: np.ndarray, cols: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(asked.ids[rows]).cast(pa.string()), pa.array(self.ids[cols]).cast(pa.string()), pa.array(similarity, pa.float64())],
+            names=["query_id", "id", "similarity"])
+
+    def _best_of_all(self, asked: _Rows, units: np.ndarray, bar: np.ndarray, queries: np.ndarray, keep: int,
+                     floor: float | None) -> Iterator[pa.RecordBatch]:
+        """The best candidates of these queries, of all blocks."""
+        m = len(self.ids)
+        if self.single is None:
+            self.single = np.zeros((m, self.dimensions), dtype=np.float32)
+            np.add.at(self.single, (np.arange(m)[:, None], self.places), self.values.astype(np.float32))
+        step = max(1, _PAIRS_AT_ONCE // m)
+        for start in range(0, len(queries), step):
+            some = queries[start:start + step]
+            cosine = units[some].astype(np.float32) @ self.single.T
+            if self.times:
+                before, same = np.zeros(cosine.shape, dtype=bool), np.ones(cosine.shape, dtype=bool)
+                for mine, held in zip(asked.order, self.order):
+                    before |= same & (held[None, :] < mine[some][:, None])
+                    same &= held[None, :] == mine[some][:, None]
+                r, c = np.nonzero(same)
+                before[r, c] = self.ids[c] <= asked.ids[some[r]]
+                cosine[~before] = -3.0
+            least = bar[some] - _MARGIN
+            if m > keep:
+                least = np.maximum(least, np.partition(cosine, m - keep, axis=1)[:, m - keep] - _MARGIN)
+            r, c = np.nonzero(cosine >= np.maximum(least, -2.5)[:, None])
+            r = some[r]
+            similarity = self.similarities(units, r, c) if len(r) else np.empty(0)
+            above = (2 * similarity - 1 >= bar[r] - _MARGIN) & (True if floor is None else similarity > floor)
+            r, c, similarity, _ = self._ranked(r[above], c[above], similarity[above], keep)
+            if len(r):
+                yield self._found(asked, r, c, similarity)

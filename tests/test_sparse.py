@@ -1,6 +1,7 @@
 """Neighbours through inverted lists, against brute force and against the dense search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,23 @@ def test_lists_needed_after_pairs(spark):
     needed = lambda unmet: sorted(rows.select(sparse._needed(counts, [0], unmet).alias("n")).first().n)
     assert needed([]) == [] and needed([(2, 3)]) == [2] and needed(None) == [1, 2]
     assert sorted(rows.select(sparse._pairs_of(counts, [0]).alias("n")).first().n) == [1 * 5 + 2, 1 * 5 + 3, 2 * 5 + 3]
+
+
+def test_of_many_equally_similar_vectors_few_are_compared_exactly(monkeypatch):
+    """One cut of vectors that all have one place, and others by chance, so that no bound leaves anything out."""
+    rng = np.random.default_rng(4)
+    matrix, times = (rng.random((600, 40)) < 0.1).astype(float), rng.integers(0, 900, 600)
+    matrix[:, 7] = 1
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    rows = pa.table({
+        "place": [7] * 600, "_time": [0] * 600, "_part": [0] * 600, "id": [f"v{i:04d}" for i in range(600)],
+        "places": pa.array([np.flatnonzero(v).astype(np.int32) for v in matrix]),
+        "weights": pa.array([v[v > 0].astype(np.float64) for v in unit]),
+        "_length": [0.0] * 600, "_floor": [-2.0] * 600, "at": times})
+    compared, similarities = [], sparse._similarities
+    monkeypatch.setattr(sparse, "_similarities", lambda u, p, v, r, c: compared.append(len(r)) or similarities(u, p, v, r, c))
+    cut = sparse._Cut(rows, 1, [], 40)
+    found = [x for batch in cut.best(rows.to_batches()[0], 5, None) for x in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(x for x in found if x[0] != x[1]) == brute(matrix, times, 5, range(600), True)
+    # By blocks, more than a quarter of all pairs.
+    assert sum(compared) < 600 * 600 / 20

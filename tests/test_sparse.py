@@ -166,5 +166,5 @@ def test_of_many_equally_similar_vectors_few_are_compared_exactly(monkeypatch):
     cut = sparse._Cut(rows, 1, [], 40)
     found = [x for batch in cut.best(rows.to_batches()[0], 5, None) for x in zip(*(c.to_pylist() for c in batch.columns))]
     assert sorted(x for x in found if x[0] != x[1]) == brute(matrix, times, 5, range(600), True)
-    # By blocks, more than a quarter of all pairs.
-    assert sum(compared) < 600 * 600 / 20
+    # By blocks, more than a fifth of all pairs.
+    assert sum(compared) < 600 * 600 / 50

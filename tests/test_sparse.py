@@ -168,3 +168,47 @@ def test_of_many_equally_similar_vectors_few_are_compared_exactly(monkeypatch):
     assert sorted(x for x in found if x[0] != x[1]) == brute(matrix, times, 5, range(600), True)
     # By blocks, more than a fifth of all pairs.
     assert sum(compared) < 600 * 600 / 50
+
+
+def test_of_a_long_list_of_a_pair_few_are_compared_exactly(monkeypatch):
+    """The list of one pair of places, in the order of time; an id comes twice, and many vectors are equally similar."""
+    rng = np.random.default_rng(6)
+    matrix = (rng.random((300, 30)) < 0.1).astype(float)
+    matrix[:, 3] = matrix[:, 4] = 1
+    matrix[250] = matrix[7]
+    ids = [f"v{i:04d}" for i in rng.permutation(300)]
+    ids[250] = ids[7]
+    row = lambda i, kind: {
+        "place": 3 * 30 + 4, "id": ids[i], "places": np.flatnonzero(matrix[i]).astype(np.int32), "weights": matrix[i][matrix[i] > 0].astype(np.float32),
+        "_length": 0.0, "_floor": -2.0 if kind else 0.0, "_kind": kind}
+    rows = pa.Table.from_pylist([row(i, kind) for i in range(300) for kind in (0, 1)])
+    compared, similarities = [], sparse._similarities
+    monkeypatch.setattr(sparse, "_similarities", lambda u, p, v, r, c: compared.append(len(r)) or similarities(u, p, v, r, c))
+    found = {x for batch in sparse._met(rows, 5, 30, None) for x in zip(*(c.to_pylist() for c in batch.columns))}
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    expected = set()
+    for q in range(300):
+        near = {ids[c]: np.round((1 + min(1.0, unit[q] @ unit[c])) / 2, 9) for c in range(q + 1)}
+        expected |= {(ids[q], i, s) for i, s in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:5]}
+    assert found == expected
+    assert sum(compared) <= 5 * 300
+
+
+def test_lists_hold_few_of_a_kind(spark, monkeypatch):
+    """Vectors of a form and two of ten words: in a word's list nearly all are of one kind, so that its first ids are enough."""
+    rng = np.random.default_rng(10)
+    n, keep, held = 600, 30, []
+    matrix = np.zeros((n, 16))
+    matrix[:, :6] = 1
+    for row in matrix:
+        row[rng.choice(np.arange(6, 16), 2, replace=False)] = 1
+    matrix[::50, 0] = 2
+    times = np.arange(n) // 3
+    work = sparse._work
+    monkeypatch.setattr(sparse, "_work", lambda h, *rest: held.append(h.count()) or work(h, *rest))
+    monkeypatch.setattr(sparse.matches, "__defaults__", (None, sparse.ListSizes(frequent=0.25)))
+    rows = frame(spark, matrix, times)
+    found = N.knn(rows, rows, keep, self_takes_slot=True, as_of=("at",))
+    assert got(found) == brute(matrix, times, keep, range(n), True)
+    # Of each word at most so many of the form and the few others, where its list has 120.
+    assert held and max(held) <= 10 * keep + 2 * n / 50 * 2

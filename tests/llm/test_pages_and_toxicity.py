@@ -61,6 +61,24 @@ def test_hosts_decide_unmarked_pages(spark):
     assert pages.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_what_marked_pages_leave_out_is_no_text_of_unmarked_ones(spark):
+    """On hosts of one page that marks nothing: what others have in menus goes, what they have in articles and what only it has stays."""
+    rng = random.Random(5)
+    line = lambda n: prose(rng, n).replace("\n", " ")
+    menu, legal, copied, own = line(12), line(12), line(20), [line(30) for _ in range(9)]
+    marked = [(i, f"https://one.example/{i}", f"<nav>{menu}</nav><article>{copied if i == 3 else own[i]}</article><footer>{legal}</footer>")
+              for i in range(8)]
+    plain = f"<div>{menu}</div><p>{own[8]}</p><p>{copied}</p><p>{legal}</p>"
+    rows = [*marked, (8, "https://one.example/8", plain), (9, "https://two.example/", plain)]
+    # Its own mark does not make it another page.
+    rows.append((10, "https://three.example/", f"<nav>{menu}</nav><div>{menu}</div><p>{own[8]}</p>"))
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    expected = {i: copied if i == 3 else own[i] for i in range(8)} | {
+        8: f"{own[8]}\n{copied}", 9: f"{menu}\n{own[8]}\n{copied}\n{legal}", 10: f"{menu}\n{own[8]}"}
+    for shard_pages in (2, 128):
+        assert {r.page_id: r.text for r in pages.extract_main_text(frame, shard_pages).collect()} == expected
+
+
 def plain_article(page):
     """The article of a generated page, found by its tags alone."""
     body = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")

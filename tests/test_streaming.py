@@ -280,3 +280,14 @@ def test_a_step_of_a_small_account_is_cheap(make):
     assert [(at, id[-1]) for at, id, _ in line] == [(5, "e"), (10, "0"), (20, "1"), (20, "2")]
     assert dropped == account_state._NOTHING_DROPPED
     assert pstats.Stats(profile).total_calls < 4000
+
+
+def test_answers_are_not_put_together_by_kind(make):
+    """Frames of very few rows: making one block of columns of a kind would cost more than the answers."""
+    rows = [r.asDict() for r in make([(n, 1, 2, n * HOUR, n + 1) for n in range(4)]).collect()]
+    frame = pd.DataFrame([{**r, "account": r["from_account"], "is_from": True, "at_us": 10 * n} for n, r in enumerate(rows)])
+    frame["occurred_at"] = pd.to_datetime(frame["occurred_at"])
+    profile = cProfile.Profile()
+    answers, _, _ = profile.runcall(account_state._advance, frame, [], account_state._NOTHING_DROPPED, 12, 100, 2)
+    assert [r.velocity for a in answers for r in a.itertuples()] == [1, 2, 2, 2]
+    assert not any(name == "_consolidate" for _, _, name in pstats.Stats(profile).stats)
